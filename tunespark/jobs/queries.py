@@ -1 +1,630 @@
-QUERIES, ORACLE = {}, {}
+"""Registered queries over the test tables, each with SQL of the same meaning where there is one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tunespark import vocab as V
+from tunespark.jobs import fixtures as X
+from tunespark.jobs.fixtures import sql
+from tunespark.jobs.index import build_report, plan_reuse
+from tunespark.operators import attributes as A
+from tunespark.operators import evaluation as E
+from tunespark.operators import explain as G
+from tunespark.operators import filters as L
+from tunespark.operators import interactions as J
+from tunespark.operators import lookup as H
+from tunespark.operators import ranking as R
+from tunespark.operators import requests as Q
+from tunespark.operators import signal as C
+from tunespark.operators import vectors as B
+from tunespark.sources import dataset as D
+from tunespark.sources import manifest as M
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _attributes(spark: SparkSession, d: str) -> DataFrame:
+    return A.label_tracks(X.raw_analyses(spark, d))
+
+
+# ------------------------------------------------------------------------------------------------ ingest
+
+
+@query("SELECT CAST(p_partkey AS INTEGER) AS track_id, substr(printf('%06d', p_partkey), 1, 3) || '/' || printf('%06d', p_partkey) || '.mp3' AS clip_path FROM part")
+def a3_clip_path(spark, d):
+    return D.with_clip_path(X.dataset_tracks(spark, d)).select("track_id", "clip_path")
+
+
+@query(sql("SELECT genre_top, track_id FROM v_sampled", "v_sampled"))
+def a4_sample_per_genre(spark, d):
+    return D.sample_per_genre(X.dataset_tracks(spark, d), "small", 5).select("genre_top", "track_id")
+
+
+@query(sql("""SELECT count(*) AS missing FROM (SELECT *, coalesce(sum(CAST(available AS INTEGER)) OVER (PARTITION BY genre_top ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had
+    FROM v_dataset WHERE subset = 'small') WHERE NOT available AND had < 5""", "v_dataset"))
+def a5_missing_clips(spark, d):
+    return D.missing_clips(X.dataset_tracks(spark, d), "small", 5)
+
+
+@query(sql(f"""SELECT printf('fma-%06d', track_id) AS track_id, coalesce(nullif(trim(title), ''), 'FMA track ' || track_id) AS title, coalesce(nullif(trim(artist), ''), 'Unknown artist') AS artist,
+    substr(printf('%06d', track_id), 1, 3) || '/' || printf('%06d', track_id) || '.mp3' AS audio_path, '{D.SOURCE}; genre_top=' || genre_top AS source,
+    coalesce(nullif(trim(license), ''), 'unknown (see FMA)') AS license, CASE WHEN track_id % 4 = 1 THEN 'http://x.example/' || track_id END AS provider_url FROM v_sampled""", "v_sampled"))
+def a6_manifest_entries(spark, d):
+    tracks = X.dataset_tracks(spark, d)
+    urls = tracks.where("track_id % 4 = 1").select("track_id", F.concat(F.lit("http://x.example/"), F.col("track_id").cast("string")).alias("track_url"))
+    return D.manifest_entries(D.with_clip_path(D.sample_per_genre(tracks, "small", 5)), urls)
+
+
+@query(sql("SELECT genre_top AS genre, count(*) AS tracks FROM v_sampled GROUP BY 1", "v_sampled"))
+def a7_genre_summary(spark, d):
+    return D.genre_summary(D.manifest_entries(D.with_clip_path(D.sample_per_genre(X.dataset_tracks(spark, d), "small", 5))))
+
+
+_MANIFEST = """SELECT CAST(p_partkey AS BIGINT) AS position, 'm-' || (p_partkey % 150) AS track_id, CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE p_name END AS title, p_brand AS artist,
+    CASE WHEN p_partkey % 23 <> 0 THEN p_partkey || '.mp3' END AS audio_path FROM part"""
+
+
+@query(f"""WITH m AS ({_MANIFEST}), f AS (SELECT *, min(position) OVER (PARTITION BY track_id) AS first FROM m)
+    SELECT position, 'missing title' AS problem FROM m WHERE trim(title) = '' UNION ALL SELECT position, 'missing audio_path' FROM m WHERE audio_path IS NULL
+    UNION ALL SELECT position, 'duplicate track_id, first at ' || first FROM f WHERE first < position
+    UNION ALL SELECT position, 'audio not found' FROM m WHERE audio_path IS NOT NULL AND position % 10 = 3""")
+def a9_validate_manifest(spark, d):
+    key = F.col("p_partkey").cast("bigint")
+    name = F.col("p_partkey").cast("string")
+    entries = X.read(spark, d, "part").select(
+        key.alias("position"), F.concat(F.lit("m-"), (key % 150).cast("string")).alias("track_id"), F.when(key % 17 == 0, " ").otherwise(F.col("p_name")).alias("title"), F.col("p_brand").alias("artist"),
+        F.when(key % 23 != 0, F.concat(name, F.lit(".mp3"))).alias("audio_path"), *[F.lit(None).cast("string").alias(c) for c in ("source", "license", "provider_url")],
+    )
+    listing = X.read(spark, d, "part").where(key % 10 != 3).select(F.concat(name, F.lit(".mp3")).alias("path"))
+    return M.validate_manifest(entries, listing)[1]
+
+
+# ------------------------------------------------------------------------------------------------ vectors and index
+
+
+@query("""SELECT printf('trk-%06d', vec_id) AS track_id, CASE WHEN vec_id % 10 = 0 THEN 'zero' WHEN vec_id % 10 = 1 THEN 'not unit length' WHEN vec_id % 10 = 2 THEN 'non-finite' WHEN vec_id % 10 = 3 THEN 'dimension' END AS problem
+    FROM embeddings WHERE vec_id % 10 < 4""")
+def b1_vector_problems(spark, d):
+    k = F.col("vec_id") % 10
+    times = lambda by: F.transform("embedding", lambda x: (x * by).cast("float"))
+    v = F.when(k == 0, times(0.0)).when(k == 1, times(0.5)).when(k == 2, times(float("nan"))).when(k == 3, F.slice("embedding", 1, 60)).otherwise(F.col("embedding"))
+    return B.vector_problems(X.read(spark, d, "embeddings").select(F.format_string("trk-%06d", "vec_id").alias("track_id"), v.alias("vector")), X.DIM, unit=True)
+
+
+@query("""SELECT vec_id, CAST(i AS INTEGER) AS pos, round(CAST(CAST(e[i] / n AS FLOAT) AS DOUBLE), 6) AS x FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 3) AS e,
+    sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 3 * CAST(v AS DOUBLE) * 3))) AS n FROM embeddings), generate_series(1, 64) AS g(i)""")
+def b2_l2_normalize(spark, d):
+    long = X.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("vector"))
+    return B.l2_normalize(long).select("vec_id", F.posexplode("vector").alias("pos", "x")).select("vec_id", (F.col("pos") + 1).alias("pos"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query("""WITH x AS (SELECT vec_id % 50 AS track, vec_id, i, CAST(embedding[i] AS DOUBLE) * (1 + vec_id % 3) AS v FROM embeddings, generate_series(1, 64) AS g(i)),
+    n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM x GROUP BY vec_id), m AS (SELECT track, i, avg(v / n) AS v FROM x JOIN n USING (vec_id) GROUP BY ALL), t AS (SELECT track, sqrt(sum(v * v)) AS n FROM m GROUP BY track)
+    SELECT track, CAST(i AS INTEGER) AS pos, round(v / n, 5) AS x FROM m JOIN t USING (track)""")
+def b3_pool_excerpts(spark, d):
+    by = 1 + F.col("vec_id") % 3
+    parts = X.read(spark, d, "embeddings").select((F.col("vec_id") % 50).alias("track"), F.transform("embedding", lambda x: x.cast("double") * by).alias("vector"))
+    return B.pool_excerpts(parts, "track").select("track", F.posexplode("vector").alias("pos", "x")).select("track", (F.col("pos") + 1).alias("pos"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+SPACE = B.EmbeddingSpace("encoder", "1", X.DIM, 48_000, 10.0, 3)
+
+
+def _plan(spark, d):
+    own = X.catalog(spark, d)
+    manifest = own.select("track_id", "title", "artist", "audio_path", F.sha2(F.concat("track_id", F.lit("-now")), 256).alias("audio_sha256"), "vec_id")
+    stamp = F.when(F.col("vec_id") % 5 == 0, "-then").otherwise("-now")
+    space = F.when(F.col("vec_id") % 11 == 0, "other").otherwise(SPACE.fingerprint())
+    old = own.where("vec_id % 7 <> 3").select("track_id", F.sha2(F.concat("track_id", stamp), 256).alias("audio_sha256"), "vector", F.lit(3).alias("excerpt_count"), space.alias("space_fingerprint"))
+    return plan_reuse(manifest, old, SPACE)
+
+
+_REUSED = "vec_id % 7 <> 3 AND vec_id % 5 <> 0 AND vec_id % 11 <> 0"
+
+
+@query(f"SELECT printf('trk-%06d', vec_id) AS track_id, CASE WHEN {_REUSED} THEN 'reused' ELSE 'to_embed' END AS status, CASE WHEN {_REUSED} THEN 3 END AS excerpt_count FROM embeddings")
+def b5_plan_reuse(spark, d):
+    return _plan(spark, d).select("track_id", "status", "excerpt_count")
+
+
+@query(f"""WITH s AS (SELECT printf('trk-%06d', vec_id) AS track_id, CASE WHEN {_REUSED} THEN 'reused' ELSE 'to_embed' END AS status FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY track_id) AS n FROM s)
+    SELECT status, count(*) AS tracks, string_agg(track_id, ',' ORDER BY track_id) FILTER (n <= 100) AS first_ids FROM r GROUP BY status""")
+def b7_build_report(spark, d):
+    return build_report(_plan(spark, d).select("track_id", "status"))
+
+
+# ------------------------------------------------------------------------------------------------ signals
+
+
+@query("""WITH n AS (SELECT DISTINCT CAST(n_chars AS BIGINT) AS n FROM documents), c AS (SELECT n, least(3, n // 100) AS k, n - 100 AS span FROM n)
+    SELECT n, CASE WHEN n <= 100 THEN '0' WHEN k <= 1 THEN CAST(span // 2 AS VARCHAR) ELSE list_aggregate(list_transform(range(0, k), lambda i: CAST(CAST(round_even(i * span / (k - 1), 0) AS BIGINT) AS VARCHAR)), 'string_agg', ',') END AS starts FROM c""")
+def c1_excerpt_starts(spark, d):
+    n = X.read(spark, d, "documents").select(F.col("n_chars").cast("bigint").alias("n")).distinct()
+    return n.select("n", F.array_join(F.transform(C.excerpt_starts("n", 100, 3), lambda x: x.cast("string")), ",").alias("starts"))
+
+
+@query("SELECT vec_id, round(20 * log10(greatest(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / 64), 1e-10)), 2) AS loudness FROM embeddings")
+def c4_loudness(spark, d):
+    return X.read(spark, d, "embeddings").select("vec_id", C.loudness_dbfs("embedding").alias("loudness"))
+
+
+@query("SELECT vec_id, round(len(list_filter(embedding, lambda v: v > 0.1)) / (64000.0 / 16000), 3) AS rate FROM embeddings")
+def c5_onset_rate(spark, d):
+    return X.read(spark, d, "embeddings").select("vec_id", C.onset_rate(F.filter("embedding", lambda v: v.cast("double") > 0.1), F.lit(64000), 16000).alias("rate"))
+
+
+# ------------------------------------------------------------------------------------------------ attributes
+
+
+@query(f"""WITH c AS (SELECT unnest([{', '.join(f"'{c}'" for c in V.CLASSES)}]) AS class, unnest(range(1, {len(V.CLASSES) + 1})) AS i)
+    SELECT printf('trk-%06d', vec_id % 100) AS track_id, class, round(avg(1 / (1 + exp(-10 * CAST(embedding[i] AS DOUBLE)))), 6) AS score FROM embeddings CROSS JOIN c GROUP BY 1, 2""")
+def d1_excerpt_class_scores(spark, d):
+    parts = X.read(spark, d, "embeddings").select(F.format_string("trk-%06d", F.col("vec_id") % 100).alias("track_id"), F.col("vec_id").alias("excerpt"), F.posexplode(F.slice("embedding", 1, len(V.CLASSES))).alias("i", "x"))
+    names = F.array(*map(F.lit, V.CLASSES))
+    logits = parts.select("track_id", "excerpt", names[F.col("i")].alias("class"), (F.col("x").cast("double") * 10).alias("logit"))
+    return A.excerpt_class_scores(logits).select("track_id", F.explode("class_scores").alias("class", "score"))
+
+
+@query(sql("SELECT track_id, vocals, vocal_score, vocal_class FROM v_attributes", "v_attributes"))
+def d2_label_vocals(spark, d):
+    return X.class_scores(spark, d).select("track_id", A.vocals_label("class_scores").alias("v")).select("track_id", F.col("v.label").alias("vocals"), F.col("v.vocal_score").alias("vocal_score"), F.col("v.top_class").alias("vocal_class"))
+
+
+@query(sql("SELECT track_id, genre, genre_score FROM v_attributes", "v_attributes"))
+def d3_label_genre(spark, d):
+    return X.class_scores(spark, d).select("track_id", A.genre_label("class_scores").alias("g")).select("track_id", F.col("g.label").alias("genre"), F.col("g.score").alias("genre_score"))
+
+
+@query(sql("SELECT track_id, coalesce(list_aggregate(moods, 'string_agg', ','), '') AS moods FROM v_labels0", "v_labels0"))
+def d4_label_moods(spark, d):
+    return X.class_scores(spark, d).select("track_id", F.array_join(A.mood_labels("class_scores"), ",").alias("moods"))
+
+
+@query(sql("SELECT track_id, round(loud, 9) AS rank FROM v_ranks", "v_ranks"))
+def d5_percentile_ranks(spark, d):
+    return A.percentile_ranks(X.measurements(spark, d), "loudness_dbfs", "rank").select("track_id", F.round("rank", 9).alias("rank"))
+
+
+@query(sql("SELECT track_id, energy FROM v_attributes", "v_attributes"))
+def d6_energy(spark, d):
+    return A.with_energy(X.measurements(spark, d)).select("track_id", "energy")
+
+
+@query(sql("SELECT band, count(*) AS tracks FROM v_attributes GROUP BY band", "v_attributes"))
+def d7_energy_bands(spark, d):
+    return A.with_energy(X.measurements(spark, d)).groupBy(A.energy_band("energy").alias("band")).agg(F.count("*").alias("tracks"))
+
+
+@query(sql("SELECT track_id, vocals, genre, list_aggregate(moods, 'string_agg', ',') AS moods, energy, bpm, CAST(substr(track_id, 5) AS INTEGER) % 4 = 0 AS fresh FROM v_attributes", "v_attributes"))
+def d8_build_attributes(spark, d):
+    raw = X.raw_analyses(spark, d)
+    index = raw.select("track_id", F.sha2("track_id", 256).alias("audio_sha256"))
+    stale = F.substring("track_id", 5, 6).cast("int") % 4 == 0
+    old = raw.withColumn("audio_sha256", F.sha2(F.when(stale, F.lit("x")).otherwise(F.col("track_id")), 256)).withColumn("config_digest", F.lit(A.config_digest()))
+    made, fresh = A.build_attributes(index, lambda todo: raw.join(todo.select("track_id"), "track_id"), old)
+    return made.join(fresh.withColumn("fresh", F.lit(True)), "track_id", "left").select("track_id", "vocals", "genre", F.nullif(F.array_join("moods", ","), F.lit("")).alias("moods"), "energy", "bpm", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+
+
+# ------------------------------------------------------------------------------------------------ filters
+
+_BAD = X.values(X.FILTER_ROWS + X.BAD_FILTER_ROWS, "query_id, vocals, genre, mood, energy, tempo_min, tempo_max")
+
+
+def _outside(column: str, allowed: tuple[str, ...]) -> str:
+    return f"SELECT query_id, 'unknown {column}' AS error FROM f WHERE nullif(trim({column}), '') NOT IN ({', '.join(repr(v) for v in allowed)})"
+
+
+@query(f"""WITH f AS ({_BAD}) {' UNION ALL '.join(_outside(c, v) for c, v in {**V.LABELS, 'energy': V.ENERGY_BANDS}.items())}
+    UNION ALL SELECT query_id, 'tempo_min out of range' FROM f WHERE tempo_min NOT BETWEEN 30 AND 300 UNION ALL SELECT query_id, 'tempo_max out of range' FROM f WHERE tempo_max NOT BETWEEN 30 AND 300
+    UNION ALL SELECT query_id, 'tempo_min over tempo_max' FROM f WHERE tempo_min > tempo_max""")
+def e1_filter_errors(spark, d):
+    return L.filter_errors(X.filter_requests(spark, bad=True))
+
+
+@query(sql("SELECT query_id, track_id, CASE code WHEN 2 THEN 'mismatch' WHEN 1 THEN 'unknown' ELSE 'pass' END AS verdict FROM v_verdicts", "v_verdicts"))
+def e2_apply_filters(spark, d):
+    return L.apply_filters(X.filter_requests(spark), _attributes(spark, d)).select("query_id", "track_id", "verdict")
+
+
+@query(sql("""SELECT query_id, track_id, concat_ws('; ', CASE WHEN nullif(trim(f.vocals), '') IS NOT NULL THEN f.vocals || ' (model estimate)' END, f.genre || ' (model estimate)', f.mood || ' mood (model estimate)', f.energy || ' energy (measured)',
+    CASE WHEN tempo_min IS NOT NULL AND tempo_max IS NOT NULL THEN CAST(CAST(tempo_min AS INTEGER) AS VARCHAR) || '-' || CAST(tempo_max AS INTEGER) || ' BPM (measured ' || CAST(round_even(bpm, 0) AS BIGINT) || ')'
+    WHEN tempo_max IS NOT NULL THEN 'at most ' || CAST(tempo_max AS INTEGER) || ' BPM (measured ' || CAST(round_even(bpm, 0) AS BIGINT) || ')' END) AS passed
+    FROM v_verdicts JOIN v_filters f USING (query_id) JOIN v_attributes a USING (track_id) WHERE code = 0""", "v_verdicts"))
+def e3_filter_evidence(spark, d):
+    passed = L.apply_filters(X.filter_requests(spark), _attributes(spark, d)).where("verdict = 'pass'")
+    return passed.select("query_id", "track_id", F.array_join(F.transform("filters_passed", G.describe_filter), "; ").alias("passed"))
+
+
+@query(sql("SELECT query_id, count(*) FILTER (code = 2) AS hidden_mismatch, count(*) FILTER (code = 1) AS hidden_unknown FROM v_verdicts GROUP BY query_id", "v_verdicts"))
+def e4_hidden_counts(spark, d):
+    return L.hidden_counts(L.apply_filters(X.filter_requests(spark), _attributes(spark, d)))
+
+
+_NAMES = X.values([(a, v, i) for a, vs in V.LABELS.items() for i, v in enumerate(vs)], "attribute, value, place")
+
+
+@query(sql(f"""SELECT attribute, value, place, count(track_id) AS tracks FROM ({_NAMES}) LEFT JOIN (SELECT track_id, 'vocals' AS attribute, vocals AS value FROM v_attributes UNION ALL SELECT track_id, 'genre', genre FROM v_attributes
+    UNION ALL SELECT track_id, 'mood', unnest(moods) FROM v_attributes) USING (attribute, value) GROUP BY ALL""", "v_attributes"))
+def e5_filter_options(spark, d):
+    return L.filter_options(_attributes(spark, d))
+
+
+# ------------------------------------------------------------------------------------------------ ranking
+
+
+def _top(frm: str, part: str = "query_id", k: int = 10) -> str:
+    return f"SELECT {part} AS query_id, track_id, round(CAST(score AS DOUBLE), 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY score DESC, track_id) AS rank FROM {frm}) WHERE rank <= {k}"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "track_id", F.round(F.col("score").cast("double"), 6).alias("score"), "rank")
+
+
+@query(sql("SELECT query_id, track_id, round(CAST(score AS DOUBLE), 6) AS score FROM v_cosine", "v_cosine"))
+def f1_cosine_scores(spark, d):
+    return R.cosine_scores(X.query_vectors(spark, d), X.catalog(spark, d)).select("query_id", "track_id", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@query(sql(_top("v_cosine"), "v_cosine"))
+def f2_rank_top_k(spark, d):
+    return _shown(R.search(X.query_vectors(spark, d), X.catalog(spark, d), 10))
+
+
+@query(sql(_top("(SELECT * FROM v_cosine WHERE CAST(substr(track_id, 5) AS INTEGER) % 3 <> 0)"), "v_cosine"))
+def f3_exclusions(spark, d):
+    own, tracks = X.query_vectors(spark, d), X.catalog(spark, d)
+    gone = tracks.where("vec_id % 3 = 0").select("track_id").crossJoin(F.broadcast(own.select("query_id")))
+    return _shown(R.search(own, tracks, 10, gone))
+
+
+_CAPPED = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, artist_key ORDER BY score DESC, track_id) AS n FROM {}) WHERE n <= 2)"
+
+
+@query(sql(_top(_CAPPED.format("v_cosine")), "v_cosine"))
+def f4_artist_cap(spark, d):
+    return _shown(R.search(X.query_vectors(spark, d), X.catalog(spark, d), 10, max_per_artist=2))
+
+
+@query(sql(_top("(SELECT c.* FROM v_cosine c JOIN v_verdicts v ON v.track_id = c.track_id AND v.query_id = 'f-04' WHERE code = 0)"), "v_cosine", "v_verdicts"))
+def f5_filtered_search(spark, d):
+    own = X.query_vectors(spark, d)
+    high = L.apply_filters(X.filter_requests(spark).where("query_id = 'f-04'"), _attributes(spark, d)).where("verdict <> 'pass'").select("track_id")
+    return _shown(R.search(own, X.catalog(spark, d), 10, high.crossJoin(F.broadcast(own.select("query_id")))))
+
+
+@query(sql(_top(_CAPPED.format("(SELECT * FROM v_seed_cosine WHERE seed_id <> track_id)")), "v_seed_cosine"))
+def f6_similar_to(spark, d):
+    return _shown(R.similar_to(X.seeds(spark, d), X.catalog(spark, d), 10, max_per_artist=2)[0])
+
+
+_ALL = """(SELECT a.track_id AS seed_id, b.track_id, CAST(greatest(-1, least(1, list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))
+    / (sqrt(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(a.vector AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])))))) AS FLOAT) AS score
+    FROM v_catalog a JOIN v_catalog b ON a.track_id <> b.track_id)"""
+
+
+@query(sql(_top(_ALL, "seed_id", 5), "v_catalog"))
+def f7_all_neighbours(spark, d):
+    return _shown(R.all_neighbours(X.catalog(spark, d), 5).withColumnRenamed("seed_id", "query_id"))
+
+
+def _blend_inputs(spark, d):
+    own = X.query_vectors(spark, d)
+    return own, own.select("query_id", F.format_string("trk-%06d", F.substring("query_id", 3, 2).cast("int") + 30).alias("seed_id")), X.catalog(spark, d)
+
+
+_BLEND = """, b AS (SELECT q.query_id, printf('trk-%06d', CAST(substr(q.query_id, 3) AS INTEGER) + 30) AS seed_id, q.track_id, q.artist_key, CAST(q.score AS DOUBLE) AS qs, CAST(s.score AS DOUBLE) AS ss FROM v_cosine q
+    JOIN (SELECT a.track_id AS seed_id, b.track_id, CAST(greatest(-1, least(1, list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))
+    / (sqrt(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(a.vector AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])))))) AS FLOAT) AS score FROM v_catalog a, v_catalog b) s
+    ON s.seed_id = printf('trk-%06d', CAST(substr(q.query_id, 3) AS INTEGER) + 30) AND s.track_id = q.track_id),
+    z AS (SELECT query_id, seed_id, track_id, artist_key, qs, ss, (qs - avg(qs) OVER w) / stddev_pop(qs) OVER w + (ss - avg(ss) OVER w) / stddev_pop(ss) OVER w AS score FROM b WINDOW w AS (PARTITION BY query_id))
+    """
+
+
+@query(sql("", "v_cosine").rstrip() + _BLEND + _top(_CAPPED.format("(SELECT * FROM z WHERE seed_id <> track_id)")))
+def f8_blend(spark, d):
+    return _shown(R.blend(*_blend_inputs(spark, d), 10, max_per_artist=2))
+
+
+@query()
+def f9_mmr_rerank(spark, d):
+    tracks = X.catalog(spark, d)
+    return _shown(R.mmr_rerank(R.search(X.query_vectors(spark, d), tracks, V.MMR_POOL), tracks, 10))
+
+
+def _requests(spark):
+    rows = [(f"r-{i:02d}", q, s, k) for i, (q, s, k) in enumerate([("calm jazz", None, 5), (None, "trk-000003", 4), ("dark", "trk-000005", 60), ("", " ", 5), ("x" * 401, None, 5), ("loud", None, 0), ("sad", "trk-000001", None)])]
+    return spark.createDataFrame(rows, "query_id string, query string, seed_id string, k int").selectExpr(
+        "*", "if(query_id = 'r-01', 'polka', null) genre", *[f"cast(null as string) {c}" for c in ("vocals", "mood", "energy")], "cast(null as double) tempo_min", "cast(null as double) tempo_max"
+    )
+
+
+@query("SELECT * FROM (VALUES ('r-00', 'search', NULL), ('r-06', 'blend', NULL), ('r-01', NULL, 'unknown genre'), ('r-02', NULL, 'k out of range'), ('r-03', NULL, 'no query and no seed'), ('r-04', NULL, 'query too long'), ('r-05', NULL, 'k out of range')) t(query_id, mode, error)")
+def f10_route(spark, d):
+    good, bad = Q.route(_requests(spark))
+    return good.select("query_id", "mode", F.lit(None).cast("string").alias("error")).unionByName(bad.select("query_id", F.lit(None).cast("string").alias("mode"), "error"))
+
+
+# ------------------------------------------------------------------------------------------------ explanations
+
+
+@query(X.values([
+    ("t-01", "relaxing=mood:calm, hip hop=genre:hip hop, singer=vocals:vocal"), ("t-02", ""), ("t-03", "calm=mood:calm, jazz=genre:jazz"), ("t-04", "r&b=genre:r&b, edm=genre:electronic, dark=mood:dark, cheerful=mood:happy"), ("t-05", ""),
+    ("t-06", "ambient=genre:ambient, rock=genre:rock"), ("t-07", "aggressive=mood:angry, metal=genre:metal, rapper=vocals:vocal"), ("t-08", "hip hop=genre:hip hop"), ("t-09", "spooky=mood:dark"), ("t-10", "jazz=genre:jazz"),
+], "query_id, terms"))
+def g1_query_terms(spark, d):
+    own = spark.createDataFrame(X.TEXTS, "query_id string, query string")
+    return own.select("query_id", F.array_join(F.transform(G.query_terms("query"), lambda t: F.concat(t["term"], F.lit("="), t["attribute"], F.lit(":"), t["value"])), ", ").alias("terms"))
+
+
+@query(sql("SELECT track_id, vocals, genre, list_aggregate(moods, 'string_agg', ',') AS mood, bpm AS tempo_bpm, band, energy AS percentile FROM v_attributes", "v_attributes"))
+def g2_estimates_and_measurements(spark, d):
+    own = _attributes(spark, d).select("track_id", G.track_estimates().alias("e"), G.track_measurements().alias("m"))
+    return own.select("track_id", "e.vocals", "e.genre", F.array_join("e.mood", ",").alias("mood"), "m.tempo_bpm", F.col("m.energy.band").alias("band"), F.col("m.energy.percentile").alias("percentile"))
+
+
+_SHARED = """, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS rank FROM v_seed_cosine WHERE seed_id <> track_id) WHERE rank <= 10),
+    h AS (SELECT r.query_id, r.track_id, CASE WHEN s.vocals = a.vocals THEN a.vocals END AS vocals, CASE WHEN s.genre = a.genre THEN a.genre END AS genre,
+      nullif(list_aggregate(list_filter(a.moods, lambda m: list_contains(s.moods, m)), 'string_agg', ', '), '') AS mood, abs(s.bpm - a.bpm) <= 0.08 * s.bpm AS tempo, CASE WHEN s.band = a.band THEN a.band END AS energy
+      FROM r JOIN v_attributes s ON s.track_id = r.seed_id JOIN v_attributes a ON a.track_id = r.track_id)"""
+
+
+def _similar_evidence(spark, d):
+    tracks, seeds = X.catalog(spark, d), X.seeds(spark, d)
+    found, _ = R.similar_to(seeds, tracks, 10)
+    titled = seeds.join(tracks.select(F.col("track_id").alias("seed_id"), F.col("title").alias("seed_title")), "seed_id")
+    return G.with_evidence(found, _attributes(spark, d), seeds=titled)
+
+
+@query(sql("", "v_seed_cosine", "v_attributes").rstrip() + _SHARED + " SELECT query_id, track_id, vocals, genre, mood, coalesce(tempo, false) AS tempo, energy FROM h")
+def g4_shared_with_seed(spark, d):
+    s = F.col("shared")
+    return _similar_evidence(spark, d).select("query_id", "track_id", s["vocals"].alias("vocals"), s["genre"].alias("genre"), F.array_join(s["mood"], ", ").alias("mood"), s["tempo_bpm"].isNotNull().alias("tempo"), s["energy"].alias("energy"))
+
+
+@query(sql("", "v_seed_cosine", "v_attributes").rstrip() + _SHARED + """ SELECT h.query_id, h.track_id, concat_ws(' · ', 'Sounds like ' || c.title,
+    CASE WHEN coalesce(h.vocals, h.genre, h.mood) IS NOT NULL THEN 'both ' || concat_ws(', ', h.vocals, h.genre, h.mood) || ' (model estimates)' END, CASE WHEN tempo THEN 'similar tempo' END, 'both ' || h.energy || ' energy') AS why
+    FROM h JOIN v_seeds s USING (query_id) JOIN v_catalog c ON c.track_id = s.seed_id""")
+def g8_short_reason_seed(spark, d):
+    return _similar_evidence(spark, d).select("query_id", "track_id", G.short_reason().alias("why"))
+
+
+# ------------------------------------------------------------------------------------------------ lookups
+
+
+@query(sql("""SELECT needle_id, track_id, title, artist, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY kind, lower(title), track_id) AS place FROM (
+    SELECT needle_id, track_id, title, artist, CASE WHEN starts_with(lower(title), needle) THEN 0 WHEN contains(lower(title), needle) THEN 1 ELSE 2 END AS kind
+    FROM v_catalog JOIN (VALUES ('n1', 'brand#1'), ('n2', 'a'), ('n3', 'o b')) n(needle_id, needle) ON contains(lower(title || ' ' || artist), needle))) WHERE place <= 10""", "v_catalog"))
+def h1_find_tracks(spark, d):
+    return H.find_tracks(spark.createDataFrame([("n1", "Brand#1"), ("n2", " a "), ("n3", "O B"), ("n4", "  ")], "needle_id string, text string"), X.catalog(spark, d))
+
+
+@query(sql("", "v_catalog").rstrip() + """, t AS (SELECT lower(trim(title)) AS t, count(*) AS n, min(track_id) AS one FROM v_catalog GROUP BY 1)
+    SELECT 'h-' || printf('%03d', vec_id) AS query_id, CASE vec_id % 4 WHEN 0 THEN track_id WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN n = 1 THEN one END END AS track_id,
+    CASE vec_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'unknown' WHEN 2 THEN CASE WHEN n = 1 THEN 'ok' ELSE 'ambiguous' END ELSE 'invalid' END AS status FROM v_catalog JOIN t ON t.t = lower(trim(title)) WHERE vec_id < 100""")
+def h2_resolve_seeds(spark, d):
+    own, k = X.catalog(spark, d), F.col("vec_id") % 4
+    asked = own.where("vec_id < 100").select(F.format_string("h-%03d", "vec_id").alias("query_id"), F.when(k == 0, F.col("track_id")).when(k == 1, "nope").alias("provider_id"), F.when(k == 2, F.upper("title")).when(k == 3, " ").alias("title"))
+    return H.resolve_seeds(asked, own)
+
+
+@query(sql("SELECT i.seed_id AS track_id, title, artist, vocals, bpm, c.track_id IS NOT NULL AS known FROM v_seeds i LEFT JOIN v_catalog c ON c.track_id = i.seed_id LEFT JOIN v_attributes a ON a.track_id = i.seed_id", "v_seeds", "v_catalog", "v_attributes"))
+def h3_track_detail(spark, d):
+    out = H.track_detail(X.seeds(spark, d).select(F.col("seed_id").alias("track_id")), X.catalog(spark, d), _attributes(spark, d))
+    return out.select("track_id", "title", "artist", F.col("estimates.vocals").alias("vocals"), F.col("measured.tempo_bpm").alias("bpm"), "known")
+
+
+@query(sql("SELECT track_id, CASE WHEN license IS NOT NULL AND NOT starts_with(license, 'unknown') AND vec_id % 3 <> 0 THEN 'https://x.example/tracks/' || track_id || '/audio' END AS preview_url FROM v_catalog", "v_catalog"))
+def h4_preview(spark, d):
+    own = X.catalog(spark, d)
+    return H.with_preview(own, own.where("vec_id % 3 <> 0").select(F.col("audio_path").alias("path")), "https://x.example/").select("track_id", "preview_url")
+
+
+# ------------------------------------------------------------------------------------------------ evaluation
+
+
+def _labels(spark, d):
+    own = X.read(spark, d, "labels").where("doc_id < 500")
+    mood = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("calm"), F.lit("sad")))
+    return own.select(F.format_string("trk-%06d", "doc_id").alias("track_id"), F.when(F.col("quality") == 1, "vocal").otherwise("instrumental").alias("vocals"), F.when(F.col("doc_id") % 2 == 0, "electronic").alias("genre"), mood.alias("mood"), F.when(F.col("toxic") == 1, "high").otherwise("low").alias("energy"))
+
+
+_COMPARED = """, l AS (SELECT printf('trk-%06d', doc_id) AS track_id, CASE WHEN quality = 1 THEN 'vocal' ELSE 'instrumental' END AS vocals, CASE WHEN doc_id % 2 = 0 THEN 'electronic' END AS genre,
+      CASE WHEN doc_id % 3 = 0 THEN ['calm', 'sad'] END AS mood, CASE WHEN toxic = 1 THEN 'high' ELSE 'low' END AS energy FROM labels WHERE doc_id < 500),
+    c AS (SELECT track_id, 'vocals' AS attribute, CASE WHEN a.vocals IS NULL THEN 'unknown' WHEN a.vocals = l.vocals THEN 'agree' ELSE 'disagree' END AS outcome FROM l JOIN v_attributes a USING (track_id)
+      UNION ALL SELECT track_id, 'genre', CASE WHEN a.genre IS NULL THEN 'unknown' WHEN a.genre = l.genre THEN 'agree' ELSE 'disagree' END FROM l JOIN v_attributes a USING (track_id) WHERE l.genre IS NOT NULL
+      UNION ALL SELECT track_id, 'mood', CASE WHEN len(moods) = 0 THEN 'unknown' WHEN list_has_any(moods, mood) THEN 'agree' ELSE 'disagree' END FROM l JOIN v_attributes a USING (track_id) WHERE mood IS NOT NULL
+      UNION ALL SELECT track_id, 'energy', CASE WHEN band = l.energy THEN 'agree' ELSE 'disagree' END FROM l JOIN v_attributes a USING (track_id))"""
+
+
+@query(sql("", "v_attributes").rstrip() + _COMPARED + " SELECT * FROM c")
+def i2_compare_with_labels(spark, d):
+    return E.compare_with_labels(_attributes(spark, d), _labels(spark, d))
+
+
+@query(sql("", "v_attributes").rstrip() + _COMPARED + " SELECT attribute, count(*) FILTER (outcome = 'agree') AS agree, count(*) FILTER (outcome <> 'unknown') AS decided, count(*) FILTER (outcome = 'unknown') AS unknown FROM c GROUP BY attribute")
+def i3_agreement_summary(spark, d):
+    return E.agreement_summary(E.compare_with_labels(_attributes(spark, d), _labels(spark, d)))
+
+
+@query(sql(f"""SELECT round((SELECT avg(CAST(a.genre_top = b.genre_top AS INTEGER)) FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, track_id) AS rank FROM {_ALL}) n
+    JOIN v_catalog a ON a.track_id = n.seed_id JOIN v_catalog b ON b.track_id = n.track_id WHERE rank <= 5), 6) AS share,
+    (SELECT round(sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)), 6) FROM (SELECT count(*) AS n FROM v_catalog GROUP BY genre_top)) AS chance""", "v_catalog"))
+def i4_genre_agreement(spark, d):
+    own = X.catalog(spark, d)
+    return E.genre_agreement_at_k(R.all_neighbours(own, 5), own.select("track_id", F.col("genre_top").alias("genre")), 5)
+
+
+_LISTS = ", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS rank FROM v_cosine) WHERE rank <= 40)"
+
+
+@query(sql("", "v_cosine").rstrip() + _LISTS + " SELECT track_id, count(DISTINCT query_id) AS queries, count(*) FILTER (rank = 1) AS firsts FROM r GROUP BY track_id")
+def i5_hubness(spark, d):
+    return E.hubness(R.search(X.query_vectors(spark, d), X.catalog(spark, d), 40))
+
+
+@query(sql("", "v_cosine").rstrip() + _LISTS + " SELECT a.query_id AS left_id, b.query_id AS right_id, count(*) AS shared FROM r a JOIN r b ON a.track_id = b.track_id AND a.query_id < b.query_id GROUP BY 1, 2")
+def i6_list_overlap(spark, d):
+    return E.list_overlap(R.search(X.query_vectors(spark, d), X.catalog(spark, d), 40))
+
+
+@query(sql("""SELECT query_id, round(corr(s, e), 6) AS rho FROM (SELECT query_id, rank() OVER (PARTITION BY query_id ORDER BY score) + (count(*) OVER (PARTITION BY query_id, score) - 1) / 2 AS s,
+    rank() OVER (PARTITION BY query_id ORDER BY energy) + (count(*) OVER (PARTITION BY query_id, energy) - 1) / 2 AS e FROM v_cosine JOIN v_attributes USING (track_id)) GROUP BY query_id""", "v_cosine", "v_attributes"))
+def i6_score_energy_correlation(spark, d):
+    return E.score_energy_correlation(R.cosine_scores(X.query_vectors(spark, d), X.catalog(spark, d)), _attributes(spark, d))
+
+
+@query(sql("", "v_cosine").rstrip() + _LISTS + """ SELECT query_id, count(*) FILTER (g = 0) AS good, count(*) FILTER (g = 1) AS acceptable, count(*) FILTER (g = 2) AS wrong, count(*) FILTER (g = 3) AS ungraded
+    FROM (SELECT query_id, CAST(substr(track_id, 5) AS INTEGER) % 4 AS g FROM r WHERE rank <= 5) GROUP BY query_id""")
+def i7_graded_relevance(spark, d):
+    found = R.search(X.query_vectors(spark, d), X.catalog(spark, d), 40)
+    g = F.substring("track_id", 5, 6).cast("int") % 4
+    return E.graded_relevance(found, found.where(g < 3).select("query_id", "track_id", F.array(*map(F.lit, ("good", "acceptable", "wrong")))[g].alias("grade")), 5)
+
+
+@query("SELECT round(quantile_cont(elapsed, 0.5), 6) AS median, round(quantile_cont(elapsed, 0.95), 6) AS p95, max(elapsed) AS max FROM (SELECT CAST(o_totalprice AS DOUBLE) AS elapsed FROM orders)")
+def i8_latency_summary(spark, d):
+    return E.latency_summary(X.read(spark, d, "orders").select(F.col("o_totalprice").cast("double").alias("elapsed_ms")))
+
+
+# ------------------------------------------------------------------------------------------------ interactions
+
+
+def _incoming(spark, d):
+    k = F.col("page_id")
+    url = F.when(k % 5 == 0, F.concat(F.lit("ftp://x.example/"), k.cast("string"))).when(k % 5 != 1, F.concat(F.lit("https://x.example/"), (k % 40).cast("string")))
+    return X.read(spark, d, "pages").select(
+        k.alias("row_id"), F.when(k % 9 != 0, F.concat(F.lit("Title "), (k % 30).cast("string"))).alias("title"), F.rpad(F.concat(F.lit("Artist "), (k % 3).cast("string")), 200, "x").alias("artist"), url.alias("provider_url"),
+        F.when(k % 2 == 0, F.concat(F.lit("id-"), (k % 40).cast("string"))).alias("provider_id"), F.when(k % 3 == 0, "12.5").otherwise("240").alias("duration_seconds"),
+    )
+
+
+_IN = """WITH i AS (SELECT page_id AS row_id, CASE WHEN page_id % 9 <> 0 THEN 'Title ' || (page_id % 30) ELSE '' END AS title, substr(rpad('Artist ' || (page_id % 3), 200, 'x'), 1, 160) AS artist,
+    CASE WHEN page_id % 5 NOT IN (0, 1) THEN 'https://x.example/' || (page_id % 40) END AS provider_url, CASE WHEN page_id % 2 = 0 THEN 'id-' || (page_id % 40) END AS provider_id, CASE WHEN page_id % 3 <> 0 THEN 240 END AS duration_seconds FROM pages),
+    k AS (SELECT *, CASE WHEN provider_id IS NOT NULL AND provider_url IS NOT NULL THEN 'p|' || provider_id || '|' || provider_url ELSE 'n|' || title || '|' || artist || '|' || coalesce(provider_url, '-') END AS key FROM i)"""
+
+
+@query(_IN + " SELECT row_id, title, artist, provider_url, provider_id, duration_seconds FROM i")
+def j1_normalize_identity(spark, d):
+    return J.normalize_track_identity(_incoming(spark, d)).select("row_id", "title", "artist", "provider_url", "provider_id", "duration_seconds")
+
+
+def _stored(spark, d):
+    """The first rows by id, as if they had come before."""
+    rows = J.normalize_track_identity(_incoming(spark, d).where("row_id < 40 and row_id % 9 <> 0 and row_id % 2 = 0 and row_id % 5 > 1"))
+    return rows.select(F.format_string("old-%03d", "row_id").alias("id"), *J.IDENTITY).withColumn("license", F.lit("stored"))
+
+
+_OLD = """, o AS (SELECT printf('old-%03d', row_id) AS id, 'p|' || provider_id || '|' || provider_url AS pkey, 'n|' || title || '|' || artist || '|' || coalesce(provider_url, '-') AS nkey FROM k WHERE row_id < 40 AND row_id % 9 <> 0 AND row_id % 2 = 0 AND row_id % 5 > 1),
+    e AS (SELECT key, min(id) AS old_id FROM (SELECT pkey AS key, id FROM o UNION ALL SELECT nkey, id FROM o) GROUP BY key)"""
+
+
+@query(_IN + _OLD + " SELECT row_id, old_id, title <> '' AND old_id IS NULL AS new, dense_rank() OVER (ORDER BY CASE WHEN title = '' THEN '' ELSE k.key END) AS same FROM k LEFT JOIN e ON e.key = k.key AND title <> ''")
+def j2_find_or_create(spark, d):
+    from pyspark.sql import Window
+
+    tracks, mapping = J.find_or_create_tracks(_incoming(spark, d), _stored(spark, d))
+    rows = mapping.join(J.normalize_track_identity(_incoming(spark, d)).select("row_id", "title", F.regexp_replace(F.regexp_replace(J.identity_key(), "\x1f", "|"), "\x00", "-").alias("key")), "row_id")
+    old = F.when(F.col("track_id").startswith("old-"), F.col("track_id"))
+    keys = rows.select(F.when(F.col("title") == "", "").otherwise(F.col("key")).alias("k")).distinct().withColumn("part", F.lit(0))
+    ranked = keys.withColumn("same", F.dense_rank().over(Window.partitionBy("part").orderBy("k"))).drop("part")
+    return rows.withColumn("k", F.when(F.col("title") == "", "").otherwise(F.col("key"))).join(ranked, "k").select("row_id", old.alias("old_id"), F.coalesce(F.col("track_id").startswith("new-"), F.lit(False)).alias("new"), "same")
+
+
+@query(_IN + _OLD + """, w AS (SELECT coalesce(old_id, k.key) AS id, arg_max(title, row_id) AS title, arg_max(duration_seconds, row_id) AS seconds FROM k LEFT JOIN e USING (key) WHERE title <> '' AND (old_id IS NULL OR starts_with(key, 'p|')) GROUP BY 1)
+    SELECT title, count(*) AS tracks, CAST(sum(kept) AS BIGINT) AS kept FROM (SELECT title, 0 AS kept FROM w UNION ALL SELECT split_part(nkey, '|', 2), 1 FROM o WHERE id NOT IN (SELECT id FROM w)) GROUP BY title""")
+def j3_upsert(spark, d):
+    tracks, _ = J.upsert_tracks(_incoming(spark, d), _stored(spark, d))
+    return tracks.groupBy("title").agg(F.count("*").alias("tracks"), F.count_if(F.coalesce(F.col("license") == "stored", F.lit(False))).alias("kept"))
+
+
+@query(sql("SELECT action, count(*) AS events, action IN ('SAVE', 'REJECT', 'OPEN', 'SKIP') AS accepted FROM v_feedback GROUP BY action", "v_feedback"))
+def j4_feedback_check(spark, d):
+    good, bad = J.split_feedback(X.feedback(spark, d))
+    return good.groupBy("action").agg(F.count("*").alias("events")).withColumn("accepted", F.lit(True)).unionByName(bad.groupBy("action").agg(F.count("*").alias("events")).withColumn("accepted", F.lit(False)))
+
+
+@query(sql("SELECT user_id, id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS place FROM v_feedback) WHERE place <= 3", "v_feedback"))
+def j5_user_history(spark, d):
+    return J.user_history(X.feedback(spark, d), 3).select("user_id", "id", "place")
+
+
+@query(sql("SELECT track_id, count(*) FILTER (action = 'SAVE') AS save, count(*) FILTER (action = 'REJECT') AS reject, count(*) FILTER (action = 'OPEN') AS open, count(*) FILTER (action = 'SKIP') AS skip FROM v_feedback GROUP BY track_id", "v_feedback"))
+def j5_track_actions(spark, d):
+    return J.track_actions(X.feedback(spark, d))
+
+
+@query(sql("SELECT user_id, query_id, track_id, count(*) AS n FROM v_feedback f WHERE NOT EXISTS (SELECT 1 FROM v_feedback r WHERE r.action = 'REJECT' AND r.user_id = f.user_id AND r.query_id = f.query_id AND r.track_id = f.track_id) GROUP BY ALL", "v_feedback"))
+def j6_hide_rejected(spark, d):
+    events = X.feedback(spark, d)
+    return J.hide_rejected(events.select("user_id", "query_id", "track_id"), events).groupBy("user_id", "query_id", "track_id").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT CAST(o_custkey AS BIGINT) AS owner_id, CAST(o_orderkey AS BIGINT) AS playlist_id, o_orderdate AS updated_at, (SELECT count(*) FROM v_items i WHERE i.playlist_id = o_orderkey) AS tracks FROM orders WHERE o_custkey % 7 = 0", "v_items"))
+def j7_playlist_overview(spark, d):
+    own = X.playlists(spark, d)
+    return J.playlist_overview(own, X.playlist_items(spark, d), own.where("owner_id % 7 = 0").select("owner_id").distinct())
+
+
+@query(sql("SELECT CAST(o_custkey AS BIGINT) AS user_id, i.playlist_id, i.track_id, position, p_name AS title FROM orders JOIN v_items i ON i.playlist_id = o_orderkey JOIN part ON p_partkey = i.track_id WHERE o_orderkey % 5 = 0", "v_items"))
+def j8_playlist_detail(spark, d):
+    own = X.playlists(spark, d)
+    asked = own.where("playlist_id % 5 = 0").select(F.col("owner_id").alias("user_id"), "playlist_id").unionByName(own.where("playlist_id % 5 = 1").select((F.col("owner_id") + 1).alias("user_id"), "playlist_id"))
+    tracks = X.read(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("track_id"), F.col("p_name").alias("title"))
+    return J.playlist_detail(asked, own, X.playlist_items(spark, d), tracks).select("user_id", "playlist_id", "track_id", "position", "title")
+
+
+@query(sql("""SELECT playlist_id, track_id, position FROM v_items UNION ALL SELECT playlist_id, track_id, CAST(size + row_number() OVER (PARTITION BY playlist_id ORDER BY track_id) - 1 AS INTEGER) FROM
+    (SELECT playlist_id, count(*) AS size, unnest([1, 2, 3]) AS track_id FROM v_items WHERE playlist_id % 4 = 0 GROUP BY playlist_id) a WHERE NOT EXISTS (SELECT 1 FROM v_items i WHERE i.playlist_id = a.playlist_id AND i.track_id = a.track_id)""", "v_items"))
+def j9_add_tracks(spark, d):
+    items = X.playlist_items(spark, d)
+    new = items.where("playlist_id % 4 = 0").select("playlist_id").distinct().select("playlist_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in (1, 2, 3)])).alias("track_id")).withColumn("seq", F.col("track_id"))
+    return J.add_tracks(items, new)
+
+
+@query(sql("SELECT playlist_id, track_id, CAST(row_number() OVER (PARTITION BY playlist_id ORDER BY position) - 1 AS INTEGER) AS position FROM v_items WHERE NOT (track_id % 3 = 0 AND playlist_id % 2 = 0)", "v_items"))
+def j10_remove_tracks(spark, d):
+    items = X.playlist_items(spark, d)
+    return J.remove_tracks(items, items.where("track_id % 3 = 0 and playlist_id % 2 = 0"))[0]
+
+
+@query(sql("""SELECT i.playlist_id, track_id, CASE WHEN i.playlist_id % 3 = 0 THEN CAST(n - 1 - position AS INTEGER) ELSE position END AS position, CASE WHEN i.playlist_id % 3 = 1 AND n > 1 THEN 'incomplete' WHEN i.playlist_id % 3 = 2 THEN 'invalid' END AS reason
+    FROM v_items i JOIN (SELECT playlist_id, count(*) AS n FROM v_items GROUP BY 1) c USING (playlist_id)""", "v_items"))
+def j11_reorder(spark, d):
+    items = X.playlist_items(spark, d)
+    k = F.col("playlist_id") % 3
+    lists = items.groupBy("playlist_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("position")).alias("p"), "track_id"))), lambda x: x["track_id"]).alias("r"))
+    asked = F.when(k == 0, F.col("r")).when(k == 1, F.slice("r", 1, 1)).otherwise(F.transform("r", lambda x: x + 1_000_000))
+    out, bad = J.reorder(items, lists.select("playlist_id", asked.alias("requested")))
+    return out.join(bad, "playlist_id", "left").select("playlist_id", "track_id", "position", "reason")
+
+
+@query(sql("""SELECT (SELECT count(*) FROM customer WHERE c_custkey % 10 <> 0) AS users, (SELECT count(*) FROM orders WHERE o_custkey % 10 <> 0) AS playlists,
+    (SELECT count(*) FROM v_items JOIN orders ON o_orderkey = playlist_id WHERE o_custkey % 10 <> 0 AND track_id % 7 <> 0) AS items, (SELECT count(*) FROM v_feedback WHERE CAST(user_id AS INTEGER) % 10 <> 0) AS feedback""", "v_items", "v_feedback"))
+def j12_cascade_delete(spark, d):
+    users = X.read(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("id"))
+    parts = X.read(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("id"))
+    feedback = X.feedback(spark, d).withColumn("user_id", F.col("user_id").cast("bigint")).withColumn("track_id", F.lit(-1).cast("bigint"))
+    tables = {"users": users, "tracks": parts, "playlists": X.playlists(spark, d), "items": X.playlist_items(spark, d), "feedback": feedback}
+    gone = {"users": X.read(spark, d, "events").select((F.col("user_id") - F.col("user_id") % 10).cast("bigint").alias("id")).unionByName(users.where("id % 10 = 0")).distinct(), "tracks": parts.where("id % 7 = 0")}
+    left = J.cascade_delete(tables, gone)
+    one = None
+    for name in ("users", "playlists", "items", "feedback"):
+        n = left[name].agg(F.count("*").alias(name))
+        one = n if one is None else one.crossJoin(n)
+    return one
