@@ -271,7 +271,7 @@ class Prefixes:
 
     def __init__(self, content: str, most: int = 500_000):
         data = json.loads(content)
-        to_byte = {c: b for b, c in _byte_letters().items()}
+        to_byte = {c: b for b, c in byte_letters().items()}
         vocab = data["model"]["vocab"]
         raw = {t: bytes(to_byte[c] for c in t) for t in vocab if all(c in to_byte for c in t)}
         self.id = {raw[t]: i for t, i in vocab.items() if t in raw}
@@ -386,7 +386,7 @@ class Prefixes:
         return out
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary: itself where printable, else from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]

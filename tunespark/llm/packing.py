@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tunespark.llm.common import materialize, text_to_rows
+from tunespark.llm.byte_bpe import byte_letters
+from tunespark.llm.common import Cache, materialize, text_to_rows
 
 SEQUENCE, END_ID = 4096, 1
 #: Pieces of one length are ranked in this many parts.
@@ -31,29 +33,36 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class WordIds:
-    """Ids of texts by a vocabulary that drops white space: words are encoded by the library once and kept (at most `most`)."""
+    """Ids of texts by a vocabulary that drops white space: the library encodes words once and they are kept (at most `most`)."""
 
-    def __init__(self, content: str, most: int = 700_000):
+    def __init__(self, content: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library, self.most = Tokenizer.from_str(content), most
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.library = Tokenizer.from_str(content)
+        self.model = self.library.model
+        letters = byte_letters()
+        self.letter = [letters[b] for b in range(256)]
+        self.words = Cache(self._word, most)
+        self.known = Cache(self._chunk, most)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A lower-case run of letters, which the vocabulary's pattern leaves whole: straight to the library's model."""
+        symbols = word if word.isascii() else "".join(self.letter[b] for b in word.encode())
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        core = low[:-1] if low[-1] in ".," else low
+        # other than composed Latin letters and a point or comma, the library sees to itself
+        if core.isalpha() and (chunk.isascii() or (max(chunk) < "\u0250" and unicodedata.is_normalized("NFC", chunk))):
+            return self.words[core] + (self.words[low[-1]] if core is not low else b"")
+        return self.whole(chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for start in range(0, len(texts), 128):
-            part = [[t] if ODD_SPACE.search(t) else t.split() for t in texts[start : start + 128]]
-            wanted = set().union(*part)
-            new = wanted - self.known.keys()
-            if len(self.known) + len(new) > self.most:
-                self.known, new = {}, wanted
-            new = list(new)
-            self.known.update(zip(new, self.whole(new), strict=True))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, words)) for words in part]
-        return out
+        get = self.known.__getitem__
+        return [self.whole(t) if ODD_SPACE.search(t) else b"".join([get(w) for w in t.split()]) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -111,29 +120,39 @@ def recipes(counts: dict[int, int], most: int) -> list[tuple[tuple[int, ...], in
                 return x, y
         return None
 
-    # for triples: sums that some pair makes; lengths only get fewer, so it never misses one
-    there = (have > 0).astype(np.float64)
-    there[0] = 0
-    paired = np.rint(np.fft.irfft(np.fft.rfft(there, 4 * most) ** 2, 4 * most))[: most + 1] > 0
+    def pair_sums() -> np.ndarray:
+        """Whether two lengths that are there make each sum; lengths only get fewer, so an old answer misses none."""
+        there = (have > 0).astype(np.float64)
+        there[0] = 0
+        return np.rint(np.fft.irfft(np.fft.rfft(there, 4 * most) ** 2, 4 * most))[: most + 1] > 0
+
+    def triple(gap: int, anchor: int) -> tuple[int, int, int] | None:
+        nonlocal paired
+        misses, fresh = 0, False
+        while True:
+            for third in (1 + np.flatnonzero((have[1:gap] > 0) & paired[gap - 1 : 0 : -1]))[::-1].tolist():
+                found = pair(gap - third, anchor)
+                if found and all(have[v] >= k for v, k in Counter((anchor, third, *found)).items()):
+                    return third, *found
+                misses += 1
+                if misses >= 16 and not fresh:
+                    break
+            else:
+                return None
+            paired, fresh = pair_sums(), True
+
+    paired = pair_sums()
     for anchor in range(most, 0, -1):
         gap = most - anchor
         if have[anchor] and gap == 0:
             use((anchor,))
             continue
-        while have[anchor] and 0 < gap and have[gap] > (gap == anchor):
-            if not use((anchor, gap)):
-                break
+        while have[anchor] and have[gap] > (gap == anchor) and use((anchor, gap)):
+            pass
         while have[anchor] and (found := pair(gap, anchor)):
             use((anchor, *found))
-        if have[anchor] and gap >= 3:
-            for third in np.flatnonzero((have[1:gap] > 0) & paired[gap - 1 : 0 : -1])[::-1].tolist():
-                third += 1
-                while have[anchor] and have[third] and (found := pair(gap - third, anchor)):
-                    items = (anchor, third, *found)
-                    if any(have[v] < k for v, k in Counter(items).items()) or not use(items):
-                        break
-                if not have[anchor]:
-                    break
+        while have[anchor] and gap >= 3 and (found := triple(gap, anchor)):
+            use((anchor, *found))
     # best fit of the rest, longest first: open sequences by the gap that they have left
     open_by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     gaps = np.zeros(most + 1, bool)
