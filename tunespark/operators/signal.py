@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunespark.operators.vectors import TunesparkError
 from tunespark.vocab import PULSE_MIN, TEMPO_LIMITS
@@ -72,7 +73,7 @@ def _clarity(envelope: np.ndarray, per_second: float) -> float:
     return round(max((float(x[:-lag] @ x[lag:]) / power for lag in lags), default=0.0), 3)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pulse_clarity(envelope: pd.Series, frames_per_second: pd.Series) -> pd.Series:
     """Peak of the normalised autocorrelation of an onset envelope at lags of 30 to 300 beats a minute; 0 if flat or too short."""
     return pd.Series([_clarity(e, f) if e is not None else 0.0 for e, f in zip(envelope, frames_per_second, strict=True)])
