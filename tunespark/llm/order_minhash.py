@@ -21,8 +21,12 @@ from tunespark.llm.common import Cache, materialize, mix, text_to_rows
 from tunespark.llm.components import connected_components
 
 WORDS_A_KMER, SIMILARITY = 5, 0.8
-#: Sketches a document and k-mers a sketch: a pair of similarity 0.8 shares no sketch with a chance of about 0.59 ** 24 = 3e-6.
-SKETCHES, TAKEN = 24, 4
+#: Sketches a document and k-mers a sketch: a pair of similarity 0.8 shares no sketch with a chance of about (1 - 0.8 ** 6) ** 40 = 5e-6.
+SKETCHES, TAKEN = 40, 6
+#: While more pairs than this a row of the buckets are left between components, one random member of each bucket is compared first.
+ROUND_PAIRS = 0.25
+#: Members of a bucket that are compared as one part; bits of a bitmap at most.
+BUCKET_ROWS, MOST_BITS = 2048, 1 << 16
 #: Ids of up to this many documents (8 MB) are broadcast to pick their texts out; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -51,22 +55,40 @@ def kmers(text: str) -> tuple[np.ndarray, np.ndarray]:
 _turn = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def sketches(text: str) -> tuple[int, list[int]]:
-    """How many k-mers the text has, and its sketches as signed 64-bit numbers (none for a text without words)."""
+def _smallest(value: np.ndarray, taken: int) -> np.ndarray:
+    """Places of the `taken` smallest values of each row, in the order of the row."""
+    rows, n = value.shape
+    if taken == n:
+        return np.tile(np.arange(n), (rows, 1))
+    if n > 8 * taken:
+        # few values lie under this border, and nearly always enough of them
+        row, at = np.nonzero(value < np.uint64((4 * taken + 8) / n * 2.0**64))
+        count = np.bincount(row, minlength=rows)
+        if count.min() >= taken:
+            order = np.lexsort((value[row, at], row))
+            first = np.concatenate([[0], np.cumsum(count)[:-1]])
+            out = at[order][first[:, None] + np.arange(taken)]
+            out.sort(axis=1)
+            return out
+    out = np.argpartition(value, taken - 1, axis=1)[:, :taken]
+    out.sort(axis=1)
+    return out
+
+
+def sketches(text: str) -> tuple[int, list[int], list[int]]:
+    """How many k-mers the text has, its sketches as signed 64-bit numbers, and where each begins (none for a text without words)."""
     plain, labelled = kmers(text)
     n = len(plain)
     if not n:
-        return 0, []
+        return 0, [], []
     value = labelled[None, :] * _turn[:, None]
     value ^= value >> np.uint64(32)
     value *= np.uint64(0xD6E8FEB86659FD93)
-    taken = min(TAKEN, n)
-    at = np.argpartition(value, taken - 1, axis=1)[:, :taken] if taken < n else np.tile(np.arange(n), (SKETCHES, 1))
-    at.sort(axis=1)
+    at = _smallest(value, min(TAKEN, n))
     out = np.arange(SKETCHES, dtype=np.uint64)
-    for i in range(taken):
+    for i in range(at.shape[1]):
         out = mix(out * np.uint64(0x100000001B3) + plain[at[:, i]])
-    return n, np.unique(out).view(np.int64).tolist()
+    return n, out.view(np.int64).tolist(), at[:, 0].tolist()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -99,7 +121,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts align to SIMILARITY or more."""
+    """(cu, cv): the components of the pairs (u, v, cu, cv) whose texts align to SIMILARITY or more."""
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
     both = pairs.join(right, "v").join(left, "u")
@@ -112,14 +134,114 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 part = batch.slice(start, 256)
                 for x, y in zip(part.column("text_u"), part.column("text_v"), strict=True):
                     keep.append(similarity(own(x.as_py()), own(y.as_py())) >= SIMILARITY)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
+            yield batch.select(["cu", "cv"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.mapInArrow(run, "u bigint, v bigint")
+    return both.mapInArrow(run, "cu bigint, cv bigint").distinct()
 
 
-def _long_enough(a: str, b: str) -> F.Column:
-    """Lengths that a pair at SIMILARITY can have; loses no such pair."""
-    return F.least(a, b) >= F.greatest(a, b) * SIMILARITY
+def _can_align() -> F.Column:
+    """Lengths (nu, n) that a pair at SIMILARITY can have, and places (pu, pos) of a common k-mer that its band allows."""
+    short, long = F.least("nu", "n"), F.greatest("nu", "n")
+    return (short >= long * SIMILARITY) & (F.abs(F.col("pu") - F.col("pos")) <= (short + long) * ((1 - SIMILARITY) / (1 + SIMILARITY)))
+
+
+def _pairs_left(placed: DataFrame) -> int:
+    """Pairs that share a bucket and lie in different components, counted once a bucket; from counts alone."""
+    by = placed.groupBy("key", "component").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"))
+    return int((by.agg(F.sum("twice")).first()[0] or 0) / 2)
+
+
+def _against_one(placed: DataFrame, turn: int) -> DataFrame:
+    """(u, v, cu, cv) of the member that each bucket draws this turn with the bucket's members of other components."""
+    drawn = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("draw"), "doc_id", "n", "pos", "component")
+    heads = placed.groupBy("key").agg(F.min(drawn).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "head")
+    star = placed.join(heads, "key").where("component <> head.component")
+    drawn = star.select(F.col("head.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("head.n").alias("nu"), "n", F.col("head.pos").alias("pu"), "pos", F.col("head.component").alias("cu"), F.col("component").alias("cv"))
+    return drawn.where(_can_align())
+
+
+def bitmap(labelled: np.ndarray) -> np.ndarray:
+    """A bit for each labelled k-mer, in a number of bits (a power of two) about sixteen times theirs, as 64-bit words."""
+    bits = min(MOST_BITS, max(64, 1 << (16 * len(labelled) - 1).bit_length()))
+    at = np.unique((labelled & np.uint64(bits - 1)).astype(np.int64))
+    out = np.zeros(bits // 8, np.uint8)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps in the size of the smallest: a larger one folded on itself."""
+    words = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(x.reshape(-1, words), axis=0) for x in maps])
+
+
+def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, maps: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i of left, j of right) of pairs of different components that can reach SIMILARITY.
+
+    A bit that only one text has stands for at least one k-mer that the other lacks, which bounds what can be aligned: no pair at SIMILARITY is left out.
+    """
+    both = _folded([maps[i] for i in np.concatenate([left, right])])
+    a, b = both[: len(left)], both[len(left) :]
+    got_i, got_j = [], []
+    for at, i in enumerate(left):
+        total = n[i] + n[right]
+        fits = (component[i] != component[right]) & (np.minimum(n[i], n[right]) >= np.maximum(n[i], n[right]) * SIMILARITY)
+        fits &= np.abs(pos[i] - pos[right]) <= total * ((1 - SIMILARITY) / (1 + SIMILARITY))
+        j = np.flatnonzero(fits)
+        if j.size:
+            common = np.minimum(n[i] - np.bitwise_count(a[at] & ~b[j]).sum(1, dtype=np.int64), n[right[j]] - np.bitwise_count(b[j] & ~a[at]).sum(1, dtype=np.int64))
+            j = j[common >= SIMILARITY / (1 + SIMILARITY) * total[j] - 1e-9]
+            got_i.append(np.full(len(j), i))
+            got_j.append(right[j])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(got_i), np.concatenate(got_j)) if got_i else (none, none)
+
+
+def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v, cu, cv) of all pairs that share a bucket, lie in different components and may align, by the bounds of their bitmaps.
+
+    Buckets beyond BUCKET_ROWS are dealt into parts of that size and each pair of parts is compared by itself; small buckets are compared many in a task's group.
+    """
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    parts = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
+    rest = materialize(placed.join(mixed.select("key", parts.alias("parts")), "key"), "mixed")
+    groups = max(1, rest.count() // BUCKET_ROWS)
+    ids = rest.select("doc_id").distinct()
+    texts = pick(docs, ids).dropDuplicates(["doc_id"])
+    maps = text_to_rows(texts, "bits binary", lambda some: {"bits": [bitmap(kmers(t)[1]).tobytes() for t in some]})
+    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")
+    dealt = rest.join(maps, "doc_id").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))
+    sent = dealt.select(cell.alias("cell"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("parts") > 1).alias("large"), "part", "key", "doc_id", "n", "pos", "component", "bits")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        key, part, doc = (table.column(c).to_numpy() for c in ("key", "part", "doc_id"))
+        n, pos, component = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "component"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        maps = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+        found = []
+        for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+            left, right = rows[part[rows] == low], rows[part[rows] == high]
+            if len(left) and len(right):
+                i, j = may_align(n, pos, component, maps, left, right)
+                once = doc[i] < doc[j] if low == high else np.ones(len(i), bool)
+                found.append((i[once], j[once]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"u": doc[i], "v": doc[j], "cu": component[i], "cv": component[j]})
+
+    return sent.groupBy("cell", "large", "low", "high").applyInArrow(compare, "u bigint, v bigint, cu bigint, cv bigint")
+
+
+def _joined(placed: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """placed with the components that verified pairs link made one."""
+    wanted = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cu", "cv").distinct(), "pairs")
+    if wanted.isEmpty():
+        return placed
+    ids = wanted.select(F.col("u").alias("doc_id")).union(wanted.select("v")).distinct()
+    links = materialize(_verified(wanted, pick(docs, ids).dropDuplicates(["doc_id"])), "verified")
+    found = connected_components(links.toDF("u", "v")).toDF("component", "new")
+    return materialize(placed.join(found, "component", "left").select("key", "doc_id", "n", "pos", F.coalesce("new", "component").alias("component")), "placed")
 
 
 def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
@@ -135,41 +257,33 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     nothing. A row with a null doc_id has component null and isn't kept; repeated rows give repeated rows; other columns are
     ignored.
 
-    Exact copies are collapsed first by digest, with partial aggregation. Candidates that share a sketch are verified against the smallest id of
-    their bucket; what then still lies in different components of a bucket is paired and verified in full, so that no link
-    is lost while a large group of copies costs a number of pairs in proportion to its size.
+    Exact copies are collapsed first by digest, with partial aggregation. Texts that share a sketch form a bucket. In turns, one random
+    member of each bucket is verified against the others, and linked components become one; what then still lies in different
+    components of a bucket is paired and verified in full, so that no link is lost while a large group of copies costs a number of pairs in proportion to its size.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with_digest = own.withColumn("digest", F.when(F.col("text").rlike(r"\S"), F.md5("text")))
 
     def rows(texts: list[str]) -> dict[str, list]:
-        n, keys = zip(*map(sketches, texts), strict=True)
-        return {"n": list(n), "keys": list(keys)}
+        n, keys, places = zip(*map(sketches, texts), strict=True)
+        return {"n": list(n), "keys": list(keys), "places": list(places)}
 
-    made = materialize(text_to_rows(with_digest, "n bigint, keys array<bigint>", rows, keep=("doc_id", "digest")), "sketches")
+    made = materialize(text_to_rows(with_digest, "n int, keys array<bigint>, places array<int>", rows, keep=("doc_id", "digest")), "sketches")
     first = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = made.select("doc_id", "digest").join(first, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     reps = made.where(F.size("keys") > 0).join(first.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own")), "doc_id").where("digest = own")
-    keyed = materialize(reps.select("doc_id", "n", F.explode("keys").alias("key")).distinct(), "keyed")
-
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    star = keyed.join(heads, "key").select(F.col("head.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("head.n").alias("nu"), "n")
-    pairs = materialize(star.where(F.col("u") < F.col("v")).where(_long_enough("nu", "n")).select("u", "v").distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    links = materialize(_verified(pairs, pick(own, ids).dropDuplicates(["doc_id"])), "verified")
-    found = connected_components(links)
-
-    placed = materialize(keyed.join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = placed.join(mixed, "key", "left_semi")
-    a = rest.select("key", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    b = rest.select("key", F.col("doc_id").alias("v"), "n", F.col("component").alias("cv"))
-    others = a.join(b, "key").where("cu < cv").where(_long_enough("nu", "n")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    others = materialize(others.join(pairs, ["u", "v"], "left_anti"), "others")
-    ids = others.select(F.col("u").alias("doc_id")).union(others.select("v")).distinct()
-    more = materialize(_verified(others, pick(own, ids).dropDuplicates(["doc_id"])), "verified")
-    if not more.isEmpty():
-        found = connected_components(links.union(more))
+    keyed = reps.select("doc_id", "n", F.explode(F.arrays_zip("keys", "places")).alias("x")).select(F.col("x.keys").alias("key"), "doc_id", "n", F.col("x.places").alias("pos"))
+
+    several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    placed = materialize(keyed.join(several, "key").withColumn("component", F.col("doc_id")).distinct(), "placed")
+    size, turn = placed.count(), 0
+    while (left := _pairs_left(placed)) > ROUND_PAIRS * size:
+        # one random member of each bucket against its other components
+        pairs = _against_one(placed, turn)
+        turn, placed = turn + 1, _joined(placed, pairs, own)
+        if _pairs_left(placed) > 0.5 * left:
+            break
+    found = _joined(placed, _close_pairs(placed, own), own).select("doc_id", "component").distinct().withColumnRenamed("doc_id", "u")
     out = members.join(found.withColumnRenamed("u", "rep"), "rep", "left")
     return out.select("doc_id", F.coalesce("component", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(False)).alias("kept"))
 
