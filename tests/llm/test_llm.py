@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tunespark.llm import bm25_search, byte_bpe, cover_tree, language_id, order_minhash, packing, sharding, toxicity, url_filter
+from tunespark.llm import bm25_search, byte_bpe, components, cover_tree, language_id, order_minhash, packing, sharding, toxicity, url_filter
 from tunespark.llm.common import held_out
 from tunespark.llm.components import connected_components
 
@@ -136,7 +136,9 @@ def brute_components(ids, linked):
     return {i: find(i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     r = random.Random(5)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 450)]
     got = {x["u"]: x["component"] for x in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
