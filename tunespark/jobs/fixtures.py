@@ -32,8 +32,9 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = read(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.format_string("s-%02d", "vec_id").alias("query_id"), F.format_string("trk-%06d", "vec_id").alias("seed_id"))
-    return own.unionByName(spark.createDataFrame([("s-99", "trk-999999")], "query_id string, seed_id string"))
+    """Every track whose number is divisible by 100 as a seed, and one that the catalog doesn't have."""
+    own = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.format_string("s-%06d", "vec_id").alias("query_id"), F.format_string("trk-%06d", "vec_id").alias("seed_id"))
+    return own.unionByName(spark.createDataFrame([("s-999999", "trk-999999")], "query_id string, seed_id string"))
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +131,7 @@ SQL = {
         CASE WHEN vec_id % 7 = 1 THEN 'unknown (see dataset)' WHEN vec_id % 7 <> 0 THEN 'CC BY' END AS license, printf('%06d.mp3', vec_id) AS audio_path, embedding AS vector, vec_id
         FROM embeddings JOIN part ON p_partkey = vec_id % 200""",
     "v_queries": "SELECT printf('q-%02d', label) AS query_id, list_reverse(arg_min(embedding, vec_id)) AS vector FROM embeddings GROUP BY label",
-    "v_seeds": f"SELECT printf('s-%02d', vec_id) AS query_id, {_ID} AS seed_id FROM embeddings WHERE vec_id < 20 UNION ALL SELECT 's-99', 'trk-999999'",
+    "v_seeds": f"SELECT printf('s-%06d', vec_id) AS query_id, {_ID} AS seed_id FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT 's-999999', 'trk-999999'",
     "v_measures": f"""SELECT {_ID} AS track_id, floor(CAST(embedding[52] AS DOUBLE) * 1000) / 100 - 20 AS loudness_dbfs, floor(abs(CAST(embedding[53] AS DOUBLE)) * 1000) / 100 AS onset_rate,
         CASE WHEN abs(CAST(embedding[54] AS DOUBLE)) >= 0.03 THEN floor(600 + abs(CAST(embedding[54] AS DOUBLE)) * 4000) / 10 END AS bpm FROM embeddings""",
     "v_ranks": """SELECT track_id, ((rank() OVER (ORDER BY loudness_dbfs) - 1) * 2 + count(*) OVER (PARTITION BY loudness_dbfs) - 1) / 2 / (count(*) OVER () - 1) AS loud,
