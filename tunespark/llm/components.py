@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tunespark.llm.common import materialize
 
 MOST_ROUNDS = 60
+#: Edge tables counted at no more rows than this (a few MB) are handled without shuffles, in one partition.
+FEW_EDGES = 200_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,8 +32,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self-links, repeated links and null ends are ignored; an empty edge table gives an empty result.
     """
     edges = materialize(edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u <> v").distinct(), "links")
+    few = edges.count() <= FEW_EDGES
     seen = None
     for _ in range(MOST_ROUNDS):
+        edges = edges.coalesce(1) if few else edges
         edges = materialize(_small_star(_large_star(edges)), "stars")
         now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if now == seen:

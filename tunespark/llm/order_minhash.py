@@ -17,28 +17,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunespark.llm.common import Cache, materialize, mix, text_to_rows
+from tunespark.llm.common import materialize, mix, text_to_rows
 from tunespark.llm.components import connected_components
 
 WORDS_A_KMER, SIMILARITY = 5, 0.8
 #: Sketches a document and k-mers a sketch: a pair of similarity 0.8 shares no sketch with a chance of about (1 - 0.8 ** 6) ** 40 = 5e-6.
 SKETCHES, TAKEN = 40, 6
-#: While more pairs than this a row of the buckets are left between components, one random member of each bucket is compared first.
-ROUND_PAIRS = 0.25
+#: While more pairs than this a row of the buckets are left between components, one random member of each bucket is compared with
+#: the rest: nearly always once, since a first turn joins most copies; again only where bounding all pairs would be long.
+FIRST_PAIRS, TURN_PAIRS = 0.25, 100
 #: Members of a bucket that are compared as one part; bits of a bitmap at most.
 BUCKET_ROWS, MOST_BITS = 2048, 1 << 16
 #: Ids of up to this many documents (8 MB) are broadcast to pick their texts out; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_word = Cache(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
-
 
 def kmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash and occurrence-labelled hash of each k-mer in the order of the text; a text of one to four words has one k-mer."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS_A_KMER + 1)
     plain = np.zeros(n, np.uint64)
     for i in range(min(WORDS_A_KMER, len(h))):
@@ -205,9 +204,9 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     parts = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
     rest = materialize(placed.join(mixed.select("key", parts.alias("parts")), "key"), "mixed")
-    groups = max(1, rest.count() // BUCKET_ROWS)
-    ids = rest.select("doc_id").distinct()
-    texts = pick(docs, ids).dropDuplicates(["doc_id"])
+    n = rest.count()
+    groups = max(1, n // BUCKET_ROWS)
+    texts = pick(docs, rest.select("doc_id").distinct(), few=n <= BROADCAST_IDS).dropDuplicates(["doc_id"])
     maps = text_to_rows(texts, "bits binary", lambda some: {"bits": [bitmap(kmers(t)[1]).tobytes() for t in some]})
     own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")
     dealt = rest.join(maps, "doc_id").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -236,17 +235,19 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
 def _joined(placed: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """placed with the components that verified pairs link made one."""
     wanted = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cu", "cv").distinct(), "pairs")
-    if wanted.isEmpty():
+    n = wanted.count()
+    if not n:
         return placed
     ids = wanted.select(F.col("u").alias("doc_id")).union(wanted.select("v")).distinct()
-    links = materialize(_verified(wanted, pick(docs, ids).dropDuplicates(["doc_id"])), "verified")
+    links = materialize(_verified(wanted, pick(docs, ids, few=2 * n <= BROADCAST_IDS).dropDuplicates(["doc_id"])), "verified")
     found = connected_components(links.toDF("u", "v")).toDF("component", "new")
     return materialize(placed.join(found, "component", "left").select("key", "doc_id", "n", "pos", F.coalesce("new", "component").alias("component")), "placed")
 
 
-def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", few: bool | None = None) -> DataFrame:
     """docs whose doc_id is (left_semi) or isn't (left_anti) among ids, broadcast if they are counted to be few, else shuffled."""
-    few = ids.count() <= most
+    if few is None:
+        few = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
@@ -277,11 +278,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     placed = materialize(keyed.join(several, "key").withColumn("component", F.col("doc_id")).distinct(), "placed")
     size, turn = placed.count(), 0
-    while (left := _pairs_left(placed)) > ROUND_PAIRS * size:
+    while (left := _pairs_left(placed)) > (TURN_PAIRS if turn else FIRST_PAIRS) * size:
         # one random member of each bucket against its other components
-        pairs = _against_one(placed, turn)
-        turn, placed = turn + 1, _joined(placed, pairs, own)
-        if _pairs_left(placed) > 0.5 * left:
+        turn, placed = turn + 1, _joined(placed, _against_one(placed, turn), own)
+        if turn > 1 and _pairs_left(placed) > 0.5 * left:
             break
     found = _joined(placed, _close_pairs(placed, own), own).select("doc_id", "component").distinct().withColumnRenamed("doc_id", "u")
     out = members.join(found.withColumnRenamed("u", "rep"), "rep", "left")
