@@ -114,7 +114,8 @@ def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageMode
     The n-gram counts of these rows are made on the executors. None if there is no labelled row.
     """
     chosen = sample_rows(docs, "lang", rows_a_language)
-    rows = chosen.join(docs.where(~held_out()).select("doc_id", "text"), "doc_id").where(F.col("text").isNotNull())
+    # the sample is bounded by rows_a_language, so that texts stay where they are
+    rows = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
     made = text_to_rows(rows, "x binary", lambda texts: {"x": [(features(t) * 255 + 0.5).astype(np.uint8).tobytes() if any(map(str.isalpha, t)) else b"" for t in texts]}, keep=("doc_id", "label"))
     got = made.where(F.length("x") > 0).orderBy("label", F.xxhash64("doc_id"), "doc_id").toArrow()
     labels = got.column("label").to_pylist()

@@ -50,7 +50,7 @@ class ToxicityModel:
     def scores(self, texts: list[str]) -> list[float]:
         if self.words is None:
             find = self.weights.get
-            self.words = Cache(lambda word: math.fsum(find(bucket(t), 0.0) for t in terms(word)), 400_000)
+            self.words = Cache(lambda word: math.fsum(find(bucket(t), 0.0) for t in terms(word)), 100_000)
         out = []
         for text in texts:
             s = self.bias + math.fsum(map(self.words.__getitem__, word_set(text)))
@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) ->
     """
     own = labels.select("doc_id", F.when(F.col("toxic") > 0, 1).when(F.col("toxic") == 0, 0).alias("toxic")).dropDuplicates(["doc_id"])
     chosen = sample_rows(own.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic", rows_a_class)
-    rows = chosen.join(docs.where(~held_out()).select("doc_id", "text"), "doc_id")
+    # the sample is bounded by rows_a_class, so that texts stay where they are
+    rows = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     made = text_to_rows(rows, "x binary", lambda texts: {"x": [np.array([bucket(f) for w in sorted(word_set(t)) for f in terms(w)], "<u4").tobytes() for t in texts]}, keep=("doc_id", "label"))
     got = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     given = np.array(got.column("label").to_pylist(), np.float64)
