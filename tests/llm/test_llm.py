@@ -205,6 +205,30 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def aligned_share(a, b):
+    """The similarity of two texts by dynamic programming alone."""
+    a, b = order_minhash.kmers(a)[1].tolist(), order_minhash.kmers(b)[1].tolist()
+    m = lcs(a, b)
+    return m / (len(a) + len(b) - m)
+
+
+def test_short_near_copies_are_found(spark):
+    r = random.Random(9)
+    pairs = []
+    for n in [9, 8, 10] * 8 + list(range(1, 50)):
+        base = [f"s{r.randrange(10**9)}" for _ in range(n)]
+        pairs += [(base, [*base, "end"]), (base, ["front", *base]), (base, [*base[:-1], "end"]), (base, [*base, *(f"q{i}" for i in range((n - 4) // 4))])]
+    # each pair by itself: words of one pair occur in no other
+    texts = [" ".join(f"{w}x{k}" for w in t) for k, pair in enumerate(pairs) for t in pair]
+    shares = [aligned_share(texts[2 * k], texts[2 * k + 1]) for k in range(len(pairs))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in order_minhash.near_duplicates(df).collect()}
+    # at exactly 0.8 with words in front the band decides
+    judged = [k for k, s in enumerate(shares) if not (s == 0.8 and k % 4 == 1)]
+    assert [k for k in judged if (got[2 * k + 1] == 2 * k) != (shares[k] >= 0.8)] == []
+    assert sum(shares[k] >= 0.8 for k in judged) > 150 and all(got[2 * k] == 2 * k for k in range(len(pairs)))
+
+
 def test_bounds_leave_no_pair_out():
     texts = corpus(7)[:150]
     labelled = [order_minhash.kmers(t)[1] for t in texts]

@@ -2,7 +2,8 @@
 
 A document's k-mers are its runs of five words (lower case, cut at white space), each labelled with how often it has occurred before, so that
 labelled k-mers are unique in a text. A sketch takes the few labelled k-mers of least hash and keeps them in the order of
-the text; texts that share a sketch are candidates. Candidates are verified by a banded alignment of their k-mers.
+the text; texts that share a sketch are candidates. Short texts have keys of two k-mers instead, such that near copies share
+one for certain. Candidates are verified by a banded alignment of their k-mers.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from tunespark.llm.common import materialize, mix, text_to_rows
 from tunespark.llm.components import connected_components
 
 WORDS_A_KMER, SIMILARITY = 5, 0.8
-#: Sketches a document and k-mers a sketch: a pair of similarity 0.8 shares no sketch with a chance of about (1 - 0.8 ** 6) ** 40 = 5e-6.
+#: Sketches a document and k-mers a sketch: a long pair of similarity 0.8 shares no sketch with a chance of about (1 - 0.8 ** 6) ** 40 = 5e-6;
+#: one whose longer text has 41 k-mers or more, of about 2e-5 at most (45 k-mers in all, as six are drawn without replacement).
 SKETCHES, TAKEN = 40, 6
+#: Texts of up to SHORT k-mers have short keys instead of sketches, and those of up to KEYED, the most that a near copy of a short text has, have both.
+SHORT, KEYED = 32, 40
 #: While more pairs than this a row of the buckets are left between components, one random member of each bucket is compared with
 #: the rest: nearly always once, since a first turn joins most copies; again only where bounding all pairs would be long.
 FIRST_PAIRS, TURN_PAIRS = 0.25, 100
@@ -74,20 +78,37 @@ def _smallest(value: np.ndarray, taken: int) -> np.ndarray:
     return out
 
 
+def short_keys(labelled: np.ndarray) -> tuple[list[int], list[int]]:
+    """Keys of a text and where each begins: all pairs of its labelled k-mers of least hash (a lone k-mer by itself), in the order of the text.
+
+    A pair at SIMILARITY aligns at least SIMILARITY * n of the n k-mers of either text. So the two aligned ones of least hash are among
+    the n - ceil(SIMILARITY * n) + 2 least of both texts, and both have the key of these two.
+    """
+    n = len(labelled)
+    aligned = int(np.ceil(SIMILARITY * n - 1e-9))
+    at = np.sort(np.argsort(labelled, kind="stable")[: n - aligned + min(2, n)])
+    i, j = np.triu_indices(len(at), 1) if n > 1 else (np.zeros(1, np.int64),) * 2
+    out = mix(labelled[at[i]] * np.uint64(0x100000001B3) + labelled[at[j]])
+    return out.view(np.int64).tolist(), at[i].tolist()
+
+
 def sketches(text: str) -> tuple[int, list[int], list[int]]:
-    """How many k-mers the text has, its sketches as signed 64-bit numbers, and where each begins (none for a text without words)."""
+    """How many k-mers the text has, its sketches or short keys as signed 64-bit numbers, and where each begins (none for a text without words)."""
     plain, labelled = kmers(text)
     n = len(plain)
     if not n:
         return 0, [], []
+    keys, places = short_keys(labelled) if n <= KEYED else ([], [])
+    if n <= SHORT:
+        return n, keys, places
     value = labelled[None, :] * _turn[:, None]
     value ^= value >> np.uint64(32)
     value *= np.uint64(0xD6E8FEB86659FD93)
-    at = _smallest(value, min(TAKEN, n))
+    at = _smallest(value, TAKEN)
     out = np.arange(SKETCHES, dtype=np.uint64)
     for i in range(at.shape[1]):
         out = mix(out * np.uint64(0x100000001B3) + plain[at[:, i]])
-    return n, out.view(np.int64).tolist(), at[:, 0].tolist()
+    return n, out.view(np.int64).tolist() + keys, at[:, 0].tolist() + places
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
