@@ -229,6 +229,32 @@ def test_short_near_copies_are_found(spark):
     assert sum(shares[k] >= 0.8 for k in judged) > 150 and all(got[2 * k] == 2 * k for k in range(len(pairs)))
 
 
+def fronted(k, seed=4):
+    """Texts of 4 k and 5 k k-mers, the same but for k words in front of the second: at exactly 0.8."""
+    r = random.Random(seed + k)
+    base = [f"f{k}x{r.randrange(10**9)}" for _ in range(4 * k + 4)]
+    return " ".join(base), " ".join([f"g{k}x{i}" for i in range(k)] + base)
+
+
+def test_a_quarter_in_front_is_aligned():
+    for k in (*range(1, 12), 100, 1000):
+        a, b = (order_minhash.kmers(t)[1] for t in fronted(k))
+        assert (len(a), len(b)) == (4 * k, 5 * k) and (b[k:] == a).all()
+        assert k > 11 or aligned_share(*fronted(k)) == 0.8
+        assert order_minhash.similarity(a, b) == order_minhash.similarity(b, a) == 0.8
+        at = np.arange(2)
+        # the first k-mer that both have lies k places further on in the longer text
+        i, _ = order_minhash.may_align(np.array([4 * k, 5 * k]), np.array([0, k]), at, [order_minhash.bitmap(a), order_minhash.bitmap(b)], at[:1], at[1:])
+        assert len(i) == 1
+
+
+def test_a_quarter_in_front_is_found(spark):
+    sizes = [*range(1, 30), 60, 120]
+    df = spark.createDataFrame(list(enumerate(t for k in sizes for t in fronted(k))), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in order_minhash.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * len(sizes))}
+
+
 def test_bounds_leave_no_pair_out():
     texts = corpus(7)[:150]
     labelled = [order_minhash.kmers(t)[1] for t in texts]

@@ -111,21 +111,25 @@ def sketches(text: str) -> tuple[int, list[int], list[int]]:
     return n, out.view(np.int64).tolist() + keys, at[:, 0].tolist() + places
 
 
+def _band(total):
+    """The most places that aligned k-mers of a pair at SIMILARITY can differ by, of the texts' k-mers together; the slack is for rounding."""
+    return total * ((1 - SIMILARITY) / (1 + SIMILARITY) * (1 + 1e-12))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Aligned labelled k-mers over all: m / (len(a) + len(b) - m), or 0 where the band shows that it is under SIMILARITY.
 
     As labelled k-mers are unique, an alignment is a longest increasing chain of their places. A pair at SIMILARITY leaves at most
-    band = (len(a) + len(b)) * (1 - s) / (1 + s) k-mers unaligned, so aligned places differ by no more than the band.
+    _band(len(a) + len(b)) k-mers unaligned, so aligned places differ by no more than the band.
     """
     total = len(a) + len(b)
     if not len(a) or not len(b):
         return 0.0
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    band = total * (1 - SIMILARITY) / (1 + SIMILARITY)
     need = SIMILARITY / (1 + SIMILARITY) * total
     _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(at - to) <= band
+    near = np.abs(at - to) <= _band(total)
     at, to = at[near], to[near]
     if len(at) < need - 1e-9:
         return 0.0
@@ -162,7 +166,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _can_align() -> F.Column:
     """Lengths (nu, n) that a pair at SIMILARITY can have, and places (pu, pos) of a common k-mer that its band allows."""
     short, long = F.least("nu", "n"), F.greatest("nu", "n")
-    return (short >= long * SIMILARITY) & (F.abs(F.col("pu") - F.col("pos")) <= (short + long) * ((1 - SIMILARITY) / (1 + SIMILARITY)))
+    return (short >= long * SIMILARITY) & (F.abs(F.col("pu") - F.col("pos")) <= _band(short + long))
 
 
 def _pairs_left(placed: DataFrame) -> int:
@@ -206,7 +210,7 @@ def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, maps: list[
     for at, i in enumerate(left):
         total = n[i] + n[right]
         fits = (component[i] != component[right]) & (np.minimum(n[i], n[right]) >= np.maximum(n[i], n[right]) * SIMILARITY)
-        fits &= np.abs(pos[i] - pos[right]) <= total * ((1 - SIMILARITY) / (1 + SIMILARITY))
+        fits &= np.abs(pos[i] - pos[right]) <= _band(total)
         j = np.flatnonzero(fits)
         if j.size:
             common = np.minimum(n[i] - np.bitwise_count(a[at] & ~b[j]).sum(1, dtype=np.int64), n[right[j]] - np.bitwise_count(b[j] & ~a[at]).sum(1, dtype=np.int64))
