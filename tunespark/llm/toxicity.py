@@ -1,7 +1,7 @@
-"""Toxicity by weak supervision: many lexicon and pattern voters, a generative model of their accuracies and correlations,
+"""Toxicity by weak supervision: many voters of words and word beginnings, a generative model of their accuracies and correlations,
 and a linear classifier trained on the posterior labels.
 
-A voter is a word or a word beginning (4 to 6 letters and anything after) that the labelled sample ties to toxic texts, or one of a few patterns.
+A voter is a word or a word beginning (4 to 6 letters and anything after) that the labelled sample ties to toxic texts; there are no other patterns.
 Voters speak up or stay silent. The generative model holds for each voter how often it speaks in toxic and in clean texts,
 learned by expectation maximisation with the given label as one more fallible voter; voters that speak up together more
 than the classes explain share their weight. The classifier then learns the posterior from hashed words and word beginnings.
