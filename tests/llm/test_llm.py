@@ -344,6 +344,33 @@ def test_search_against_brute_force(spark, docs, awkward, empty, monkeypatch):
     assert bm25_search.search(empty, empty).count() == 0
 
 
+def test_search_destroys_each_blocks_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(bm25_search, "QUERY_ROWS", 20)
+    made, gone = [], []
+    kind = type(spark.sparkContext)
+    broadcast = kind.broadcast
+
+    def noted(self, value):
+        shared = broadcast(self, value)
+        # Only the terms of a block: query, term and weight.
+        if isinstance(value, tuple) and len(value) == 3:
+            made.append(shared)
+            destroy = shared.destroy
+            shared.destroy = lambda blocking=False: (gone.append(shared), destroy(blocking))
+        return shared
+
+    monkeypatch.setattr(kind, "broadcast", noted)
+    r = random.Random(11)
+    texts = {i: " ".join(r.choice("abcdefghijklm") for _ in range(8)) for i in range(24)}
+    own = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    hits = bm25_search.search(own, own, 3)
+    assert len(made) > 1 and list(map(id, gone)) == list(map(id, made))
+    got = defaultdict(list)
+    for x in hits.orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append(x["doc_id"])
+    assert dict(got) == brute_bm25(texts, list(texts), 3)
+
+
 # ------------------------------------------------------------------------------------------------ packing
 
 
