@@ -311,6 +311,49 @@ def test_cover_tree_against_brute_force(spark, monkeypatch):
     assert cover_tree.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_links(x, cosine=0.9):
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = unit @ unit.T >= cosine
+    np.fill_diagonal(links, False)
+    return links
+
+
+def test_cover_tree_around_the_threshold(spark):
+    r = np.random.RandomState(3)
+    base = r.normal(size=(40, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = []
+    for i in range(3000):
+        # at an angle of cosine 0.9, give or take a hair, to one of few vectors
+        b = base[i % 40]
+        away = r.normal(size=24)
+        away -= away @ b * b
+        away /= np.linalg.norm(away)
+        c = 0.9 + r.choice([1e-13, -1e-13, 1e-9, -1e-9, 1e-7, -1e-7, 1e-5, -1e-5, 0.02, 0.08, 0.0999])
+        rows.append(c * b + np.sqrt(1 - c * c) * away)
+    x = np.concatenate([base, rows]) * r.choice([1e-200, 1.0, 1e200], size=(3040, 1))
+    links = brute_links(x)
+    want = brute_components(range(len(x)), list(zip(*map(list, np.nonzero(links)))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for block in (None, 200):
+        got = {g["vec_id"]: g for g in cover_tree.near_duplicates(df, 0.9, block).collect()}
+        assert [got[i]["n_links"] for i in range(len(x))] == links.sum(1).tolist()
+        assert {i: got[i]["component_id"] for i in range(len(x))} == want
+
+
+def test_common_vectors_and_clusters_of_every_width(spark):
+    r = np.random.RandomState(8)
+    parts = [r.normal(size=(1, 12)) + r.normal(size=(n, 12)) * w for n, w in [(300, 0.02), (300, 0.1), (300, 0.3), (300, 0.8)]]
+    x = np.concatenate([*parts, np.ones((2500, 12))]).astype(np.float32)
+    links = brute_links(x.astype(np.float64))
+    want = brute_components(range(len(x)), list(zip(*map(list, np.nonzero(links)))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {g["vec_id"]: g for g in cover_tree.near_duplicates(df, 0.9, 100).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == links.sum(1).tolist()
+    assert {i: got[i]["component_id"] for i in range(len(x))} == want
+
+
 # ------------------------------------------------------------------------------------------------ search
 
 

@@ -1,9 +1,11 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-The top of the tree is shared: vectors fall to the nearest of a number of centres, cells of many vectors are dealt into blocks, and each block
-is a node with a covering radius. Inside a block, nested levels of halving radii (1, 1/2, 1/4, 1/8 on the unit sphere) go on. A pair of nodes is
-dropped when its centres lie further apart than both radii and the threshold distance; it is taken whole when all its vectors must link; else its children
-are compared, and at the end the vectors themselves. Links are counted where they are found, never listed pair by pair.
+The top of the tree is shared: vectors fall to the nearest of a bounded number of centres, which lie in the order of a cover tree of
+their own; runs of neighbouring cells make blocks, and a pair of blocks whose cells' covering radii keep them apart is never sent. Inside a
+block nested nets of halving radii (1, 1/2, 1/4, 1/8 on the unit sphere) go on: every node's centre is one of its vectors, and nodes are
+runs of rows. A pair of nodes is dropped when its centres lie further apart than both covering radii and the threshold distance; it is taken whole when all
+its vectors must link; else its children are compared, down to the vectors. Bounds are taken on single-precision products with a margin for
+their rounding; what lies inside the margin is decided in double precision. Links are counted where they are found.
 """
 
 from __future__ import annotations
@@ -17,219 +19,350 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunespark.llm.common import materialize, mix
+from tunespark.llm.common import discard, materialize
 from tunespark.llm.components import connected_components
 
-#: Vectors in a block, and centres at most (16 MB at 1,000 dimensions); beyond that cells hold several blocks.
-BLOCK, MOST_CENTRES = 4096, 2048
 RADII = (1.0, 0.5, 0.25, 0.125)
-#: Slack for rounding wherever bounds decide; what lies within it is decided by the cosine itself.
-SLACK = 1e-7
+#: Vectors and bytes of doubles in a block at most; blocks that a table of some size is cut into at least; rows that make one block at most.
+BLOCK, BLOCK_BYTES, BLOCKS, SMALL = 32_768, 32 << 20, 8, 512
+#: Shared centres, and bytes of them, at most; beyond that a cell holds several blocks.
+MOST_CENTRES, CENTRE_BYTES = 4096, 16 << 20
+#: Rows of a tile of products; children compared one by one at most, more by a product of their own.
+TILE, FEW = 256, 1024
+#: A table of block pairs counted at no more rows than this (24 MB) is broadcast.
+BROADCAST_PAIRS = 1_000_000
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+def unit(column: pa.Array | np.ndarray) -> np.ndarray:
+    """Vectors at length 1 in double precision, scaled by their largest component first so that no square overflows."""
+    x = column if isinstance(column, np.ndarray) else column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(gap, 0))
-
-
-def levels(x: np.ndarray) -> np.ndarray:
-    """Node of each vector at each level: nets of radius 1, 1/2, ...; a node's children split it. One column a level."""
-    out = np.zeros((len(x), len(RADII)), np.int32)
-    parent, made = np.zeros(len(x), np.int64), 0
-    for level, radius in enumerate(RADII):
-        node = np.full(len(x), -1, np.int64)
-        order = np.argsort(parent, kind="stable")
-        cuts = np.flatnonzero(np.diff(parent[order])) + 1
-        for rows in np.split(order, cuts):
-            todo = rows
-            while todo.size:
-                # a slice of vectors not covered so far: which of them become centres, then who they cover
-                some = x[todo[:256]]
-                near = _distances(some, some) <= radius
-                centres: list[int] = []
-                for i in range(len(some)):
-                    if not near[i, centres].any():
-                        centres.append(i)
-                apart = _distances(x[todo], some[centres])
-                own = apart.argmin(1)
-                covered = apart[np.arange(len(todo)), own] <= radius + SLACK
-                node[todo[covered]] = made + own[covered]
-                made += len(centres)
-                todo = todo[~covered]
-        out[:, level] = node
-        parent = node
-    return out
-
-
-class Side:
-    """One block's part in a comparison: unit vectors, ids, weights, and nodes by level with their means and radii."""
-
-    def __init__(self, x: np.ndarray, path: np.ndarray, rep: np.ndarray, weight: np.ndarray):
-        self.x, self.rep, self.weight = x, rep, weight
-        self.node, self.mean, self.radius = [], [], []
-        for level in range(path.shape[1]):
-            _, at = np.unique(path[:, level], return_inverse=True)
-            count = np.bincount(at)
-            mean = np.zeros((len(count), x.shape[1]))
-            np.add.at(mean, at, x)
-            mean /= count[:, None]
-            far = np.zeros(len(count))
-            np.maximum.at(far, at, np.sqrt(((x - mean[at]) ** 2).sum(1)))
-            self.node.append(at)
-            self.mean.append(mean)
-            self.radius.append(far)
-
-
-def dual(a: Side, b: Side, cosine: float) -> np.ndarray:
-    """Which vectors of a link with which of b."""
-    reach = math.sqrt(2 - 2 * cosine)
-    linked = np.zeros((len(a.x), len(b.x)), bool)
-    rows, cols = np.arange(len(a.x)), np.arange(len(b.x))
-    alive: np.ndarray | None = None
-    for na, nb, ma, mb, ra, rb in zip(a.node, b.node, a.mean, b.mean, a.radius, b.radius, strict=True):
-        ia, at = np.unique(na[rows], return_inverse=True)
-        ib, bt = np.unique(nb[cols], return_inverse=True)
-        apart, sizes = _distances(ma[ia], mb[ib]), ra[ia][:, None] + rb[ib][None, :]
-        open_ = apart <= sizes + reach + SLACK
-        if alive is not None:
-            up = np.zeros_like(open_)
-            i, j = np.nonzero(open_)
-            first_a, first_b = np.unique(at, return_index=True)[1], np.unique(bt, return_index=True)[1]
-            up[i, j] = alive[first_a[i], first_b[j]]
-            open_ = up
-        taken = open_ & (apart + sizes <= reach - SLACK)
-        keep_a, keep_b = open_.any(1)[at], open_.any(0)[bt]
-        rows, cols, at, bt = rows[keep_a], cols[keep_b], at[keep_a], bt[keep_b]
-        if not rows.size:
-            return linked
-        if taken.any():
-            linked[np.ix_(rows, cols)] |= taken[np.ix_(at, bt)]
-            open_ &= ~taken
-        alive = open_[np.ix_(at, bt)]
-    for start in range(0, len(rows), 512):
-        part = rows[start : start + 512]
-        linked[np.ix_(part, cols)] |= alive[start : start + 512] & (a.x[part] @ b.x[cols].T >= cosine)
-    return linked
-
-
-def _lowest(linked: np.ndarray, rep_a: np.ndarray, rep_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id that each vector reaches by the links of this comparison."""
-    low_a, low_b, big = rep_a.copy(), rep_b.copy(), np.iinfo(np.int64).max
-    while True:
-        was = low_a.sum(dtype=np.float64) + low_b.sum(dtype=np.float64)
-        for start in range(0, len(low_a), 512):
-            part = linked[start : start + 512]
-            low_a[start : start + 512] = np.minimum(low_a[start : start + 512], np.where(part, low_b[None, :], big).min(1, initial=big))
-            low_b = np.minimum(low_b, np.where(part, low_a[start : start + 512, None], big).min(0, initial=big))
-        if was == low_a.sum(dtype=np.float64) + low_b.sum(dtype=np.float64):
-            return low_a, low_b
-
-
-def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
+def margin(dims: int) -> float:
+    """What a single-precision product of unit vectors can be off by."""
+    return 1e-6 + 1.2e-7 * dims
+
+
+def net(x: np.ndarray, radius: float) -> np.ndarray:
+    """The row that covers each row: greedy centres further than radius apart, in the order of rows; the first row is a centre."""
+    near = np.float32(1 - radius * radius / 2)
+    owner, todo = np.zeros(len(x), np.int64), np.arange(len(x))
+    while todo.size:
+        some = todo[:TILE]
+        before = np.tril(x[some] @ x[some].T >= near, -1)
+        centre = ~before.any(1)
+        for i in np.flatnonzero(~centre).tolist():
+            centre[i] = not (before[i] & centre).any()
+        centres = some[centre]
+        product = x[todo] @ x[centres].T
+        own = product.argmax(1)
+        covered = product[np.arange(len(todo)), own] >= near
+        covered |= todo == centres[own]
+        owner[todo[covered]] = centres[own[covered]]
+        todo = todo[~covered]
+    return owner
+
+
+def tree(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """An order of the rows, and for each level the first place of each node in it; a node's centre is its first row."""
+    groups, starts = [np.arange(len(x))], []
+    for radius in RADII:
+        made = []
+        for rows in groups:
+            if len(rows) == 1:
+                made.append(rows)
+                continue
+            own = net(x[rows], radius)
+            order = np.lexsort((own != np.arange(len(rows)), own))
+            made += np.split(rows[order], np.flatnonzero(np.diff(own[order])) + 1)
+        groups = made
+        sizes = np.fromiter(map(len, groups), np.int64, len(groups))
+        starts.append((np.cumsum(sizes) - sizes).astype(np.int32))
+    return np.concatenate(groups), starts
+
+
+class Tree:
+    """A block's vectors in the order of their tree, with the nodes' first rows and covering radii by level; rows are the last level."""
+
+    def __init__(self, x: np.ndarray, rep: np.ndarray, weight: np.ndarray, starts: list[np.ndarray]):
+        self.x, self.single, self.rep, self.weight = x, x.astype(np.float32), rep, weight
+        n = len(x)
+        self.first = [s.astype(np.int64) for s in starts] + [np.arange(n)]
+        self.end = [np.append(s[1:], n) for s in self.first]
+        self.radius = []
+        for first, end in zip(self.first, self.end, strict=True):
+            if len(first) == n:
+                self.radius.append(np.zeros(n))
+                continue
+            gap = x - x[np.repeat(first, end - first)]
+            self.radius.append(np.sqrt(np.maximum.reduceat((gap * gap).sum(1), first)) + 1e-9)
+        #: where each node's children begin and end on the level below
+        self.child = [(np.searchsorted(low, f), np.searchsorted(low, e)) for f, e, low in zip(self.first, self.end, self.first[1:], strict=False)]
+        self.total = np.concatenate([[0], np.cumsum(weight)])
+
+        #: the deepest level that has hardly more nodes than the first: where the first net covers little, the levels between would open nearly all
+        self.top = max(k for k in range(len(RADII)) if len(self.first[k]) <= 1.25 * len(self.first[0]))
+
+    def classes(self, level: int) -> list[np.ndarray]:
+        """The nodes of a level by their radius: vectors by themselves first, then by halving radii."""
+        edges = [0.0, *reversed(RADII)]
+        of = np.searchsorted(edges, self.radius[level])
+        return [np.flatnonzero(of == k) for k in range(len(edges) + 1)]
+
+
+class Links:
+    """Links of two blocks: how many each vector has, and the smallest id that it reaches by them."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.b, self.same = a, b, a is b
+        self.shift = 0 if self.same else len(a.x)
+        self.count = np.zeros(self.shift + len(b.x), np.int64)
+        self.root = np.arange(len(self.count))
+
+    def flatten(self) -> None:
+        while ((up := self.root[self.root]) != self.root).any():
+            self.root = up
+
+    def unite(self, i: np.ndarray, j: np.ndarray) -> None:
+        while i.size:
+            self.flatten()
+            x, y = self.root[i], self.root[j]
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+
+    def add(self, level: int, i: np.ndarray, j: np.ndarray) -> None:
+        """All vectors of the nodes i of a link with all of the nodes j of b."""
+        a, b = self.a, self.b
+        fa, ea, fb, eb = a.first[level][i], a.end[level][i], b.first[level][j], b.end[level][j]
+        wa, wb = a.total[ea] - a.total[fa], b.total[eb] - b.total[fb]
+        own = (i == j) if self.same else np.zeros(len(i), bool)
+        rows = _ranges(fa, ea - fa)
+        np.add.at(self.count, rows, np.repeat(wb, ea - fa) - np.where(np.repeat(own, ea - fa), a.weight[rows], 0))
+        self.unite(rows, np.repeat(fb + self.shift, ea - fa))
+        rows = _ranges(fb[~own], (eb - fb)[~own])
+        np.add.at(self.count, rows + self.shift, np.repeat(wa[~own], (eb - fb)[~own]))
+        self.unite(np.repeat(fa[~own], (eb - fb)[~own]), rows + self.shift)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rep, links, least) of the vectors that have a link here."""
+        rep = self.a.rep if self.same else np.concatenate([self.a.rep, self.b.rep])
+        self.flatten()
+        least = rep.copy()
+        np.minimum.at(least, self.root, rep)
+        has = np.flatnonzero(self.count)
+        return rep[has], self.count[has], least[self.root[has]]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ...: size[i] numbers of each, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
+def dual(a: Tree, b: Tree, cosine: float) -> Links:
+    """The links of two blocks, or of a block with itself."""
+    links = Links(a, b)
+    reach, slack, last = math.sqrt(max(0.0, 2 - 2 * cosine)), margin(a.x.shape[1]), len(RADII)
+
+    def least(radii):
+        """The least product that leaves open whether nodes of these radii together hold a link."""
+        return 1 - np.minimum(radii + reach, 2.0) ** 2 / 2 - slack
+
+    def settle(level: int, i: np.ndarray, j: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of nodes still open; those that link whole are counted."""
+        if links.same:
+            keep = i < j if level == last else i <= j
+            i, j, product = i[keep], j[keep], product[keep]
+        radii = a.radius[level][i] + b.radius[level][j]
+        inner = reach - radii
+        whole = (inner > 0) & (product >= 1 - inner * inner / 2 + slack)
+        if whole.any():
+            links.add(level, i[whole], j[whole])
+        open_ = ~whole & (product >= least(radii))
+        return i[open_], j[open_]
+
+    def descend(level: int, i: np.ndarray, j: np.ndarray) -> None:
+        if not i.size:
+            return
+        if level == last:
+            sure = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= cosine
+            links.add(level, i[sure], j[sure])
+            return
+        (la, ha), (lb, hb) = ((t.child[level][0][k], t.child[level][1][k]) for t, k in ((a, i), (b, j)))
+        na, nb = ha - la, hb - lb
+        many = na * nb > FEW
+        xa, xb = a.first[level + 1], b.first[level + 1]
+        for k in np.flatnonzero(many).tolist():
+            right = b.single[xb[lb[k] : hb[k]]]
+            widest = b.radius[level + 1][lb[k] : hb[k]].max()
+            for start in range(int(la[k]), int(ha[k]), TILE):
+                rows = np.arange(start, min(start + TILE, int(ha[k])))
+                product = a.single[xa[rows]] @ right.T
+                x, y = np.nonzero(product >= least(a.radius[level + 1][rows].max() + widest))
+                descend(level + 1, *settle(level + 1, rows[x], lb[k] + y, product[x, y]))
+        few = np.flatnonzero(~many)
+        sizes = np.cumsum((na * nb)[few])
+        for part in np.split(few, np.searchsorted(sizes, np.arange(1 << 18, sizes[-1] if sizes.size else 0, 1 << 18))):
+            if part.size:
+                n = (na * nb)[part]
+                k = np.repeat(part, n)
+                at = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+                x, y = la[k] + at // nb[k], lb[k] + at % nb[k]
+                product = np.einsum("ij,ij->i", a.single[xa[x]], b.single[xb[y]])
+                descend(level + 1, *settle(level + 1, x, y, product))
+
+    top = min(a.top, b.top)
+    of_a, of_b = a.classes(top), b.classes(top)
+    for p, left in enumerate(of_a):
+        for q, right in enumerate(of_b):
+            if not left.size or not right.size or (links.same and q < p):
+                continue
+            xb = b.single[b.first[top][right]]
+            widest = b.radius[top][right].max()
+            for start in range(0, len(left), TILE):
+                rows = left[start : start + TILE]
+                skip = start if links.same and p == q else 0
+                product = a.single[a.first[top][rows]] @ xb[skip:].T
+                x, y = np.nonzero(product >= np.float32(least(a.radius[top][rows].max() + widest)))
+                i, j, got = rows[x], right[skip:][y], product[x, y]
+                if links.same and p != q:
+                    i, j = np.minimum(i, j), np.maximum(i, j)
+                descend(top, *settle(top, i, j, got))
+    return links
+
+
+def _layout(counts: dict[int, int], block: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """First block and number of blocks of each cell, in order: small neighbours share a block, a large cell has several; and the blocks in all."""
+    out, made, filled = {}, 0, 0
+    for cell in sorted(counts):
+        n = counts[cell]
+        if n > block:
+            made += 1 if filled else 0
+            parts = -(-n // block)
+            out[cell] = (made, parts)
+            made, filled = made + parts, 0
+            continue
+        if filled + n > block:
+            made, filled = made + 1, 0
+        out[cell] = (made, 1)
+        filled += n
+    return out, made + (1 if filled else 0)
+
+
+def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of embeddings.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, as do vectors of different length.
-    Equal vectors are collapsed before the search and count as many links as they are. A null vec_id has a null component unless its vector occurs under an id.
-    Columns other than vec_id and embedding are not read.
+    Equal vectors are collapsed before the search and count as many links as they are. A null vec_id has a null component unless its vector occurs under an id;
+    vectors that occur under null ids alone aren't compared. Repeated rows give repeated rows. Columns other than vec_id and embedding are not read.
     """
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    sound = F.col("embedding").isNotNull() & F.coalesce(square > 0, F.lit(False)) & F.coalesce(square < F.lit(float("inf")), F.lit(False))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    sound = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     good = rows.where(sound)
     points = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).where("rep is not null"), "points")
-    if points.isEmpty():
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-
+    alone = lambda df: df.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     by_size = {r["dims"]: r["n"] for r in points.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).collect()}
-    centres: list[np.ndarray] = []
-    for dims, n in sorted(by_size.items()):
-        drawn = points.where(F.size("embedding") == dims).orderBy(F.xxhash64("rep"), "rep").limit(min(MOST_CENTRES, math.ceil(n / block))).select("embedding").toArrow()
-        centres += list(_unit(drawn.column("embedding").combine_chunks()))
+    if not by_size:
+        return alone(rows)
+
+    centres: dict[int, np.ndarray] = {}
+    target: dict[int, int] = {}
+    for dims, n in by_size.items():
+        most = max(1, min(BLOCK, BLOCK_BYTES // (8 * dims)))
+        target[dims] = block or (n if n <= SMALL else max(1, min(most, -(-n // BLOCKS))))
+        wanted = max(1, min(MOST_CENTRES, CENTRE_BYTES // (8 * dims), n, 4 * -(-n // target[dims])))
+        drawn = points.where(F.size("embedding") == dims).orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("embedding").toArrow()
+        x = unit(drawn.column("embedding").combine_chunks())
+        centres[dims] = x[tree(x.astype(np.float32))[0]]
     shared = spark.sparkContext.broadcast(centres)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = pa.compute.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
-            cell, dist = np.zeros(len(batch), np.int32), np.zeros(len(batch))
-            for dims in np.unique(size):
-                own = np.flatnonzero(size == dims)
-                some = [i for i, c in enumerate(shared.value) if len(c) == dims]
-                apart = _distances(_unit(batch.column("embedding").take(pa.array(own))), np.stack([shared.value[i] for i in some]))
-                cell[own], dist[own] = np.array(some)[apart.argmin(1)], apart.min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist)], names=["rep", "weight", "embedding", "cell", "dist"])
-
-    kind = points.schema["embedding"].dataType.simpleString()
-    celled = materialize(points.select("rep", "weight", "embedding").mapInArrow(cells, f"rep bigint, weight bigint, embedding {kind}, cell int, dist double"), "cells")
-    stats = {r["cell"]: (math.ceil(r["n"] / block), r["far"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()}
-    parts, names = [], {}
-    for cell, (n, far) in sorted(stats.items()):
-        for part in range(n):
-            names[cell, part] = len(parts)
-            parts.append((cell, far))
-    many = spark.createDataFrame([(c, n) for c, (n, _) in stats.items()], "cell int, blocks int")
-    dealt = celled.join(F.broadcast(many), "cell").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+        for whole in batches:
+            for start in range(0, len(whole), 2048):
+                batch = whole.slice(start, 2048)
+                size = pa.compute.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False).astype(np.int32)
+                cell, far = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+                for dims in np.unique(size).tolist():
+                    own = np.flatnonzero(size == dims)
+                    product = unit(batch.column("embedding").take(pa.array(own))) @ shared.value[dims].T
+                    cell[own] = product.argmax(1)
+                    far[own] = np.sqrt(np.maximum(0, 2 - 2 * product.max(1)) + 1e-12)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(cell), pa.array(far)], names=["rep", "weight", "embedding", "dims", "cell", "far"])
+
+    celled = materialize(points.select("rep", "weight", "embedding").mapInArrow(cells, f"rep bigint, weight bigint, embedding {kind}, dims int, cell int, far double"), "cells")
+    stats = celled.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+    places, spans, made = [], {}, 0
+    for dims in sorted(by_size):
+        own = {r["cell"]: (r["n"], r["far"]) for r in stats if r["dims"] == dims}
+        layout, n = _layout({c: v[0] for c, v in own.items()}, target[dims])
+        ids = sorted(layout)
+        spans[dims] = (np.array(ids), np.array([own[c][1] for c in ids]), np.array([layout[c][0] + made for c in ids]), np.array([layout[c][1] for c in ids]), made, made + n)
+        places += [(dims, c, layout[c][0] + made, layout[c][1]) for c in ids]
+        made += n
+    placed = spark.createDataFrame(places, "dims int, cell int, start int, parts int")
+    dealt = celled.join(F.broadcast(placed), ["dims", "cell"]).select("rep", "weight", "embedding", (F.col("start") + F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts"))).cast("int").alias("block"))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        path = levels(_unit(table.column("embedding").combine_chunks()))
-        own = names[table.column("cell")[0].as_py(), table.column("part")[0].as_py()]
-        return pa.table({"rep": table.column("rep"), "weight": table.column("weight"), "embedding": table.column("embedding"), "own": pa.array(np.full(len(table), own, np.int32)), "path": pa.array(list(path), type=pa.list_(pa.int32()))})
+        column = table.column("embedding").combine_chunks()
+        order, starts = tree(unit(column).astype(np.float32))
+        raw = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)[order]
+        ids, weight = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("rep", "weight"))
+        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([len(order)]), "raw": [raw.tobytes()], "rep": [ids.tobytes()], "weight": [weight.tobytes()], "starts": pa.array([[s.tobytes() for s in starts]], pa.list_(pa.binary()))})
 
-    trees = materialize(dealt.select("rep", "weight", "embedding", "cell", "part").groupBy("cell", "part").applyInArrow(build, f"rep bigint, weight bigint, embedding {kind}, own int, path array<int>"), "trees")
-    where = spark.sparkContext.broadcast(parts)
-    reach = math.sqrt(2 - 2 * cosine)
+    # one row a block: its vectors, ids, weights and node starts as packed bytes
+    packed = "block int, n bigint, raw binary, rep binary, weight binary, starts array<binary>"
+    tasks = min(made, 4096)
+    trees = materialize(dealt.repartition(tasks, "block").groupBy("block").applyInArrow(build, packed), "trees")
+    where = spark.sparkContext.broadcast(spans)
+    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell_of, far = np.array([c for c, _ in where.value]), np.array([r for _, r in where.value])
-        for whole in batches:
-            for start in range(0, len(whole), 1024):
-                batch = whole.slice(start, 1024)
-                size = pa.compute.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
-                own = batch.column("own").to_numpy()
-                go = np.zeros((len(batch), len(far)), bool)
-                for dims in np.unique(size):
-                    at = np.flatnonzero(size == dims)
-                    to = np.flatnonzero([len(shared.value[c]) == dims for c in cell_of])
-                    apart = _distances(_unit(batch.column("embedding").take(pa.array(at))), np.stack([shared.value[cell_of[t]] for t in to]))
-                    go[np.ix_(at, to)] = apart <= far[to] + reach + SLACK
-                go[np.arange(len(batch)), own] = True
-                i, to = np.nonzero(go)
-                low, high = np.minimum(own[i], to).astype(np.int32), np.maximum(own[i], to).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), *(batch.column(c).take(pa.array(i)) for c in ("rep", "weight", "embedding", "own", "path"))], names=["low", "high", "rep", "weight", "embedding", "own", "path"])
-
-    routed = trees.mapInArrow(route, f"low int, high int, rep bigint, weight bigint, embedding {kind}, own int, path array<int>")
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine in batch.column("id").to_pylist():
+                dims, (ids, far, start, parts, _, end) = next((d, s) for d, s in where.value.items() if s[4] <= mine < s[5])
+                own = (start <= mine) & (mine < start + parts)
+                apart = np.sqrt(np.maximum(0, 2 - 2 * shared.value[dims][ids[own]] @ shared.value[dims][ids].T) + 1e-12)
+                open_ = np.flatnonzero((apart <= far[own][:, None] + far[None, :] + reach + 1e-6).any(0))
+                other = np.unique(np.append(_ranges(start[open_], parts[open_]), mine))
+                other = other[other >= mine].astype(np.int32)
+                low = np.full(len(other), mine, np.int32)
+                twice = other != mine
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([low, other[twice]])), pa.array(np.concatenate([low, low[twice]])), pa.array(np.concatenate([other, other[twice]]))], names=["block", "low", "high"])
+
+    pairs = materialize(spark.range(made).mapInArrow(partners, "block int, low int, high int"), "pairs")
+    n_pairs = pairs.count()
+    sent = trees.join(F.broadcast(pairs) if n_pairs <= BROADCAST_PAIRS else pairs, "block")
+    element = np.float32 if kind == "array<float>" else np.float64
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        x, rep, weight = _unit(table.column("embedding").combine_chunks()), table.column("rep").to_numpy(), table.column("weight").to_numpy()
-        path, own = table.column("path").combine_chunks().flatten().to_numpy().reshape(len(table), -1), table.column("own").to_numpy()
-        sides = [Side(x[own == k], path[own == k], rep[own == k], weight[own == k]) for k in dict.fromkeys((low, high))]
-        if not all(len(s.x) for s in sides):
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
-        a, b = sides[0], sides[-1]
-        linked = dual(a, b, cosine)
-        if a is b:
-            np.fill_diagonal(linked, False)
-        reach_a, reach_b = _lowest(linked, a.rep, b.rep)
-        got = [(a.rep, linked @ b.weight, reach_a, linked.any(1))]
-        if a is not b:
-            got.append((b.rep, a.weight @ linked, reach_b, linked.any(0)))
-        out = [np.concatenate([g[i][g[3]] for g in got]) for i in range(3)]
-        return pa.table({"rep": pa.array(out[0]), "links": pa.array(out[1].astype(np.int64)), "least": pa.array(out[2])})
-
-    found = materialize(routed.groupBy("low", "high").applyInArrow(compare, "rep bigint, links bigint, least bigint"), "linked")
+        sides = []
+        for r in table.to_pylist():
+            ids, weight = (np.frombuffer(r[c], np.int64) for c in ("rep", "weight"))
+            sides.append(Tree(unit(np.frombuffer(r["raw"], element).reshape(r["n"], -1)), ids, weight, [np.frombuffer(s, np.int32) for s in r["starts"]]))
+        out = dual(sides[0], sides[-1], cosine).rows()
+        return pa.table({"rep": pa.array(out[0]), "links": pa.array(out[1]), "least": pa.array(out[2])})
+
+    found = materialize(sent.repartition(max(1, min(n_pairs, 8192)), "low", "high").groupBy("low", "high").applyInArrow(compare, "rep bigint, links bigint, least bigint"), "linked")
+    discard(celled, trees, pairs)
     joined = connected_components(found.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = points.select("rep", "weight", "embedding").join(links, "rep", "left").join(joined.withColumnRenamed("u", "rep"), "rep", "left")
-    own = classes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("least"))
-    out = rows.join(own, "embedding", "left")
+    classes = points.join(links, "rep", "left").join(joined.withColumnRenamed("u", "rep"), "rep", "left")
+    own = classes.select("embedding", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("least"))
+    # fewer than 1,000 vectors can be as common as a thousandth of the rows: they are broadcast, so that no common vector's rows meet in one task
+    common = F.col("weight") > max(1000, good.count() // 1000)
+    heavy = own.where(common).select("embedding", F.col("n").alias("n_h"), F.col("least").alias("least_h"))
+    out = good.join(F.broadcast(heavy), "embedding", "left")
+    rest = out.where("n_h is null").select("vec_id", "embedding").join(own.where(~common).drop("weight"), "embedding", "left")
+    out = rest.select("vec_id", "n", "least").unionByName(out.where("n_h is not null").select("vec_id", F.col("n_h").alias("n"), F.col("least_h").alias("least")))
     component = F.coalesce("least", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    linked = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return linked.unionByName(alone(rows.where(~sound)))
