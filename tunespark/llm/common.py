@@ -49,6 +49,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_sized(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """rows joined with keyed, a table of one row a key whose `size` says how many rows have it.
+
+    Keys of more than a thousandth of the rows, fewer than 1,000 of them, are broadcast; so no common key's rows meet in one task.
+    """
+    border = max(1000, rows.count() // 1000)
+    common = F.broadcast(keyed.where(F.col("size") > border))
+    return rows.join(common, key).unionByName(rows.join(common.select(key), key, "left_anti").join(keyed.where(F.col("size") <= border), key))
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
 

@@ -2,15 +2,15 @@
 
 A document's k-mers are its runs of five words (lower case, cut at white space), each labelled with how often it has occurred before, so that
 labelled k-mers are unique in a text. A sketch takes the few labelled k-mers of least hash and keeps them in the order of
-the text; texts that share a sketch are candidates. Short texts have keys of two k-mers instead, such that near copies share
-one for certain. Candidates are verified by a banded alignment of their k-mers.
+the text; texts that share a sketch are candidates. Short texts have each of their k-mers as a key instead. Candidates are verified by a banded
+alignment of their words: near-duplicates are texts whose words differ by at most a fifth of the longer text's in edit distance.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,30 +18,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunespark.llm.common import materialize, mix, text_to_rows
+from tunespark.llm.common import discard, join_sized, materialize, mix, text_to_rows
 from tunespark.llm.components import connected_components
 
 WORDS_A_KMER, SIMILARITY = 5, 0.8
-#: Sketches a document and k-mers a sketch: a long pair of similarity 0.8 shares no sketch with a chance of about (1 - 0.8 ** 6) ** 40 = 5e-6;
-#: one whose longer text has 41 k-mers or more, of about 2e-5 at most (45 k-mers in all, as six are drawn without replacement).
-SKETCHES, TAKEN = 40, 6
-#: Texts of up to SHORT k-mers have short keys instead of sketches, and those of up to KEYED, the most that a near copy of a short text has, have both.
-SHORT, KEYED = 32, 40
+#: Sketches a document and k-mers a sketch: a pair that shares the part j of its k-mers shares no sketch with a chance of about (1 - j ** TAKEN) ** SKETCHES.
+SKETCHES, TAKEN = 40, 2
+#: Texts of up to SHORT k-mers have all of them as keys instead of sketches, and those of up to KEYED, the most that a near copy of a short text has, have both.
+SHORT, KEYED = 32, 46
 #: While more pairs than this a row of the buckets are left between components, one random member of each bucket is compared with
 #: the rest: nearly always once, since a first turn joins most copies; again only where bounding all pairs would be long.
 FIRST_PAIRS, TURN_PAIRS = 0.25, 100
-#: Members of a bucket that are compared as one part; bits of a bitmap at most.
-BUCKET_ROWS, MOST_BITS = 2048, 1 << 16
+#: Members of a bucket that are compared as one part; bins of a bag of words.
+BUCKET_ROWS, BINS = 2048, 256
 #: Ids of up to this many documents (8 MB) are broadcast to pick their texts out; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Words up to which two texts are aligned in one piece; numbers that a sketch holds at a time (8 MB); copies of a text that very many are compared with.
+LONG, SKETCHED, SALTS = 20_000, 1 << 20, 64
 
 
-def kmers(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and occurrence-labelled hash of each k-mer in the order of the text; a text of one to four words has one k-mer."""
-    words = text.lower().split()
-    if not words:
+def words(text: str) -> np.ndarray:
+    """Hash of each word in the order of the text."""
+    own = text.lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+
+
+def kmers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and occurrence-labelled hash of each k-mer of hashed words in their order; one to four words make one k-mer."""
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS_A_KMER + 1)
     plain = np.zeros(n, np.uint64)
     for i in range(min(WORDS_A_KMER, len(h))):
@@ -78,86 +83,221 @@ def _smallest(value: np.ndarray, taken: int) -> np.ndarray:
     return out
 
 
-def short_keys(labelled: np.ndarray) -> tuple[list[int], list[int]]:
-    """Keys of a text and where each begins: all pairs of its labelled k-mers of least hash (a lone k-mer by itself), in the order of the text.
+def sketches(text: str) -> tuple[int, list[int], list[int]]:
+    """How many words the text has, its keys as signed 64-bit numbers, and the word where each begins (no keys for a text without words).
 
-    A pair at SIMILARITY aligns at least SIMILARITY * n of the n k-mers of either text. So the two aligned ones of least hash are among
-    the n - ceil(SIMILARITY * n) + 2 least of both texts, and both have the key of these two.
+    Sketches are made a few at a time where the text is long, so that memory grows with the text alone.
     """
-    n = len(labelled)
-    aligned = int(np.ceil(SIMILARITY * n - 1e-9))
-    at = np.sort(np.argsort(labelled, kind="stable")[: n - aligned + min(2, n)])
-    i, j = np.triu_indices(len(at), 1) if n > 1 else (np.zeros(1, np.int64),) * 2
-    out = mix(labelled[at[i]] * np.uint64(0x100000001B3) + labelled[at[j]])
-    return out.view(np.int64).tolist(), at[i].tolist()
-
-
-def sketches(text: str) -> tuple[int, list[int], list[int]]:
-    """How many k-mers the text has, its sketches or short keys as signed 64-bit numbers, and where each begins (none for a text without words)."""
-    plain, labelled = kmers(text)
+    h = words(text)
+    plain, labelled = kmers(h)
     n = len(plain)
     if not n:
         return 0, [], []
-    keys, places = short_keys(labelled) if n <= KEYED else ([], [])
-    if n <= SHORT:
-        return n, keys, places
-    value = labelled[None, :] * _turn[:, None]
-    value ^= value >> np.uint64(32)
-    value *= np.uint64(0xD6E8FEB86659FD93)
-    at = _smallest(value, TAKEN)
-    out = np.arange(SKETCHES, dtype=np.uint64)
-    for i in range(at.shape[1]):
-        out = mix(out * np.uint64(0x100000001B3) + plain[at[:, i]])
-    return n, out.view(np.int64).tolist() + keys, at[:, 0].tolist() + places
+    keys, places = (mix(labelled).view(np.int64).tolist(), list(range(n))) if n <= KEYED else ([], [])
+    if n > SHORT:
+        step = max(1, min(SKETCHES, SKETCHED // n))
+        for first in range(0, SKETCHES, step):
+            value = labelled[None, :] * _turn[first : first + step, None]
+            value ^= value >> np.uint64(32)
+            value *= np.uint64(0xD6E8FEB86659FD93)
+            at = _smallest(value, TAKEN)
+            out = np.arange(first, first + len(at), dtype=np.uint64)
+            for i in range(TAKEN):
+                out = mix(out * np.uint64(0x100000001B3) + plain[at[:, i]])
+            keys += out.view(np.int64).tolist()
+            places += at[:, 0].tolist()
+    return len(h), keys, places
+
+
+def most_edits(longest):
+    """The greatest edit distance of a pair at SIMILARITY whose longer text has so many words; the slack is for rounding."""
+    return longest * (1 - SIMILARITY) + 1e-9
 
 
-def _band(total):
-    """The most places that aligned k-mers of a pair at SIMILARITY can differ by, of the texts' k-mers together; the slack is for rounding."""
-    return total * ((1 - SIMILARITY) / (1 + SIMILARITY) * (1 + 1e-12))
+class Text:
+    """A text's hashed words and, made when asked for, its k-mers."""
 
+    def __init__(self, text: str):
+        self.words = words(text)
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Aligned labelled k-mers over all: m / (len(a) + len(b) - m), or 0 where the band shows that it is under SIMILARITY.
+    @cached_property
+    def listed(self) -> list[int]:
+        return self.words.tolist()
 
-    As labelled k-mers are unique, an alignment is a longest increasing chain of their places. A pair at SIMILARITY leaves at most
-    _band(len(a) + len(b)) k-mers unaligned, so aligned places differ by no more than the band.
+    @cached_property
+    def kmers(self) -> tuple[np.ndarray, np.ndarray]:
+        return kmers(self.words)
+
+
+def banded_distance(a: list[int], b: list[int], most: int) -> int:
+    """Edit distance of two word lists if it is at most `most`, else a greater number.
+
+    The alignment matrix is filled within `most` of its diagonal, a column at a time: one bit of an integer says for each row of the band
+    whether the distance goes up (or down) from the row above it.
     """
-    total = len(a) + len(b)
-    if not len(a) or not len(b):
-        return 0.0
-    if len(a) == len(b) and (a == b).all():
-        return 1.0
-    need = SIMILARITY / (1 + SIMILARITY) * total
-    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(at - to) <= _band(total)
+    m, n = len(a), len(b)
+    if abs(m - n) > most:
+        return most + 1
+    at: dict[int, int] = {}
+    for i, word in enumerate(a):
+        at[word] = at.get(word, 0) | 1 << i
+    band = (1 << (2 * most + 1)) - 1
+    edge = 1 << (2 * most)
+    up, down, distance = band ^ ((1 << most) - 1), 0, min(m, most)
+    hopeless, get = 2 * most + n - m, at.get
+    for j, word in enumerate(b, 1):
+        equal, shift = get(word, 0), j - most - 1
+        equal = (equal >> shift if shift >= 0 else equal << -shift) & band
+        free = ((((equal & up) + up) ^ up) & band) | equal | down
+        more = down | (band & ~(free | up))
+        less = free & up
+        if j + most <= m:
+            # along the lower edge of the band
+            distance += not free & edge
+            if distance > hopeless:
+                return most + 1
+        else:
+            # along the last row
+            row = 1 << (m - j + most)
+            distance += bool(more & row) - bool(less & row)
+        free >>= 1
+        up = less | (band & ~(free | more))
+        down = free & more
+    return distance
+
+
+def chain(x: np.ndarray, y: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a longest increasing chain of common values (unique in x and in y) that lie within `most` of each other."""
+    _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    near = np.abs(at - to) <= most
     at, to = at[near], to[near]
-    if len(at) < need - 1e-9:
-        return 0.0
-    to = to[np.argsort(at)]
-    m = len(to)
-    if (to[1:] < to[:-1]).any():
-        tops: list[int] = []
-        for x in to.tolist():
-            i = bisect_left(tops, x)
-            tops[i : i + 1] = [x]
-        m = len(tops)
-    return m / (total - m)
+    order = np.argsort(at)
+    at, to = at[order], to[order]
+    if not (to[1:] < to[:-1]).any():
+        return at, to
+    tops: list[int] = []
+    ends: list[int] = []
+    back = []
+    for i, v in enumerate(to.tolist()):
+        k = bisect_left(tops, v)
+        tops[k : k + 1], ends[k : k + 1] = [v], [i]
+        back.append(ends[k - 1] if k else -1)
+    kept, i = [], ends[-1]
+    while i >= 0:
+        kept.append(i)
+        i = back[i]
+    kept = np.array(kept[::-1])
+    return at[kept], to[kept]
+
+
+def chained_distance(n: int, m: int, at: np.ndarray, to: np.ndarray) -> int:
+    """Edits that an alignment through a chain of equal k-mers takes at most, of texts of n and m words."""
+    if not len(at):
+        return max(n, m)
+    k = min(WORDS_A_KMER, n, m)
+    da, dt = np.diff(at), np.diff(to)
+    inner = np.maximum(da, dt) - np.minimum(np.minimum(da, dt), k)
+    return int(max(at[0], to[0]) + inner.sum() + max(n - at[-1] - k, m - to[-1] - k))
+
+
+def _once(plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur once, and their places."""
+    value, at, count = np.unique(plain, return_index=True, return_counts=True)
+    return value[count == 1], at[count == 1]
+
+
+def pieced_distance(a: Text, b: Text, most: int) -> int:
+    """Edits of an alignment of long texts in pieces: they are cut at five-word runs that occur once in either, in a chain, pieces of LONG words at most.
+
+    Where a long stretch has no such run, it is cut in the same proportion. Each piece is aligned exactly, so this is at least the edit distance.
+    """
+    (va, at), (vb, to) = _once(a.kmers[0]), _once(b.kmers[0])
+    _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    left, right = chain(va[i][np.argsort(at[i])], vb[j][np.argsort(to[j])], np.inf) if len(i) else (i, j)
+    left, right = np.sort(at[i])[left], np.sort(to[j])[right]
+    n, m, total, x, y, k = len(a.words), len(b.words), 0, 0, 0, 0
+    while x < n or y < m:
+        # the last anchor within LONG words of both places
+        k = int(min(np.searchsorted(left, x + LONG, "right"), np.searchsorted(right, y + LONG, "right")))
+        if n - x <= LONG and m - y <= LONG:
+            to_x, to_y = n, m
+        elif k and left[k - 1] > x and right[k - 1] > y:
+            to_x, to_y = int(left[k - 1]), int(right[k - 1])
+        else:
+            part = LONG / max(n - x, m - y)
+            to_x, to_y = x + int((n - x) * part), y + int((m - y) * part)
+        total += banded_distance(a.listed[x:to_x], b.listed[y:to_y], max(0, most - total))
+        if total > most:
+            return most + 1
+        x, y = to_x, to_y
+    return total
+
+
+def near_copies(a: Text, b: Text) -> bool:
+    """Whether the edit distance of the words is at most a share of 1 - SIMILARITY of the longer text's.
+
+    An alignment through common labelled k-mers that is good enough settles it; else the banded alignment does.
+    """
+    n, m = len(a.words), len(b.words)
+    if not n or not m:
+        return False
+    most = int(most_edits(max(n, m)))
+    if abs(n - m) > most:
+        return False
+    if n == m and (a.words == b.words).all():
+        return True
+    if chained_distance(n, m, *chain(a.kmers[1], b.kmers[1], most)) <= most:
+        return True
+    if max(n, m) > LONG:
+        return pieced_distance(a, b, most) <= most
+    return banded_distance(a.listed, b.listed, most) <= most
+
+
+def bag(h: np.ndarray) -> np.ndarray:
+    """How many words fall in each of BINS bins; full at 65,535, which makes a bound no more than weaker."""
+    return np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65_535).astype(np.uint16)
+
+
+def may_align(n: np.ndarray, component: np.ndarray, role: np.ndarray, bags: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i of left, j of right) of pairs of different components that can reach SIMILARITY by their lengths and bags of words.
+
+    What one bag holds more of than the other takes an edit each: no pair at SIMILARITY is left out. Two rows of role 1 are compared elsewhere.
+    """
+    none = np.zeros(0, np.int64)
+    got_i, got_j = [none], [none]
+    total = bags.sum(1, dtype=np.int64)
+    for i in left.tolist():
+        most = most_edits(np.maximum(n[i], n[right]))
+        j = right[(component[i] != component[right]) & (np.abs(n[i] - n[right]) <= most) & ~((role[i] == 1) & (role[right] == 1))]
+        if j.size:
+            edits = np.maximum(bags[i], bags[j]).sum(1, dtype=np.int64) - np.minimum(total[i], total[j])
+            j = j[edits <= most_edits(np.maximum(n[i], n[j]))]
+            got_i.append(np.full(len(j), i))
+            got_j.append(j)
+    return np.concatenate(got_i), np.concatenate(got_j)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(cu, cv): the components of the pairs (u, v, cu, cv) whose texts align to SIMILARITY or more."""
+    """(cu, cv): the components of the pairs (u, v, cu, cv) whose texts are near copies.
+
+    A text that very many pairs name as u has copies under SALTS salts, so that its pairs are dealt over as many tasks.
+    """
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    both = pairs.join(right, "v").join(left, "u")
+    often = pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > max(1000, pairs.count() // 1000))
+    hot = F.broadcast(often.select("u", F.lit(SALTS).alias("salts")))  # fewer than 1,000 rows
+    pairs = pairs.join(hot, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    left = left.join(hot, "u", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    both = pairs.join(right, "v").join(left, ["u", "salt"]).select("cu", "cv", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lru_cache(maxsize=8)(lambda text: kmers(text)[1])
+        own = lru_cache(maxsize=4)(Text)
         for batch in batches:
             keep = []
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 for x, y in zip(part.column("text_u"), part.column("text_v"), strict=True):
-                    keep.append(similarity(own(x.as_py()), own(y.as_py())) >= SIMILARITY)
+                    keep.append(near_copies(own(x.as_py()), own(y.as_py())))
             yield batch.select(["cu", "cv"]).filter(pa.array(keep, type=pa.bool_()))
 
     return both.mapInArrow(run, "cu bigint, cv bigint").distinct()
@@ -165,8 +305,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _can_align() -> F.Column:
     """Lengths (nu, n) that a pair at SIMILARITY can have, and places (pu, pos) of a common k-mer that its band allows."""
-    short, long = F.least("nu", "n"), F.greatest("nu", "n")
-    return (short >= long * SIMILARITY) & (F.abs(F.col("pu") - F.col("pos")) <= _band(short + long))
+    most = F.greatest("nu", "n") * (1 - SIMILARITY) + 1e-9
+    return (F.abs(F.col("nu") - F.col("n")) <= most) & (F.abs(F.col("pu") - F.col("pos")) <= most)
 
 
 def _pairs_left(placed: DataFrame) -> int:
@@ -178,83 +318,53 @@ def _pairs_left(placed: DataFrame) -> int:
 def _against_one(placed: DataFrame, turn: int) -> DataFrame:
     """(u, v, cu, cv) of the member that each bucket draws this turn with the bucket's members of other components."""
     drawn = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("draw"), "doc_id", "n", "pos", "component")
-    heads = placed.groupBy("key").agg(F.min(drawn).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "head")
-    star = placed.join(heads, "key").where("component <> head.component")
+    heads = placed.groupBy("key").agg(F.min(drawn).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "head", "size")
+    star = join_sized(placed, heads, "key").where("component <> head.component")
     drawn = star.select(F.col("head.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("head.n").alias("nu"), "n", F.col("head.pos").alias("pu"), "pos", F.col("head.component").alias("cu"), F.col("component").alias("cv"))
     return drawn.where(_can_align())
 
 
-def bitmap(labelled: np.ndarray) -> np.ndarray:
-    """A bit for each labelled k-mer, in a number of bits (a power of two) about sixteen times theirs, as 64-bit words."""
-    bits = min(MOST_BITS, max(64, 1 << (16 * len(labelled) - 1).bit_length()))
-    at = np.unique((labelled & np.uint64(bits - 1)).astype(np.int64))
-    out = np.zeros(bits // 8, np.uint8)
-    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return out.view(np.uint64)
-
-
-def _folded(maps: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps in the size of the smallest: a larger one folded on itself."""
-    words = min(map(len, maps))
-    return np.stack([np.bitwise_or.reduce(x.reshape(-1, words), axis=0) for x in maps])
-
-
-def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, maps: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i of left, j of right) of pairs of different components that can reach SIMILARITY.
-
-    A bit that only one text has stands for at least one k-mer that the other lacks, which bounds what can be aligned: no pair at SIMILARITY is left out.
-    """
-    both = _folded([maps[i] for i in np.concatenate([left, right])])
-    a, b = both[: len(left)], both[len(left) :]
-    got_i, got_j = [], []
-    for at, i in enumerate(left):
-        total = n[i] + n[right]
-        fits = (component[i] != component[right]) & (np.minimum(n[i], n[right]) >= np.maximum(n[i], n[right]) * SIMILARITY)
-        fits &= np.abs(pos[i] - pos[right]) <= _band(total)
-        j = np.flatnonzero(fits)
-        if j.size:
-            common = np.minimum(n[i] - np.bitwise_count(a[at] & ~b[j]).sum(1, dtype=np.int64), n[right[j]] - np.bitwise_count(b[j] & ~a[at]).sum(1, dtype=np.int64))
-            j = j[common >= SIMILARITY / (1 + SIMILARITY) * total[j] - 1e-9]
-            got_i.append(np.full(len(j), i))
-            got_j.append(right[j])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(got_i), np.concatenate(got_j)) if got_i else (none, none)
-
-
 def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v, cu, cv) of all pairs that share a bucket, lie in different components and may align, by the bounds of their bitmaps.
+    """(u, v, cu, cv) of all pairs that share a bucket, lie in different components and may align, by the bounds of their bags.
 
-    Buckets beyond BUCKET_ROWS are dealt into parts of that size and each pair of parts is compared by itself; small buckets are compared many in a task's group.
+    A bucket beyond BUCKET_ROWS is cut by length first: members meet those of their own class and of the next shorter one, as near copies' lengths
+    differ by a quarter at most. What is still beyond BUCKET_ROWS is dealt into parts of that size and each pair of parts is compared by itself; small buckets are compared many in
+    a task's group.
     """
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    parts = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
-    rest = materialize(placed.join(mixed.select("key", parts.alias("parts")), "key"), "mixed")
+    own = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / SIMILARITY)) + 1e-9)
+    cells = F.when(F.col("size") <= BUCKET_ROWS, F.array(F.struct(F.col("key").alias("cell"), F.lit(0).alias("role")))).otherwise(
+        F.array(F.struct(F.xxhash64("key", own).alias("cell"), F.lit(0).alias("role")), F.struct(F.xxhash64("key", own - 1).alias("cell"), F.lit(1).alias("role")))
+    )
+    rest = join_sized(placed, mixed.select("key", "size"), "key").select(F.explode(cells).alias("at"), "doc_id", "n", "component").select("at.*", "doc_id", "n", "component")
+    rest = materialize(rest.distinct(), "mixed")
     n = rest.count()
     groups = max(1, n // BUCKET_ROWS)
     texts = pick(docs, rest.select("doc_id").distinct(), few=n <= BROADCAST_IDS).dropDuplicates(["doc_id"])
-    maps = text_to_rows(texts, "bits binary", lambda some: {"bits": [bitmap(kmers(t)[1]).tobytes() for t in some]})
-    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")
-    dealt = rest.join(maps, "doc_id").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))
-    sent = dealt.select(cell.alias("cell"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("parts") > 1).alias("large"), "part", "key", "doc_id", "n", "pos", "component", "bits")
+    bags = text_to_rows(texts, "bag binary", lambda some: {"bag": [bag(words(t)).tobytes() for t in some]})
+    sizes = rest.groupBy("cell").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BUCKET_ROWS).cast("int"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")
+    dealt = join_sized(rest, sizes, "cell").join(bags, "doc_id").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(groups))).otherwise(F.col("cell"))
+    sent = dealt.select(group.alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("parts") > 1).alias("large"), "part", "cell", "role", "doc_id", "n", "component", "bag")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        key, part, doc = (table.column(c).to_numpy() for c in ("key", "part", "doc_id"))
-        n, pos, component = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "component"))
+        table = table.sort_by("cell")
+        cell, part, doc = (table.column(c).to_numpy() for c in ("cell", "part", "doc_id"))
+        n, component, role = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "component", "role"))
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        maps = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-        found = []
-        for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+        bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint16).reshape(-1, BINS)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for rows in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
             left, right = rows[part[rows] == low], rows[part[rows] == high]
             if len(left) and len(right):
-                i, j = may_align(n, pos, component, maps, left, right)
+                i, j = may_align(n, component, role, bags, left, right)
                 once = doc[i] < doc[j] if low == high else np.ones(len(i), bool)
                 found.append((i[once], j[once]))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"u": doc[i], "v": doc[j], "cu": component[i], "cv": component[j]})
 
-    return sent.groupBy("cell", "large", "low", "high").applyInArrow(compare, "u bigint, v bigint, cu bigint, cv bigint")
+    return sent.groupBy("group", "large", "low", "high").applyInArrow(compare, "u bigint, v bigint, cu bigint, cv bigint")
 
 
 def _joined(placed: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -266,7 +376,11 @@ def _joined(placed: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = wanted.select(F.col("u").alias("doc_id")).union(wanted.select("v")).distinct()
     links = materialize(_verified(wanted, pick(docs, ids, few=2 * n <= BROADCAST_IDS).dropDuplicates(["doc_id"])), "verified")
     found = connected_components(links.toDF("u", "v")).toDF("component", "new")
-    return materialize(placed.join(found, "component", "left").select("key", "doc_id", "n", "pos", F.coalesce("new", "component").alias("component")), "placed")
+    sized = found.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component")
+    moved = join_sized(placed, sized, "component").select("key", "doc_id", "n", "pos", F.col("new").alias("component"))
+    out = materialize(moved.unionByName(placed.join(found, "component", "left_anti")), "placed")
+    discard(wanted, links)
+    return out
 
 
 def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", few: bool | None = None) -> DataFrame:
@@ -279,7 +393,7 @@ def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", few: bool | No
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, component_id, kept for each row of docs: documents linked, directly or by others, share the smallest doc_id.
 
-    Equal texts are linked; so are texts whose k-mers align to SIMILARITY or more. Null, empty and blank texts link with
+    Equal texts are linked; so are texts that share a sketch and whose words' edit distance is at most a fifth of the longer text's words. Null, empty and blank texts link with
     nothing. A row with a null doc_id has component null and isn't kept; repeated rows give repeated rows; other columns are
     ignored.
 
@@ -295,22 +409,30 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         return {"n": list(n), "keys": list(keys), "places": list(places)}
 
     made = materialize(text_to_rows(with_digest, "n int, keys array<bigint>, places array<int>", rows, keep=("doc_id", "digest")), "sketches")
-    first = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = made.select("doc_id", "digest").join(first, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    first = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     reps = made.where(F.size("keys") > 0).join(first.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own")), "doc_id").where("digest = own")
     keyed = reps.select("doc_id", "n", F.explode(F.arrays_zip("keys", "places")).alias("x")).select(F.col("x.keys").alias("key"), "doc_id", "n", F.col("x.places").alias("pos"))
 
-    several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    placed = materialize(keyed.join(several, "key").withColumn("component", F.col("doc_id")).distinct(), "placed")
+    keyed = materialize(keyed, "keyed")
+    several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    placed = materialize(join_sized(keyed, several, "key").select("key", "doc_id", "n", "pos", F.col("doc_id").alias("component")).distinct(), "placed")
+    discard(keyed)
     size, turn = placed.count(), 0
     while (left := _pairs_left(placed)) > (TURN_PAIRS if turn else FIRST_PAIRS) * size:
         # one random member of each bucket against its other components
-        turn, placed = turn + 1, _joined(placed, _against_one(placed, turn), own)
+        before, turn, placed = placed, turn + 1, _joined(placed, _against_one(placed, turn), own)
+        if placed is not before:
+            discard(before)
         if turn > 1 and _pairs_left(placed) > 0.5 * left:
             break
-    found = _joined(placed, _close_pairs(placed, own), own).select("doc_id", "component").distinct().withColumnRenamed("doc_id", "u")
-    out = members.join(found.withColumnRenamed("u", "rep"), "rep", "left")
-    return out.select("doc_id", F.coalesce("component", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(False)).alias("kept"))
+    found = _joined(placed, _close_pairs(placed, own), own).select(F.col("doc_id").alias("rep"), "component").distinct()
+    classes = materialize(first.join(found, "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component")), "classes")
+    copies = join_sized(made.where("digest is not null").select("doc_id", "digest"), classes, "digest").select("doc_id", "component")
+    # texts without words, and those that occur under null ids alone
+    unnamed = made.where("digest is not null and doc_id is null").select("doc_id", "digest").join(classes, "digest", "left_anti")
+    alone = made.where("digest is null").select("doc_id").unionByName(unnamed.select("doc_id")).withColumn("component", F.col("doc_id"))
+    out = copies.unionByName(alone)
+    return out.select("doc_id", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
