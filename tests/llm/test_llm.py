@@ -417,6 +417,31 @@ def test_search_against_brute_force(spark, docs, awkward, empty, monkeypatch):
     assert bm25_search.search(empty, empty).count() == 0
 
 
+def test_search_with_ties_repeats_and_common_terms(spark, monkeypatch):
+    monkeypatch.setattr(bm25_search, "SHARD_DOCS", 150)
+    monkeypatch.setattr(bm25_search, "SHORT", 2)
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["the", "of", "a"] + [f"w{r.randrange(60)}" for _ in range(4)]) for _ in range(r.randint(0, 25))) for _ in range(150)]
+    rows = [(i, texts[r.randrange(150)]) for i in range(500)] + [(7, texts[0]), (7, texts[0]), (None, texts[1]), (900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    queries = df.where("doc_id % 10 = 0")
+    words = [Counter(bm25_search.WORDS.findall(t or "")) for _, t in rows]
+    n, mean, held = len(rows), sum(sum(w.values()) for w in words) / len(rows), Counter(t for w in words for t in w)
+    want = []
+    for q, text in rows:
+        if q is not None and q % 10 == 0:
+            own = Counter(bm25_search.WORDS.findall(text or ""))
+            found = []
+            for (i, _), w in zip(rows, words, strict=True):
+                s = sum(c * np.log(1 + (n - held[t] + 0.5) / (held[t] + 0.5)) * w[t] * 2.2 / (w[t] + 1.2 * (0.25 + 0.75 * sum(w.values()) / mean)) for t, c in own.items() if t in w)
+                if s > 0:
+                    found.append((-round(s, 6), -1 if i is None else i))
+            want += [(q, i, s) for s, i in sorted(found)[:10]]
+    got = [(x["query_id"], -1 if x["doc_id"] is None else x["doc_id"], -x["score"]) for x in bm25_search.search(df, queries, 10).collect()]
+    got, want = sorted(got), sorted(want)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
 def test_search_destroys_each_blocks_broadcast(spark, monkeypatch):
     monkeypatch.setattr(bm25_search, "QUERY_ROWS", 20)
     made, gone = [], []
