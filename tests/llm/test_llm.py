@@ -46,7 +46,8 @@ def random_texts(n, seed=3):
 @pytest.fixture(scope="module")
 def counter():
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        return byte_bpe.Prefixes(f.read())
+        content = f.read()
+    return byte_bpe.Prefixes(content, byte_bpe.odd_in_tokenizers(content))
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +64,38 @@ def test_counts_at_every_prefix(counter, library):
         assert counter.total(text) == want[-1]
 
 
+def test_prefixes_inside_special_strings(counter, library):
+    for text in ["a.<|endoftext|>", "a <|endoftext|>b", " <|endoftext|>", ".<|startoftext|><|endoftext|> <|endoftext|>\n", "<|endoftext", "it's<|endoftext|>'re", "a  <|endoftext|>  b", "x\x1c \x1f y"]:
+        assert counter.at_prefixes(text) == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+
+
+def _all_points(first):
+    """Every code point, assigned or not, after a letter, a number or a sign, in texts of 500."""
+    points = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    return ["\n".join(first + c + "s" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+
+
+@pytest.mark.parametrize("first", "a1.")
+def test_counts_of_every_code_point(counter, library, first):
+    texts = _all_points(first)
+    assert [counter.total(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("first", "a1.")
+def test_ids_of_every_code_point(first):
+    import base64
+
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        content = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = byte_bpe.Encoder(byte_bpe.Ranks(content, P.PATTERN, byte_bpe.odd_in_tiktoken(P.PATTERN)))
+    texts = _all_points(first)
+    assert encoder.encode(texts) == [np.array(x, "<u4").tobytes() for x in encoding.encode_ordinary_batch(texts)]
+
+
 def test_token_counts(awkward, empty, library):
     got = byte_bpe.token_counts(awkward, P.path("byte_bpe_50k.json"), 10).collect()
     assert len(got) == awkward.count()

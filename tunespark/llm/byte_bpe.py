@@ -11,12 +11,15 @@ import base64
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tunespark.llm.common import Cache, text_to_rows
 
@@ -25,6 +28,74 @@ FAR = 1 << 40
 #: A blank next to another white space: there the pattern can join what lies on both sides of the blank.
 JOINED = re.compile(r"\s (?=\s|\Z)|  ")
 
+#: A letter, a number, neither, and a white space of which every Unicode version says so.
+STAND_INS = {"letter": "\u00aa", "number": "\u00b2", "other": "\u2022", "space": "\u2003"}
+
+
+def odd_points(joined: Callable[[str, str], np.ndarray]) -> dict[int, str]:
+    """Code points that the library takes for another class (letter, number, space, other) than the `regex` module, with a stand-in of the library's class.
+
+    The two go by different versions of Unicode. joined(first, points) says for each point whether the library leaves first + point in one piece.
+    """
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]))
+    own = {kind: set(regex.findall(pattern, every)) for kind, pattern in (("letter", r"\p{L}"), ("number", r"\p{N}"), ("space", r"\s"))}
+    left = "".join(regex.findall(r"[^\p{Cn}\p{Co}\p{Cs}]", every))
+    odd = {}
+    for kind, first in (("letter", "a"), ("number", "1"), ("other", "!"), ("space", "")):
+        same = joined(first, left) if first else np.ones(len(left), bool)
+        for c in (c for c, x in zip(left, same.tolist(), strict=True) if x):
+            if c not in own[kind] if kind in own else any(c in x for x in own.values()):
+                odd[ord(c)] = STAND_INS[kind]
+        left = "".join(c for c, x in zip(left, same.tolist(), strict=True) if not x)
+    return odd
+
+
+@lru_cache(maxsize=4)
+def odd_in_tiktoken(pattern: str) -> dict[int, str]:
+    """The odd points of tiktoken: a toy vocabulary merges a, 1 or ! with the first byte of a point where the pattern leaves them in one piece."""
+    ranks = {bytes([i]): i for i in range(256)}
+    for first in b"a1!":
+        for lead in range(0xC2, 0xF5):
+            ranks[bytes([first, lead])] = len(ranks)
+    encoding = tiktoken.Encoding("toy", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def joined(first: str, points: str) -> np.ndarray:
+        ids = np.array(encoding.encode_ordinary("".join(f"{first}{c}\n" for c in points)))
+        starts = np.concatenate([[0], np.flatnonzero(ids == 10)[:-1] + 1]) if len(points) else np.zeros(0, np.int64)
+        return ids[starts] >= 256 if len(points) else np.zeros(0, bool)
+
+    return odd_points(joined)
+
+
+@lru_cache(maxsize=4)
+def odd_in_tokenizers(content: str) -> dict[int, str]:
+    """The odd points of a tokenizers vocabulary, by the pieces of its own pre-tokenizer."""
+    cut = Tokenizer.from_str(content).pre_tokenizer
+
+    def joined(first: str, points: str) -> np.ndarray:
+        starts = np.zeros(3 * len(points) + 1, bool)
+        starts[[at[0] for _, at in cut.pre_tokenize_str("".join(f"{first}{c}\n" for c in points))]] = True
+        return ~starts[1 : 3 * len(points) : 3]
+
+    return odd_points(joined)
+
+
+def _listed(odd: dict[int, str]) -> tuple[str, str]:
+    return "".join(map(chr, odd)), "".join(odd.values())
+
+
+class Cutter:
+    """Cuts texts by a vocabulary's pattern with the library's classes of code points."""
+
+    def __init__(self, pattern: str, odd: dict[int, str]):
+        self.pattern, self.odd = regex.compile(pattern), odd
+        self.points = frozenset(map(chr, odd))
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or self.points.isdisjoint(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.odd))]
+
 
 def _slot(key: np.ndarray, size: int) -> np.ndarray:
     return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
@@ -47,9 +118,9 @@ def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Ranks:
     """A vocabulary given as ranks of byte strings, as the tiktoken library reads it."""
 
-    def __init__(self, content: bytes, pattern: str):
+    def __init__(self, content: bytes, pattern: str, odd: dict[int, str]):
         self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-        self.pattern = regex.compile(pattern)
+        self.cut = Cutter(pattern, odd)
         self.size = max(self.rank.values()) + 1
         self.word: list[bytes] = [b""] * self.size
         for token, r in self.rank.items():
@@ -207,14 +278,14 @@ class Encoder:
     def chunks(self, text: str) -> list[str]:
         """The text cut before blanks where no piece of the pattern reaches across; else whole pieces."""
         if JOINED.search(text):
-            return self.ranks.pattern.findall(text)
+            return self.ranks.cut(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > self.most:
             self.known.clear()
-        cut = {x: self.ranks.pattern.findall(x) for x in chunks}
+        cut = {x: self.ranks.cut(x) for x in chunks}
         pieces = {p for x in cut.values() for p in x}
         if len(self.pieces) + len(pieces) > self.most:
             self.pieces.clear()
@@ -237,8 +308,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(content: bytes, pattern: str) -> Encoder:
-    return Encoder(Ranks(content, pattern))
+def _encoder(content: bytes, pattern: str, points: str, stand_ins: str) -> Encoder:
+    return Encoder(Ranks(content, pattern, dict(zip(map(ord, points), stand_ins, strict=True))))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
@@ -247,10 +318,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
     Null and empty texts have no ids and the digests of no bytes; repeated rows give repeated rows; other columns are ignored.
     """
     with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern, *_listed(odd_in_tiktoken(pattern))))
 
     def rows(texts: list[str]) -> dict[str, list]:
-        encoder = _encoder(shared.value, pattern)
+        encoder = _encoder(*shared.value)
         ids = encoder.encode(texts)
         return {
             "n_tokens": [len(x) // 4 for x in ids],
@@ -269,7 +340,8 @@ class Prefixes:
     when both are merged; so the last token, and with it the count, of every prefix follows from shorter prefixes.
     """
 
-    def __init__(self, content: str, most: int = 500_000):
+    def __init__(self, content: str, odd: dict[int, str], most: int = 500_000):
+        self.cut = Cutter(self.pattern, odd)
         data = json.loads(content)
         to_byte = {c: b for b, c in byte_letters().items()}
         vocab = data["model"]["vocab"]
@@ -333,9 +405,9 @@ class Prefixes:
         return count
 
     def _total(self, chunk: str) -> int:
-        return sum([self.sizes[p] for p in self.pattern.findall(chunk)])
+        return sum([self.sizes[p] for p in self.cut(chunk)])
 
-    pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def parts(self, text: str) -> list[str | None]:
         """The text cut at the vocabulary's special strings, which stand as None."""
@@ -354,7 +426,7 @@ class Prefixes:
             if part is None:
                 n += 1
             elif JOINED.search(part):
-                n += sum(map(self.totals.__getitem__, self.pattern.findall(part)))
+                n += sum(map(self.totals.__getitem__, self.cut(part)))
             else:
                 first, *rest = part.split(" ")
                 n += (self.totals[first] if first else 0) + sum([self.totals[" " + x] for x in rest])
@@ -362,29 +434,38 @@ class Prefixes:
 
     def at_prefixes(self, text: str) -> list[int]:
         """Tokens of text[:i], encoded by itself, for each i from 0 to its length in characters."""
-        out, base = [0], 0
-        for part in self.parts(text):
-            if part is None:
-                name = next(x for x in self.names if text.startswith(x, len(out) - 1))
-                inner = Prefixes.at_prefixes(self, name[:-1])
-                out += [base + x for x in inner[1:]] + [base + 1]
-                base += 1
-                continue
-            spot, before = 0, None
-            for piece in self.pattern.findall(part):
-                counts = self.counts[piece.encode()]
-                ends = np.cumsum([len(c.encode()) for c in piece]).tolist()
-                own = [base + counts[e] for e in ends]
-                if before is not None and before.isspace() and piece[0].isspace():
-                    # a prefix that ends here ends in one run of white space
-                    own[0] = base - self.counts[before.encode()][-1] + self.counts[(before + piece[0]).encode()][-1]
-                if piece in ("'re", "'ve", "'ll"):
-                    own[1] = base + self.counts[b"'"][-1] + self.counts[piece[1].encode()][-1]
-                out += own
-                base += counts[-1]
-                before, spot = piece, spot + len(piece)
+        out, parts, at = [0], self.parts(text), 0
+        for part, special in zip(parts[::2], [*parts[1::2], ""], strict=True):
+            base, at = out[-1], at + len(part or "")
+            # up to its last character a special string is plain text that goes on from the part before it
+            name = "" if special == "" else next(x for x in sorted(self.names, key=len, reverse=True) if text.startswith(x, at))
+            counts = self._plain_prefixes(part + name[:-1])
+            out += [base + n for n in counts[1:]]
+            if name:
+                out.append(base + counts[len(part)] + 1)
+                at += len(name)
+        return out
+
+    def _plain_prefixes(self, text: str) -> list[int]:
+        out, base, before = [0], 0, None
+        for piece in self.cut(text):
+            counts = self.counts[piece.encode()]
+            ends = np.cumsum([len(c.encode()) for c in piece]).tolist()
+            own = [base + counts[e] for e in ends]
+            if before is not None and self.space(before) and self.space(piece[0]):
+                # a prefix that ends here ends in one run of white space
+                own[0] = base - self.counts[before.encode()][-1] + self.counts[(before + piece[0]).encode()][-1]
+            if piece in ("'re", "'ve", "'ll"):
+                own[1] = base + self.counts[b"'"][-1] + self.counts[piece[1].encode()][-1]
+            out += own
+            base += counts[-1]
+            before = piece
         return out
 
+    @staticmethod
+    def space(text: str) -> bool:
+        return regex.fullmatch(r"\s+", text) is not None
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary: itself where printable, else from 256 on."""
@@ -394,13 +475,14 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def _prefixes(content: str) -> Prefixes:
-    return Prefixes(content)
+def _prefixes(content: str, points: str, stand_ins: str) -> Prefixes:
+    return Prefixes(content, dict(zip(map(ord, points), stand_ins, strict=True)))
 
 
 def _shared(docs: DataFrame, vocabulary: str):
     with open(vocabulary, encoding="utf-8") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    return docs.sparkSession.sparkContext.broadcast((content, *_listed(odd_in_tokenizers(content))))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, text: str = "text") -> DataFrame:
@@ -411,7 +493,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, text: str
     shared = _shared(docs, vocabulary)
 
     def rows(texts: list[str]) -> dict[str, list]:
-        counter = _prefixes(shared.value)
+        counter = _prefixes(*shared.value)
         n = [counter.total(t) for t in texts]
         return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
@@ -425,7 +507,7 @@ def prefix_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
     Null texts have the one count 0.
     """
     shared = _shared(docs, vocabulary)
-    return text_to_rows(docs, "counts array<int>", lambda texts: {"counts": [_prefixes(shared.value).at_prefixes(t) for t in texts]}, text=text)
+    return text_to_rows(docs, "counts array<int>", lambda texts: {"counts": [_prefixes(*shared.value).at_prefixes(t) for t in texts]}, text=text)
 
 
 def truncation_points(counts: DataFrame, budget: int) -> DataFrame:
