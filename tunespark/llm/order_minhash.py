@@ -26,15 +26,17 @@ WORDS_A_KMER, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 40, 2
 #: Texts of up to SHORT k-mers have all of them as keys instead of sketches, and those of up to KEYED, the most that a near copy of a short text has, have both.
 SHORT, KEYED = 32, 46
-#: While more pairs than this a row of the buckets are left between components, one random member of each bucket is compared with
-#: the rest: nearly always once, since a first turn joins most copies; again only where bounding all pairs would be long.
-FIRST_PAIRS, TURN_PAIRS = 0.25, 100
+#: While more pairs than FIRST_PAIRS a row of the buckets are left between components, each document is compared with one random member of its
+#: buckets; again as long as more than GAIN of the pairs tried are links, MOST_TURNS times at most. What is left then is paired in full.
+FIRST_PAIRS, GAIN, MOST_TURNS = 0.25, 0.15, 8
 #: Members of a bucket that are compared as one part; bins of a bag of words.
 BUCKET_ROWS, BINS = 2048, 256
 #: Ids of up to this many documents (8 MB) are broadcast to pick their texts out; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Words up to which two texts are aligned in one piece; numbers that a sketch holds at a time (8 MB); copies of a text that very many are compared with.
-LONG, SKETCHED, SALTS = 20_000, 1 << 20, 64
+#: Words up to which two texts are aligned at once, and in one piece; numbers that a sketch holds at a time (8 MB); copies of a text that very many are compared with.
+BRIEF, LONG, SKETCHED, SALTS = 300, 20_000, 1 << 20, 64
+#: Pairs that are aligned in one task by their texts; words of a text that travel with its bucket at most (16 KB).
+PAIRS_A_TASK, CARRIED = 2000, 4096
 
 
 def words(text: str) -> np.ndarray:
@@ -120,6 +122,13 @@ class Text:
     def __init__(self, text: str):
         self.words = words(text)
 
+    @classmethod
+    def of(cls, hashed: np.ndarray) -> Text:
+        """The text of these hashed words."""
+        out = cls("")
+        out.words = hashed.astype(np.uint64)
+        return out
+
     @cached_property
     def listed(self) -> list[int]:
         return self.words.tolist()
@@ -174,7 +183,7 @@ def chain(x: np.ndarray, y: np.ndarray, most: float) -> tuple[np.ndarray, np.nda
     order = np.argsort(at)
     at, to = at[order], to[order]
     if not (to[1:] < to[:-1]).any():
-        return at, to
+        return at, to  # also when there is none
     tops: list[int] = []
     ends: list[int] = []
     back = []
@@ -190,53 +199,49 @@ def chain(x: np.ndarray, y: np.ndarray, most: float) -> tuple[np.ndarray, np.nda
     return at[kept], to[kept]
 
 
-def chained_distance(n: int, m: int, at: np.ndarray, to: np.ndarray) -> int:
-    """Edits that an alignment through a chain of equal k-mers takes at most, of texts of n and m words."""
-    if not len(at):
-        return max(n, m)
-    k = min(WORDS_A_KMER, n, m)
-    da, dt = np.diff(at), np.diff(to)
-    inner = np.maximum(da, dt) - np.minimum(np.minimum(da, dt), k)
-    return int(max(at[0], to[0]) + inner.sum() + max(n - at[-1] - k, m - to[-1] - k))
-
-
 def _once(plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values that occur once, and their places."""
+    """Values that occur once, in the order of the text, and their places."""
     value, at, count = np.unique(plain, return_index=True, return_counts=True)
-    return value[count == 1], at[count == 1]
+    at = np.sort(at[count == 1])
+    return plain[at], at
 
 
-def pieced_distance(a: Text, b: Text, most: int) -> int:
-    """Edits of an alignment of long texts in pieces: they are cut at five-word runs that occur once in either, in a chain, pieces of LONG words at most.
+def anchored_distance(a: Text, b: Text, most: int) -> int:
+    """Edits of an alignment that matches a longest chain of k-mers which occur once in either text, or more than `most`.
 
-    Where a long stretch has no such run, it is cut in the same proportion. Each piece is aligned exactly, so this is at least the edit distance.
+    Between the chain's runs the words are aligned exactly in their band; a stretch of more than LONG words without a run is cut in the same proportion.
     """
     (va, at), (vb, to) = _once(a.kmers[0]), _once(b.kmers[0])
-    _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    left, right = chain(va[i][np.argsort(at[i])], vb[j][np.argsort(to[j])], np.inf) if len(i) else (i, j)
-    left, right = np.sort(at[i])[left], np.sort(to[j])[right]
-    n, m, total, x, y, k = len(a.words), len(b.words), 0, 0, 0, 0
-    while x < n or y < m:
-        # the last anchor within LONG words of both places
-        k = int(min(np.searchsorted(left, x + LONG, "right"), np.searchsorted(right, y + LONG, "right")))
-        if n - x <= LONG and m - y <= LONG:
-            to_x, to_y = n, m
-        elif k and left[k - 1] > x and right[k - 1] > y:
-            to_x, to_y = int(left[k - 1]), int(right[k - 1])
-        else:
-            part = LONG / max(n - x, m - y)
-            to_x, to_y = x + int((n - x) * part), y + int((m - y) * part)
-        total += banded_distance(a.listed[x:to_x], b.listed[y:to_y], max(0, most - total))
-        if total > most:
-            return most + 1
-        x, y = to_x, to_y
+    i, j = chain(va, vb, np.inf)
+    at, to = at[i], to[j]
+    near = np.abs(at - to) <= most
+    at, to = at[near], to[near]
+    # where a run of neighbouring matches begins and ends
+    joint = (np.diff(at) == np.diff(to)) & (np.diff(at) <= WORDS_A_KMER)
+    first, last = np.append(True, ~joint)[: len(at)], np.append(~joint, True)[: len(at)]
+    runs = zip(at[first].tolist(), to[first].tolist(), (at[last] + WORDS_A_KMER).tolist(), (to[last] + WORDS_A_KMER).tolist(), strict=True)
+    n, m, total, x, y = len(a.words), len(b.words), 0, 0, 0
+    for start_a, start_b, end_a, end_b in [*runs, (n, m, n, m)]:
+        over = max(0, x - start_a, y - start_b)
+        start_a, start_b = start_a + over, start_b + over
+        if start_a > end_a:
+            continue
+        while x < start_a or y < start_b:
+            longest = max(start_a - x, start_b - y)
+            to_x, to_y = (start_a, start_b) if longest <= LONG else (x + (start_a - x) * LONG // longest, y + (start_b - y) * LONG // longest)
+            piece_a, piece_b = a.listed[x:to_x], b.listed[y:to_y]
+            total += banded_distance(piece_a, piece_b, min(most - total, max(len(piece_a), len(piece_b)))) if piece_a and piece_b else max(len(piece_a), len(piece_b))
+            if total > most:
+                return most + 1
+            x, y = to_x, to_y
+        x, y = end_a, end_b
     return total
 
 
 def near_copies(a: Text, b: Text) -> bool:
     """Whether the edit distance of the words is at most a share of 1 - SIMILARITY of the longer text's.
 
-    An alignment through common labelled k-mers that is good enough settles it; else the banded alignment does.
+    The banded alignment of the words decides; texts beyond BRIEF words are aligned in pieces between k-mers that occur once in both.
     """
     n, m = len(a.words), len(b.words)
     if not n or not m:
@@ -246,10 +251,8 @@ def near_copies(a: Text, b: Text) -> bool:
         return False
     if n == m and (a.words == b.words).all():
         return True
-    if chained_distance(n, m, *chain(a.kmers[1], b.kmers[1], most)) <= most:
-        return True
-    if max(n, m) > LONG:
-        return pieced_distance(a, b, most) <= most
+    if max(n, m) > BRIEF:
+        return anchored_distance(a, b, most) <= most
     return banded_distance(a.listed, b.listed, most) <= most
 
 
@@ -258,27 +261,29 @@ def bag(h: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65_535).astype(np.uint16)
 
 
-def may_align(n: np.ndarray, component: np.ndarray, role: np.ndarray, bags: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i of left, j of right) of pairs of different components that can reach SIMILARITY by their lengths and bags of words.
+def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, role: np.ndarray, bags: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i of left, j of right) and least edits of pairs of different components that can reach SIMILARITY by their lengths and bags of words.
 
-    What one bag holds more of than the other takes an edit each: no pair at SIMILARITY is left out. Two rows of role 1 are compared elsewhere.
+    What one bag holds more of than the other takes an edit each, as does what texts differ in length before or after the common k-mer (at pos): no
+    pair at SIMILARITY that aligns the k-mer is left out. Two rows of role 1 are compared elsewhere.
     """
     none = np.zeros(0, np.int64)
-    got_i, got_j = [none], [none]
+    got_i, got_j, got_edits = [none], [none], [none]
     total = bags.sum(1, dtype=np.int64)
     for i in left.tolist():
         most = most_edits(np.maximum(n[i], n[right]))
-        j = right[(component[i] != component[right]) & (np.abs(n[i] - n[right]) <= most) & ~((role[i] == 1) & (role[right] == 1))]
+        j = right[(component[i] != component[right]) & (np.abs(pos[i] - pos[right]) + np.abs(n[i] - pos[i] - n[right] + pos[right]) <= most) & ~((role[i] == 1) & (role[right] == 1))]
         if j.size:
             edits = np.maximum(bags[i], bags[j]).sum(1, dtype=np.int64) - np.minimum(total[i], total[j])
-            j = j[edits <= most_edits(np.maximum(n[i], n[j]))]
-            got_i.append(np.full(len(j), i))
-            got_j.append(j)
-    return np.concatenate(got_i), np.concatenate(got_j)
+            fits = edits <= most_edits(np.maximum(n[i], n[j]))
+            got_i.append(np.full(int(fits.sum()), i))
+            got_j.append(j[fits])
+            got_edits.append(edits[fits])
+    return np.concatenate(got_i), np.concatenate(got_j), np.concatenate(got_edits)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(cu, cv): the components of the pairs (u, v, cu, cv) whose texts are near copies.
+def _verified(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """(cu, cv): the components of the n pairs (u, v, cu, cv) whose texts are near copies.
 
     A text that very many pairs name as u has copies under SALTS salts, so that its pairs are dealt over as many tasks.
     """
@@ -288,7 +293,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     hot = F.broadcast(often.select("u", F.lit(SALTS).alias("salts")))  # fewer than 1,000 rows
     pairs = pairs.join(hot, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     left = left.join(hot, "u", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    both = pairs.join(right, "v").join(left, ["u", "salt"]).select("cu", "cv", "text_u", "text_v")
+    parts = max(1, min(8192, n // PAIRS_A_TASK))
+    both = pairs.join(right, "v").repartition(parts, "u", "salt").join(left.repartition(parts, "u", "salt"), ["u", "salt"]).select("cu", "cv", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lru_cache(maxsize=4)(Text)
@@ -304,9 +310,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _can_align() -> F.Column:
-    """Lengths (nu, n) that a pair at SIMILARITY can have, and places (pu, pos) of a common k-mer that its band allows."""
-    most = F.greatest("nu", "n") * (1 - SIMILARITY) + 1e-9
-    return (F.abs(F.col("nu") - F.col("n")) <= most) & (F.abs(F.col("pu") - F.col("pos")) <= most)
+    """Lengths (nu, n) and places (pu, pos) of a common k-mer that a pair at SIMILARITY can have.
+
+    An alignment that matches the k-mer takes as many edits as the texts differ in length before it, and after it.
+    """
+    before, after = F.abs(F.col("pu") - F.col("pos")), F.abs(F.col("nu") - F.col("n") - F.col("pu") + F.col("pos"))
+    return before + after <= F.greatest("nu", "n") * (1 - SIMILARITY) + 1e-9
 
 
 def _pairs_left(placed: DataFrame) -> int:
@@ -316,78 +325,120 @@ def _pairs_left(placed: DataFrame) -> int:
 
 
 def _against_one(placed: DataFrame, turn: int) -> DataFrame:
-    """(u, v, cu, cv) of the member that each bucket draws this turn with the bucket's members of other components."""
-    drawn = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("draw"), "doc_id", "n", "pos", "component")
-    heads = placed.groupBy("key").agg(F.min(drawn).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "head", "size")
-    star = join_sized(placed, heads, "key").where("component <> head.component")
-    drawn = star.select(F.col("head.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("head.n").alias("nu"), "n", F.col("head.pos").alias("pu"), "pos", F.col("head.component").alias("cu"), F.col("component").alias("cv"))
-    return drawn.where(_can_align())
+    """(u, v, cu, cv): each document with the member of its buckets, of another component, that comes first in this turn's random order of all documents.
+
+    The order is the same in all buckets, so that a large group's members meet few of its own: one pair a document at most.
+    """
+    draw = F.xxhash64("doc_id", F.lit(turn))
+    heads = placed.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "doc_id", "n", "pos", "component")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "head", "size")
+    star = join_sized(placed, heads, "key").where("component <> head.component").select(
+        F.col("head.draw").alias("draw"), F.col("head.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("head.n").alias("nu"), "n", F.col("head.pos").alias("pu"), "pos", F.col("head.component").alias("cu"), F.col("component").alias("cv")
+    )
+    return star.where(_can_align()).groupBy("v", "cv").agg(F.min(F.struct("draw", "u", "cu")).alias("head")).select("head.u", "v", "head.cu", "cv")
 
 
 def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v, cu, cv) of all pairs that share a bucket, lie in different components and may align, by the bounds of their bags.
+    """(u, v, cu, cv, linked): near copies that share a bucket and lie in different components, enough of them to connect all that are linked.
 
     A bucket beyond BUCKET_ROWS is cut by length first: members meet those of their own class and of the next shorter one, as near copies' lengths
     differ by a quarter at most. What is still beyond BUCKET_ROWS is dealt into parts of that size and each pair of parts is compared by itself; small buckets are compared many in
-    a task's group.
+    a task's group. Pairs are bounded by their bags of words, and those left are aligned where they meet, the closest first, unless earlier links of the
+    task connect them; a pair of several buckets is aligned in one of them. Pairs with a text beyond CARRIED words are given unaligned (linked is null).
     """
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     own = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / SIMILARITY)) + 1e-9)
     cells = F.when(F.col("size") <= BUCKET_ROWS, F.array(F.struct(F.col("key").alias("cell"), F.lit(0).alias("role")))).otherwise(
         F.array(F.struct(F.xxhash64("key", own).alias("cell"), F.lit(0).alias("role")), F.struct(F.xxhash64("key", own - 1).alias("cell"), F.lit(1).alias("role")))
     )
-    rest = join_sized(placed, mixed.select("key", "size"), "key").select(F.explode(cells).alias("at"), "doc_id", "n", "component").select("at.*", "doc_id", "n", "component")
+    rest = join_sized(placed, mixed.select("key", "size"), "key").select(F.explode(cells).alias("at"), "doc_id", "n", "pos", "component").select("at.*", "doc_id", "n", "pos", "component")
     rest = materialize(rest.distinct(), "mixed")
     n = rest.count()
     groups = max(1, n // BUCKET_ROWS)
     texts = pick(docs, rest.select("doc_id").distinct(), few=n <= BROADCAST_IDS).dropDuplicates(["doc_id"])
-    bags = text_to_rows(texts, "bag binary", lambda some: {"bag": [bag(words(t)).tobytes() for t in some]})
+
+    def carried(some: list[str]) -> dict[str, list]:
+        hashed = [words(t) for t in some]
+        return {"bag": [bag(h).tobytes() for h in hashed], "words": [h.astype(np.uint32).tobytes() if len(h) <= CARRIED else None for h in hashed]}
+
+    at = rest.groupBy("doc_id").agg(F.collect_set(F.when(F.col("role") == 0, F.col("cell"))).alias("own_cells"), F.collect_set(F.when(F.col("role") == 1, F.col("cell"))).alias("next_cells"))
+    known = text_to_rows(texts, "bag binary, words binary", carried).join(at, "doc_id")
     sizes = rest.groupBy("cell").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BUCKET_ROWS).cast("int"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")
-    dealt = join_sized(rest, sizes, "cell").join(bags, "doc_id").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = join_sized(rest, sizes, "cell").join(known, "doc_id").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(groups))).otherwise(F.col("cell"))
-    sent = dealt.select(group.alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("parts") > 1).alias("large"), "part", "cell", "role", "doc_id", "n", "component", "bag")
+    sent = dealt.select(group.alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("parts") > 1).alias("large"), "part", "cell", "role", "doc_id", "n", "pos", "component", "bag", "words", "own_cells", "next_cells")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell")
         cell, part, doc = (table.column(c).to_numpy() for c in ("cell", "part", "doc_id"))
-        n, component, role = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "component", "role"))
+        n, pos, component, role = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "component", "role"))
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint16).reshape(-1, BINS)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        raw, mine, after = (table.column(c) for c in ("words", "own_cells", "next_cells"))
+        own_cells, next_cells = (lru_cache(maxsize=4096)(lambda i, c=c: frozenset(c[i].as_py())) for c in (mine, after))
+        text = lru_cache(maxsize=4096)(lambda i: Text.of(np.frombuffer(raw[i].as_py(), np.uint32)) if raw[i].is_valid else None)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        out: list[tuple] = []
         for rows in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
             left, right = rows[part[rows] == low], rows[part[rows] == high]
-            if len(left) and len(right):
-                i, j = may_align(n, component, role, bags, left, right)
-                once = doc[i] < doc[j] if low == high else np.ones(len(i), bool)
-                found.append((i[once], j[once]))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"u": doc[i], "v": doc[j], "cu": component[i], "cv": component[j]})
-
-    return sent.groupBy("group", "large", "low", "high").applyInArrow(compare, "u bigint, v bigint, cu bigint, cv bigint")
+            if not len(left) or not len(right):
+                continue
+            i, j, edits = may_align(n, pos, component, role, bags, left, right)
+            once = doc[i] < doc[j] if low == high else np.ones(len(i), bool)
+            i, j = i[once], j[once]
+            order = np.argsort(edits[once], kind="stable")
+            here = int(cell[rows[0]])
+            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                a, b = find(int(component[x])), find(int(component[y]))
+                if a == b or here != min((own_cells(x) & own_cells(y)) | (own_cells(x) & next_cells(y)) | (next_cells(x) & own_cells(y))):
+                    continue
+                s, t = text(x), text(y)
+                linked = None if s is None or t is None else near_copies(s, t)
+                if linked:
+                    root[max(a, b)] = min(a, b)
+                if linked is not False:
+                    out.append((int(doc[x]), int(doc[y]), int(component[x]), int(component[y]), linked))
+        return pa.Table.from_pylist([dict(zip(LINK, r, strict=True)) for r in out], schema=LINK_SCHEMA)
+
+    tasks = max(1, min(8192, n // BUCKET_ROWS))
+    return sent.repartition(tasks, "group", "large", "low", "high").groupBy("group", "large", "low", "high").applyInArrow(compare, "u bigint, v bigint, cu bigint, cv bigint, linked boolean")
+
+
+LINK = ("u", "v", "cu", "cv", "linked")
+LINK_SCHEMA = pa.schema([(c, pa.int64()) for c in LINK[:4]] + [("linked", pa.bool_())])
+
+
+def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed with linked components (cu, cv) made one."""
+    found = connected_components(links.toDF("u", "v")).toDF("component", "new")
+    sized = found.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component")
+    moved = join_sized(placed, sized, "component").select("key", "doc_id", "n", "pos", F.col("new").alias("component"))
+    return materialize(moved.unionByName(pick(placed, found.select("component"), "left_anti", key="component")), "placed")
 
 
-def _joined(placed: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """placed with the components that verified pairs link made one."""
+def _tried(pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame | None, int]:
+    """The links (cu, cv) among pairs (u, v, cu, cv), by their texts; and how many pairs there were."""
     wanted = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cu", "cv").distinct(), "pairs")
     n = wanted.count()
     if not n:
-        return placed
+        return None, 0
     ids = wanted.select(F.col("u").alias("doc_id")).union(wanted.select("v")).distinct()
-    links = materialize(_verified(wanted, pick(docs, ids, few=2 * n <= BROADCAST_IDS).dropDuplicates(["doc_id"])), "verified")
-    found = connected_components(links.toDF("u", "v")).toDF("component", "new")
-    sized = found.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component")
-    moved = join_sized(placed, sized, "component").select("key", "doc_id", "n", "pos", F.col("new").alias("component"))
-    out = materialize(moved.unionByName(placed.join(found, "component", "left_anti")), "placed")
-    discard(wanted, links)
-    return out
+    links = materialize(_verified(wanted, n, pick(docs, ids, few=2 * n <= BROADCAST_IDS).dropDuplicates(["doc_id"])), "verified")
+    discard(wanted)
+    return links, n
 
 
-def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", few: bool | None = None) -> DataFrame:
-    """docs whose doc_id is (left_semi) or isn't (left_anti) among ids, broadcast if they are counted to be few, else shuffled."""
+def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", few: bool | None = None, key: str = "doc_id") -> DataFrame:
+    """docs whose doc_id (or other key) is (left_semi) or isn't (left_anti) among ids, broadcast if they are counted to be few, else shuffled."""
     if few is None:
         few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -418,14 +469,19 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     placed = materialize(join_sized(keyed, several, "key").select("key", "doc_id", "n", "pos", F.col("doc_id").alias("component")).distinct(), "placed")
     discard(keyed)
     size, turn = placed.count(), 0
-    while (left := _pairs_left(placed)) > (TURN_PAIRS if turn else FIRST_PAIRS) * size:
-        # one random member of each bucket against its other components
-        before, turn, placed = placed, turn + 1, _joined(placed, _against_one(placed, turn), own)
-        if placed is not before:
-            discard(before)
-        if turn > 1 and _pairs_left(placed) > 0.5 * left:
+    while _pairs_left(placed) > FIRST_PAIRS * size:
+        turn += 1
+        links, tried = _tried(_against_one(placed, turn), own)
+        if not tried:
+            break
+        before, linked, placed = placed, links.count(), _joined(placed, links)
+        discard(before, links)
+        if linked <= GAIN * tried or turn == MOST_TURNS:
             break
-    found = _joined(placed, _close_pairs(placed, own), own).select(F.col("doc_id").alias("rep"), "component").distinct()
+    close = materialize(_close_pairs(placed, own), "close")
+    links, tried = _tried(close.where("linked is null"), own)
+    links = close.where("linked").select("cu", "cv") if links is None else close.where("linked").select("cu", "cv").unionByName(links)
+    found = _joined(placed, links).select(F.col("doc_id").alias("rep"), "component").distinct()
     classes = materialize(first.join(found, "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component")), "classes")
     copies = join_sized(made.where("digest is not null").select("doc_id", "digest"), classes, "digest").select("doc_id", "component")
     # texts without words, and those that occur under null ids alone
