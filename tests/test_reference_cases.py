@@ -73,6 +73,48 @@ def test_blend(spark, catalog):
     assert paths == {"c": (2, 1), "a": (1, 2), "d": (4, 3)}
 
 
+def test_vectors_that_cannot_be_compared_have_no_score(spark, catalog):
+    odd = spark.createDataFrame([("n", "N", "x", [float("nan"), 1.0, 0.0, 0.0]), ("z", "Z", "x", [0.0] * 4), ("m", "M", "x", None), ("i", "I", "x", [float("inf"), 0.0, 0.0, 0.0])], "track_id string, title string, artist string, vector array<float>")
+    more = catalog.drop("provider_url", "space_fingerprint").unionByName(odd)
+    assert ranked(R.search(one_query(spark, [1.0, 0.0, 0.0, 0.0]), more)) == ["a", "c", "b", "d"]
+    assert {r["track_id"] for r in R.unusable_vectors(more, "track_id").collect()} == {"n", "z", "m", "i"}
+    assert R.search(one_query(spark, [0.0] * 4), more).count() == 0
+    assert {r["seed_id"] for r in R.all_neighbours(more, 2).collect()} == set("abcd")
+    with pytest.raises(TunesparkError):
+        R.search(one_query(spark, [1.0, 0.0, 0.0, 0.0]).withColumn("space_fingerprint", F.lit("other")), catalog)
+
+
+def test_blend_evidence(spark, catalog, attributes):
+    req = requests(spark, query_id="q", query="calm jazz", seed_id="b")
+    vector = one_query(spark, [1.0, 0.0, 0.0, 0.0])
+    rows, scores = R.blend(vector, req.select("query_id", "seed_id"), catalog), R.blend_scores(vector, req.select("query_id", "seed_id"), catalog)
+    out = Q.blend_evidence(Q.explain_blend(rows, scores, req), req, catalog, attributes)
+    got = {r["track_id"]: r for r in out.collect()}
+    assert set(got) == {"a", "c", "d"} and got["a"]["query_evidence"]["rank"] == 1 and got["a"]["seed_evidence"]["rank"] == 2
+    assert got["a"]["why"].startswith('Matches "calm", "jazz" in your search (model estimate) · closest sound match to "calm jazz" · sounds like B')
+    answer = Q.to_responses(out.join(rows.select("query_id", "track_id", "score"), ["query_id", "track_id"]).withColumn("mode", F.lit("blend")), catalog.withColumn("license", F.lit("CC BY"))).first()
+    first = answer["results"][0]
+    assert [x["track_id"] for x in answer["results"]] == ["c", "a", "d"] and answer["mode"] == "blend" and first["license"] == "CC BY"
+    assert first["similarities"].asDict() == {"query": 0.7071, "seed": 0.7071} and first["evidence"]["seed_evidence"]["rank"] == 1 and first["preview_url"] is None
+
+
+def test_filters_without_attributes_are_refused(spark, catalog):
+    asked = requests(spark, query_id="q", query="x", vocals="instrumental")
+    for refused in (lambda: Q.explained_search(asked, one_query(spark, [1.0, 0.0, 0.0, 0.0]), catalog, None), lambda: Q.recommend(asked, one_query(spark, [1.0, 0.0, 0.0, 0.0]), catalog)):
+        with pytest.raises(TunesparkError):
+            refused()
+    blank = requests(spark, query_id="q", query="x", vocals=" ")
+    assert Q.explained_search(blank, one_query(spark, [1.0, 0.0, 0.0, 0.0]), catalog, None)[0].count() == 4
+
+
+def test_the_tempo_gate_sees_the_unrounded_clarity(spark):
+    df = spark.createDataFrame([(120.04, 0.2496), (120.04, 0.25), (120.04, 0.24999)], "bpm double, clarity double")
+    assert [r["b"] for r in df.select(C.gated_bpm("bpm", "clarity").alias("b")).collect()] == [None, 120.0, None]
+    wave = spark.createDataFrame([([math.sin(i) + 0.3 * math.sin(2.7 * i) for i in range(400)], 43.07)], "e array<double>, f double")
+    clarity = wave.select(C.pulse_clarity("e", "f")).first()[0]
+    assert clarity != round(clarity, 4)
+
+
 def test_neighbours_agree_with_scores(spark, catalog):
     near = {(r["seed_id"], r["track_id"], r["rank"]) for r in R.all_neighbours(catalog, 2, block=2).collect()}
     assert {("a", "c", 1), ("a", "b", 2), ("b", "c", 1), ("b", "a", 2), ("c", "a", 1), ("c", "b", 2)} <= near

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tunespark.vocab import NORM_MIN
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -21,6 +23,11 @@ def cosine(a: Column | str, b: Column | str, norm_a: Column | None = None, norm_
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)).cast("float")
 
 
+def usable(v: Column | str) -> Column:
+    """Whether a vector can be compared: there, finite, and not shorter than NORM_MIN."""
+    return F.coalesce(~has_non_finite(v) & (norm(v) >= NORM_MIN), F.lit(False))
+
+
 def scaled(v: Column | str, by: Column) -> Column:
     return F.transform(v, lambda x: (x.cast("double") / by).cast("float"))
 

@@ -84,7 +84,7 @@ def _checksum(df: DataFrame) -> dict:
 
 
 def publish_generation(df: DataFrame, index_dir: str, space: EmbeddingSpace, keep: int = 2) -> str:
-    """Write df as a new immutable generation, then point CURRENT at it; older generations beyond `keep` go. Returns its name."""
+    """Write df as a new immutable generation, then make its pointer; older generations beyond `keep` go. Returns its name."""
     spark = df.sparkSession
     fs, path = _fs(spark, index_dir)
     if vector_problems(df, space.dimension, unit=True).limit(1).count():
@@ -96,14 +96,10 @@ def publish_generation(df: DataFrame, index_dir: str, space: EmbeddingSpace, kee
     stored = spark.read.parquet(f"{target}/rows")
     meta = {"format": FORMAT, "space": asdict(space), "fingerprint": space.fingerprint(), **_checksum(stored)}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{target}/meta")
-    # the pointer is a small file of its own, written whole and moved last
-    out = fs.create(path(f"{index_dir}/CURRENT.new"), True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    if fs.exists(path(f"{index_dir}/CURRENT")):
-        fs.delete(path(f"{index_dir}/CURRENT"), False)
-    fs.rename(path(f"{index_dir}/CURRENT.new"), path(f"{index_dir}/CURRENT"))
+    # the pointer is an empty file named after its generation, made in one step when the rest is there; readers take the greatest, so there always is one
+    fs.create(path(f"{index_dir}/CURRENT-{name}"), True).close()
     for old in (done + [name])[:-keep]:
+        fs.delete(path(f"{index_dir}/CURRENT-{old}"), False)
         fs.delete(path(f"{index_dir}/{old}"), True)
     return name
 
@@ -111,9 +107,10 @@ def publish_generation(df: DataFrame, index_dir: str, space: EmbeddingSpace, kee
 def load_generation(spark: SparkSession, index_dir: str) -> DataFrame:
     """The current generation, refused with a reason unless all that was published with it still holds."""
     fs, path = _fs(spark, index_dir)
-    if not fs.exists(path(f"{index_dir}/CURRENT")):
+    pointers = [s.getPath().getName() for s in fs.listStatus(path(index_dir)) if s.getPath().getName().startswith("CURRENT-")] if fs.exists(path(index_dir)) else []
+    if not pointers:
         raise TunesparkError("no index")
-    name = spark.read.text(f"{index_dir}/CURRENT").first()["value"]
+    name = max(pointers)[len("CURRENT-") :]
     target = f"{index_dir}/{name}"
     if not fs.exists(path(f"{target}/meta")):
         raise TunesparkError("the index has no description")

@@ -223,7 +223,15 @@ def d8_build_attributes(spark, d):
 
 # ------------------------------------------------------------------------------------------------ filters
 
-_BAD = X.values(X.FILTER_ROWS + X.BAD_FILTER_ROWS, "query_id, vocals, genre, mood, energy, tempo_min, tempo_max")
+#: Requests made from events, as columns that mean the same to Spark and in the SQL below: good, bad and blank values.
+_REQUEST = (
+    "concat('e-', event_id) AS query_id", "CASE event_id % 7 WHEN 0 THEN 'vocal' WHEN 1 THEN 'loud' WHEN 2 THEN ' ' END AS vocals", "CASE event_id % 5 WHEN 0 THEN 'rock' WHEN 1 THEN 'polka' END AS genre",
+    "CASE event_id % 11 WHEN 0 THEN 'calm' WHEN 1 THEN 'bored' END AS mood", "CASE event_id % 13 WHEN 0 THEN 'high' WHEN 1 THEN 'huge' END AS energy",
+    "CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 400 AS DOUBLE) END AS tempo_min", "CASE WHEN event_id % 4 = 0 THEN CAST(event_id * 7 % 400 AS DOUBLE) END AS tempo_max",
+    "CASE event_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'calm jazz' WHEN 2 THEN ' ' WHEN 3 THEN repeat('x', 401) ELSE 'dark' END AS query", "CASE event_id % 19 WHEN 0 THEN ' ' WHEN 1 THEN 'trk-000001' END AS seed_id",
+    "CASE WHEN event_id % 6 > 0 THEN CAST(event_id % 70 AS INTEGER) END AS k",
+)
+_BAD = f"SELECT {', '.join(_REQUEST)} FROM events"
 
 
 def _outside(column: str, allowed: tuple[str, ...]) -> str:
@@ -234,7 +242,7 @@ def _outside(column: str, allowed: tuple[str, ...]) -> str:
     UNION ALL SELECT query_id, 'tempo_min out of range' FROM f WHERE tempo_min NOT BETWEEN 30 AND 300 UNION ALL SELECT query_id, 'tempo_max out of range' FROM f WHERE tempo_max NOT BETWEEN 30 AND 300
     UNION ALL SELECT query_id, 'tempo_min over tempo_max' FROM f WHERE tempo_min > tempo_max""")
 def e1_filter_errors(spark, d):
-    return L.filter_errors(X.filter_requests(spark, bad=True))
+    return L.filter_errors(X.read(spark, d, "events").selectExpr(*_REQUEST))
 
 
 @query(sql("SELECT query_id, track_id, CASE code WHEN 2 THEN 'mismatch' WHEN 1 THEN 'unknown' ELSE 'pass' END AS verdict FROM v_verdicts", "v_verdicts"))
@@ -347,29 +355,33 @@ def f9_mmr_rerank(spark, d):
     return _shown(R.mmr_rerank(R.search(X.query_vectors(spark, d), tracks, V.MMR_POOL), tracks, 10))
 
 
-def _requests(spark):
-    rows = [(f"r-{i:02d}", q, s, k) for i, (q, s, k) in enumerate([("calm jazz", None, 5), (None, "trk-000003", 4), ("dark", "trk-000005", 60), ("", " ", 5), ("x" * 401, None, 5), ("loud", None, 0), ("sad", "trk-000001", None)])]
-    return spark.createDataFrame(rows, "query_id string, query string, seed_id string, k int").selectExpr(
-        "*", "if(query_id = 'r-01', 'polka', null) genre", *[f"cast(null as string) {c}" for c in ("vocals", "mood", "energy")], "cast(null as double) tempo_min", "cast(null as double) tempo_max"
-    )
-
-
-@query("SELECT * FROM (VALUES ('r-00', 'search', NULL), ('r-06', 'blend', NULL), ('r-01', NULL, 'unknown genre'), ('r-02', NULL, 'k out of range'), ('r-03', NULL, 'no query and no seed'), ('r-04', NULL, 'query too long'), ('r-05', NULL, 'k out of range')) t(query_id, mode, error)")
+@query(f"""WITH f AS ({_BAD}), e AS ({' UNION ALL '.join(_outside(c, v) for c, v in {**V.LABELS, 'energy': V.ENERGY_BANDS}.items())}
+    UNION ALL SELECT query_id, 'tempo_min out of range' FROM f WHERE tempo_min NOT BETWEEN 30 AND 300 UNION ALL SELECT query_id, 'tempo_max out of range' FROM f WHERE tempo_max NOT BETWEEN 30 AND 300
+    UNION ALL SELECT query_id, 'tempo_min over tempo_max' FROM f WHERE tempo_min > tempo_max
+    UNION ALL SELECT query_id, CASE WHEN trim(coalesce(query, '')) = '' AND trim(coalesce(seed_id, '')) = '' THEN 'no query and no seed' WHEN length(trim(query)) > 400 THEN 'query too long' ELSE 'k out of range' END FROM f
+      WHERE (trim(coalesce(query, '')) = '' AND trim(coalesce(seed_id, '')) = '') OR length(trim(query)) > 400 OR coalesce(k, 10) NOT BETWEEN 1 AND 50)
+    SELECT query_id, CASE WHEN error IS NULL THEN CASE WHEN trim(coalesce(seed_id, '')) = '' THEN 'search' WHEN trim(coalesce(query, '')) = '' THEN 'similar' ELSE 'blend' END END AS mode, error
+    FROM f LEFT JOIN (SELECT query_id, min(error) AS error FROM e GROUP BY query_id) USING (query_id)""")
 def f10_route(spark, d):
-    good, bad = Q.route(_requests(spark))
+    good, bad = Q.route(X.read(spark, d, "events").selectExpr(*_REQUEST))
     return good.select("query_id", "mode", F.lit(None).cast("string").alias("error")).unionByName(bad.select("query_id", F.lit(None).cast("string").alias("mode"), "error"))
 
 
 # ------------------------------------------------------------------------------------------------ explanations
 
 
-@query(X.values([
-    ("t-01", "relaxing=mood:calm, hip hop=genre:hip hop, singer=vocals:vocal"), ("t-02", ""), ("t-03", "calm=mood:calm, jazz=genre:jazz"), ("t-04", "r&b=genre:r&b, edm=genre:electronic, dark=mood:dark, cheerful=mood:happy"), ("t-05", ""),
-    ("t-06", "ambient=genre:ambient, rock=genre:rock"), ("t-07", "aggressive=mood:angry, metal=genre:metal, rapper=vocals:vocal"), ("t-08", "hip hop=genre:hip hop"), ("t-09", "spooky=mood:dark"), ("t-10", "jazz=genre:jazz"),
-], "query_id, terms"))
+#: Words that queries are made of: the same list for Spark and for the SQL.
+_WORDS = ("Relaxing", "hip-hop", "with a", "singer", "without", "heavy", "R&B", "not", "sad", "EDM", "no", "chill", "HIP   HOP", "never ever so very", "spooky", "jazz", "Metal,", "rapper", "calm", "calm", "of the")
+_QUERY = f"""concat_ws(' ', {', '.join(f"CASE CAST(floor(doc_id / {7**i}) AS BIGINT) * {5 + 2 * i} % {len(_WORDS)} {' '.join(f"WHEN {j} THEN '{w}'" for j, w in enumerate(_WORDS))} END" for i in range(6))}, substr(text, 1, 60)) AS query"""
+
+
+@query(f"""WITH q AS (SELECT doc_id, {_QUERY} FROM documents), w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(query), '\\bhip[\\s-]+hop\\b', 'hiphop', 'g'), '[a-z&]+') AS words FROM q),
+    u AS (SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w), v AS ({X.values([(w, a, x) for w, (a, x) in V.QUERY_WORDS.items()], "word, attribute, value")}),
+    f AS (SELECT doc_id, attribute, value, min(i) AS i, arg_min(word, i) AS word FROM u JOIN v USING (word) WHERE NOT list_has_any(words[greatest(i - {V.NEGATION_WINDOW}, 1):i - 1], {list(V.NEGATIONS)}) GROUP BY ALL)
+    SELECT doc_id, coalesce(string_agg(CASE word WHEN 'hiphop' THEN 'hip hop' ELSE word END || '=' || attribute || ':' || value, ', ' ORDER BY i), '') AS terms FROM q LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
 def g1_query_terms(spark, d):
-    own = spark.createDataFrame(X.TEXTS, "query_id string, query string")
-    return own.select("query_id", F.array_join(F.transform(G.query_terms("query"), lambda t: F.concat(t["term"], F.lit("="), t["attribute"], F.lit(":"), t["value"])), ", ").alias("terms"))
+    own = X.read(spark, d, "documents").selectExpr("doc_id", _QUERY)
+    return own.select("doc_id", F.array_join(F.transform(G.query_terms("query"), lambda t: F.concat(t["term"], F.lit("="), t["attribute"], F.lit(":"), t["value"])), ", ").alias("terms"))
 
 
 @query(sql("SELECT track_id, vocals, genre, list_aggregate(moods, 'string_agg', ',') AS mood, bpm AS tempo_bpm, band, energy AS percentile FROM v_attributes", "v_attributes"))
@@ -534,16 +546,13 @@ _OLD = """, o AS (SELECT printf('old-%03d', row_id) AS id, 'p|' || provider_id |
     e AS (SELECT key, min(id) AS old_id FROM (SELECT pkey AS key, id FROM o UNION ALL SELECT nkey, id FROM o) GROUP BY key)"""
 
 
-@query(_IN + _OLD + " SELECT row_id, old_id, title <> '' AND old_id IS NULL AS new, dense_rank() OVER (ORDER BY CASE WHEN title = '' THEN '' ELSE k.key END) AS same FROM k LEFT JOIN e ON e.key = k.key AND title <> ''")
+@query(_IN + _OLD + " SELECT row_id, old_id, title <> '' AND old_id IS NULL AS new, CASE WHEN title = '' THEN '' ELSE k.key END AS key FROM k LEFT JOIN e ON e.key = k.key AND title <> ''")
 def j2_find_or_create(spark, d):
-    from pyspark.sql import Window
-
     tracks, mapping = J.find_or_create_tracks(_incoming(spark, d), _stored(spark, d))
-    rows = mapping.join(J.normalize_track_identity(_incoming(spark, d)).select("row_id", "title", F.regexp_replace(F.regexp_replace(J.identity_key(), "\x1f", "|"), "\x00", "-").alias("key")), "row_id")
+    key = F.regexp_replace(F.regexp_replace(J.identity_key(), "\x1f", "|"), "\x00", "-")
+    rows = mapping.join(J.normalize_track_identity(_incoming(spark, d)).select("row_id", F.when(F.col("title") == "", "").otherwise(key).alias("key")), "row_id")
     old = F.when(F.col("track_id").startswith("old-"), F.col("track_id"))
-    keys = rows.select(F.when(F.col("title") == "", "").otherwise(F.col("key")).alias("k")).distinct().withColumn("part", F.lit(0))
-    ranked = keys.withColumn("same", F.dense_rank().over(Window.partitionBy("part").orderBy("k"))).drop("part")
-    return rows.withColumn("k", F.when(F.col("title") == "", "").otherwise(F.col("key"))).join(ranked, "k").select("row_id", old.alias("old_id"), F.coalesce(F.col("track_id").startswith("new-"), F.lit(False)).alias("new"), "same")
+    return rows.select("row_id", old.alias("old_id"), F.coalesce(F.col("track_id").startswith("new-"), F.lit(False)).alias("new"), "key")
 
 
 @query(_IN + _OLD + """, w AS (SELECT coalesce(old_id, k.key) AS id, arg_max(title, row_id) AS title, arg_max(duration_seconds, row_id) AS seconds FROM k LEFT JOIN e USING (key) WHERE title <> '' AND (old_id IS NULL OR starts_with(key, 'p|')) GROUP BY 1)

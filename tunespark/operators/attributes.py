@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,13 +78,26 @@ def label_tracks(raw: DataFrame) -> DataFrame:
     return with_energy(flat)
 
 
-def config_digest() -> str:
-    """Changes with every threshold and class list, so that old labels are never taken for new ones."""
-    own = {k: v for k, v in vars(V).items() if k.isupper() and k not in ("QUERY_WORDS", "SYNONYMS")}
-    return hashlib.sha256(json.dumps(own, sort_keys=True, default=str).encode()).hexdigest()
+@dataclass(frozen=True)
+class AnalysisConfig:
+    """What raw analyses depend on: the tagger and its revision, the version of the analysis, sample rates, tagged classes and the pulse measure."""
 
+    tagger: str = ""
+    revision: str = ""
+    version: int = 1
+    tagger_rate: int = 16_000
+    rhythm_rate: int = 22_050
+    classes: tuple[str, ...] = V.CLASSES
+    tempo_limits: tuple[float, float] = V.TEMPO_LIMITS
+    pulse_min: float = V.PULSE_MIN
 
-def build_attributes(index: DataFrame, analyse: Callable[[DataFrame], DataFrame], previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+
+def config_digest(config: AnalysisConfig = AnalysisConfig()) -> str:
+    """Changes with whatever makes stored analyses unfit for use; labels and their thresholds are worked out anew on every build."""
+    return hashlib.sha256(json.dumps(asdict(config), sort_keys=True).encode()).hexdigest()
+
+
+def build_attributes(index: DataFrame, analyse: Callable[[DataFrame], DataFrame], previous: DataFrame | None = None, config: AnalysisConfig = AnalysisConfig()) -> tuple[DataFrame, DataFrame]:
     """(attributes, ids analysed now). A raw analysis is used again if the track's audio digest and the configuration are the same.
 
     index: track_id, audio_sha256. analyse: rows to analyse -> raw analyses. All tracks are labelled anew, since energy is relative to the catalog.
@@ -92,29 +106,29 @@ def build_attributes(index: DataFrame, analyse: Callable[[DataFrame], DataFrame]
     if previous is None:
         fresh = analyse(index)
         return label_tracks(fresh), index.select("track_id")
-    old = previous.where(F.col("config_digest") == config_digest()).select(*raw)
+    old = previous.where(F.col("config_digest") == config_digest(config)).select(*raw)
     kept = index.select("track_id", "audio_sha256").join(old, ["track_id", "audio_sha256"])
     todo = index.join(old.select("track_id", "audio_sha256"), ["track_id", "audio_sha256"], "left_anti")
     fresh = analyse(todo).join(todo.select("track_id", "audio_sha256"), "track_id")
     return label_tracks(kept.select(*raw).unionByName(fresh.select(*raw))), todo.select("track_id")
 
 
-def save_attributes(df: DataFrame, path: str) -> None:
-    df.withColumn("config_digest", F.lit(config_digest())).write.mode("overwrite").parquet(path)
+def save_attributes(df: DataFrame, path: str, config: AnalysisConfig = AnalysisConfig()) -> None:
+    df.withColumn("config_digest", F.lit(config_digest(config))).write.mode("overwrite").parquet(path)
 
 
-def staleness(attributes: DataFrame, index: DataFrame) -> DataFrame:
+def staleness(attributes: DataFrame, index: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """(problem, tracks) why stored attributes don't fit an index: digest of the configuration, missing or surplus tracks, other audio."""
     a = attributes.select("track_id", F.col("audio_sha256").alias("a_sha"), "config_digest", F.lit(True).alias("in_a"))
     b = index.select("track_id", F.col("audio_sha256").alias("b_sha"), F.lit(True).alias("in_b"))
-    problem = F.when(F.col("in_a").isNull(), "missing").when(F.col("in_b").isNull(), "surplus").when(F.col("config_digest") != config_digest(), "configuration").when(F.col("a_sha") != F.col("b_sha"), "audio")
+    problem = F.when(F.col("in_a").isNull(), "missing").when(F.col("in_b").isNull(), "surplus").when(F.col("config_digest") != config_digest(config), "configuration").when(F.col("a_sha") != F.col("b_sha"), "audio")
     return a.join(b, "track_id", "full_outer").select(problem.alias("problem")).where("problem is not null").groupBy("problem").agg(F.count("*").alias("tracks"))
 
 
-def load_attributes(spark, path: str, index: DataFrame) -> DataFrame:
+def load_attributes(spark, path: str, index: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Stored attributes, refused with the reason if they don't fit the index."""
     stored = spark.read.parquet(path)
-    bad = staleness(stored, index).collect()
+    bad = staleness(stored, index, config).collect()
     if bad:
         raise TunesparkError("stale attributes: " + ", ".join(f"{r['problem']} ({r['tracks']})" for r in bad))
     return stored

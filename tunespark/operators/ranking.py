@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunespark.functions.small import maybe_broadcast, pair_up
-from tunespark.functions.vectors import cosine, norm
-from tunespark.operators.vectors import TunesparkError
+from tunespark.functions.small import few, maybe_broadcast, pair_up
+from tunespark.functions.vectors import cosine, norm, usable
+from tunespark.operators.vectors import TunesparkError, require_same_space
 from tunespark.vocab import MMR_LAMBDA, MMR_POOL
 
 
@@ -17,13 +17,21 @@ def artist_key() -> F.Column:
     return F.coalesce(F.lower("artist"), F.lit(""))
 
 
+def unusable_vectors(df: DataFrame, key: str) -> DataFrame:
+    """(key, error) of rows whose vector is missing, holds what is no finite number, or is as good as zero: cosine_scores() leaves them out."""
+    return df.where(~usable("vector")).select(key, F.lit("unusable vector").alias("error"))
+
+
 def cosine_scores(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """(query_id, track_id, artist_key, score) of each query vector with each catalog vector; scores are floats.
 
-    queries: query_id, vector. A request set against all rows: queries are broadcast in blocks, catalog vectors are never shuffled.
+    queries: query_id, vector. A request set against all rows: queries are broadcast in blocks, catalog vectors are never shuffled. Vectors that
+    can't be compared have no score on either side, see unusable_vectors(); where both sides name their embedding space, it must be one.
     """
-    left = catalog.select("track_id", artist_key().alias("artist_key"), "vector", norm("vector").alias("norm"))
-    right = queries.select("query_id", F.col("vector").alias("q_vector"), norm("vector").alias("q_norm"))
+    if "space_fingerprint" in queries.columns and "space_fingerprint" in catalog.columns:
+        require_same_space(queries, catalog)
+    left = catalog.where(usable("vector")).select("track_id", artist_key().alias("artist_key"), "vector", norm("vector").alias("norm"))
+    right = queries.where(usable("vector")).select("query_id", F.col("vector").alias("q_vector"), norm("vector").alias("q_norm"))
     both = pair_up(left, right)
     return both.select("query_id", "track_id", "artist_key", cosine("q_vector", "vector", F.col("q_norm"), F.col("norm")).alias("score"))
 
@@ -66,18 +74,24 @@ def similar_to(seeds: DataFrame, catalog: DataFrame, k: int = 10, exclude: DataF
     return rank_by_score(scores, k, gone, max_per_artist), unknown_seeds(seeds, catalog)
 
 
-def z_scores(scores: DataFrame, out: str) -> DataFrame:
-    """Scores less their query's mean over population deviation, over the whole catalog; 0 where they hardly differ."""
-    stats = scores.groupBy("query_id").agg(F.avg(F.col("score").cast("double")).alias("mean"), F.stddev_pop(F.col("score").cast("double")).alias("dev"))
-    z = F.when(F.col("dev") < 1e-9, 0.0).otherwise((F.col("score").cast("double") - F.col("mean")) / F.col("dev"))
-    return scores.join(maybe_broadcast(stats), "query_id").select("query_id", "track_id", "artist_key", F.col("score").alias(f"{out}_cosine"), z.alias(out))
-
-
 def blend_scores(query_vectors: DataFrame, seeds: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, track_id, artist_key, query_cosine, seed_cosine, score): the sum of both z-scores, seed included."""
-    q = z_scores(cosine_scores(query_vectors, catalog), "query")
-    s = z_scores(cosine_scores(seed_vectors(seeds, catalog), catalog), "seed").drop("artist_key")
-    return q.join(s, ["query_id", "track_id"]).withColumn("score", F.col("query") + F.col("seed"))
+    """(query_id, track_id, artist_key, query_cosine, seed_cosine, score): the sum of both z-scores, seed included.
+
+    A z-score is a cosine less its request's mean over its population deviation, over the whole catalog; 0 where cosines hardly differ. Both vectors stand on the
+    request's row, so that one pass over the catalog gives the statistics and a second one the scores; no score is shuffled but for partial sums.
+    """
+    seeded = seed_vectors(seeds, catalog).where(usable("vector")).select("query_id", F.col("vector").alias("s_vector"), norm("vector").alias("s_norm"))
+    right = query_vectors.where(usable("vector")).select("query_id", F.col("vector").alias("q_vector"), norm("vector").alias("q_norm")).join(seeded, "query_id")
+    left = catalog.where(usable("vector")).select("track_id", artist_key().alias("artist_key"), "vector", norm("vector").alias("norm"))
+    both = pair_up(left, right).select(
+        "query_id", "track_id", "artist_key", cosine("q_vector", "vector", F.col("q_norm"), F.col("norm")).alias("query_cosine"), cosine("s_vector", "vector", F.col("s_norm"), F.col("norm")).alias("seed_cosine")
+    )
+    paths = ("query", "seed")
+    stats = both.groupBy("query_id").agg(*[f(F.col(f"{p}_cosine").cast("double")).alias(f"{name}_{p}") for p in paths for f, name in ((F.avg, "mean"), (F.stddev_pop, "dev"))])
+    z = lambda p: F.when(F.col(f"dev_{p}") < 1e-9, 0.0).otherwise((F.col(f"{p}_cosine").cast("double") - F.col(f"mean_{p}")) / F.col(f"dev_{p}"))
+    # one row a request
+    joined = both.join(F.broadcast(stats) if few(right) else stats, "query_id")
+    return joined.select("query_id", "track_id", "artist_key", "query_cosine", "seed_cosine", (z("query") + z("seed")).alias("score"))
 
 
 def blend(query_vectors: DataFrame, seeds: DataFrame, catalog: DataFrame, k: int = 10, exclude: DataFrame | None = None, max_per_artist: int | None = None) -> DataFrame:
@@ -92,6 +106,7 @@ def all_neighbours(catalog: DataFrame, k: int = 5, block: int = 2048) -> DataFra
 
     Tracks are dealt into blocks; each pair of blocks is one task's matrix product, which keeps k a seed, and the lists are merged.
     """
+    catalog = catalog.where(usable("vector"))
     n = catalog.count()
     blocks = max(1, -(-n // block))
     own = catalog.select("track_id", "vector").withColumn("block", F.pmod(F.xxhash64("track_id"), F.lit(blocks)).cast("int"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tunespark import vocab as V
 from tunespark.operators import explain, ranking
-from tunespark.operators.filters import FILTERS, apply_filters, filter_errors, hidden_counts
+from tunespark.operators.filters import FILTERS, apply_filters, cleaned, filter_errors, hidden_counts
+from tunespark.operators.vectors import TunesparkError
 
 
 def route(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,9 +31,11 @@ def _limits(ranked: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def _excluded(requests: DataFrame, attributes: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    active = cleaned(requests).where(F.coalesce(*[F.col(c).cast("string") for c in FILTERS]).isNotNull())
     if attributes is None:
+        if not active.isEmpty():
+            raise TunesparkError("filters can't be applied without attributes")
         return None, None
-    active = requests.where(F.coalesce(*[F.col(c).cast("string") for c in FILTERS]).isNotNull())
     verdicts = apply_filters(active, attributes)
     return verdicts, verdicts.where("verdict <> 'pass'").select("query_id", "track_id")
 
@@ -110,10 +113,41 @@ def explain_blend(ranked: DataFrame, scores: DataFrame, requests: DataFrame) ->
     return counted.select("query_id", "track_id", "rank", F.col("q").alias("query_cosine"), (F.col("b_q") + 1).alias("query_rank"), F.col("s").alias("seed_cosine"), (F.col("b_s") + 1).alias("seed_rank"))
 
 
+def blend_evidence(paths: DataFrame, requests: DataFrame, catalog: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Rows of explain_blend() with `query_evidence` and `seed_evidence`, what speaks for the track on either path, and `why`: both reasons in one line.
+
+    The second reason begins with a small letter. requests: query_id, query, seed_id and the filters. All of it is worked out for the chosen rows alone.
+    """
+    verdicts, _ = _excluded(requests, attributes)
+    titled = requests.select("query_id", "seed_id").join(catalog.select(F.col("track_id").alias("seed_id"), F.col("title").alias("seed_title")), "seed_id")
+    own = None
+    for path, asked, seeds in (("query", requests, None), ("seed", None, titled)):
+        rows = paths.select("query_id", "track_id", F.col(f"{path}_cosine").alias("score"), F.col(f"{path}_rank").alias("rank"))
+        known = explain.with_evidence(rows, attributes, verdicts, asked, seeds)
+        facts = F.struct("rank", "similarity", "filters_passed", "estimates", "measured", "agreement", "shared")
+        part = known.select("query_id", "track_id", facts.alias(f"{path}_evidence"), explain.short_reason().alias(f"{path}_why"))
+        own = part if own is None else own.join(part, ["query_id", "track_id"])
+    second = F.concat(F.lower(F.substring("seed_why", 1, 1)), F.substring(F.col("seed_why"), 2, 1 << 30))
+    return paths.join(own, ["query_id", "track_id"]).withColumn("why", F.concat_ws(" · ", "query_why", second)).drop("query_why", "seed_why")
+
+
 def to_responses(results: DataFrame, catalog: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
-    """One row a request: its results in order as structs, and what filters hid."""
-    rows = results.join(catalog.select("track_id", "title", "artist", "provider_url"), "track_id")
-    why = explain.short_reason() if "estimates" in results.columns else F.lit(None).cast("string")
-    item = F.struct("rank", "track_id", "title", "artist", "provider_url", F.round(F.col("score").cast("double"), 4).alias("score"), why.alias("why"))
-    out = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("results"))
+    """One row a request: its results in order as structs, and what filters hid.
+
+    results: rows of with_evidence() or of a blend, with `mode` where modes are mixed; catalog: the tracks, with source, license and preview_url where known. What isn't there is null.
+    """
+    known = [c for c in ("provider_url", "source", "license", "preview_url") if c in catalog.columns]
+    rows = results.join(catalog.select("track_id", "title", "artist", *known), "track_id")
+    text = lambda c: F.col(c) if c in known else F.lit(None).cast("string").alias(c)
+    number = lambda c: (F.round(F.col(c).cast("double"), 4) if c in results.columns else F.lit(None).cast("double")).alias(c.removesuffix("_cosine"))
+    why = F.col("why") if "why" in results.columns else explain.short_reason() if "estimates" in results.columns else F.lit(None).cast("string")
+    evidence = [c for c in ("filters_passed", "estimates", "measured", "agreement", "shared", "query_evidence", "seed_evidence") if c in results.columns]
+    item = F.struct(
+        "rank", "track_id", "title", "artist", text("provider_url"), text("preview_url"), text("source"), text("license"), F.round(F.col("score").cast("double"), 4).alias("score"),
+        F.struct(number("query_cosine"), number("seed_cosine")).alias("similarities"), why.alias("why"), *([F.struct(*evidence).alias("evidence")] if evidence else []),
+    )
+    by = ["query_id", "mode"] if "mode" in results.columns else ["query_id"]
+    # a request has few results; they are put in order by their rank, which no two of them share
+    out = rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.to_json(item, {"ignoreNullFields": "false"}).alias("item")))), lambda x: x["item"]).alias("results"))
+    out = out.withColumn("results", F.transform("results", lambda x: F.from_json(x, rows.select(item.alias("i")).schema["i"].dataType)))
     return out if hidden is None else out.join(hidden, "query_id", "left").na.fill(0, ["hidden_mismatch", "hidden_unknown"])

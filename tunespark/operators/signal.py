@@ -67,15 +67,18 @@ def _clarity(envelope: np.ndarray, per_second: float) -> float:
         return 0.0
     x = x - x.mean()
     power = float(x @ x)
-    if power <= 1e-12:
+    if power == 0:
         return 0.0
     lags = range(max(1, low), min(high, len(x) - 1) + 1)
-    return round(max((float(x[:-lag] @ x[lag:]) / power for lag in lags), default=0.0), 3)
+    return max((float(x[:-lag] @ x[lag:]) / power for lag in lags), default=0.0)
 
 
 @F.pandas_udf(T.DoubleType())
 def pulse_clarity(envelope: pd.Series, frames_per_second: pd.Series) -> pd.Series:
-    """Peak of the normalised autocorrelation of an onset envelope at lags of 30 to 300 beats a minute; 0 if flat or too short."""
+    """Peak of the normalised autocorrelation of an onset envelope at lags of 30 to 300 beats a minute; 0 if flat or too short.
+
+    Not rounded: gated_bpm() compares the value as it is; round it to 4 places where it is stored.
+    """
     return pd.Series([_clarity(e, f) if e is not None else 0.0 for e, f in zip(envelope, frames_per_second, strict=True)])
 
 
