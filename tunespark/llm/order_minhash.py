@@ -261,24 +261,42 @@ def bag(h: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65_535).astype(np.uint16)
 
 
-def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, role: np.ndarray, bags: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bag_edits(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Edits that at least lie between a bag and each of many (floats that hold whole numbers)."""
+    return np.maximum(one, many) @ np.ones(BINS, np.float32) - np.minimum(one.sum(), many.sum(1))
+
+
+def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, role: np.ndarray, bags: np.ndarray, ahead: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (i of left, j of right) and least edits of pairs of different components that can reach SIMILARITY by their lengths and bags of words.
 
-    What one bag holds more of than the other takes an edit each, as does what texts differ in length before or after the common k-mer (at pos): no
-    pair at SIMILARITY that aligns the k-mer is left out. Two rows of role 1 are compared elsewhere.
+    What one bag holds more of than the other takes an edit each, and so do the bags of what comes before the common k-mer (ahead) and after it, taken
+    apart, and what texts differ in length before and after it (pos): no pair at SIMILARITY that aligns the k-mer is left out. Two rows of role 1 are compared elsewhere.
     """
     none = np.zeros(0, np.int64)
     got_i, got_j, got_edits = [none], [none], [none]
-    total = bags.sum(1, dtype=np.int64)
+    # sums of whole numbers in single precision are exact up to 2 ** 24: bags hold 65,535 a bin at most
+    others, ones = bags[right].astype(np.float32), np.ones(BINS, np.float32)
+    total, buffer = others @ ones, np.empty_like(others)
+    length, place, group, kind = n[right], pos[right], component[right], role[right]
     for i in left.tolist():
-        most = most_edits(np.maximum(n[i], n[right]))
-        j = right[(component[i] != component[right]) & (np.abs(pos[i] - pos[right]) + np.abs(n[i] - pos[i] - n[right] + pos[right]) <= most) & ~((role[i] == 1) & (role[right] == 1))]
-        if j.size:
-            edits = np.maximum(bags[i], bags[j]).sum(1, dtype=np.int64) - np.minimum(total[i], total[j])
-            fits = edits <= most_edits(np.maximum(n[i], n[j]))
+        most = most_edits(np.maximum(n[i], length))
+        fits = (group != component[i]) & (np.abs(pos[i] - place) + np.abs(n[i] - pos[i] - length + place) <= most)
+        if role[i] == 1:
+            fits &= kind != 1
+        if not fits.any():
+            continue
+        own = bags[i].astype(np.float32)
+        np.maximum(others, own, out=buffer)
+        fits &= buffer @ ones - np.minimum(own.sum(), total) <= most
+        at = np.flatnonzero(fits)
+        if at.size:
+            j, most = right[at], most[at]
+            front, fronts = ahead[i].astype(np.float32), ahead[j].astype(np.float32)
+            edits = _bag_edits(front, fronts) + _bag_edits(own - front, others[at] - fronts)
+            fits = edits <= most
             got_i.append(np.full(int(fits.sum()), i))
             got_j.append(j[fits])
-            got_edits.append(edits[fits])
+            got_edits.append(edits[fits].astype(np.int64))
     return np.concatenate(got_i), np.concatenate(got_j), np.concatenate(got_edits)
 
 
@@ -376,7 +394,13 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
         bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint16).reshape(-1, BINS)
         raw, mine, after = (table.column(c) for c in ("words", "own_cells", "next_cells"))
         own_cells, next_cells = (lru_cache(maxsize=4096)(lambda i, c=c: frozenset(c[i].as_py())) for c in (mine, after))
-        text = lru_cache(maxsize=4096)(lambda i: Text.of(np.frombuffer(raw[i].as_py(), np.uint32)) if raw[i].is_valid else None)
+        row_of = dict(zip(doc.tolist(), range(len(doc)), strict=True))
+        text = lru_cache(maxsize=4096)(lambda d: Text.of(np.frombuffer(raw[row_of[d]].as_py(), np.uint32)) if raw[row_of[d]].is_valid else None)
+        # the bag of the words before the common k-mer
+        ahead = np.zeros_like(bags)
+        for i, x in enumerate(raw):
+            if x.is_valid:
+                ahead[i] = bag(np.frombuffer(x.as_buffer(), np.uint32)[: pos[i]])
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -389,16 +413,21 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
             left, right = rows[part[rows] == low], rows[part[rows] == high]
             if not len(left) or not len(right):
                 continue
-            i, j, edits = may_align(n, pos, component, role, bags, left, right)
+            i, j, edits = may_align(n, pos, component, role, bags, ahead, left, right)
             once = doc[i] < doc[j] if low == high else np.ones(len(i), bool)
             i, j = i[once], j[once]
             order = np.argsort(edits[once], kind="stable")
             here = int(cell[rows[0]])
             for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
                 a, b = find(int(component[x])), find(int(component[y]))
-                if a == b or here != min((own_cells(x) & own_cells(y)) | (own_cells(x) & next_cells(y)) | (next_cells(x) & own_cells(y))):
+                if a == b:
+                    continue
+                # of the cells that both are in, the pair's own, drawn by the two ids so that pairs spread over all cells
+                common = sorted((own_cells(x) & own_cells(y)) | (own_cells(x) & next_cells(y)) | (next_cells(x) & own_cells(y)))
+                low_id, high_id = sorted((int(doc[x]), int(doc[y])))
+                if here != common[(low_id * 31 + high_id * 17) % len(common)]:
                     continue
-                s, t = text(x), text(y)
+                s, t = text(int(doc[x])), text(int(doc[y]))
                 linked = None if s is None or t is None else near_copies(s, t)
                 if linked:
                     root[max(a, b)] = min(a, b)
