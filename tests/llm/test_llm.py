@@ -316,7 +316,7 @@ def test_bounds_leave_no_pair_out():
     hashed = [order_minhash.words(t) for t in texts]
     n, at = np.array([len(x) for x in hashed]), np.arange(len(texts))
     bags = np.stack([order_minhash.bag(x) for x in hashed])
-    i, j, _ = order_minhash.may_align(n, n // 2, at, np.zeros(len(n), int), bags, at, at)
+    i, j, _ = order_minhash.may_align(n, n * 0, at, np.zeros(len(n), int), bags, bags * 0, at, at)
     kept = set(zip(i.tolist(), j.tolist()))
     missed = [(a, b) for a in at for b in at[:a] if near(texts[a], texts[b]) and texts[a] != texts[b] and (a, b) not in kept]
     assert not missed and len(kept) < 0.2 * len(n) ** 2
@@ -637,6 +637,27 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.keep_clean(awkward, model).columns == awkward.columns
 
 
+def test_patterns_of_texts():
+    own = {"s t u p i d you": ["~spaced"], "you st*pid": ["~masked"], "an 1di0t here": ["~digits"], "YOUR FILTHY STUPID DOGS": ["~shouting"], "what??? now": ["~signs"], "a plain text, no. 12 of 1999": [], "": []}
+    assert {t: toxicity.patterns(t) for t in own} == own
+    few = toxicity.sampled_terms(" ".join(f"w{i}" for i in range(30_000)))
+    assert len(few) == toxicity.TERMS_A_ROW
+
+
+def test_two_labels_for_one_document(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 2} text") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, v) for i in range(400) for v in ((1, 0) if i % 2 else (0, None))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {r["doc_id"] % 2: r["predicted"] for r in toxicity.score(docs, model).collect()} == {0: 0, 1: 1}
+
+
+def test_more_languages_than_can_be_told(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(i, f"{'abc'[i % 3] * 9} {'xyz'[i % 3] * 5}", ["l0", "l1", "l2"][i % 3] if i % 3 < 2 or i < 60 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(df).languages == ["l0", "l1"]
+
+
 def test_labels_are_never_read_from_the_held_out_fold(spark):
     rows = spark.range(200).select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)

@@ -7,10 +7,12 @@ flagged as ambiguous.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from tunespark.llm.common import filter_rows, held_out, text_to_rows
 #: Hashed n-gram buckets, longest n-gram, and labelled rows a language that a fit uses at most.
 BUCKETS, LONGEST, ROWS_A_LANGUAGE = 4096, 4, 600
 MOST_LANGUAGES = 128
+#: Parts that a label's rows are sampled in.
+SALTS = 64
 UNKNOWN = "und"
 #: Texts are cut in parts of this many bytes while n-grams are counted; the counts of all parts add up.
 PART = 1 << 20
@@ -88,10 +92,16 @@ AMBIGUOUS = 0.05
 
 
 def sample_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, label) of at most `most` rows of each label, those of least hash, outside the held-out fold."""
+    """(doc_id, label) of at most `most` rows of each label, those of least hash, outside the held-out fold.
+
+    The least of each of SALTS parts of a label are taken first, so that a common label's rows don't meet in one task.
+    """
     own = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).alias("label"))
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return own.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most).select("doc_id", "label")
+    own = own.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)))
+    for by in (("label", "part"), ("label",)):
+        by_hash = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        own = own.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most)
+    return own.select("doc_id", "label")
 
 
 def fit_binary(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 120, ridge: float = 1e-4, rate: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +133,11 @@ def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageMode
         return None
     languages = sorted(set(labels))
     if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+        # the most frequent of the sample are learned, ties by name: rarer ones are told as one of these
+        seen = Counter(labels)
+        languages = sorted(sorted(languages, key=lambda v: (-seen[v], v))[:MOST_LANGUAGES])
+        got = got.filter(pa.array([v in set(languages) for v in labels]))
+        labels = got.column("label").to_pylist()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(len(labels), BUCKETS).astype(np.float32)
     x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
     at = np.array([languages.index(v) for v in labels])

@@ -1,15 +1,17 @@
-"""Toxicity by weak supervision: many voters of words and word beginnings, a generative model of their accuracies and correlations,
+"""Toxicity by weak supervision: many lexicon and pattern voters, a generative model of their accuracies and correlations,
 and a linear classifier trained on the posterior labels.
 
-A voter is a word or a word beginning (4 to 6 letters and anything after) that the labelled sample ties to toxic texts; there are no other patterns.
+A voter is a word, a word beginning (4 to 6 letters and anything after) or a pattern of the text (spaced-out, masked or digit-for-letter words, shouting,
+repeated signs). The lexicon and the patterns vote whatever the sample says; others are those that the labelled sample ties to toxic texts.
 Voters speak up or stay silent. The generative model holds for each voter how often it speaks in toxic and in clean texts,
 learned by expectation maximisation with the given label as one more fallible voter; voters that speak up together more
-than the classes explain share their weight. The classifier then learns the posterior from hashed words and word beginnings.
+than the classes explain, as estimated anew from the posterior of each round, share their weight. The classifier then learns the posterior from hashed words, word beginnings and patterns.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -24,6 +26,16 @@ from tunespark.llm.language_id import sample_rows
 #: Labelled rows of each class that a fit uses at most; voters and classifier features at most; lengths of word beginnings.
 ROWS_A_CLASS, VOTERS, FEATURES, STARTS = 2500, 300, 1000, (4, 5, 6)
 SPACE = 1 << 22
+#: Terms of a sampled text that a fit takes to the driver at most (those of least hash), so that its memory is bounded; scoring takes all.
+TERMS_A_ROW = 20_000
+#: Patterns of a text, each a voter.
+PATTERNS = {
+    "spaced": re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*-][^\W\d_]){3,}(?![^\W_])"),
+    "masked": re.compile(r"[^\W\d_][*@$#][*@$#]?[^\W\d_]"),
+    "digits": re.compile(r"[^\W\d_][013457][^\W\d_]"),
+    "shouting": re.compile(r"[A-Z]{4,}\W{1,3}[A-Z]{4,}\W{1,3}[A-Z]{4,}"),
+    "signs": re.compile(r"!!!|\?\?\?|!\?!"),
+}
 #: Common English insults, as voters whatever the sample says.
 LEXICON = ("asshole", "bastard", "bitch", "clown", "coward", "creep", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "liar", "loser", "moron", "pathetic", "pig", "scum", "shit", "stupid", "trash", "ugly", "vermin", "worthless")
 
@@ -36,6 +48,18 @@ def bucket(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) % SPACE
 
 
+def patterns(text: str) -> list[str]:
+    return [f"~{name}" for name, pattern in PATTERNS.items() if pattern.search(text)]
+
+
+def sampled_terms(text: str) -> np.ndarray:
+    """Buckets of a text's terms for a fit: each term of each word once, and its patterns."""
+    found = np.array([bucket(f) for w in sorted(word_set(text)) for f in terms(w)] + [bucket(p) for p in patterns(text)], "<u4")
+    if len(found) > TERMS_A_ROW:
+        found = found[np.argsort(found * np.uint32(0x9E3779B1), kind="stable")[:TERMS_A_ROW]]
+    return found
+
+
 def word_set(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
@@ -53,7 +77,7 @@ class ToxicityModel:
             self.words = Cache(lambda word: math.fsum(find(bucket(t), 0.0) for t in terms(word)), 100_000)
         out = []
         for text in texts:
-            s = self.bias + math.fsum(map(self.words.__getitem__, word_set(text)))
+            s = self.bias + math.fsum(map(self.words.__getitem__, word_set(text))) + math.fsum(self.weights.get(bucket(p), 0.0) for p in patterns(text))
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
         return out
 
@@ -75,7 +99,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple
         a = (votes.T @ p + 0.5) / (p.sum() + 1.0)
         b = (votes.T @ (1 - p) + 0.5) / ((1 - p).sum() + 1.0)
         truth = (float(np.clip((p * given).sum() / p.sum(), 0.05, 0.995)), float(np.clip(((1 - p) * given).sum() / (1 - p).sum(), 0.005, 0.95)))
-        if step == 2 and k > 1:
+        if step >= 2 and step % 3 == 2 and k > 1:
             # what is left of the voters' covariance once the class is known; voters that speak together share their weight
             rest = votes - (np.outer(p, a) + np.outer(1 - p, b))
             cov = rest.T @ rest / n
@@ -117,13 +141,13 @@ def _matrix(ids: list[np.ndarray], chosen: list[int], binary: bool) -> np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> ToxicityModel | None:
     """Learn from labels outside the held-out fold: at most rows_a_class rows of each label (a bounded sample).
 
-    Words of these rows are hashed on the executors. None if no such row has both a text and a label.
+    Words of these rows are hashed on the executors. A doc_id with several labels is toxic if one says so. None if no such row has both a text and a label.
     """
-    own = labels.select("doc_id", F.when(F.col("toxic") > 0, 1).when(F.col("toxic") == 0, 0).alias("toxic")).dropDuplicates(["doc_id"])
+    own = labels.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).when(F.col("toxic") == 0, 0)).alias("toxic"))
     chosen = sample_rows(own.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic", rows_a_class)
     # the sample is bounded by rows_a_class, so that texts stay where they are
     rows = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    made = text_to_rows(rows, "x binary", lambda texts: {"x": [np.array([bucket(f) for w in sorted(word_set(t)) for f in terms(w)], "<u4").tobytes() for t in texts]}, keep=("doc_id", "label"))
+    made = text_to_rows(rows, "x binary", lambda texts: {"x": [sampled_terms(t).tobytes() for t in texts]}, keep=("doc_id", "label"))
     got = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     given = np.array(got.column("label").to_pylist(), np.float64)
     if not given.size or given.min() == given.max():
@@ -132,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) ->
     ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in got.column("x").to_pylist()]
     once = [np.unique(x) for x in ids]
     least = 3
-    named = [bucket(f"={w}") for w in LEXICON]
+    named = [bucket(f"={w}") for w in LEXICON] + [bucket(f"~{name}") for name in PATTERNS]
     mined = [f for f in _strongest(once, given, VOTERS, least, 2.5)]
     seen = Counter(int(f) for x in once for f in x[np.isin(x, named)])
     voters = list(dict.fromkeys([*(f for f in named if seen[f]), *mined]))[:VOTERS]
