@@ -159,6 +159,37 @@ def c1_excerpt_starts(spark, d):
     return n.select("n", F.array_join(F.transform(C.excerpt_starts("n", 100, 3), lambda x: x.cast("string")), ",").alias("starts"))
 
 
+def _signals(spark, d):
+    """Signals of 1 to 64 samples: the first components of the vectors."""
+    return X.read(spark, d, "embeddings").select(F.format_string("trk-%06d", "vec_id").alias("track_id"), F.expr("slice(embedding, 1, CAST(vec_id % 64 + 1 AS INTEGER))").alias("samples"))
+
+
+@query("""WITH s AS (SELECT printf('trk-%06d', vec_id) AS track_id, embedding AS e, CAST(vec_id % 64 + 1 AS BIGINT) AS n FROM embeddings), k AS (SELECT *, least(3, n // 20) AS k FROM s),
+    t AS (SELECT track_id, e, n, unnest(CASE WHEN n <= 20 THEN [0] WHEN k <= 1 THEN [(n - 20) // 2] ELSE list_transform(range(0, k), lambda i: CAST(round_even(i * (n - 20) / (k - 1), 0) AS BIGINT)) END) AS start FROM k)
+    SELECT track_id, start, round(sum((p + 1) * CAST(e[(start + p) % n + 1] AS DOUBLE)), 5) AS weighted FROM t, generate_series(0, 19) AS g(p) GROUP BY track_id, start""")
+def c2_extract_excerpts(spark, d):
+    cut = C.extract_excerpts(_signals(spark, d), 20, 3)
+    weighted = F.aggregate(F.zip_with("samples", F.sequence(F.lit(1), F.lit(20)), lambda x, i: x.cast("double") * i), F.lit(0.0), lambda total, x: total + x)
+    return cut.select("track_id", "start", F.round(weighted, 5).alias("weighted"))
+
+
+@query("""SELECT printf('trk-%06d', vec_id) AS track_id, CASE WHEN vec_id % 13 = 0 THEN 'empty' WHEN vec_id % 11 = 0 THEN 'non-finite' WHEN vec_id % 7 = 0 THEN 'silent' END AS reason,
+    CASE WHEN vec_id % 13 > 0 AND vec_id % 11 > 0 THEN round(CASE WHEN vec_id % 7 = 0 THEN 0 ELSE (CAST(embedding[5] AS DOUBLE) + CAST(embedding[60] AS DOUBLE)) / 2 END, 6) END AS fifth FROM embeddings""")
+def c3_mono_and_gate(spark, d):
+    k = F.col("vec_id")
+    scaled = F.transform("embedding", lambda x: F.when(k % 11 == 0, float("nan")).when(k % 7 == 0, 0.0).otherwise(x.cast("double")))
+    channels = F.when(k % 13 == 0, F.array().cast("array<array<double>>")).otherwise(F.array(scaled, F.reverse(scaled)))
+    made = C.mono_and_gate(X.read(spark, d, "embeddings").select(F.format_string("trk-%06d", "vec_id").alias("track_id"), channels.alias("channels")))
+    sound = F.col("reason").isNull() | (F.col("reason") == "silent")
+    return made.select("track_id", "reason", F.when(sound, F.round(F.col("samples")[4].cast("double"), 6)).alias("fifth"))
+
+
+@query("SELECT vec_id, CASE WHEN abs(CAST(embedding[55] AS DOUBLE)) * 2 >= 0.25 THEN round(60 + abs(CAST(embedding[54] AS DOUBLE)) * 400, 1) END AS bpm FROM embeddings")
+def c6_gated_bpm(spark, d):
+    own = X.read(spark, d, "embeddings").select("vec_id", (60 + F.abs(F.col("embedding")[53].cast("double")) * 400).alias("bpm"), (F.abs(F.col("embedding")[54].cast("double")) * 2).alias("clarity"))
+    return own.select("vec_id", C.gated_bpm("bpm", "clarity").alias("bpm"))
+
+
 @query("SELECT vec_id, round(20 * log10(greatest(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / 64), 1e-10)), 2) AS loudness FROM embeddings")
 def c4_loudness(spark, d):
     return X.read(spark, d, "embeddings").select("vec_id", C.loudness_dbfs("embedding").alias("loudness"))
