@@ -447,6 +447,16 @@ def g8_short_reason_seed(spark, d):
     return _similar_evidence(spark, d).select("query_id", "track_id", G.short_reason().alias("why"))
 
 
+@query(sql("", "v_cosine").rstrip() + _BLEND.rstrip() + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY qs DESC, track_id) AS query_rank FROM z),
+    s AS (SELECT query_id, track_id, row_number() OVER (PARTITION BY query_id ORDER BY ss DESC, track_id) AS seed_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS rank FROM z WHERE track_id <> seed_id)
+    SELECT query_id, track_id, CAST(rank AS INTEGER) AS rank, round(qs, 6) AS query_cosine, query_rank, round(ss, 6) AS seed_cosine, seed_rank FROM p JOIN s USING (query_id, track_id) WHERE rank <= 10""")
+def g10_blend_paths(spark, d):
+    vectors, seeds, tracks = _blend_inputs(spark, d)
+    out = Q.explain_blend(R.blend(vectors, seeds, tracks, 10), R.blend_scores(vectors, seeds, tracks), seeds)
+    cosines = {c: F.round(F.col(c).cast("double"), 6) for c in ("query_cosine", "seed_cosine")}
+    return out.select("query_id", "track_id", "rank", "query_cosine", "query_rank", "seed_cosine", "seed_rank").withColumns(cosines)
+
+
 # ------------------------------------------------------------------------------------------------ lookups
 
 
