@@ -28,11 +28,11 @@ ROWS_A_CLASS, VOTERS, FEATURES, STARTS = 2500, 300, 1000, (4, 5, 6)
 SPACE = 1 << 22
 #: Terms of a sampled text that a fit takes to the driver at most (those of least hash), so that its memory is bounded; scoring takes all.
 TERMS_A_ROW = 20_000
-#: Patterns of a text, each a voter.
+#: Patterns of a text, each a voter. Each begins with the characters it is rarest to find, looking back from them, so that a search skips along.
 PATTERNS = {
-    "spaced": re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*-][^\W\d_]){3,}(?![^\W_])"),
-    "masked": re.compile(r"[^\W\d_][*@$#][*@$#]?[^\W\d_]"),
-    "digits": re.compile(r"[^\W\d_][013457][^\W\d_]"),
+    "spaced": re.compile(r"[ .*-][^\W\d_][ .*-][^\W\d_][ .*-][^\W\d_](?![^\W_])"),
+    "masked": re.compile(r"[*@$#](?<=[^\W\d_][*@$#])[*@$#]?[^\W\d_]"),
+    "digits": re.compile(r"[013457](?<=[^\W\d_][013457])[^\W\d_]"),
     "shouting": re.compile(r"[A-Z]{4,}\W{1,3}[A-Z]{4,}\W{1,3}[A-Z]{4,}"),
     "signs": re.compile(r"!!!|\?\?\?|!\?!"),
 }
