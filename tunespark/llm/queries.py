@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunespark.llm import bm25_search, byte_bpe, cover_tree, language_id, order_minhash, packing, sharding, toxicity, url_filter
+from tunespark.llm import bm25_search, byte_bpe, cover_tree, language_id, order_minhash, packing, sharding, toxicity, url_filter, winnowing
 from tunespark.llm.common import read
 
 
@@ -54,7 +54,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_duplicates, op4_toxicity, op5_language_id, op6_embedding_duplicates, op7_top_k_search, op8_packing, op9_sharding, op10_byte_bpe)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = winnowing.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_duplicates, op4_toxicity, op5_language_id, op6_embedding_duplicates, op7_top_k_search, op8_packing, op9_sharding, op10_byte_bpe, op11_decontamination)}
 
 ORACLE = {
     "op2_url_filter": """
@@ -94,4 +100,16 @@ ORACLE = {
           WHERE q.doc_id % 100 = 0 GROUP BY ALL)
         SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 10""",
+    "op11_decontamination": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        i AS (SELECT item_id, least(10, len(w)) AS size, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS f FROM b WHERE len(w) > 0),
+        k AS (SELECT DISTINCT item_id, size, array_to_string(w[f : f + size - 1], ' ') AS words FROM i),
+        s AS (SELECT DISTINCT size FROM k),
+        x AS (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS f FROM d, s WHERE len(w) >= size),
+        h AS (SELECT row, f, k.size, item_id FROM (SELECT row, f, size, array_to_string(w[f : f + size - 1], ' ') AS words FROM x) y JOIN k ON k.size = y.size AND k.words = y.words),
+        c AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(f, f + size)) AS p FROM h) GROUP BY row),
+        g AS (SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM h WHERE item_id IS NOT NULL) GROUP BY row)
+        SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(g.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c ON c.row = d.row LEFT JOIN g ON g.row = d.row""",
 }
