@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tunespark.llm import winnowing
+from tunespark.llm import heap_lloyd, winnowing
 from tunespark.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +110,94 @@ def test_every_shared_window_has_one_fingerprint():
             made.append((prints[20], whole[20]))
             assert w.counts.tolist() == [50] and begin.tolist() == list(range(41))
         assert made[0] == made[1]
+
+
+# ------------------------------------------------------------------------------------------------ vector codes
+
+
+def brute_codes(rows, parts=8, entries=16, rounds=6):
+    """Every part against every entry in every round, in whole numbers."""
+    kept = [(i, [int(np.floor(4096 * np.float64(np.float32(x)))) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0], r[1]))
+    width = len(kept[0][1]) // parts
+    cut = np.array([v for _, v, _ in kept], object).reshape(len(kept), parts, width)
+    books = cut[:entries].transpose(1, 0, 2).copy()
+
+    def assign():
+        return np.array([[min(range(len(books[p])), key=lambda j: (sum((cut[i, p] - books[p][j]) ** 2), j)) for p in range(parts)] for i in range(len(cut))])
+
+    for _ in range(rounds):
+        own = assign()
+        for p in range(parts):
+            for j in range(len(books[p])):
+                if (own[:, p] == j).any():
+                    books[p][j] = cut[own[:, p] == j, p].sum(0) // int((own[:, p] == j).sum())
+    own = assign()
+    errors = [int(sum(sum((cut[i, p] - books[p][own[i, p]]) ** 2) for p in range(parts))) for i in range(len(cut))]
+    by_label = Counter()
+    for (_, _, label), e in zip(kept, errors):
+        by_label[label] += e
+    sha = hashlib.sha256(",".join(str(x) for x in books.ravel()).encode()).hexdigest()
+    return sorted((i, "".join(f"{j:02x}" for j in a), e, by_label[label], sha) for (i, _, label), a, e in zip(kept, own, errors))
+
+
+def coded(spark, rows, monkeypatch, kind="array<float>"):
+    table = spark.createDataFrame(rows, f"vec_id long, embedding {kind}, label int").withColumn("code", F.lit(1)).withColumn("size", F.lit("x")).repartition(3)
+    monkeypatch.setattr(registered, "read", lambda spark, d, t: table)
+    got = registered.op12_vector_codes(spark, "")
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    return sorted(tuple(r) for r in got.collect())
+
+
+@pytest.mark.parametrize("block", [4096, 17])
+def test_codes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(heap_lloyd, "BLOCK", block)
+    r = np.random.RandomState(5)
+    centres = r.randn(6, 16)
+    rows = [(i, [float(x) for x in (centres[i % 6] + 0.3 * r.randn(16)).astype(np.float32)], [0, None, 1, 1][i % 4]) for i in range(160)]
+    rows += [(1000 + i, [0.0] * 16, 1) for i in range(60)] + [(2000 + i, [float(x) / 4096 for x in r.randint(-2, 3, 16)], 2) for i in range(60)]
+    rows += [(3000, None, 1), (3001, [0.1] * 15 + [None], 1), (3002, [0.1] * 15 + [float("nan")], None), (3003, [float("-inf")] * 16, 0)]
+    assert coded(spark, rows, monkeypatch) == brute_codes(rows)
+
+
+def test_few_repeated_and_no_vectors(spark, monkeypatch):
+    few = [(i, [float(i % 3) + j / 10 for j in range(8)], None) for i in range(5)]
+    assert coded(spark, few, monkeypatch) == brute_codes(few)
+    assert coded(spark, few[:1], monkeypatch) == brute_codes(few[:1])
+    twice = [(7, [0.5] * 8, 1)] * 40 + [(8, [0.25] * 8, 1)] * 3
+    assert coded(spark, twice, monkeypatch) == brute_codes(twice)
+    assert coded(spark, [], monkeypatch) == [] and coded(spark, [(1, None, 1)], monkeypatch) == []
+    null_id = [(None, [1.0] * 8, 1), (4, [0.0] * 8, 1)]
+    table = spark.createDataFrame(null_id + [(5, [1.0] * 16, 1), (6, [], 1)], "vec_id long, embedding array<float>, label int")
+    rows = {x["vec_id"]: x for x in heap_lloyd.compress(table)[0].collect()}
+    assert rows[4]["code"] == "00" * 8 and rows[None]["code"] == "01" * 8 and rows[5]["code"] is None and rows[6]["error"] is None
+    with pytest.raises(ValueError, match="equal parts"):
+        heap_lloyd.compress(spark.createDataFrame([(1, [1.0] * 9, 1)], "vec_id long, embedding array<float>, label int"))
+
+
+def test_heaps_hold_what_is_not_compared():
+    """Each round gives the assignment that comparing everything gives, and later rounds pop a part of all parts only."""
+    r = np.random.RandomState(2)
+    x = r.randint(-3000, 3000, (3000, 2, 4)).astype(np.int16)
+    books = x[:16].transpose(1, 0, 2).astype(np.int64)
+    block = heap_lloyd.Block(x, 16)
+    block.start(books)
+    drift, popped, sums = np.zeros((2, 16)), [], np.zeros((2, 16, 5), np.int64)
+    for _ in range(6):
+        sums += block.delta
+        before, books = books, sums[:, :, :-1] // sums[:, :, -1:]
+        drift = drift + heap_lloyd.drifts(before, books)
+        state = dict(zip(("size", "bytes", "x", "keys", "members", "lengths"), block.state()))
+        block = heap_lloyd.Block.load(state, 2, 16)
+        popped.append(block.round(books, drift))
+        for p in range(2):
+            assert (block.assignment()[:, p] == heap_lloyd.nearest(x[:, p], books[p])[0]).all()
+    assert popped[-1] < 0.7 * 6000 and all(keys[0] == keys.min() for keys, _ in block.heaps if len(keys))
+
+
+def test_codes_decode_near_their_vectors(spark):
+    r = np.random.RandomState(1)
+    table = spark.createDataFrame([(i, [float(x) for x in np.repeat(r.randint(0, 2, 8), 2)], 0) for i in range(60)], "vec_id long, embedding array<float>, label int")
+    out, books = heap_lloyd.compress(table)
+    rows = heap_lloyd.decode(out.drop("label"), books).join(table, "vec_id").collect()
+    assert len(rows) == 60 and all(np.abs(np.array(x["decoded"]) - x["embedding"]).max() < 1e-3 for x in rows)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunespark.llm import bm25_search, byte_bpe, cover_tree, language_id, order_minhash, packing, sharding, toxicity, url_filter, winnowing
+from tunespark.llm import bm25_search, byte_bpe, cover_tree, heap_lloyd, language_id, order_minhash, packing, sharding, toxicity, url_filter, winnowing
 from tunespark.llm.common import read
 
 
@@ -60,9 +60,38 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_duplicates, op4_toxicity, op5_language_id, op6_embedding_duplicates, op7_top_k_search, op8_packing, op9_sharding, op10_byte_bpe, op11_decontamination)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = heap_lloyd.compress(read(spark, sf_dir, "embeddings"))
+    rows = heap_lloyd.with_label_error(coded)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(heap_lloyd.digest(codebooks)).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int) -> str:
+    """Lloyd's rounds one after the other, every part compared with every entry."""
+    nearest = """a{r} AS MATERIALIZED (
+          SELECT row, v.p, any_value(v.x) AS x, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), j := c.j)) AS m
+          FROM v JOIN c{r} c ON c.p = v.p GROUP BY row, v.p)"""
+    update = """s{r} AS (SELECT p, j, list(y ORDER BY i) AS x FROM (
+          SELECT p, j, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT p, m.j AS j, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{q}) GROUP BY p, j, i) GROUP BY p, j),
+        c{r} AS MATERIALIZED (SELECT c.p, c.j, coalesce(s.x, c.x) AS x FROM c{q} c LEFT JOIN s{r} s ON s.p = c.p AND s.j = c.j)"""
+    steps = [nearest.format(r=0)] + [x.format(r=r, q=r - 1) for r in range(1, rounds + 1) for x in (update, nearest)]
+    return f"""
+        WITH k AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS MATERIALIZED (SELECT row, p, e[p * (len(e) // 8) + 1 : (p + 1) * (len(e) // 8)] AS x FROM k, range(8) t(p)),
+        c0 AS (SELECT p, row - 1 AS j, x FROM v WHERE row <= 16),
+        {", ".join(steps)},
+        t AS (SELECT row, string_agg(format('{{:02x}}', m.j), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+        b AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, j, i)) AS h FROM (SELECT p, j, unnest(x) AS y, unnest(range(len(x))) AS i FROM c{rounds}))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+        FROM k JOIN t ON t.row = k.row CROSS JOIN b"""
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_duplicates, op4_toxicity, op5_language_id, op6_embedding_duplicates, op7_top_k_search, op8_packing, op9_sharding, op10_byte_bpe, op11_decontamination, op12_vector_codes)}
 
 ORACLE = {
+    "op12_vector_codes": _codes_sql(heap_lloyd.ROUNDS),
     "op2_url_filter": """
         WITH u AS (
           SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
