@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tunespark.llm import heap_lloyd, winnowing
+from tunespark.llm import heap_lloyd, prefix_trie, winnowing
 from tunespark.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -58,8 +58,6 @@ def contaminated(spark, docs, items, monkeypatch):
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_contamination_equals_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(winnowing, "BROADCAST_WINDOWS", few)
-    monkeypatch.setattr(winnowing, "BATCH_BYTES", 300)
-    monkeypatch.setattr(winnowing, "HASH_BYTES", 64)
     r = random.Random(11)
     vocabulary = ["the", "of", "naïve", "日本", "x1", "Über", "A", "42", "long" * 40]
 
@@ -112,6 +110,25 @@ def test_every_shared_window_has_one_fingerprint():
         assert made[0] == made[1]
 
 
+def test_words_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("aB9é日 -.\x00") for _ in range(r.choice([0, 3, 50, 900]))) for _ in range(60)] + [None, "x" * 500, ""]
+    whole = [(w.counts.tolist(), w.hashes[0].tolist(), w.hashes[1].tolist()) for _, w in winnowing.batched(pa.array(texts))]
+    monkeypatch.setattr(winnowing, "BATCH_BYTES", 300)
+    monkeypatch.setattr(winnowing, "HASH_BYTES", 64)
+    parts = list(winnowing.batched(pa.array(["before", *texts]).slice(1)))
+    assert len(whole) == 1 and len(parts) > 10
+    assert [n for _, w in parts for n in w.counts.tolist()] == whole[0][0] == [len(words(t)) for t in texts]
+    for k in (0, 1):
+        assert [h for _, w in parts for h in w.hashes[k].tolist()] == whole[0][1 + k]
+    by_word = defaultdict(set)
+    for word, h in zip((x for t in texts for x in words(t)), whole[0][1]):
+        by_word[h].add(word)
+    assert all(len(x) == 1 for x in by_word.values())
+
+
 # ------------------------------------------------------------------------------------------------ vector codes
 
 
@@ -201,3 +218,114 @@ def test_codes_decode_near_their_vectors(spark):
     out, books = heap_lloyd.compress(table)
     rows = heap_lloyd.decode(out.drop("label"), books).join(table, "vec_id").collect()
     assert len(rows) == 60 and all(np.abs(np.array(x["decoded"]) - x["embedding"]).max() < 1e-3 for x in rows)
+
+
+# ------------------------------------------------------------------------------------------------ conversation trie
+
+
+def brute_trie(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            own[conv].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    own = {c: [(role, text) for *_, role, text in sorted(t)] for c, t in own.items()}
+    members, ends = defaultdict(set), defaultdict(set)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        path = tuple(own.get(c - c % 100, [])[:h] + turns[h:])
+        for d in range(len(path) + 1):
+            members[path[:d]].add(c)
+        ends[path].add(c)
+    children = defaultdict(set)
+    for path in members:
+        if path:
+            children[path[:-1]].add(path)
+    leaves, saved = Counter(), Counter()
+    for path in members:
+        for d in range(len(path) + 1):
+            leaves[path[:d]] += not children[path]
+            saved[path[:d]] += (len(members[path]) - 1) * len(path[-1][1]) if path else 0
+    return sorted(
+        (min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children[p]), leaves[p], saved[p], hashlib.sha256(",".join(map(str, sorted(ends[p]))).encode()).hexdigest())
+        for p, m in members.items()
+    ) if members else []
+
+
+def nodes_of(spark, rows, monkeypatch):
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("x")).withColumn("path", F.lit(1)).repartition(5)
+    monkeypatch.setattr(registered, "read", lambda spark, d, t: table)
+    return sorted(tuple(r) for r in registered.op13_conversation_trie(spark, "").collect())
+
+
+@pytest.fixture
+def many_ranges(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trie_equals_brute_force(spark, monkeypatch, many_ranges, seed):
+    monkeypatch.setattr(prefix_trie, "CHUNK", 3)
+    monkeypatch.setattr(prefix_trie, "IDS", 4)
+    monkeypatch.setattr(prefix_trie, "BROADCAST_BORDERS", 500_000 if seed == 1 else 0)
+    r = random.Random(seed)
+    rows = []
+    for c in [*range(0, 120), *range(205, 260), 300, 301, 5000, *range(9900, 9950)]:
+        turns = [(r.choice(["user", "assistant", None]), r.choice(["a", "ab", "é日", None])) for _ in range(r.choice([1, 1, 2, 4, 9]))]
+        if c % 3 == 0:
+            turns = [("user", "the very same")] * 7
+        if c % 7 == 1:
+            turns = [("user", "the very same")] * 6 + [("assistant", str(c % 4))] + turns
+        if c == 301:
+            turns = turns * 60
+        rows += [(c, i if i or r.random() < 0.7 else None, *t) for i, t in enumerate(turns)]
+    rows += [(7, 0, "user", "tie"), (7, 0, "user", "tie"), (7, 0, None, "other"), (None, 1, "user", "nobody"), (8, None, None, None)]
+    assert nodes_of(spark, rows, monkeypatch) == brute_trie(rows)
+
+
+def test_trie_without_turns(spark, monkeypatch):
+    assert nodes_of(spark, [], monkeypatch) == [] and nodes_of(spark, [(None, 0, "user", "x")], monkeypatch) == []
+    alone = [c for c in range(1, 99) if zlib.crc32(str(c).encode()) % 6 > 1][:3]
+    rows = [(c, 0, "user", "hi") for c in alone]
+    got = nodes_of(spark, rows, monkeypatch)
+    assert got == brute_trie(rows) and len(got) == 1 and got[0][:6] == (alone[0], 0, None, 3, 0, 1)
+    long = [(1, 0, "user", "é" * 100_000), (2, 0, "user", "é" * 100_000), (0, 0, "user", "x" * 50)]
+    assert nodes_of(spark, long, monkeypatch) == brute_trie(long)
+
+
+def test_merge_compares_nothing_twice(monkeypatch):
+    """Runs of any number and size come out in order with the turns that neighbours share, from disk too; shared turns are skipped."""
+    r = random.Random(6)
+    for k in (0, 1, 2, 3, 5, 8, 13):
+        paths = list({b"".join(bytes([r.randrange(2)]) * prefix_trie.DIGEST for _ in range(r.randrange(9))) for _ in range(60)})
+        rows = [(p, b"", i, 1, "") for i, p in enumerate(paths)]
+        runs = [prefix_trie.sorted_run(rows[i::k]) for i in range(k)] if k else []
+        if k == 5:
+            runs = [prefix_trie.spilled(x) for x in runs]
+            assert [next(x) for x in runs] == [None] * k
+        got = list(prefix_trie.merge(runs)) if runs else []
+        want = sorted(rows) if runs else []
+        assert [x for _, x in got] == want
+        assert [n for n, _ in got] == [prefix_trie.shared(a[0], b[0]) for a, b in zip([(b"",), *want], want)]
+    deep = b"".join(i.to_bytes(prefix_trie.DIGEST, "big") for i in range(2000))
+    seen = []
+    monkeypatch.setattr(prefix_trie, "shared", lambda a, b, known=0, f=prefix_trie.shared: seen.append(known) or f(a, b, known))
+    runs = [iter([(0, (deep + bytes([j]) * prefix_trie.DIGEST,)), (2000, (deep + bytes([j + 4]) * prefix_trie.DIGEST,))]) for j in range(4)]
+    assert len(list(prefix_trie.merge(runs))) == 8
+    assert sum(k == 0 for k in seen) == 3 and all(k in (0, 2000) for k in seen)
+
+
+def test_sorted_rows_by_way_of_runs(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(prefix_trie, "RUN_BYTES", 3000)
+    r = random.Random(8)
+    paths = list({bytes(r.randrange(3) for _ in range(1)) * prefix_trie.DIGEST * r.randrange(5) + bytes([i]) * prefix_trie.DIGEST for i in range(200)})
+    batch = pa.table({"path": paths, "sizes": [b""] * len(paths), "least": range(len(paths)), "n": [1] * len(paths), "ends_sha256": ["x"] * len(paths)}).to_batches()
+    assert [row[0] for _, row in prefix_trie.sorted_rows(iter(batch))] == sorted(paths)
+    assert list(prefix_trie.sorted_rows(iter([]))) == []

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunespark.llm import bm25_search, byte_bpe, cover_tree, heap_lloyd, language_id, order_minhash, packing, sharding, toxicity, url_filter, winnowing
+from tunespark.llm import bm25_search, byte_bpe, cover_tree, heap_lloyd, language_id, order_minhash, packing, prefix_trie, sharding, toxicity, url_filter, winnowing
 from tunespark.llm.common import read
 
 
@@ -88,9 +88,36 @@ def _codes_sql(rounds: int) -> str:
         FROM k JOIN t ON t.row = k.row CROSS JOIN b"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_duplicates, op4_toxicity, op5_language_id, op6_embedding_duplicates, op7_top_k_search, op8_packing, op9_sharding, op10_byte_bpe, op11_decontamination, op12_vector_codes)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_duplicates, op4_toxicity, op5_language_id, op6_embedding_duplicates, op7_top_k_search, op8_packing, op9_sharding, op10_byte_bpe, op11_decontamination, op12_vector_codes, op13_conversation_trie)}
 
 ORACLE = {
+    "op13_conversation_trie": """
+        WITH t AS (
+          SELECT conv_id, dense_rank() OVER (ORDER BY digest) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i, size
+          FROM (SELECT conv_id, turn, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS size
+                FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (
+          SELECT conv_id, xor(4294967295, list_reduce(flatten([[4294967295], flatten(list_transform(range(1, length(s) + 1), lambda i: [256 + ascii(s[i]), 0, 0, 0, 0, 0, 0, 0, 0]))]),
+                 lambda c, o: CASE WHEN o >= 256 THEN xor(c, o - 256) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 6 AS h
+          FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)),
+        b AS (SELECT c.conv_id, 0 AS own, t.i, t.x, t.size FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= h
+              UNION ALL SELECT c.conv_id, 1, t.i, t.x, t.size FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > h),
+        q AS (SELECT c.conv_id, coalesce(list(x ORDER BY own, i) FILTER (WHERE x IS NOT NULL), []) AS path, coalesce(list(size ORDER BY own, i) FILTER (WHERE x IS NOT NULL), []) AS sizes
+              FROM c LEFT JOIN b ON b.conv_id = c.conv_id GROUP BY c.conv_id),
+        p AS (SELECT conv_id, len(path) AS whole, path[1 : d] AS path, d, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM q)),
+        n AS MATERIALIZED (
+          SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole = d), '')) AS ends
+          FROM p GROUP BY path, d),
+        k AS (SELECT path[1 : d - 1] AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+        s AS (SELECT u.path[1 : j] AS path, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS leaves
+              FROM (SELECT n.path, n.saved, k.n IS NULL AS leaf, unnest(range(n.d + 1)) AS j FROM n LEFT JOIN k ON k.path = n.path) u GROUP BY 1)
+        SELECT n.conv_id, n.d AS depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+        FROM n JOIN s ON s.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN n a ON n.d > 0 AND a.d = n.d - 1 AND a.path = n.path[1 : n.d - 1]""",
     "op12_vector_codes": _codes_sql(heap_lloyd.ROUNDS),
     "op2_url_filter": """
         WITH u AS (
