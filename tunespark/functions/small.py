@@ -56,3 +56,28 @@ def counts_below(df: DataFrame, value: str) -> DataFrame:
     running = F.sum("own").over(Window.partitionBy("range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     through = running + table[F.col("range")]
     return counted.select(value, (through - F.col("own")).alias("below"), through.alias("through"), F.lit(before).alias("total"))
+
+
+def previous_value(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """df with `name`: the value of the row before, by order (a number), of the same key; null for the first.
+
+    Rows are looked up inside value ranges of `order`; only the last value of each range and key is passed on, so that a key of any size is spread.
+    """
+    marked = df.withColumn("__range", ranges(df, order))
+    lasts = marked.groupBy(key, "__range").agg(F.max_by(value, order).alias("__last"))
+    handed = lasts.withColumn("__handed", F.lag("__last").over(Window.partitionBy(key).orderBy("__range"))).drop("__last")
+    inside = F.lag(value).over(Window.partitionBy(key, "__range").orderBy(order))
+    return marked.withColumn("__inside", inside).join(handed, [key, "__range"]).withColumn(name, F.coalesce("__inside", "__handed")).drop("__range", "__inside", "__handed")
+
+
+def running_total(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """df with `name`: the sum of value over the rows of the same key before each row, by order (a number; rows of one key differ in it).
+
+    Sums run inside value ranges of `order` and are shifted by the totals of the ranges before, so that a key of any size is spread.
+    """
+    marked = df.withColumn("__range", ranges(df, order))
+    totals = marked.groupBy(key, "__range").agg(F.sum(value).alias("__total"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.withColumn("__shift", F.coalesce(F.sum("__total").over(before.partitionBy(key).orderBy("__range")), F.lit(0))).drop("__total")
+    inside = F.coalesce(F.sum(value).over(before.partitionBy(key, "__range").orderBy(order)), F.lit(0))
+    return marked.withColumn("__inside", inside).join(shifts, [key, "__range"]).withColumn(name, F.col("__inside") + F.col("__shift")).drop("__range", "__inside", "__shift")

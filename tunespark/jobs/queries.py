@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunespark import vocab as V
+from tunespark.functions.tables import written
 from tunespark.jobs import fixtures as X
 from tunespark.jobs.fixtures import sql
 from tunespark.jobs.index import build_report, plan_reuse
@@ -559,54 +560,89 @@ def i8_latency_summary(spark, d):
 
 
 def _incoming(spark, d):
+    """A feed of all pages: those with a number divisible by 3 come first. Neighbours share a title and a URL, every other row names its provider id, and a key's titles change."""
     k = F.col("page_id")
-    url = F.when(k % 5 == 0, F.concat(F.lit("ftp://x.example/"), k.cast("string"))).when(k % 5 != 1, F.concat(F.lit("https://x.example/"), (k % 40).cast("string")))
+    m = F.floor(k / 2)
+    url = F.when(m % 5 == 0, F.concat(F.lit("ftp://x.example/"), m.cast("string"))).when(m % 5 != 1, F.concat(F.lit("https://x.example/"), F.floor(m / 400).cast("string"), F.lit("/"), (m % 20).cast("string")))
     return X.read(spark, d, "pages").select(
-        k.alias("row_id"), F.when(k % 9 != 0, F.concat(F.lit("Title "), (k % 30).cast("string"))).alias("title"), F.rpad(F.concat(F.lit("Artist "), (k % 3).cast("string")), 200, "x").alias("artist"), url.alias("provider_url"),
-        F.when(k % 2 == 0, F.concat(F.lit("id-"), (k % 40).cast("string"))).alias("provider_id"), F.when(k % 3 == 0, "12.5").otherwise("240").alias("duration_seconds"),
+        (k + F.when(k % 3 == 0, F.lit(0)).otherwise(F.lit(10**15))).alias("row_id"), F.when(k % 9 != 8, F.concat(F.lit("Title "), (m % 30).cast("string"))).alias("title"), F.rpad(F.concat(F.lit("Artist "), (m % 3).cast("string")), 200, "x").alias("artist"), url.alias("provider_url"),
+        F.when(k % 2 == 0, F.concat(F.lit("id-"), (m % 20).cast("string"))).alias("provider_id"), F.when(k % 3 == 0, "12.5").otherwise(k.cast("string")).alias("duration_seconds"),
     )
 
 
-_IN = """WITH i AS (SELECT page_id AS row_id, CASE WHEN page_id % 9 <> 0 THEN 'Title ' || (page_id % 30) ELSE '' END AS title, substr(rpad('Artist ' || (page_id % 3), 200, 'x'), 1, 160) AS artist,
-    CASE WHEN page_id % 5 NOT IN (0, 1) THEN 'https://x.example/' || (page_id % 40) END AS provider_url, CASE WHEN page_id % 2 = 0 THEN 'id-' || (page_id % 40) END AS provider_id, CASE WHEN page_id % 3 <> 0 THEN 240 END AS duration_seconds FROM pages),
-    k AS (SELECT *, CASE WHEN provider_id IS NOT NULL AND provider_url IS NOT NULL THEN 'p|' || provider_id || '|' || provider_url ELSE 'n|' || title || '|' || artist || '|' || coalesce(provider_url, '-') END AS key FROM i)"""
+_IN = """i AS (SELECT page_id + CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1000000000000000 END AS row_id, CASE WHEN page_id % 9 <> 8 THEN 'Title ' || (page_id // 2 % 30) ELSE '' END AS title,
+    substr(rpad('Artist ' || (page_id // 2 % 3), 200, 'x'), 1, 160) AS artist, CASE WHEN page_id // 2 % 5 NOT IN (0, 1) THEN 'https://x.example/' || (page_id // 800) || '/' || (page_id // 2 % 20) END AS provider_url,
+    CASE WHEN page_id % 2 = 0 THEN 'id-' || (page_id // 2 % 20) END AS provider_id, CASE WHEN page_id % 3 <> 0 THEN CAST(page_id AS INTEGER) END AS duration_seconds FROM pages)"""
 
 
-@query(_IN + " SELECT row_id, title, artist, provider_url, provider_id, duration_seconds FROM i")
+@query("WITH " + _IN + " SELECT row_id, title, artist, provider_url, provider_id, duration_seconds FROM i")
 def j1_normalize_identity(spark, d):
     return J.normalize_track_identity(_incoming(spark, d)).select("row_id", "title", "artist", "provider_url", "provider_id", "duration_seconds")
 
 
-def _stored(spark, d):
-    """The first rows by id, as if they had come before."""
-    rows = J.normalize_track_identity(_incoming(spark, d).where("row_id < 40 and row_id % 9 <> 0 and row_id % 2 = 0 and row_id % 5 > 1"))
-    return rows.select(F.format_string("old-%03d", "row_id").alias("id"), *J.IDENTITY).withColumn("license", F.lit("stored"))
+def _one_by_one(changed: str) -> str:
+    """Every row after the other against the list of tracks as it is then; `changed` is the list when a track of the row's provider key is there."""
+    return f"""WITH RECURSIVE {_IN},
+        k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) AS n, row_id, title, duration_seconds AS seconds, 'n' || chr(31) || title || chr(31) || artist || chr(31) || coalesce(provider_url, chr(30)) AS nkey,
+            CASE WHEN provider_id IS NOT NULL AND provider_url IS NOT NULL THEN 'p' || chr(31) || provider_id || chr(31) || provider_url END AS pkey FROM i),
+        s(n, row_id, got, tracks) AS (
+          SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS STRUCT(id VARCHAR, nkey VARCHAR, pkey VARCHAR, title VARCHAR, seconds INTEGER, created BIGINT)[])
+          UNION ALL
+          SELECT n, row_id, CASE WHEN title <> '' THEN coalesce(found.id, 'new-' || substr(sha256(coalesce(pkey, nkey)), 1, 16)) END,
+                 CASE WHEN title = '' THEN tracks WHEN found IS NULL THEN list_append(tracks, {{'id': 'new-' || substr(sha256(coalesce(pkey, nkey)), 1, 16), 'nkey': nkey, 'pkey': pkey, 'title': title, 'seconds': seconds, 'created': row_id}}) ELSE {changed} END
+          FROM (SELECT k.*, s.tracks, CASE WHEN k.pkey IS NULL THEN list_filter(s.tracks, lambda t: t.nkey = k.nkey)[1] ELSE list_filter(s.tracks, lambda t: t.pkey = k.pkey)[1] END AS found
+                FROM s JOIN k ON k.n = s.n + 1))"""
 
 
-_OLD = """, o AS (SELECT printf('old-%03d', row_id) AS id, 'p|' || provider_id || '|' || provider_url AS pkey, 'n|' || title || '|' || artist || '|' || coalesce(provider_url, '-') AS nkey FROM k WHERE row_id < 40 AND row_id % 9 <> 0 AND row_id % 2 = 0 AND row_id % 5 > 1),
-    e AS (SELECT key, min(id) AS old_id FROM (SELECT pkey AS key, id FROM o UNION ALL SELECT nkey, id FROM o) GROUP BY key)"""
+_FIND = _one_by_one("tracks")
+_UPSERT = _one_by_one("CASE WHEN pkey IS NULL THEN tracks ELSE list_transform(tracks, lambda t: CASE WHEN t.pkey = pkey THEN {'id': t.id, 'nkey': nkey, 'pkey': pkey, 'title': title, 'seconds': seconds, 'created': t.created} ELSE t END) END")
+_MAPPED = " SELECT row_id, got AS track_id FROM s WHERE n > 0"
+_LAST = " SELECT t.id, t.title, t.seconds AS duration_seconds, t.created FROM (SELECT unnest(tracks) AS t FROM s WHERE n = (SELECT max(n) FROM s))"
 
 
-@query(_IN + _OLD + " SELECT row_id, old_id, title <> '' AND old_id IS NULL AS new, CASE WHEN title = '' THEN '' ELSE k.key END AS key FROM k LEFT JOIN e ON e.key = k.key AND title <> ''")
+def _in_two_batches(step, spark, d):
+    """The feed as two batches, the second against the tracks that the first leaves: (tracks, mapping of all rows)."""
+    rows = _incoming(spark, d)
+    none = J.normalize_track_identity(rows.limit(0)).select(F.lit("").alias("id"), *J.IDENTITY)
+    tracks, first = step(rows.where(F.col("row_id") < 10**15), none)
+    tracks, second = step(rows.where(F.col("row_id") >= 10**15), written(tracks, "tracks"))
+    return tracks.select("id", "title", "duration_seconds", "created"), first.unionByName(second)
+
+
+@query(_FIND + _MAPPED)
 def j2_find_or_create(spark, d):
-    tracks, mapping = J.find_or_create_tracks(_incoming(spark, d), _stored(spark, d))
-    key = F.regexp_replace(F.regexp_replace(J.identity_key(), "\x1f", "|"), "\x00", "-")
-    rows = mapping.join(J.normalize_track_identity(_incoming(spark, d)).select("row_id", F.when(F.col("title") == "", "").otherwise(key).alias("key")), "row_id")
-    old = F.when(F.col("track_id").startswith("old-"), F.col("track_id"))
-    return rows.select("row_id", old.alias("old_id"), F.coalesce(F.col("track_id").startswith("new-"), F.lit(False)).alias("new"), "key")
+    return _in_two_batches(J.find_or_create_tracks, spark, d)[1]
+
+
+@query(_FIND + _LAST)
+def j2_tracks(spark, d):
+    return _in_two_batches(J.find_or_create_tracks, spark, d)[0]
 
 
-@query(_IN + _OLD + """, w AS (SELECT coalesce(old_id, k.key) AS id, arg_max(title, row_id) AS title, arg_max(duration_seconds, row_id) AS seconds FROM k LEFT JOIN e USING (key) WHERE title <> '' AND (old_id IS NULL OR starts_with(key, 'p|')) GROUP BY 1)
-    SELECT title, count(*) AS tracks, CAST(sum(kept) AS BIGINT) AS kept FROM (SELECT title, 0 AS kept FROM w UNION ALL SELECT split_part(nkey, '|', 2), 1 FROM o WHERE id NOT IN (SELECT id FROM w)) GROUP BY title""")
+@query(_UPSERT + _MAPPED)
 def j3_upsert(spark, d):
-    tracks, _ = J.upsert_tracks(_incoming(spark, d), _stored(spark, d))
-    return tracks.groupBy("title").agg(F.count("*").alias("tracks"), F.count_if(F.coalesce(F.col("license") == "stored", F.lit(False))).alias("kept"))
+    return _in_two_batches(J.upsert_tracks, spark, d)[1]
 
 
-@query(sql("SELECT action, count(*) AS events, action IN ('SAVE', 'REJECT', 'OPEN', 'SKIP') AS accepted FROM v_feedback GROUP BY action", "v_feedback"))
+@query(_UPSERT + _LAST)
+def j3_tracks(spark, d):
+    return _in_two_batches(J.upsert_tracks, spark, d)[0]
+
+
+@query(sql("SELECT id, action, action IN ('SAVE', 'REJECT', 'OPEN', 'SKIP') AS accepted, CASE WHEN action NOT IN ('SAVE', 'REJECT', 'OPEN', 'SKIP') THEN 'unsupported action' END AS reason FROM v_feedback", "v_feedback"))
 def j4_feedback_check(spark, d):
     good, bad = J.split_feedback(X.feedback(spark, d))
-    return good.groupBy("action").agg(F.count("*").alias("events")).withColumn("accepted", F.lit(True)).unionByName(bad.groupBy("action").agg(F.count("*").alias("events")).withColumn("accepted", F.lit(False)))
+    return good.select("id", "action", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select("id", "action", F.lit(False).alias("accepted"), "reason"))
+
+
+@query(_FIND.replace("FROM pages)", "FROM pages WHERE page_id % 4 <> 3)", 1) + """, p AS (SELECT page_id AS n, page_id + CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1000000000000000 END AS row_id FROM pages)
+    SELECT p.row_id, got AS track_id, CASE WHEN p.n % 4 = 3 THEN 'unsupported action' WHEN got IS NULL THEN 'incomplete track' END AS reason FROM p LEFT JOIN s ON s.row_id = p.row_id""")
+def j4_ingest_feedback(spark, d):
+    """Feedback on the tracks of all pages, every fourth with an action that isn't known."""
+    rows = _incoming(spark, d).withColumns({"user_id": F.lit("u"), "query_id": F.lit(""), "created_at": F.lit(None).cast("timestamp"), "action": F.when(F.col("row_id") % 10**15 % 4 == 3, "LIKE").otherwise("SAVE")})
+    none = J.normalize_track_identity(rows.limit(0)).select(F.lit("").alias("id"), *J.IDENTITY)
+    accepted, rejected, _ = J.ingest_feedback(rows, none)
+    return accepted.select("row_id", "track_id", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("row_id", F.lit(None).cast("string").alias("track_id"), "reason"))
 
 
 @query(sql("SELECT user_id, id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS place FROM v_feedback) WHERE place <= 3", "v_feedback"))
@@ -664,8 +700,11 @@ def j11_reorder(spark, d):
     return out.join(bad, "playlist_id", "left").select("playlist_id", "track_id", "position", "reason")
 
 
-@query(sql("""SELECT (SELECT count(*) FROM customer WHERE c_custkey % 10 <> 0) AS users, (SELECT count(*) FROM orders WHERE o_custkey % 10 <> 0) AS playlists,
-    (SELECT count(*) FROM v_items JOIN orders ON o_orderkey = playlist_id WHERE o_custkey % 10 <> 0 AND track_id % 7 <> 0) AS items, (SELECT count(*) FROM v_feedback WHERE CAST(user_id AS INTEGER) % 10 <> 0) AS feedback""", "v_items", "v_feedback"))
+@query(sql("""SELECT 'users' AS table_name, CAST(c_custkey AS VARCHAR) AS key, '' AS track FROM customer WHERE c_custkey % 10 <> 0
+    UNION ALL SELECT 'playlists', CAST(o_orderkey AS VARCHAR), '' FROM orders WHERE o_custkey % 10 <> 0
+    UNION ALL SELECT 'tracks', CAST(p_partkey AS VARCHAR), '' FROM part WHERE p_partkey % 7 <> 0
+    UNION ALL SELECT 'items', CAST(playlist_id AS VARCHAR), CAST(track_id AS VARCHAR) FROM v_items JOIN orders ON o_orderkey = playlist_id WHERE o_custkey % 10 <> 0 AND track_id % 7 <> 0
+    UNION ALL SELECT 'feedback', id, '' FROM v_feedback WHERE CAST(user_id AS INTEGER) % 10 <> 0""", "v_items", "v_feedback"))
 def j12_cascade_delete(spark, d):
     users = X.read(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("id"))
     parts = X.read(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("id"))
@@ -673,8 +712,8 @@ def j12_cascade_delete(spark, d):
     tables = {"users": users, "tracks": parts, "playlists": X.playlists(spark, d), "items": X.playlist_items(spark, d), "feedback": feedback}
     gone = {"users": X.read(spark, d, "events").select((F.col("user_id") - F.col("user_id") % 10).cast("bigint").alias("id")).unionByName(users.where("id % 10 = 0")).distinct(), "tracks": parts.where("id % 7 = 0")}
     left = J.cascade_delete(tables, gone)
-    one = None
-    for name in ("users", "playlists", "items", "feedback"):
-        n = left[name].agg(F.count("*").alias(name))
-        one = n if one is None else one.crossJoin(n)
-    return one
+    rows = None
+    for name, key, track in (("users", "id", None), ("playlists", "playlist_id", None), ("tracks", "id", None), ("items", "playlist_id", "track_id"), ("feedback", "id", None)):
+        part = left[name].select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), (F.col(track).cast("string") if track else F.lit("")).alias("track"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows

@@ -2,75 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunespark import vocab as V
-
-IDENTITY = ("title", "artist", "album", "cover_art_url", "preview_url", "provider_url", "provider_id", "duration_seconds", "source", "license")
-LENGTHS = {"title": 160, "artist": 160, "album": 160, "provider_id": 180, "source": 120, "license": 160}
-
-
-def safe_url(url: Column | str) -> Column:
-    """The URL if it is an http or https one, else null."""
-    url = F.col(url) if isinstance(url, str) else url
-    good = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & (F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")) != "")
-    return F.when(good, url)
-
-
-def normalize_track_identity(df: DataFrame) -> DataFrame:
-    """df with its identity columns clipped and checked; columns that are absent become null, others stay."""
-    have = set(df.columns)
-    text = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
-    new = {c: F.substring(F.coalesce(text(c), F.lit("")), 1, LENGTHS[c]) for c in ("title", "artist")}
-    new |= {c: F.nullif(F.substring(text(c), 1, LENGTHS[c]), F.lit("")) for c in ("album", "provider_id", "source", "license")}
-    new |= {c: safe_url(text(c)) for c in ("cover_art_url", "preview_url", "provider_url")}
-    seconds = text("duration_seconds")
-    new["duration_seconds"] = F.when(seconds.rlike(r"^-?\d+(\.0+)?$"), seconds.cast("double").cast("int"))
-    return df.withColumns(new)
-
-
-def identity_key() -> Column:
-    """One text for the key of a track: provider id and URL if both are there, else title, artist and URL, null equal to null."""
-    sep, none = F.lit("\x1f"), F.lit("\x00")
-    by_provider = F.concat(F.lit("p"), sep, F.col("provider_id"), sep, F.col("provider_url"))
-    by_name = F.concat(F.lit("n"), sep, F.col("title"), sep, F.col("artist"), sep, F.coalesce("provider_url", none))
-    return F.when(F.col("provider_id").isNotNull() & F.col("provider_url").isNotNull(), by_provider).otherwise(by_name)
-
-
-def _existing(tracks: DataFrame) -> DataFrame:
-    """(key, old_id): ids of stored tracks under both of their keys; of several the smallest."""
-    by_name = F.concat_ws("\x1f", F.lit("n"), "title", "artist", F.coalesce("provider_url", F.lit("\x00")))
-    keys = tracks.select("id", F.explode(F.array_distinct(F.array(identity_key(), by_name))).alias("key"))
-    return keys.groupBy("key").agg(F.min("id").alias("old_id"))
-
-
-def _resolve(incoming: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a title and an artist under their track's id (`track_id`), and whether it is new; the rest."""
-    own = normalize_track_identity(incoming).withColumn("key", identity_key())
-    good = (F.col("title") != "") & (F.col("artist") != "")
-    found = own.where(good).join(_existing(tracks), "key", "left")
-    return found.withColumn("track_id", F.coalesce("old_id", F.concat(F.lit("new-"), F.substring(F.sha2("key", 256), 1, 16)))), own.where(~good)
-
-
-def find_or_create_tracks(incoming: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tracks with new ones added, mapping (row_id, track_id or null)). Stored rows stay as they are; equal incoming rows make one track."""
-    found, bad = _resolve(incoming, tracks)
-    first = Window.partitionBy("key").orderBy("row_id")
-    new = found.where("old_id is null").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(F.col("track_id").alias("id"), *IDENTITY)
-    mapping = found.select("row_id", "track_id").unionByName(bad.select("row_id", F.lit(None).cast("string").alias("track_id")))
-    return tracks.select("id", *IDENTITY).unionByName(new), mapping
-
-
-def upsert_tracks(incoming: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As find_or_create_tracks(), but a row that comes under a provider key overwrites the stored one; the last row of a key counts."""
-    found, bad = _resolve(incoming, tracks)
-    last = Window.partitionBy("track_id").orderBy(F.desc("row_id"))
-    writes = found.where(F.col("old_id").isNull() | F.col("key").startswith("p")).withColumn("__n", F.row_number().over(last)).where("__n = 1").select(F.col("track_id").alias("id"), *IDENTITY)
-    kept = tracks.select("id", *IDENTITY).join(writes.select("id"), "id", "left_anti")
-    mapping = found.select("row_id", "track_id").unionByName(bad.select("row_id", F.lit(None).cast("string").alias("track_id")))
-    return kept.unionByName(writes), mapping
-
+from tunespark.functions.small import running_total
+from tunespark.operators.identity import IDENTITY, find_or_create_tracks, normalize_track_identity, safe_url, upsert_tracks  # noqa: F401
 
 def split_feedback(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Feedback rows with an action that is known, and the others with a reason; blank query ids become null."""
@@ -124,8 +61,11 @@ def add_tracks(items: DataFrame, additions: DataFrame) -> DataFrame:
     first = additions.groupBy("playlist_id", "track_id").agg(F.min("seq").alias("seq"))
     new = first.join(items, ["playlist_id", "track_id"], "left_anti")
     sizes = items.groupBy("playlist_id").agg(F.count("*").alias("size"))
-    place = F.row_number().over(Window.partitionBy("playlist_id").orderBy("seq", "track_id")) - 1
-    added = new.join(sizes, "playlist_id", "left").select("playlist_id", "track_id", (F.coalesce("size", F.lit(0)) + place).cast("int").alias("position"))
+    # tracks that come under one seq are told apart by track_id; how many come before is counted in ranges of seq
+    ties = Window.partitionBy("playlist_id", "seq").orderBy("track_id")
+    counts = running_total(new.groupBy("playlist_id", "seq").agg(F.count("*").alias("n")), "playlist_id", "seq", "n", "before").drop("n")
+    placed = new.withColumn("tie", F.row_number().over(ties) - 1).join(counts, ["playlist_id", "seq"])
+    added = placed.join(sizes, "playlist_id", "left").select("playlist_id", "track_id", (F.coalesce("size", F.lit(0)) + F.col("before") + F.col("tie")).cast("int").alias("position"))
     return items.select("playlist_id", "track_id", F.col("position").cast("int").alias("position")).unionByName(added)
 
 
@@ -133,23 +73,37 @@ def remove_tracks(items: DataFrame, removals: DataFrame) -> tuple[DataFrame, Dat
     """items without removals (playlist_id, track_id), later positions moved up; and the removals that match nothing."""
     gone = removals.select("playlist_id", "track_id").distinct()
     marked = items.join(gone.withColumn("__gone", F.lit(1)), ["playlist_id", "track_id"], "left")
-    before = F.coalesce(F.sum("__gone").over(Window.partitionBy("playlist_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = marked.withColumn("position", (F.col("position") - before).cast("int")).where("__gone is null").select("playlist_id", "track_id", "position")
+    # playlists that nothing leaves stay as they are; in the others, the tracks that went before each are counted in ranges of positions
+    changed = gone.select("playlist_id").distinct()
+    moved = running_total(marked.join(changed, "playlist_id", "left_semi"), "playlist_id", "position", "__gone", "__before")
+    moved = moved.where("__gone is null").withColumn("position", (F.col("position") - F.col("__before")).cast("int")).select("playlist_id", "track_id", "position")
+    left = items.join(changed, "playlist_id", "left_anti").select("playlist_id", "track_id", F.col("position").cast("int").alias("position")).unionByName(moved)
     return left, gone.join(items, ["playlist_id", "track_id"], "left_anti")
 
 
 def reorder(items: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """items with the positions that orders (playlist_id, requested array) ask for; and the orders refused.
+    """items with the positions that orders ask for; and the orders refused.
 
-    An order must list each track of the playlist once: of another length it is incomplete, with repeated or foreign tracks invalid.
+    orders is (playlist_id, requested array) or, for playlists too long for a row, (playlist_id, track_id, position). An order must list each track of the
+    playlist once: of another length it is incomplete, with repeated or foreign tracks invalid. Tracks are counted by playlist with partial sums and met by
+    (playlist, track); no task holds a playlist.
     """
-    asked = orders.select("playlist_id", F.size("requested").alias("asked"), F.size(F.array_distinct("requested")).alias("different"), F.posexplode_outer("requested").alias("position", "track_id"))
+    if "requested" in orders.columns:
+        lists = orders.select("playlist_id")
+        asked = orders.select("playlist_id", F.posexplode("requested").alias("position", "track_id"))
+    else:
+        lists = orders.select("playlist_id")
+        asked = orders.select("playlist_id", "position", "track_id")
+    asked = asked.where("track_id is not null or position is not null")
     have = items.groupBy("playlist_id").agg(F.count("*").alias("have"))
-    hits = asked.join(items.select("playlist_id", "track_id", F.lit(1).alias("hit")), ["playlist_id", "track_id"], "left").groupBy("playlist_id", "asked", "different").agg(F.count("hit").alias("hits"))
-    judged = hits.join(have, "playlist_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    reason = F.when(F.coalesce("asked", F.lit(-1)) != F.col("have"), "incomplete").when((F.col("different") != F.col("asked")) | (F.col("hits") != F.col("have")), "invalid")
+    # one row a track that an order names, with how often and whether the playlist has it
+    named = asked.groupBy("playlist_id", "track_id").agg(F.count("*").alias("times"), F.min("position").alias("new"))
+    met = named.join(items.select("playlist_id", "track_id", F.lit(1).alias("hit")), ["playlist_id", "track_id"], "left")
+    totals = met.groupBy("playlist_id").agg(F.sum("times").alias("asked"), F.count("*").alias("different"), F.count("hit").alias("hits"))
+    judged = lists.distinct().join(totals, "playlist_id", "left").join(have, "playlist_id", "left").fillna(0, ["asked", "different", "hits", "have"])
+    reason = F.when(F.col("asked") != F.col("have"), "incomplete").when((F.col("different") != F.col("asked")) | (F.col("hits") != F.col("have")), "invalid")
     judged = judged.select("playlist_id", reason.alias("reason"))
-    new = asked.join(judged.where("reason is null").select("playlist_id"), "playlist_id", "left_semi").where("track_id is not null").select("playlist_id", "track_id", F.col("position").alias("new"))
+    new = named.join(judged.where("reason is null").select("playlist_id"), "playlist_id", "left_semi").select("playlist_id", "track_id", "new")
     out = items.join(new, ["playlist_id", "track_id"], "left").select("playlist_id", "track_id", F.coalesce("new", "position").cast("int").alias("position"))
     return out, judged.where("reason is not null")
 
