@@ -9,7 +9,7 @@ alignment of their words: near-duplicates are texts whose words differ by at mos
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -23,7 +23,7 @@ from tunespark.llm.components import connected_components
 
 WORDS_A_KMER, SIMILARITY = 5, 0.8
 #: Sketches a document and k-mers a sketch: a pair that shares the part j of its k-mers shares no sketch with a chance of about (1 - j ** TAKEN) ** SKETCHES.
-SKETCHES, TAKEN = 40, 2
+SKETCHES, TAKEN = 72, 2
 #: Texts of up to SHORT k-mers have all of them as keys instead of sketches, and those of up to KEYED, the most that a near copy of a short text has, have both.
 SHORT, KEYED = 32, 46
 #: While more pairs than FIRST_PAIRS a row of the buckets are left between components, each document is compared with one random member of its
@@ -33,8 +33,10 @@ FIRST_PAIRS, GAIN, MOST_TURNS = 0.25, 0.15, 8
 BUCKET_ROWS, BINS = 2048, 256
 #: Ids of up to this many documents (8 MB) are broadcast to pick their texts out; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Words up to which two texts are aligned at once, and in one piece; numbers that a sketch holds at a time (8 MB); copies of a text that very many are compared with.
-BRIEF, LONG, SKETCHED, SALTS = 300, 20_000, 1 << 20, 64
+#: Words beyond which a pair is first tried by an alignment between common k-mers, and longest stretch that it aligns in one piece; numbers that a sketch holds at a time (8 MB); copies of a text that very many are compared with.
+BRIEF, LONG, SKETCHED, SALTS = 2000, 20_000, 1 << 20, 64
+#: Bits of the words' places in a text that are held at a time (64 MB); beyond it those of rarer words are made when they are needed.
+PLACES = 1 << 29
 #: Pairs that are aligned in one task by their texts; words of a text that travel with its bucket at most (16 KB).
 PAIRS_A_TASK, CARRIED = 2000, 4096
 
@@ -138,6 +140,42 @@ class Text:
         return kmers(self.words)
 
 
+def _places(a: list[int], width: int) -> Callable[[int, int], int]:
+    """A function of a word and a row: the word's places from that row on, a bit each, at least the next `width`.
+
+    All bits of a word are kept in one integer while they fit in PLACES. In longer texts only the common words' are; a rarer word's places are put together from a list.
+    """
+    where: dict[int, list[int]] = {}
+    for i, word in enumerate(a):
+        where.setdefault(word, []).append(i)
+    least = 0 if len(a) * len(where) <= PLACES else len(a) * len(a) // PLACES
+    whole = {word: sum_of_bits(at, len(a)) for word, at in where.items() if len(at) > least}
+
+    def bits(word: int, row: int) -> int:
+        x = whole.get(word)
+        if x is None:
+            at = where.get(word)
+            if at is None:
+                return 0
+            low = bisect_left(at, row)
+            near = at[low : bisect_left(at, row + width)]
+            return sum_of_bits([i - row for i in near], width)
+        return x >> row if row >= 0 else x << -row
+
+    return bits
+
+
+def sum_of_bits(places: list[int], size: int) -> int:
+    if len(places) < 64:
+        out = 0
+        for i in places:
+            out |= 1 << i
+        return out
+    flags = np.zeros(size, bool)
+    flags[places] = True
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
     """Edit distance of two word lists if it is at most `most`, else a greater number.
 
@@ -147,16 +185,13 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
     m, n = len(a), len(b)
     if abs(m - n) > most:
         return most + 1
-    at: dict[int, int] = {}
-    for i, word in enumerate(a):
-        at[word] = at.get(word, 0) | 1 << i
+    places = _places(a, 2 * most + 1)
     band = (1 << (2 * most + 1)) - 1
     edge = 1 << (2 * most)
     up, down, distance = band ^ ((1 << most) - 1), 0, min(m, most)
-    hopeless, get = 2 * most + n - m, at.get
+    hopeless = 2 * most + n - m
     for j, word in enumerate(b, 1):
-        equal, shift = get(word, 0), j - most - 1
-        equal = (equal >> shift if shift >= 0 else equal << -shift) & band
+        equal = places(word, j - most - 1) & band
         free = ((((equal & up) + up) ^ up) & band) | equal | down
         more = down | (band & ~(free | up))
         less = free & up
@@ -241,7 +276,7 @@ def anchored_distance(a: Text, b: Text, most: int) -> int:
 def near_copies(a: Text, b: Text) -> bool:
     """Whether the edit distance of the words is at most a share of 1 - SIMILARITY of the longer text's.
 
-    The banded alignment of the words decides; texts beyond BRIEF words are aligned in pieces between k-mers that occur once in both.
+    The banded alignment of the words decides, at any length. Beyond BRIEF words an alignment in pieces between common k-mers is tried first: what it finds near is near.
     """
     n, m = len(a.words), len(b.words)
     if not n or not m:
@@ -251,8 +286,8 @@ def near_copies(a: Text, b: Text) -> bool:
         return False
     if n == m and (a.words == b.words).all():
         return True
-    if max(n, m) > BRIEF:
-        return anchored_distance(a, b, most) <= most
+    if max(n, m) > BRIEF and anchored_distance(a, b, most) <= most:
+        return True
     return banded_distance(a.listed, b.listed, most) <= most
 
 
@@ -266,11 +301,11 @@ def _bag_edits(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.maximum(one, many) @ np.ones(BINS, np.float32) - np.minimum(one.sum(), many.sum(1))
 
 
-def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, role: np.ndarray, bags: np.ndarray, ahead: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, role: np.ndarray, bags: np.ndarray, ahead: np.ndarray, fronts_known: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (i of left, j of right) and least edits of pairs of different components that can reach SIMILARITY by their lengths and bags of words.
 
     What one bag holds more of than the other takes an edit each, and so do the bags of what comes before the common k-mer (ahead) and after it, taken
-    apart, and what texts differ in length before and after it (pos): no pair at SIMILARITY that aligns the k-mer is left out. Two rows of role 1 are compared elsewhere.
+    apart where both are known, and what texts differ in length before and after it (pos): no pair at SIMILARITY that aligns the k-mer is left out. Two rows of role 1 are compared elsewhere.
     """
     none = np.zeros(0, np.int64)
     got_i, got_j, got_edits = [none], [none], [none]
@@ -291,8 +326,10 @@ def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, role: np.nd
         at = np.flatnonzero(fits)
         if at.size:
             j, most = right[at], most[at]
-            front, fronts = ahead[i].astype(np.float32), ahead[j].astype(np.float32)
-            edits = _bag_edits(front, fronts) + _bag_edits(own - front, others[at] - fronts)
+            edits = _bag_edits(own, others[at])
+            if fronts_known[i]:
+                front, fronts = ahead[i].astype(np.float32), ahead[j].astype(np.float32)
+                edits = np.where(fronts_known[j], _bag_edits(front, fronts) + _bag_edits(own - front, others[at] - fronts), edits)
             fits = edits <= most
             got_i.append(np.full(int(fits.sum()), i))
             got_j.append(j[fits])
@@ -361,7 +398,7 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
     A bucket beyond BUCKET_ROWS is cut by length first: members meet those of their own class and of the next shorter one, as near copies' lengths
     differ by a quarter at most. What is still beyond BUCKET_ROWS is dealt into parts of that size and each pair of parts is compared by itself; small buckets are compared many in
     a task's group. Pairs are bounded by their bags of words, and those left are aligned where they meet, the closest first, unless earlier links of the
-    task connect them; a pair of several buckets is aligned in one of them. Pairs with a text beyond CARRIED words are given unaligned (linked is null).
+    task connect them. A pair of several buckets is aligned in the first of them, in an order drawn by the two ids, whose k-mer the bounds let it align: it is dropped only where all its buckets drop it. Pairs with a text beyond CARRIED words are given unaligned (linked is null).
     """
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     own = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / SIMILARITY)) + 1e-9)
@@ -378,13 +415,15 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
         hashed = [words(t) for t in some]
         return {"bag": [bag(h).tobytes() for h in hashed], "words": [h.astype(np.uint32).tobytes() if len(h) <= CARRIED else None for h in hashed]}
 
-    at = rest.groupBy("doc_id").agg(F.collect_set(F.when(F.col("role") == 0, F.col("cell"))).alias("own_cells"), F.collect_set(F.when(F.col("role") == 1, F.col("cell"))).alias("next_cells"))
+    # the cells of a document and the words where their k-mers begin, as arrays side by side
+    by_role = [F.array_sort(F.collect_set(F.when(F.col("role") == role, F.struct("cell", "pos")))).alias(name) for role, name in ((0, "own"), (1, "next"))]
+    at = rest.groupBy("doc_id").agg(*by_role).select("doc_id", *[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("own", "next") for f in ("cell", "pos")])
     known = text_to_rows(texts, "bag binary, words binary", carried).join(at, "doc_id")
     sizes = rest.groupBy("cell").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BUCKET_ROWS).cast("int"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")
     dealt = join_sized(rest, sizes, "cell").join(known, "doc_id").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(groups))).otherwise(F.col("cell"))
-    sent = dealt.select(group.alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("parts") > 1).alias("large"), "part", "cell", "role", "doc_id", "n", "pos", "component", "bag", "words", "own_cells", "next_cells")
+    sent = dealt.select(group.alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("parts") > 1).alias("large"), "part", "cell", "role", "doc_id", "n", "pos", "component", "bag", "words", "own_cell", "own_pos", "next_cell", "next_pos")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell")
@@ -392,16 +431,28 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
         n, pos, component, role = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "component", "role"))
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint16).reshape(-1, BINS)
-        raw, mine, after = (table.column(c) for c in ("words", "own_cells", "next_cells"))
-        own_cells, next_cells = (lru_cache(maxsize=4096)(lambda i, c=c: frozenset(c[i].as_py())) for c in (mine, after))
+        raw = table.column("words")
+        # the places of the k-mers by cell; of several in one cell the first
+        own_cells, next_cells = (lru_cache(maxsize=4096)(lambda i, c=table.column(f"{r}_cell"), p=table.column(f"{r}_pos"): dict(zip(reversed(c[i].as_py()), reversed(p[i].as_py()), strict=True))) for r in ("own", "next"))
         row_of = dict(zip(doc.tolist(), range(len(doc)), strict=True))
         text = lru_cache(maxsize=4096)(lambda d: Text.of(np.frombuffer(raw[row_of[d]].as_py(), np.uint32)) if raw[row_of[d]].is_valid else None)
         # the bag of the words before the common k-mer
-        ahead = np.zeros_like(bags)
+        ahead, whole = np.zeros_like(bags), np.array([x.is_valid for x in raw], bool)
         for i, x in enumerate(raw):
             if x.is_valid:
                 ahead[i] = bag(np.frombuffer(x.as_buffer(), np.uint32)[: pos[i]])
         root: dict[int, int] = {}
+        front = lru_cache(maxsize=16_384)(lambda d, place: bag(text(d).words[:place]).astype(np.int64))
+
+        def aligned_at(x: int, y: int, place_x: int, place_y: int, most: float) -> bool:
+            """Whether the bounds let the pair align the k-mer that begins at these words."""
+            if abs(place_x - place_y) + abs(int(n[x] - n[y]) - place_x + place_y) > most:
+                return False
+            if not (whole[x] and whole[y]):
+                return True
+            a, b = front(int(doc[x]), place_x), front(int(doc[y]), place_y)
+            rest_a, rest_b = bags[x].astype(np.int64) - a, bags[y].astype(np.int64) - b
+            return sum(int(np.maximum(p, q).sum()) - min(int(p.sum()), int(q.sum())) for p, q in ((a, b), (rest_a, rest_b))) <= most
 
         def find(c: int) -> int:
             while (up := root.get(c, c)) != c:
@@ -413,7 +464,7 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
             left, right = rows[part[rows] == low], rows[part[rows] == high]
             if not len(left) or not len(right):
                 continue
-            i, j, edits = may_align(n, pos, component, role, bags, ahead, left, right)
+            i, j, edits = may_align(n, pos, component, role, bags, ahead, whole, left, right)
             once = doc[i] < doc[j] if low == high else np.ones(len(i), bool)
             i, j = i[once], j[once]
             order = np.argsort(edits[once], kind="stable")
@@ -422,10 +473,16 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
                 a, b = find(int(component[x])), find(int(component[y]))
                 if a == b:
                     continue
-                # of the cells that both are in, the pair's own, drawn by the two ids so that pairs spread over all cells
-                common = sorted((own_cells(x) & own_cells(y)) | (own_cells(x) & next_cells(y)) | (next_cells(x) & own_cells(y)))
+                # of the cells that both are in, the pair's own: the first that the bounds let pass, from one drawn by the two ids so that pairs spread over all cells
+                mine_x, mine_y = own_cells(x), own_cells(y)
+                common = sorted((mine_x.keys() & mine_y.keys()) | (mine_x.keys() & next_cells(y).keys()) | (next_cells(x).keys() & mine_y.keys()))
                 low_id, high_id = sorted((int(doc[x]), int(doc[y])))
-                if here != common[(low_id * 31 + high_id * 17) % len(common)]:
+                first = (low_id * 31 + high_id * 17) % len(common)
+                most = most_edits(max(int(n[x]), int(n[y])))
+                for cell_ in common[first:] + common[:first]:
+                    if cell_ == here or aligned_at(x, y, mine_x.get(cell_, next_cells(x).get(cell_)), mine_y.get(cell_, next_cells(y).get(cell_)), most):
+                        break
+                if cell_ != here:
                     continue
                 s, t = text(int(doc[x])), text(int(doc[y]))
                 linked = None if s is None or t is None else near_copies(s, t)
