@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunespark import vocab as V
+from tunespark.functions.vectors import cosine
 from tunespark.jobs import index as I
 from tunespark.operators import attributes as A
 from tunespark.operators import evaluation as E
@@ -16,6 +17,7 @@ from tunespark.operators import interactions as J
 from tunespark.operators import ranking as R
 from tunespark.operators import requests as Q
 from tunespark.operators import signal as C
+from tunespark.operators import tiles
 from tunespark.operators.vectors import EmbeddingSpace, TunesparkError, l2_normalize, require_same_space, vector_problems
 from tunespark.sources import dataset as D
 from tunespark.sources import manifest as M
@@ -68,8 +70,9 @@ def test_blend(spark, catalog):
     assert ranked(rows) == ["c", "a", "d"]
     top = rows.orderBy("rank").first()
     assert round(top["query_cosine"], 4) == round(top["seed_cosine"], 4) == 0.7071
-    scores = R.blend_scores(one_query(spark, [1.0, 0.0, 0.0, 0.0]), seeds, catalog)
-    paths = {r["track_id"]: (r["query_rank"], r["seed_rank"]) for r in Q.explain_blend(rows, scores, seeds).collect()}
+    scores = {r["track_id"]: r["score"] for r in R.blend_scores(one_query(spark, [1.0, 0.0, 0.0, 0.0]), seeds, catalog).collect()}
+    assert all(abs(scores[r["track_id"]] - r["score"]) < 1e-9 for r in rows.collect())
+    paths = {r["track_id"]: (r["query_rank"], r["seed_rank"]) for r in Q.explain_blend(rows, one_query(spark, [1.0, 0.0, 0.0, 0.0]), seeds, catalog).collect()}
     assert paths == {"c": (2, 1), "a": (1, 2), "d": (4, 3)}
 
 
@@ -87,8 +90,8 @@ def test_vectors_that_cannot_be_compared_have_no_score(spark, catalog):
 def test_blend_evidence(spark, catalog, attributes):
     req = requests(spark, query_id="q", query="calm jazz", seed_id="b")
     vector = one_query(spark, [1.0, 0.0, 0.0, 0.0])
-    rows, scores = R.blend(vector, req.select("query_id", "seed_id"), catalog), R.blend_scores(vector, req.select("query_id", "seed_id"), catalog)
-    out = Q.blend_evidence(Q.explain_blend(rows, scores, req), req, catalog, attributes)
+    rows = R.blend(vector, req.select("query_id", "seed_id"), catalog)
+    out = Q.blend_evidence(Q.explain_blend(rows, vector, req.select("query_id", "seed_id"), catalog), req, catalog, attributes)
     got = {r["track_id"]: r for r in out.collect()}
     assert set(got) == {"a", "c", "d"} and got["a"]["query_evidence"]["rank"] == 1 and got["a"]["seed_evidence"]["rank"] == 2
     assert got["a"]["why"].startswith('Matches "calm", "jazz" in your search (model estimate) · closest sound match to "calm jazz" · sounds like B')
@@ -212,6 +215,70 @@ def test_recommend_routes(spark, catalog, attributes):
     got = {m: [r["track_id"] for r in found.where(F.col("mode") == m).orderBy("rank").collect()] for m in ("search", "similar", "blend")}
     assert got == {"search": ["a", "c", "b", "d"], "similar": ["c", "b", "d"], "blend": ["c", "a", "d"]}
     assert [(r["query_id"], r["error"]) for r in bad.collect()] == [("u", "unknown seed")]
+    best = found.where("query_id = 'b'").orderBy("rank").first()
+    assert best["blend"].asDict() == {"method": "sum of z-scored cosines", "weights": [1, 1]} and best["query_evidence"]["rank"] == 2 and " · sounds like B" in best["why"] and best["of"] == 3
+
+
+def test_every_request_is_answered_or_rejected(spark, catalog, attributes):
+    """Seeds and texts whose vectors are absent, of another dimension, not finite or zero reject their requests, as do failed texts and unknown seeds."""
+    more = catalog.unionByName(spark.createDataFrame([("n", "N", "x", [float("nan"), 1.0, 0.0, 0.0])], "track_id string, title string, artist string, vector array<float>"), allowMissingColumns=True)
+    asked = [("ok", "jazz", None), ("nan", "jazz", None), ("none", "jazz", None), ("zero", "x", "a"), ("dim", "x", None), ("failed", "x", None), ("seed", None, "n"), ("both", "x", "zz"), ("empty", None, None), ("hidden", "jazz", None)]
+    rows = None
+    for query_id, query, seed in asked:
+        part = requests(spark, query_id=query_id, query=query, seed_id=seed, **({"genre": "metal"} if query_id == "hidden" else {}))
+        rows = part if rows is None else rows.unionByName(part)
+    good = [1.0, 0.0, 0.0, 0.0]
+    vectors = [("ok", good, None), ("nan", [float("nan")] * 4, None), ("zero", [0.0] * 4, None), ("dim", [1.0, 0.0, 0.0], None), ("failed", None, "ValueError: no"), ("both", good, None), ("hidden", good, None)]
+    found, bad = Q.recommend(rows, spark.createDataFrame(vectors, "query_id string, vector array<float>, error string"), more, attributes)
+    errors = {r["query_id"]: r["error"] for r in bad.collect()}
+    assert errors == {
+        "nan": "query with unusable vector", "none": "no vector of the query", "zero": "query with unusable vector", "dim": "query with vector of another dimension", "failed": "ValueError: no",
+        "seed": "seed with unusable vector", "both": "unknown seed", "empty": "no query and no seed",
+    }
+    answered = found.collect()
+    assert {r["query_id"] for r in answered} == {"ok", "hidden"} and {r["of"] for r in answered if r["query_id"] == "ok"} == {4}
+    gone = next(r for r in answered if r["query_id"] == "hidden")
+    assert gone["track_id"] is None and gone["hidden_mismatch"] + gone["hidden_unknown"] == 4
+    responses, _ = Q.respond(rows, spark.createDataFrame(vectors, "query_id string, vector array<float>, error string"), more, attributes)
+    got = {r["query_id"]: r for r in responses.collect()}
+    assert set(got) == {"ok", "hidden"} and got["hidden"]["results"] == [] and [x["track_id"] for x in got["ok"]["results"]] == ["a", "c", "b", "d"] and got["ok"]["results"][0]["why"].startswith("Matches")
+
+
+def test_vectors_of_other_dimensions_are_refused(spark, catalog):
+    short = one_query(spark, [1.0, 0.0, 0.0])
+    for refused in (lambda: R.cosine_scores(short, catalog), lambda: R.search(short, catalog), lambda: R.blend(short, spark.createDataFrame([("q", "b")], "query_id string, seed_id string"), catalog)):
+        with pytest.raises(TunesparkError, match="different dimensions"):
+            refused()
+    assert one_query(spark, [1.0, 0.0]).select(cosine("vector", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).alias("c")).first()["c"] is None
+    assert {r["track_id"]: r["error"] for r in R.unusable_vectors(catalog, "track_id", 3).collect()} == dict.fromkeys("abcd", "vector of another dimension")
+
+
+def test_tiles_and_blocks_of_any_size(spark, monkeypatch):
+    """Small tiles, several tasks and several blocks of requests give what ranking all scores gives, with ties, caps, exclusions and filters."""
+    import random
+
+    r = random.Random(3)
+    labels = lambda i: (r.choice([None, "vocal", "instrumental"]), r.choice([None, "rock", "jazz"]), r.choice([[], ["calm"], ["sad", "calm"]]), r.choice([0.1, 0.5, 0.9]), r.choice([None, 90.0, 130.0]))
+    tracks = [(f"t{i:03d}", f"T{i}", f"A{i % 7}", [float(r.randint(-2, 2)) for _ in range(3)] or [1.0]) for i in range(200)]
+    tracks = [(a, b, c, v if any(v) else [1.0, 0.0, 0.0]) for a, b, c, v in tracks]
+    df = spark.createDataFrame(tracks, "track_id string, title string, artist string, vector array<float>").repartition(3)
+    attributes = spark.createDataFrame([(t[0], *labels(t)) for t in tracks[:180]], "track_id string, vocals string, genre string, moods array<string>, energy double, bpm double").withColumns({"vocal_score": F.lit(0.0), "genre_score": F.lit(0.0)})
+    asked = [(f"q{i}", [float(r.randint(-2, 2)), 1.0, 1.0], r.choice([None, "vocal", " "]), r.choice([None, "jazz"]), r.choice([None, "calm"]), r.choice([None, "low"]), r.choice([None, 80.0]), r.choice([None, 100.0])) for i in range(23)]
+    queries = spark.createDataFrame(asked, "query_id string, vector array<float>, vocals string, genre string, mood string, energy string, tempo_min double, tempo_max double")
+    gone = spark.createDataFrame([(f"q{r.randrange(23)}", f"t{r.randrange(200):03d}") for _ in range(300)], "query_id string, track_id string")
+    scores = R.cosine_scores(queries, df)
+    failing = L.apply_filters(queries, attributes).where("verdict <> 'pass'").select("query_id", "track_id")
+    nothing = queries.select("query_id").crossJoin(df.select("track_id").join(attributes, "track_id", "left_anti")).join(queries.where("coalesce(nullif(trim(vocals), ''), genre, mood, energy, cast(tempo_min as string), cast(tempo_max as string)) is not null").select("query_id"), "query_id", "left_semi")
+    every = failing.unionByName(nothing).unionByName(gone)
+    shown = lambda x: sorted((y["query_id"], y["rank"], y["track_id"], round(y["score"], 6)) for y in x.collect())
+    monkeypatch.setattr(tiles, "KEPT", 60)
+    for k, cap in ((6, None), (12, 2)):
+        want = shown(R.rank_by_score(scores, k, every, cap))
+        assert shown(R.search(queries, df, k, gone, cap, attributes)) == want
+    counts = {x["query_id"]: (x["of"], x["hidden_mismatch"], x["hidden_unknown"]) for x in tiles.counted(tiles.top_k(queries.withColumnRenamed("vector", "q_vector"), df, 5, attributes=attributes)).collect()}
+    left = scores.join(failing.unionByName(nothing), ["query_id", "track_id"], "left_anti").groupBy("query_id").count()
+    assert {x["query_id"]: x["count"] for x in left.collect()} == {q: n[0] for q, n in counts.items() if n[0]}
+    assert all(sum(n) == 200 for n in counts.values())
 
 
 def test_signal(spark):

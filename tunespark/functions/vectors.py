@@ -18,9 +18,9 @@ def norm(v: Column | str) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine clipped to [-1, 1], as a float: ties are ties of floats."""
+    """Cosine clipped to [-1, 1], as a float: ties are ties of floats. Null where the vectors differ in length or lack a component."""
     value = dot(a, b) / ((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)).cast("float")
+    return F.when(value > 1, 1.0).when(value < -1, -1.0).otherwise(value).cast("float")
 
 
 def usable(v: Column | str) -> Column:

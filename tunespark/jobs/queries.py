@@ -343,9 +343,7 @@ def f4_artist_cap(spark, d):
 
 @query(sql(_top("(SELECT c.* FROM v_cosine c JOIN v_verdicts v ON v.track_id = c.track_id AND v.query_id = 'f-04' WHERE code = 0)"), "v_cosine", "v_verdicts"))
 def f5_filtered_search(spark, d):
-    own = X.query_vectors(spark, d)
-    high = L.apply_filters(X.filter_requests(spark).where("query_id = 'f-04'"), _attributes(spark, d)).where("verdict <> 'pass'").select("track_id")
-    return _shown(R.search(own, X.catalog(spark, d), 10, high.crossJoin(F.broadcast(own.select("query_id")))))
+    return _shown(R.search(X.query_vectors(spark, d).withColumn("energy", F.lit("high")), X.catalog(spark, d), 10, attributes=_attributes(spark, d)))
 
 
 @query(sql(_top(_CAPPED.format("(SELECT * FROM v_seed_cosine WHERE seed_id <> track_id)")), "v_seed_cosine"))
@@ -453,7 +451,7 @@ def g8_short_reason_seed(spark, d):
     SELECT query_id, track_id, CAST(rank AS INTEGER) AS rank, round(qs, 6) AS query_cosine, query_rank, round(ss, 6) AS seed_cosine, seed_rank FROM p JOIN s USING (query_id, track_id) WHERE rank <= 10""")
 def g10_blend_paths(spark, d):
     vectors, seeds, tracks = _blend_inputs(spark, d)
-    out = Q.explain_blend(R.blend(vectors, seeds, tracks, 10), R.blend_scores(vectors, seeds, tracks), seeds)
+    out = Q.explain_blend(R.blend(vectors, seeds, tracks, 10), vectors, seeds, tracks)
     cosines = {c: F.round(F.col(c).cast("double"), 6) for c in ("query_cosine", "seed_cosine")}
     return out.select("query_id", "track_id", "rank", "query_cosine", "query_rank", "seed_cosine", "seed_rank").withColumns(cosines)
 

@@ -46,28 +46,40 @@ def verdict_code() -> Column:
     )
 
 
-def apply_filters(requests: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(query_id, track_id, verdict, filters_passed) of each request and track; filters_passed only where the track passes.
+def _wanted(requests: DataFrame) -> DataFrame:
+    return cleaned(requests).select("query_id", *[F.col(c).alias(f"f_{c}") for c in FILTERS])
 
-    filters_passed lists, in the order vocals, genre, mood, energy, tempo, the active filters with what speaks for them.
-    """
-    wanted = cleaned(requests).select("query_id", *[F.col(c).alias(f"f_{c}") for c in FILTERS])
-    both = pair_up(attributes, wanted).withColumn("code", verdict_code())
+
+def _passed() -> Column:
+    """What speaks for each active filter (f_*), in the order vocals, genre, mood, energy, tempo."""
     nothing, text = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def entry(attribute: str, value: Column, kind: str, score: Column = nothing, low: Column = nothing, high: Column = nothing) -> Column:
         return F.struct(F.lit(attribute).alias("attribute"), value.alias("value"), F.lit(kind).alias("kind"), score.alias("measure"), low.alias("low"), high.alias("high"))
 
     tempo = F.coalesce("f_tempo_min", "f_tempo_max")
-    passed = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(F.col("f_vocals").isNotNull(), entry("vocals", F.col("f_vocals"), "estimate", F.col("vocal_score"))),
         F.when(F.col("f_genre").isNotNull(), entry("genre", F.col("f_genre"), "estimate", F.col("genre_score"))),
         F.when(F.col("f_mood").isNotNull(), entry("mood", F.col("f_mood"), "estimate")),
         F.when(F.col("f_energy").isNotNull(), entry("energy", F.col("f_energy"), "measured", F.col("energy"))),
         F.when(tempo.isNotNull(), entry("tempo", text, "measured", F.col("bpm"), F.col("f_tempo_min"), F.col("f_tempo_max"))),
     ))
+
+
+def apply_filters(requests: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(query_id, track_id, verdict, filters_passed) of each request and track; filters_passed only where the track passes.
+
+    filters_passed lists, in the order vocals, genre, mood, energy, tempo, the active filters with what speaks for them.
+    """
+    both = pair_up(attributes, _wanted(requests)).withColumn("code", verdict_code())
     name = F.when(F.col("code") == MISMATCH, "mismatch").when(F.col("code") == UNKNOWN, "unknown").otherwise("pass")
-    return both.select("query_id", "track_id", name.alias("verdict"), F.when(F.col("code") == PASS, passed).alias("filters_passed"))
+    return both.select("query_id", "track_id", name.alias("verdict"), F.when(F.col("code") == PASS, _passed()).alias("filters_passed"))
+
+
+def passed_filters(rows: DataFrame, requests: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(query_id, track_id, filters_passed) of given rows (query_id, track_id) that have passed their requests' filters; no other pair is looked at."""
+    return rows.select("query_id", "track_id").join(_wanted(requests), "query_id").join(attributes, "track_id").select("query_id", "track_id", _passed().alias("filters_passed"))
 
 
 def hidden_counts(verdicts: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

@@ -7,29 +7,49 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunespark.functions.small import few, maybe_broadcast, pair_up
+from tunespark.functions.small import maybe_broadcast, pair_up
 from tunespark.functions.vectors import cosine, norm, usable
+from tunespark.operators import tiles
+from tunespark.operators.tiles import artist_key
 from tunespark.operators.vectors import TunesparkError, require_same_space
 from tunespark.vocab import MMR_LAMBDA, MMR_POOL
 
 
-def artist_key() -> F.Column:
-    return F.coalesce(F.lower("artist"), F.lit(""))
+def unusable_vectors(df: DataFrame, key: str, dimension: int | None = None) -> DataFrame:
+    """(key, error) of rows whose vector is missing, holds what is no finite number, is as good as zero, or is not of the dimension asked for: no score is given for them."""
+    wrong = ~usable("vector") if dimension is None else ~usable("vector") | (F.size("vector") != dimension)
+    return df.where(wrong).select(key, F.when(~usable("vector"), "unusable vector").otherwise("vector of another dimension").alias("error"))
 
 
-def unusable_vectors(df: DataFrame, key: str) -> DataFrame:
-    """(key, error) of rows whose vector is missing, holds what is no finite number, or is as good as zero: cosine_scores() leaves them out."""
-    return df.where(~usable("vector")).select(key, F.lit("unusable vector").alias("error"))
+def dimensions(catalog: DataFrame) -> list[int]:
+    """The dimensions of a catalog's usable vectors; more than one only where it is mixed up."""
+    return sorted(r["n"] for r in catalog.where(usable("vector")).select(F.size("vector").alias("n")).distinct().limit(3).collect())
+
+
+def require_one_dimension(queries: DataFrame, catalog: DataFrame) -> None:
+    """Raises where usable vectors of the two sides differ in their dimension."""
+    found = set(dimensions(queries)) | set(dimensions(catalog))
+    if len(found) > 1:
+        raise TunesparkError(f"vectors of different dimensions can't be compared: {', '.join(map(str, sorted(found)))}")
+
+
+def _comparable(queries: DataFrame, catalog: DataFrame) -> None:
+    """The guards of a comparison: one dimension, and one space wherever one is named; a catalog of named spaces isn't met by vectors that name none."""
+    named = ["space_fingerprint" in df.columns for df in (queries, catalog)]
+    if all(named):
+        require_same_space(queries, catalog)
+    elif any(named) and (queries if named[0] else catalog).where("space_fingerprint is not null").select("space_fingerprint").distinct().limit(2).count() > 1:
+        raise TunesparkError("vectors of different embedding spaces can't be compared")
+    require_one_dimension(queries, catalog)
 
 
 def cosine_scores(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, track_id, artist_key, score) of each query vector with each catalog vector; scores are floats.
+    """(query_id, track_id, artist_key, score) of each query vector with each catalog vector; scores are floats. All pairs: search() keeps the best of them only.
 
     queries: query_id, vector. A request set against all rows: queries are broadcast in blocks, catalog vectors are never shuffled. Vectors that
-    can't be compared have no score on either side, see unusable_vectors(); where both sides name their embedding space, it must be one.
+    can't be compared have no score on either side, see unusable_vectors(); sides of different dimensions or spaces are refused.
     """
-    if "space_fingerprint" in queries.columns and "space_fingerprint" in catalog.columns:
-        require_same_space(queries, catalog)
+    _comparable(queries, catalog)
     left = catalog.where(usable("vector")).select("track_id", artist_key().alias("artist_key"), "vector", norm("vector").alias("norm"))
     right = queries.where(usable("vector")).select("query_id", F.col("vector").alias("q_vector"), norm("vector").alias("q_norm"))
     both = pair_up(left, right)
@@ -37,7 +57,7 @@ def cosine_scores(queries: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def rank_by_score(scores: DataFrame, k: int, exclude: DataFrame | None = None, max_per_artist: int | None = None) -> DataFrame:
-    """The k best tracks of each query with their rank: score descending, then track_id.
+    """The k best tracks of each query of given scores with their rank: score descending, then track_id.
 
     exclude (query_id, track_id) and the cap on tracks of one artist act before the cut. Spark takes the first rows of each group in
     every task before it shuffles, so that few rows a query and artist move.
@@ -52,8 +72,15 @@ def rank_by_score(scores: DataFrame, k: int, exclude: DataFrame | None = None, m
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, catalog: DataFrame, k: int = 10, exclude: DataFrame | None = None, max_per_artist: int | None = None) -> DataFrame:
-    return rank_by_score(cosine_scores(queries, catalog), k, exclude, max_per_artist)
+def _cut(hits: DataFrame, k: int, max_per_artist: int | None) -> DataFrame:
+    return tiles.ranked(hits, k, max_per_artist).select("query_id", "track_id", "artist_key", F.col("score").cast("float").alias("score"), "rank")
+
+
+def search(queries: DataFrame, catalog: DataFrame, k: int = 10, exclude: DataFrame | None = None, max_per_artist: int | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """The k best tracks of each query (query_id, vector and, with attributes, filters), scored in tiles: no score but those kept leaves a task."""
+    _comparable(queries, catalog)
+    hits = tiles.top_k(queries.withColumnRenamed("vector", "q_vector"), catalog, k, attributes=attributes, exclude=exclude, max_per_artist=max_per_artist)
+    return _cut(hits, k, max_per_artist)
 
 
 def seed_vectors(seeds: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -67,38 +94,36 @@ def unknown_seeds(seeds: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def similar_to(seeds: DataFrame, catalog: DataFrame, k: int = 10, exclude: DataFrame | None = None, max_per_artist: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The k tracks most like each seed, without the seed itself; and the seeds that the catalog doesn't have."""
-    found = seed_vectors(seeds, catalog)
-    scores = cosine_scores(found, catalog)
-    own = found.select("query_id", F.col("seed_id").alias("track_id"))
-    gone = own if exclude is None else own.unionByName(exclude.select("query_id", "track_id"))
-    return rank_by_score(scores, k, gone, max_per_artist), unknown_seeds(seeds, catalog)
+    found = seed_vectors(seeds, catalog).withColumnRenamed("vector", "q_vector")
+    hits = tiles.top_k(found, catalog, k, exclude=exclude, max_per_artist=max_per_artist)
+    return _cut(hits, k, max_per_artist), unknown_seeds(seeds, catalog)
+
+
+def blend_requests(query_vectors: DataFrame, seeds: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(query_id, seed_id, q_vector, s_vector, mean and deviation of either path's cosines over the whole catalog, seed included)."""
+    seeded = seed_vectors(seeds, catalog).withColumnRenamed("vector", "s_vector")
+    asked = query_vectors.withColumnRenamed("vector", "q_vector").join(seeded, "query_id")
+    return asked.join(tiles.statistics(asked, catalog), "query_id")
 
 
 def blend_scores(query_vectors: DataFrame, seeds: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, track_id, artist_key, query_cosine, seed_cosine, score): the sum of both z-scores, seed included.
+    """(query_id, track_id, artist_key, query_cosine, seed_cosine, score) of all pairs: the sum of both z-scores, seed included; blend() keeps the best only.
 
-    A z-score is a cosine less its request's mean over its population deviation, over the whole catalog; 0 where cosines hardly differ. Both vectors stand on the
-    request's row, so that one pass over the catalog gives the statistics and a second one the scores; no score is shuffled but for partial sums.
+    A z-score is a cosine less its request's mean over its population deviation, over the whole catalog; 0 where cosines hardly differ.
     """
-    seeded = seed_vectors(seeds, catalog).where(usable("vector")).select("query_id", F.col("vector").alias("s_vector"), norm("vector").alias("s_norm"))
-    right = query_vectors.where(usable("vector")).select("query_id", F.col("vector").alias("q_vector"), norm("vector").alias("q_norm")).join(seeded, "query_id")
+    _comparable(query_vectors, catalog)
+    right = blend_requests(query_vectors, seeds, catalog).where(usable("q_vector") & usable("s_vector"))
     left = catalog.where(usable("vector")).select("track_id", artist_key().alias("artist_key"), "vector", norm("vector").alias("norm"))
-    both = pair_up(left, right).select(
-        "query_id", "track_id", "artist_key", cosine("q_vector", "vector", F.col("q_norm"), F.col("norm")).alias("query_cosine"), cosine("s_vector", "vector", F.col("s_norm"), F.col("norm")).alias("seed_cosine")
-    )
-    paths = ("query", "seed")
-    stats = both.groupBy("query_id").agg(*[f(F.col(f"{p}_cosine").cast("double")).alias(f"{name}_{p}") for p in paths for f, name in ((F.avg, "mean"), (F.stddev_pop, "dev"))])
-    z = lambda p: F.when(F.col(f"dev_{p}") < 1e-9, 0.0).otherwise((F.col(f"{p}_cosine").cast("double") - F.col(f"mean_{p}")) / F.col(f"dev_{p}"))
-    # one row a request
-    joined = both.join(F.broadcast(stats) if few(right) else stats, "query_id")
-    return joined.select("query_id", "track_id", "artist_key", "query_cosine", "seed_cosine", (z("query") + z("seed")).alias("score"))
+    both = pair_up(left, right).withColumns({"query_cosine": cosine("q_vector", "vector", norm("q_vector"), F.col("norm")), "seed_cosine": cosine("s_vector", "vector", norm("s_vector"), F.col("norm"))})
+    z = lambda p, v: F.when(F.col(f"dev_{v}") < 1e-9, 0.0).otherwise((F.col(f"{p}_cosine").cast("double") - F.col(f"mean_{v}")) / F.col(f"dev_{v}"))
+    return both.select("query_id", "track_id", "artist_key", "query_cosine", "seed_cosine", (z("query", "q_vector") + z("seed", "s_vector")).alias("score"))
 
 
 def blend(query_vectors: DataFrame, seeds: DataFrame, catalog: DataFrame, k: int = 10, exclude: DataFrame | None = None, max_per_artist: int | None = None) -> DataFrame:
-    """The k best tracks for a query and a seed together, without the seed."""
-    own = seeds.select("query_id", F.col("seed_id").alias("track_id"))
-    gone = own if exclude is None else own.unionByName(exclude.select("query_id", "track_id"))
-    return rank_by_score(blend_scores(query_vectors, seeds, catalog), k, gone, max_per_artist)
+    """The k best tracks for a query and a seed together, without the seed; one pass over the tiles for the statistics and one for the scores."""
+    _comparable(query_vectors, catalog)
+    hits = tiles.top_k(blend_requests(query_vectors, seeds, catalog), catalog, k, ("q_vector", "s_vector"), exclude=exclude, max_per_artist=max_per_artist)
+    return tiles.ranked(hits, k, max_per_artist)
 
 
 def all_neighbours(catalog: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:

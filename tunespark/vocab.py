@@ -36,7 +36,7 @@ SYNONYMS = {
     "exciting": ("mood", "energetic"), "aggressive": ("mood", "angry"), "scary": ("mood", "dark"), "eerie": ("mood", "dark"), "spooky": ("mood", "dark"),
 }
 NEGATIONS, NEGATION_WINDOW = ("no", "not", "without", "non", "never"), 3
-MAX_K, MAX_QUERY_CHARS, ARTIST_CAP, MMR_LAMBDA, MMR_POOL = 50, 400, 2, 0.7, 50
+MAX_K, DEFAULT_K, MAX_QUERY_CHARS, ARTIST_CAP, MMR_LAMBDA, MMR_POOL = 50, 10, 400, 2, 0.7, 50
 FEEDBACK_ACTIONS = ("SAVE", "REJECT", "OPEN", "SKIP")
 NORM_MIN, UNIT_TOLERANCE = 1e-6, 1e-3
 # ------------------------------------------------------------------------------------------------------------------
