@@ -23,7 +23,7 @@ from tunespark.llm.components import connected_components
 
 WORDS_A_KMER, SIMILARITY = 5, 0.8
 #: Sketches a document and k-mers a sketch: a pair that shares the part j of its k-mers shares no sketch with a chance of about (1 - j ** TAKEN) ** SKETCHES.
-SKETCHES, TAKEN = 72, 2
+SKETCHES, TAKEN = 64, 2
 #: Texts of up to SHORT k-mers have all of them as keys instead of sketches, and those of up to KEYED, the most that a near copy of a short text has, have both.
 SHORT, KEYED = 32, 46
 #: While more pairs than FIRST_PAIRS a row of the buckets are left between components, each document is compared with one random member of its
@@ -64,7 +64,8 @@ def kmers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return plain, np.where(times > 0, mix(plain ^ (times * np.uint64(0xA24BAED4963EE407))), plain)
 
 
-_turn = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
+#: A sketch's order of k-mers: an odd factor of half the hash's bits, which is twice as fast as all of them. Equal k-mers stay equal.
+_turn = (mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _smallest(value: np.ndarray, taken: int) -> np.ndarray:
@@ -74,7 +75,7 @@ def _smallest(value: np.ndarray, taken: int) -> np.ndarray:
         return np.tile(np.arange(n), (rows, 1))
     if n > 8 * taken:
         # few values lie under this border, and nearly always enough of them
-        row, at = np.nonzero(value < np.uint64((4 * taken + 8) / n * 2.0**64))
+        row, at = np.nonzero(value < np.uint32((4 * taken + 8) / n * 2.0**32))
         count = np.bincount(row, minlength=rows)
         if count.min() >= taken:
             order = np.lexsort((value[row, at], row))
@@ -99,11 +100,12 @@ def sketches(text: str) -> tuple[int, list[int], list[int]]:
         return 0, [], []
     keys, places = (mix(labelled).view(np.int64).tolist(), list(range(n))) if n <= KEYED else ([], [])
     if n > SHORT:
-        step = max(1, min(SKETCHES, SKETCHED // n))
+        step, half = max(1, min(SKETCHES, SKETCHED // n)), (labelled >> np.uint64(32)).astype(np.uint32)
         for first in range(0, SKETCHES, step):
-            value = labelled[None, :] * _turn[first : first + step, None]
-            value ^= value >> np.uint64(32)
-            value *= np.uint64(0xD6E8FEB86659FD93)
+            value = half[None, :] * _turn[first : first + step, None]
+            value ^= value >> np.uint32(15)
+            value *= np.uint32(0x6659FD93)
+            value ^= value >> np.uint32(16)
             at = _smallest(value, TAKEN)
             out = np.arange(first, first + len(at), dtype=np.uint64)
             for i in range(TAKEN):
@@ -433,16 +435,16 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
         bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint16).reshape(-1, BINS)
         raw = table.column("words")
         # the places of the k-mers by cell; of several in one cell the first
-        own_cells, next_cells = (lru_cache(maxsize=4096)(lambda i, c=table.column(f"{r}_cell"), p=table.column(f"{r}_pos"): dict(zip(reversed(c[i].as_py()), reversed(p[i].as_py()), strict=True))) for r in ("own", "next"))
+        own_cells, next_cells = (lru_cache(maxsize=1024)(lambda i, c=table.column(f"{r}_cell"), p=table.column(f"{r}_pos"): dict(zip(reversed(c[i].as_py()), reversed(p[i].as_py()), strict=True))) for r in ("own", "next"))
         row_of = dict(zip(doc.tolist(), range(len(doc)), strict=True))
-        text = lru_cache(maxsize=4096)(lambda d: Text.of(np.frombuffer(raw[row_of[d]].as_py(), np.uint32)) if raw[row_of[d]].is_valid else None)
+        text = lru_cache(maxsize=512)(lambda d: Text.of(np.frombuffer(raw[row_of[d]].as_py(), np.uint32)) if raw[row_of[d]].is_valid else None)
         # the bag of the words before the common k-mer
         ahead, whole = np.zeros_like(bags), np.array([x.is_valid for x in raw], bool)
         for i, x in enumerate(raw):
             if x.is_valid:
                 ahead[i] = bag(np.frombuffer(x.as_buffer(), np.uint32)[: pos[i]])
         root: dict[int, int] = {}
-        front = lru_cache(maxsize=16_384)(lambda d, place: bag(text(d).words[:place]).astype(np.int64))
+        front = lru_cache(maxsize=2048)(lambda d, place: bag(text(d).words[:place]))
 
         def aligned_at(x: int, y: int, place_x: int, place_y: int, most: float) -> bool:
             """Whether the bounds let the pair align the k-mer that begins at these words."""
@@ -450,7 +452,7 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
                 return False
             if not (whole[x] and whole[y]):
                 return True
-            a, b = front(int(doc[x]), place_x), front(int(doc[y]), place_y)
+            a, b = front(int(doc[x]), place_x).astype(np.int64), front(int(doc[y]), place_y).astype(np.int64)
             rest_a, rest_b = bags[x].astype(np.int64) - a, bags[y].astype(np.int64) - b
             return sum(int(np.maximum(p, q).sum()) - min(int(p.sum()), int(q.sum())) for p, q in ((a, b), (rest_a, rest_b))) <= most
 
