@@ -340,7 +340,7 @@ def test_index_build_publish_load(spark, tmp_path):
     target = str(tmp_path / "index")
     with pytest.raises(TunesparkError, match="no index"):
         I.load_generation(spark, target)
-    names = [I.publish_generation(index, target, SPACE) for _ in range(3)]
+    names = [I.publish_generation(index, target, SPACE, grace_seconds=0) for _ in range(3)]
     assert sorted(p.name for p in (tmp_path / "index").glob("gen-*")) == names[1:]
     stored = I.load_generation(spark, target)
     assert stored.count() == 2

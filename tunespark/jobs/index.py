@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunespark.jobs.files import children, delete, file_system, rename_new, statuses
 from tunespark.operators.vectors import EmbeddingSpace, TunesparkError, vector_problems
 
 FORMAT = 1
@@ -51,6 +55,48 @@ def embed_tracks(plan: DataFrame, encoder_factory: Callable[[], Callable[[str],
     return todo.repartition("track_id").mapInPandas(run, "track_id string, vector array<float>, excerpt_count int, error string")
 
 
+#: Texts that an encoder gets at a time.
+TEXTS = 256
+
+
+def embed_texts(requests: DataFrame, encoder_factory: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "query") -> DataFrame:
+    """(query_id, vector, error) of each request with a text, by an encoder made once a task: texts -> vectors.
+
+    Each distinct text (trimmed) is encoded once, in batches. A batch that fails is tried text by text, so that a text that can't be encoded
+    carries its error alone; so does one whose vector holds what is no finite number. Requests without a text have no row.
+    """
+    own = requests.select("query_id", F.trim(text).alias("__text")).where("__text <> ''")
+
+    def checked(vector: list[float]) -> list[float]:
+        out = [float(x) for x in vector]
+        if not out or not all(abs(x) < float("inf") for x in out):
+            raise ValueError("the vector is empty or not finite")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder_factory()
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                texts = batch.column(0).slice(start, TEXTS).to_pylist()
+                vectors: list = [None] * len(texts)
+                errors: list = [None] * len(texts)
+                try:
+                    made = encode(texts)
+                    if len(made) != len(texts):
+                        raise ValueError("as many vectors as texts are needed")
+                    vectors = [checked(v) for v in made]
+                except Exception:  # noqa: BLE001 - which text it is shows one by one
+                    for i, one in enumerate(texts):
+                        try:
+                            vectors[i] = checked(encode([one])[0])
+                        except Exception as error:  # noqa: BLE001 - any failure is reported for its own text
+                            vectors[i], errors[i] = None, f"{type(error).__name__}: {error}"
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["__text", "vector", "error"])
+
+    made = own.select("__text").distinct().mapInArrow(run, "__text string, vector array<float>, error string")
+    return own.join(made, "__text").select("query_id", "vector", "error")
+
+
 def build_index(manifest: DataFrame, encoder_factory: Callable, space: EmbeddingSpace, previous: DataFrame | None = None, reuse: bool = True) -> tuple[DataFrame, DataFrame]:
     """(index rows, report rows (track_id, status)): reused and embedded tracks; failed ones only in the report."""
     plan = plan_reuse(manifest, previous, space, reuse)
@@ -72,46 +118,55 @@ def build_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("tracks")).join(ids, "status")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
 def _checksum(df: DataFrame) -> dict:
     row = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("track_id", "audio_sha256", "vector")), F.lit(0)).alias("x")).first()
     return {"count": row["n"], "checksum": row["x"]}
 
 
-def publish_generation(df: DataFrame, index_dir: str, space: EmbeddingSpace, keep: int = 2) -> str:
-    """Write df as a new immutable generation, then make its pointer; older generations beyond `keep` go. Returns its name."""
+def generations(spark: SparkSession, index_dir: str) -> list[str]:
+    """Whole generations, the oldest first."""
+    return [name for name in children(spark, index_dir) if name.startswith("gen-")]
+
+
+def publish_generation(df: DataFrame, index_dir: str, space: EmbeddingSpace, keep: int = 2, grace_seconds: float = 3600) -> str:
+    """Write df as a new immutable generation; older ones beyond `keep` go when they are older than `grace_seconds`. Returns its name.
+
+    A generation is written aside and renamed to the next free number without overwriting; where another publisher has taken the number meanwhile, the next one is tried. So a
+    generation is there with all its rows or not at all, two publishers give two of them, and a reader of an older one has `grace_seconds` to end.
+    """
     spark = df.sparkSession
-    fs, path = _fs(spark, index_dir)
     if vector_problems(df, space.dimension, unit=True).limit(1).count():
         raise TunesparkError("the index has vectors that can't be used")
-    done = sorted(s.getPath().getName() for s in fs.listStatus(path(index_dir)) if s.getPath().getName().startswith("gen-")) if fs.exists(path(index_dir)) else []
-    name = f"gen-{int(done[-1][4:]) + 1 if done else 1:08d}"
-    target = f"{index_dir}/{name}"
-    df.write.parquet(f"{target}/rows")
-    stored = spark.read.parquet(f"{target}/rows")
-    meta = {"format": FORMAT, "space": asdict(space), "fingerprint": space.fingerprint(), **_checksum(stored)}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{target}/meta")
-    # the pointer is an empty file named after its generation, made in one step when the rest is there; readers take the greatest, so there always is one
-    fs.create(path(f"{index_dir}/CURRENT-{name}"), True).close()
-    for old in (done + [name])[:-keep]:
-        fs.delete(path(f"{index_dir}/CURRENT-{old}"), False)
-        fs.delete(path(f"{index_dir}/{old}"), True)
-    return name
+    aside = f"{index_dir}/tmp-{uuid.uuid4().hex}"
+    df.write.parquet(f"{aside}/rows")
+    meta = {"format": FORMAT, "space": asdict(space), "fingerprint": space.fingerprint(), **_checksum(spark.read.parquet(f"{aside}/rows"))}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{aside}/meta")
+    done = generations(spark, index_dir)
+    number = int(done[-1][4:]) + 1 if done else 1
+    while not rename_new(spark, aside, f"{index_dir}/gen-{number:08d}"):
+        number += 1
+    collect_garbage(spark, index_dir, keep, grace_seconds)
+    return f"gen-{number:08d}"
+
+
+def collect_garbage(spark: SparkSession, index_dir: str, keep: int = 2, grace_seconds: float = 3600) -> list[str]:
+    """Remove generations beyond the newest `keep`, and what publishers that died have left aside, once older than `grace_seconds`; their names."""
+    found = statuses(spark, index_dir)
+    whole = [(name, at) for name, at in found if name.startswith("gen-")]
+    old = [x for x in whole[: max(0, len(whole) - keep)]] + [(name, at) for name, at in found if name.startswith("tmp-") and grace_seconds > 0]
+    gone = [name for name, at in old if time.time() - at >= grace_seconds]
+    for name in gone:
+        delete(spark, f"{index_dir}/{name}")
+    return gone
 
 
 def load_generation(spark: SparkSession, index_dir: str) -> DataFrame:
-    """The current generation, refused with a reason unless all that was published with it still holds."""
-    fs, path = _fs(spark, index_dir)
-    pointers = [s.getPath().getName() for s in fs.listStatus(path(index_dir)) if s.getPath().getName().startswith("CURRENT-")] if fs.exists(path(index_dir)) else []
-    if not pointers:
+    """The newest generation, refused with a reason unless all that was published with it still holds."""
+    fs, path = file_system(spark, index_dir)
+    known = generations(spark, index_dir)
+    if not known:
         raise TunesparkError("no index")
-    name = max(pointers)[len("CURRENT-") :]
-    target = f"{index_dir}/{name}"
+    target = f"{index_dir}/{known[-1]}"
     if not fs.exists(path(f"{target}/meta")):
         raise TunesparkError("the index has no description")
     meta = json.loads(spark.read.text(f"{target}/meta").first()["value"])

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunespark import vocab as V
-from tunespark.functions.tables import written
+from tunespark.functions.tables import shared_dir, written
 from tunespark.jobs import fixtures as X
+from tunespark.jobs import index as I
 from tunespark.jobs.fixtures import sql
 from tunespark.jobs.index import build_report, plan_reuse
+from tunespark.jobs.staged import staged_build
 from tunespark.operators import attributes as A
 from tunespark.operators import evaluation as E
 from tunespark.operators import explain as G
@@ -22,6 +25,7 @@ from tunespark.operators import ranking as R
 from tunespark.operators import requests as Q
 from tunespark.operators import signal as C
 from tunespark.operators import vectors as B
+from tunespark.operators.vectors import EmbeddingSpace
 from tunespark.sources import dataset as D
 from tunespark.sources import manifest as M
 
@@ -305,6 +309,62 @@ def e5_filter_options(spark, d):
     return L.filter_options(_attributes(spark, d))
 
 
+def _lengths_encoder():
+    """Stands for a text encoder: three counts of characters; texts of some lengths fail."""
+
+    def encode(texts):
+        if any(len(t) % 17 == 0 for t in texts):
+            raise ValueError("no such length")
+        return [[float(len(t)), float(t.count("e")), 1.0] for t in texts]
+
+    return encode
+
+
+@query("""WITH t AS (SELECT doc_id, trim(substr(text, 1, 60)) AS q FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id AS query_id, CASE WHEN length(q) % 17 <> 0 THEN length(q) END AS size, CASE WHEN length(q) % 17 <> 0 THEN length(q) - length(replace(q, 'e', '')) END AS es, CASE WHEN length(q) % 17 = 0 THEN 'ValueError: no such length' END AS error FROM t WHERE q <> ''""")
+def b6_embed_texts(spark, d):
+    asked = X.read(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    made = I.embed_texts(asked, _lengths_encoder)
+    return made.select("query_id", F.col("vector")[0].cast("bigint").alias("size"), F.col("vector")[1].cast("bigint").alias("es"), "error")
+
+
+def _path_encoder():
+    """Stands for an audio encoder: a unit vector by the digits of the clip's path; paths that end in 77 fail."""
+
+    def encode(path):
+        digits = [int(c) + 1.0 for c in path if c.isdigit()]
+        if path.endswith("77.mp3"):
+            raise OSError("no audio")
+        size = sum(x * x for x in digits) ** 0.5
+        return [x / size for x in digits], 1
+
+    return encode
+
+
+_STAGES = (5, 20, 0)
+
+
+@query(sql("", "v_dataset").rstrip() + f""", o AS (SELECT *, row_number() OVER (PARTITION BY genre_top ORDER BY track_id) AS n FROM v_dataset WHERE subset = 'small' AND available AND coalesce(genre_top, '') <> ''),
+    s AS (SELECT unnest({list(_STAGES)}) AS per_genre, unnest({[0, *_STAGES[:-1]]}) AS before),
+    c AS (SELECT per_genre, before, track_id % 100 = 77 AS fails, n <= before AS earlier FROM s JOIN o ON per_genre = 0 OR n <= per_genre)
+    SELECT per_genre, count(*) FILTER (NOT fails) AS tracks, count(*) FILTER (NOT fails AND NOT earlier) AS embedded, count(*) FILTER (NOT fails AND earlier) AS reused, count(*) FILTER (fails) AS failed, count(*) FILTER (NOT fails AND NOT earlier) AS analysed
+    FROM c GROUP BY per_genre""")
+def a11_staged_build(spark, d):
+    """Three stages over the whole dataset into a new folder; clips' digests are those of their paths, analyses those of the vectors."""
+    tracks = D.with_clip_path(X.dataset_tracks(spark, d))
+    digests = tracks.select(F.col("clip_path").alias("path"), F.sha2("clip_path", 256).alias("digest"))
+
+    def analyse(rows):
+        score = lambda i: F.lit(0.25) * F.coalesce(F.col("vector")[i % 9].cast("double"), F.lit(0.0))
+        scores = F.map_from_arrays(F.array(*map(F.lit, V.CLASSES)), F.array(*[score(i) for i in range(len(V.CLASSES))]))
+        return rows.select("track_id", scores.alias("class_scores"), (-10 * F.col("vector")[0]).cast("double").alias("loudness_dbfs"), F.col("vector")[1].cast("double").alias("onset_rate"), F.lit(None).cast("double").alias("bpm"), F.lit(0.0).alias("pulse_clarity"))
+
+    space = EmbeddingSpace("digits", "1", 10, 1, 1.0, 1)
+    reports = staged_build(spark, tracks, list(_STAGES), _path_encoder, analyse, space, f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}", digests)
+    columns = ("per_genre", "tracks", "embedded", "reused", "failed", "analysed")
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in reports], "per_genre int, tracks long, embedded long, reused long, failed long, analysed long")
+
+
 # ------------------------------------------------------------------------------------------------ ranking
 
 
@@ -379,7 +439,22 @@ def f8_blend(spark, d):
     return _shown(R.blend(*_blend_inputs(spark, d), 10, max_per_artist=2))
 
 
-@query()
+_MMR = f"""WITH RECURSIVE {sql("", "v_cosine").strip()[4:]},
+    r AS MATERIALIZED (SELECT query_id, track_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS rank FROM v_cosine) WHERE rank <= {V.MMR_POOL}),
+    l AS MATERIALIZED (SELECT a.query_id, a.rank AS x, b.rank AS y, list_inner_product(CAST(u.vector AS DOUBLE[]), CAST(w.vector AS DOUBLE[])) / sqrt(list_inner_product(CAST(u.vector AS DOUBLE[]), CAST(u.vector AS DOUBLE[])) * list_inner_product(CAST(w.vector AS DOUBLE[]), CAST(w.vector AS DOUBLE[]))) AS alike
+      FROM r a JOIN r b ON a.query_id = b.query_id JOIN v_catalog u ON u.track_id = a.track_id JOIN v_catalog w ON w.track_id = b.track_id),
+    p(query_id, n, picked) AS (
+      SELECT DISTINCT query_id, 1, [CAST(1 AS BIGINT)] FROM r
+      UNION ALL
+      SELECT p.query_id, n + 1, list_append(picked, (SELECT arg_min(c.rank, (-value, c.rank)) FROM (
+        SELECT r.rank, {V.MMR_LAMBDA} * any_value(r.score) - {1 - V.MMR_LAMBDA} * max(l.alike) AS value FROM r JOIN l ON l.query_id = r.query_id AND l.x = r.rank AND list_contains(p.picked, l.y)
+        WHERE r.query_id = p.query_id AND NOT list_contains(p.picked, r.rank) GROUP BY r.rank) c))
+      FROM p WHERE n < 10 AND n < (SELECT count(*) FROM r WHERE r.query_id = p.query_id))
+    SELECT r.query_id, r.track_id, round(r.score, 6) AS score, CAST(list_position(picked, r.rank) AS INTEGER) AS rank FROM r JOIN p ON p.query_id = r.query_id
+    WHERE n = (SELECT max(n) FROM p q WHERE q.query_id = p.query_id) AND list_contains(picked, r.rank)"""
+
+
+@query(_MMR)
 def f9_mmr_rerank(spark, d):
     tracks = X.catalog(spark, d)
     return _shown(R.mmr_rerank(R.search(X.query_vectors(spark, d), tracks, V.MMR_POOL), tracks, 10))
@@ -446,6 +521,81 @@ def g8_short_reason_seed(spark, d):
     return _similar_evidence(spark, d).select("query_id", "track_id", G.short_reason().alias("why"))
 
 
+#: Requests made of the query vectors' numbers: a text of two terms, and some filters.
+_J = "CAST(substr(query_id, 3) AS INT)"
+_ASKED = {
+    "query": f"CASE {_J} % 3 WHEN 0 THEN 'calm jazz' WHEN 1 THEN 'vocal sad' ELSE 'electronic rock' END", "seed_id": "CAST(NULL AS STRING)", "k": f"10 + {_J}", "vocals": f"CASE WHEN {_J} % 4 = 1 THEN 'vocal' END",
+    "genre": f"CASE WHEN {_J} % 6 = 5 THEN 'jazz' END", "mood": f"CASE WHEN {_J} = 3 THEN 'calm' END", "energy": f"CASE WHEN {_J} % 4 = 2 THEN 'high' END", "tempo_min": f"CASE WHEN {_J} % 5 = 4 THEN CAST(80 AS DOUBLE) END", "tempo_max": f"CASE WHEN {_J} % 10 = 4 THEN CAST(140 AS DOUBLE) END",
+}
+_TERMS = [(0, 1, "calm", "mood"), (0, 2, "jazz", "genre"), (1, 1, "vocal", "vocals"), (1, 2, "sad", "mood"), (2, 1, "electronic", "genre"), (2, 2, "rock", "genre")]
+
+
+def _asked_sql() -> str:
+    """CTEs: v_asked, verdicts w, results e with `of` and attributes, terms that agree g."""
+    fields = ", ".join(f"{v} AS {k}" for k, v in _ASKED.items()).replace("STRING", "VARCHAR")
+    verdicts = X.SQL["v_verdicts"].replace("v_filters", "v_asked")
+    return sql("", "v_cosine", "v_attributes").rstrip() + f""", v_asked AS (SELECT query_id, {fields} FROM v_queries), w AS ({verdicts}),
+        h AS (SELECT query_id, count(*) FILTER (code = 2) AS hidden_mismatch, count(*) FILTER (code = 1) AS hidden_unknown, count(*) FILTER (code = 0) AS candidates FROM w GROUP BY query_id),
+        r AS (SELECT v.query_id, v.track_id, v.score, row_number() OVER (PARTITION BY v.query_id ORDER BY v.score DESC, v.track_id) AS rank FROM v_cosine v JOIN w ON w.query_id = v.query_id AND w.track_id = v.track_id WHERE code = 0),
+        e AS (SELECT r.query_id, r.track_id, CAST(r.rank AS INTEGER) AS rank, round(CAST(r.score AS DOUBLE), 4) AS similarity, candidates, hidden_mismatch, hidden_unknown, q.query, q.vocals AS f_vocals, q.genre AS f_genre, q.mood AS f_mood, q.energy AS f_energy, q.tempo_min, q.tempo_max,
+               a.vocals, a.genre, a.moods, a.bpm, a.band
+              FROM r JOIN v_asked q ON q.query_id = r.query_id JOIN h ON h.query_id = r.query_id JOIN v_attributes a ON a.track_id = r.track_id WHERE r.rank <= q.k),
+        t AS ({X.values(_TERMS, "j, place, term, attribute")}),
+        g AS (SELECT e.query_id, e.track_id, string_agg(t.term, ',' ORDER BY place) AS terms, string_agg('"' || t.term || '"', ', ' ORDER BY place) AS quoted
+              FROM e JOIN t ON t.j = CAST(substr(e.query_id, 3) AS INT) % 3
+              WHERE coalesce(CASE attribute WHEN 'mood' THEN list_contains(moods, term) AND f_mood IS DISTINCT FROM term WHEN 'genre' THEN genre = term AND f_genre IS DISTINCT FROM term ELSE vocals = term AND f_vocals IS DISTINCT FROM term END, false)
+              GROUP BY e.query_id, e.track_id),
+        f AS (SELECT e.*, terms, quoted, nullif(concat_ws(', ', f_vocals || ' (model estimate)', f_genre || ' (model estimate)', f_mood || ' mood (model estimate)', f_energy || ' energy (measured)',
+                CASE WHEN tempo_min IS NOT NULL THEN CASE WHEN tempo_max IS NOT NULL THEN '80-140 BPM' ELSE 'at least 80 BPM' END || ' (measured ' || CAST(round_even(bpm, 0) AS BIGINT) || ')' END), '') AS passed,
+                nullif(concat_ws(' · ', vocals, genre, nullif(list_aggregate(moods, 'string_agg', ', '), '')), '') AS estimates, nullif(concat_ws(' · ', CAST(round_even(bpm, 0) AS BIGINT) || ' BPM', band || ' energy for this catalog'), '') AS measured
+              FROM e LEFT JOIN g ON g.query_id = e.query_id AND g.track_id = e.track_id)"""
+
+
+def _asked(spark, d):
+    own = X.query_vectors(spark, d)
+    return own.selectExpr("query_id", *[f"{v} AS {k}" for k, v in _ASKED.items()]), own
+
+
+def _explained(spark, d):
+    asked, vectors = _asked(spark, d)
+    return Q.explained_search(asked, vectors, X.catalog(spark, d), _attributes(spark, d))
+
+
+@query(_asked_sql() + " SELECT query_id, track_id, coalesce(terms, '') AS terms FROM f")
+def g5_query_agreement(spark, d):
+    return _explained(spark, d)[0].select("query_id", "track_id", F.coalesce(F.array_join(F.transform("agreement", lambda t: t["term"]), ","), F.lit("")).alias("terms"))
+
+
+@query(_asked_sql() + " SELECT query_id, track_id, similarity, passed, vocals, genre, list_aggregate(moods, 'string_agg', ', ') AS mood, bpm, band FROM f")
+def g6_evidence(spark, d):
+    e, m = F.col("estimates"), F.col("measured")
+    passed = F.array_join(F.transform("filters_passed", G.describe_filter), ", ")
+    return _explained(spark, d)[0].select("query_id", "track_id", "similarity", passed.alias("passed"), e["vocals"].alias("vocals"), e["genre"].alias("genre"), F.array_join(e["mood"], ", ").alias("mood"), m["tempo_bpm"].alias("bpm"), m["energy"]["band"].alias("band"))
+
+
+@query(_asked_sql() + " SELECT query_id, track_id, rank, candidates AS \"of\", hidden_mismatch, hidden_unknown FROM f")
+def g7_explained_search(spark, d):
+    rows, hidden = _explained(spark, d)
+    return rows.join(hidden, "query_id").select("query_id", "track_id", "rank", "of", "hidden_mismatch", "hidden_unknown")
+
+
+@query(_asked_sql() + """ SELECT query_id, track_id, concat_ws(' | ', 'Why: closest sound match to "' || query || '" (rank ' || rank || ' of ' || candidates || ')' || coalesce('; passed your filters: ' || passed, ''),
+    'Agrees with your search: ' || quoted || ' (model estimate)', 'Model estimates: ' || estimates, 'Measured: ' || measured) AS lines FROM f""")
+def g9_summarize(spark, d):
+    return _explained(spark, d)[0].select("query_id", "track_id", F.array_join(G.summarize(), " | ").alias("lines"))
+
+
+@query(_asked_sql() + """ SELECT a.query_id, 'search' AS mode, coalesce(string_agg(f.track_id || ' ' || printf('%.4f', similarity) || ' ' || CASE WHEN passed IS NOT NULL THEN upper(passed[1]) || passed[2:] || ' · closest sound match to "' || a.query || '"'
+    WHEN quoted IS NOT NULL THEN 'Matches ' || quoted || ' in your search (model estimate) · closest sound match to "' || a.query || '"' ELSE 'Closest sound match to "' || a.query || '"' END, '; ' ORDER BY rank), '') AS results, h.hidden_mismatch, h.hidden_unknown
+    FROM v_asked a JOIN h ON h.query_id = a.query_id LEFT JOIN (SELECT e.* FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id, artist_key ORDER BY rank) AS n FROM (SELECT f.*, lower(c.artist) AS artist_key FROM f JOIN v_catalog c ON c.track_id = f.track_id) f) e) f ON f.query_id = a.query_id
+    GROUP BY a.query_id, a.query, h.hidden_mismatch, h.hidden_unknown""")
+def g11_responses(spark, d):
+    asked, vectors = _asked(spark, d)
+    answers, _ = Q.respond(asked, vectors, X.catalog(spark, d), _attributes(spark, d), None)
+    line = lambda x: F.concat(x["track_id"], F.lit(" "), F.format_string("%.4f", x["score"]), F.lit(" "), x["why"])
+    return answers.select("query_id", "mode", F.array_join(F.transform("results", line), "; ").alias("results"), "hidden_mismatch", "hidden_unknown")
+
+
 @query(sql("", "v_cosine").rstrip() + _BLEND.rstrip() + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY qs DESC, track_id) AS query_rank FROM z),
     s AS (SELECT query_id, track_id, row_number() OVER (PARTITION BY query_id ORDER BY ss DESC, track_id) AS seed_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track_id) AS rank FROM z WHERE track_id <> seed_id)
     SELECT query_id, track_id, CAST(rank AS INTEGER) AS rank, round(qs, 6) AS query_cosine, query_rank, round(ss, 6) AS seed_cosine, seed_rank FROM p JOIN s USING (query_id, track_id) WHERE rank <= 10""")
@@ -459,11 +609,15 @@ def g10_blend_paths(spark, d):
 # ------------------------------------------------------------------------------------------------ lookups
 
 
-@query(sql("""SELECT needle_id, track_id, title, artist, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY kind, lower(title), track_id) AS place FROM (
+_NEEDLES = "SELECT CAST(p_partkey AS VARCHAR) AS needle_id, CASE p_partkey % 5 WHEN 0 THEN upper(substr(p_name, 2, 6)) WHEN 1 THEN ' ' || substr(p_name, 4, 3) WHEN 2 THEN substr(p_name, 1, 2) WHEN 3 THEN lower(p_brand) ELSE '  ' END AS text FROM part"
+
+
+@query(sql(f"""SELECT needle_id, track_id, title, artist, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY kind, lower(title), track_id) AS place FROM (
     SELECT needle_id, track_id, title, artist, CASE WHEN starts_with(lower(title), needle) THEN 0 WHEN contains(lower(title), needle) THEN 1 ELSE 2 END AS kind
-    FROM v_catalog JOIN (VALUES ('n1', 'brand#1'), ('n2', 'a'), ('n3', 'o b')) n(needle_id, needle) ON contains(lower(title || ' ' || artist), needle))) WHERE place <= 10""", "v_catalog"))
+    FROM v_catalog JOIN (SELECT needle_id, lower(trim(text)) AS needle FROM ({_NEEDLES}) WHERE trim(text) <> '') n ON contains(lower(title || ' ' || artist), needle))) WHERE place <= 10""", "v_catalog"))
 def h1_find_tracks(spark, d):
-    return H.find_tracks(spark.createDataFrame([("n1", "Brand#1"), ("n2", " a "), ("n3", "O B"), ("n4", "  ")], "needle_id string, text string"), X.catalog(spark, d))
+    needles = X.read(spark, d, "part").selectExpr("CAST(p_partkey AS STRING) AS needle_id", _NEEDLES[_NEEDLES.index("CASE") : _NEEDLES.index(" FROM")])
+    return H.find_tracks(needles, X.catalog(spark, d))
 
 
 @query(sql("", "v_catalog").rstrip() + """, t AS (SELECT lower(trim(title)) AS t, count(*) AS n, min(track_id) AS one FROM v_catalog GROUP BY 1)

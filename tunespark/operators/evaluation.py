@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunespark import vocab as V
-
+from tunespark.functions.small import running_total
 from tunespark.operators.attributes import energy_band, percentile_ranks
 
 
@@ -74,11 +74,13 @@ def list_overlap(results: DataFrame) -> DataFrame:
 
 
 def score_energy_correlation(scores: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(query_id, rho): rank correlation of each query's scores with the tracks' energy; ranks are average ranks."""
+    """(query_id, rho): rank correlation of each query's scores with the tracks' energy; ranks are average ranks.
+
+    Equal scores of a query are counted first; how many lie below is summed inside ranges of scores and shifted by the ranges' totals, so that no task holds a query's catalog.
+    """
     energy = percentile_ranks(attributes.where("energy is not null").select("track_id", "energy"), "energy", "e_rank")
     counted = scores.groupBy("query_id", "score").agg(F.count("*").alias("own"))
-    through = F.sum("own").over(Window.partitionBy("query_id").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counted.withColumn("s_rank", through - (F.col("own") - 1) / 2).select("query_id", "score", "s_rank")
+    ranks = running_total(counted, "query_id", "score", "own", "before").select("query_id", "score", (F.col("before") + (F.col("own") + 1) / 2).alias("s_rank"))
     return scores.join(ranks, ["query_id", "score"]).join(energy, "track_id").groupBy("query_id").agg(F.round(F.corr("s_rank", "e_rank"), 6).alias("rho"))
 
 

@@ -5,15 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunespark.functions.small import maybe_broadcast, pair_up
+from tunespark.functions.small import maybe_broadcast
 from tunespark.operators.explain import track_estimates, track_measurements
 
 
-def find_tracks(needles: DataFrame, catalog: DataFrame, limit: int = 10) -> DataFrame:
-    """needles (needle_id, text) -> (needle_id, track_id, title, artist, place): title beginnings first, then titles, then the rest."""
+#: Characters of the parts by which texts are found; shorter needles are found by their own length.
+GRAM = 3
+
+
+def _grams(text: str, size: int) -> F.Column:
+    """Distinct runs of `size` characters of a text; none of a shorter one."""
+    n = F.char_length(text) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(text), i, F.lit(size)))))
+
+
+def gram_index(catalog: DataFrame, sizes: tuple[int, ...] = (1, 2, GRAM)) -> DataFrame:
+    """(gram, track_id): the posting lists of title and artist in small letters. Written once, it serves any number of searches."""
+    own = catalog.select("track_id", F.lower(F.concat_ws(" ", "title", "artist")).alias("hay"))
+    return own.select("track_id", F.explode(F.flatten(F.array_compact(F.array(*[_grams("hay", n) for n in sizes])))).alias("gram")).select("gram", "track_id")
+
+
+def find_tracks(needles: DataFrame, catalog: DataFrame, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
+    """needles (needle_id, text) -> (needle_id, track_id, title, artist, place): title beginnings first, then titles, then the rest.
+
+    A needle fetches the postings of its rarest part alone, and only those tracks are held against it. index: gram_index() of the catalog, if it is there already.
+    """
     wanted = needles.select("needle_id", F.lower(F.trim("text")).alias("needle")).where("needle <> ''")
+    index = gram_index(catalog) if index is None else index
+    parts = F.when(F.char_length("needle") == 1, _grams("needle", 1)).when(F.char_length("needle") == 2, _grams("needle", 2)).otherwise(_grams("needle", GRAM))
+    asked = wanted.select("needle_id", "needle", F.explode(parts).alias("gram"))
+    counts = index.join(maybe_broadcast(asked.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("tracks"))
+    # a needle with a part that no track has finds nothing: the part counts 0 and fetches no posting
+    rarest = asked.join(counts, "gram", "left").groupBy("needle_id", "needle").agg(F.min_by("gram", F.struct(F.coalesce("tracks", F.lit(0)), "gram")).alias("gram"))
+    found = index.join(maybe_broadcast(rarest), "gram").select("needle_id", "needle", "track_id")
     own = catalog.select("track_id", "title", "artist", F.lower("title").alias("low_title"), F.lower(F.concat_ws(" ", "title", "artist")).alias("hay"))
-    found = pair_up(own, wanted).where(F.contains("hay", "needle"))
+    found = found.join(own, "track_id").where(F.contains("hay", "needle"))
     kind = F.when(F.startswith("low_title", "needle"), 0).when(F.contains("low_title", "needle"), 1).otherwise(2)
     order = Window.partitionBy("needle_id").orderBy("kind", "low_title", "track_id")
     return found.withColumn("kind", kind).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("needle_id", "track_id", "title", "artist", "place")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,36 +130,48 @@ def blend(query_vectors: DataFrame, seeds: DataFrame, catalog: DataFrame, k: int
 def all_neighbours(catalog: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
     """(seed_id, track_id, score, rank): for every catalog track its k nearest others, exactly.
 
-    Tracks are dealt into blocks; each pair of blocks is one task's matrix product, which keeps k a seed, and the lists are merged.
+    Tracks are packed into blocks, one row each: ids in order and their vectors as one matrix at length 1. A row goes to each pair of blocks that it is in; a
+    pair is one matrix product, which keeps k a seed, and the lists are merged.
     """
+    sizes = dimensions(catalog)
+    if len(sizes) > 1:
+        raise TunesparkError("the catalog holds vectors of different dimensions")
     catalog = catalog.where(usable("vector"))
-    n = catalog.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-catalog.count() // block))
     own = catalog.select("track_id", "vector").withColumn("block", F.pmod(F.xxhash64("track_id"), F.lit(blocks)).cast("int"))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = pairs.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "track_id", "vector")
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = key
-        x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("track_id").combine_chunks()
+        x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
-        ids, at = pdf["track_id"].to_numpy(), pdf["block"].to_numpy()
-        parts = []
-        for a, b in {(low, high), (high, low)}:
-            left, right = np.flatnonzero(at == a), np.flatnonzero(at == b)
-            if not len(left) or not len(right):
-                continue
-            order = right[np.argsort(ids[right], kind="stable")]
-            for start in range(0, len(left), 512):
-                rows = left[start : start + 512]
-                score = np.clip(x[rows] @ x[order].T, -1, 1).astype(np.float32)
-                score[ids[rows][:, None] == ids[order][None, :]] = -np.inf
+        return pa.table({"block": table.column("block").slice(0, 1), "ids": pa.array([table.column("track_id").to_pylist()], pa.list_(pa.string())), "x": pa.array([x.tobytes()], pa.binary())})
+
+    packed = own.groupBy("block").applyInArrow(pack, "block int, ids array<string>, x binary")
+    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = pairs.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "ids", "x")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = {}
+        for r in table.to_pylist():
+            sides[r["block"]] = np.array(r["ids"], object), np.frombuffer(r["x"], np.float64).reshape(len(r["ids"]), -1)
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        seeds, tracks, scores = [], [], []
+        for a, b in {(low, high), (high, low)} if low in sides and high in sides else ():
+            (ids, x), (others, y) = sides[a], sides[b]
+            for start in range(0, len(ids), 512):
+                score = np.clip(x[start : start + 512] @ y.T, -1, 1).astype(np.float32)
+                if a == b:
+                    score[np.arange(len(score)), start + np.arange(len(score))] = -np.inf
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                parts.append(pd.DataFrame({"seed_id": np.repeat(ids[rows], best.shape[1]), "track_id": ids[order[best]].ravel(), "score": np.take_along_axis(score, best, 1).ravel()}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"seed_id": [], "track_id": [], "score": []})
-        return out[np.isfinite(out["score"])]
-
-    local = sent.groupBy("low", "high").applyInPandas(compare, "seed_id string, track_id string, score float")
+                value = np.take_along_axis(score, best, 1).ravel()
+                there = np.isfinite(value)
+                seeds.append(np.repeat(ids[start : start + 512], best.shape[1])[there])
+                tracks.append(others[best].ravel()[there])
+                scores.append(value[there])
+        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"seed_id": join(seeds, pa.string()), "track_id": join(tracks, pa.string()), "score": join(scores, pa.float32())})
+
+    local = sent.groupBy("low", "high").applyInArrow(compare, "seed_id string, track_id string, score float")
     best = Window.partitionBy("seed_id").orderBy(F.desc("score"), "track_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

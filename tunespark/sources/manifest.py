@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +80,40 @@ def validate_manifest(entries: DataFrame, listing: DataFrame | None = None, stri
     return valid, violations
 
 
-def content_digest(spark: SparkSession, glob: str, algo: str = "sha256") -> DataFrame:
-    """(path, digest) of files; their bytes go no further than the hash."""
-    files = spark.read.format("binaryFile").load(glob)
-    digest = F.sha2("content", 256) if algo == "sha256" else F.sha1("content")
-    return files.select("path", digest.alias("digest"))
+#: Bytes of a file that are read at a time.
+CHUNK = 4 << 20
+
+
+def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of a path as Spark lists it, and the path in it."""
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@?=&,"))
+
+
+def content_digest(spark: SparkSession, glob: str, algo: str = "sha256", chunk: int = CHUNK) -> DataFrame:
+    """(path, digest) of files of any size: Spark lists them, tasks read them chunk by chunk into a running hash.
+
+    Files lie in a store that pyarrow opens by its address (local folders, HDFS, object stores). A file that can't be read has a null digest.
+    """
+    files = spark.read.format("binaryFile").load(glob).select("path", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                sha = hashlib.new(algo)
+                try:
+                    store, at = _opened(path)
+                    with store.open_input_stream(at) as f:
+                        while data := f.read(chunk):
+                            sha.update(data)
+                    out.append(sha.hexdigest())
+                except OSError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "digest"])
+
+    return files.repartition("path").select("path").mapInArrow(run, "path string, digest string")
 
 
 def verify_digests(digests: DataFrame, expected: DataFrame) -> DataFrame:
