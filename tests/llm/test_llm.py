@@ -707,8 +707,7 @@ def test_toxicity(spark, awkward, empty):
 def test_patterns_of_texts():
     own = {"s t u p i d you": ["~spaced"], "you st*pid": ["~masked"], "an 1di0t here": ["~digits"], "YOUR FILTHY STUPID DOGS": ["~shouting"], "what??? now": ["~signs"], "a plain text, no. 12 of 1999": [], "": []}
     assert {t: toxicity.patterns(t) for t in own} == own
-    few = toxicity.sampled_terms(" ".join(f"w{i}" for i in range(30_000)))
-    assert len(few) == toxicity.TERMS_A_ROW
+    assert len(toxicity.sampled_terms(" ".join(f"w{i:06d}" for i in range(30_000)))) == 4 * 30_000  # none is left out
 
 
 def test_two_labels_for_one_document(spark):
@@ -718,11 +717,43 @@ def test_two_labels_for_one_document(spark):
     assert {r["doc_id"] % 2: r["predicted"] for r in toxicity.score(docs, model).collect()} == {0: 0, 1: 1}
 
 
-def test_more_languages_than_can_be_told(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
-    rows = [(i, f"{'abc'[i % 3] * 9} {'xyz'[i % 3] * 5}", ["l0", "l1", "l2"][i % 3] if i % 3 < 2 or i < 60 else None) for i in range(600)]
+def test_every_language_is_learned(spark):
+    """Rare languages among very many are predicted too."""
+    r = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(3 * 150)]
+    rows = [(i, "".join(r.choice(letters[3 * (i % 150) : 3 * (i % 150) + 3]) for _ in range(30)), f"l{i % 150:03d}") for i in range(2400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert language_id.fit(df).languages == ["l0", "l1"]
+    model = language_id.fit(df)
+    assert len(model.languages) == 150
+    got = language_id.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(x["lang"] == x["lang_pred"] for x in got) > 0.9 * len(got) and len({x["lang_pred"] for x in got}) > 120
+
+
+def test_mixed_texts_are_flagged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    rows = [x for x in docs.where("lang is not null and length(text) > 300").select("text", "lang").collect()]
+    by = defaultdict(list)
+    for x in rows:
+        by[x["lang"]].append(x["text"][:300])
+    names, mixed = sorted(by), []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            mixed += [f"{x}\n{y}" for x, y in zip(by[a][:40], by[b][:40])]
+    flagged, clean = sum(model.predict(mixed)[2]), sum(model.predict([t for own in by.values() for t in own])[2])
+    assert flagged > 0.5 * len(mixed) and clean <= 0.005 * len(rows)
+
+
+def test_runs_leave_no_near_pair_out():
+    r, seen = random.Random(8), [0, 0]
+    for _ in range(600):
+        a = [f"w{r.randrange(r.choice([4, 30, 3000]))}" for _ in range(r.randint(1, 60))]
+        b = random_edits(r, a, r.randint(0, len(a) // 2)) or ["x"]
+        most = int(order_minhash.most_edits(max(len(a), len(b))))
+        kept = order_minhash.share_runs(order_minhash.Text(" ".join(a)), order_minhash.Text(" ".join(b)), most)
+        seen[kept] += 1
+        assert kept or edit_distance(a, b) > most
+    assert min(seen) > 50
 
 
 def test_labels_are_never_read_from_the_held_out_fold(spark):

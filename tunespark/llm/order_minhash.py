@@ -137,6 +137,18 @@ class Text:
     def listed(self) -> list[int]:
         return self.words.tolist()
 
+    @cached_property
+    def runs(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Its runs of two and of three words: their number of words, distinct hashes in order, and how often each occurs."""
+        h, out = self.words, []
+        for size in (2, 3):
+            if len(h) >= size:
+                g = np.zeros(len(h) - size + 1, np.uint64)
+                for i in range(size):
+                    g = mix(g * np.uint64(31) + h[i : i + len(g)])
+                out.append((size, *np.unique(g, return_counts=True)))
+        return out
+
     @cached_property
     def kmers(self) -> tuple[np.ndarray, np.ndarray]:
         return kmers(self.words)
@@ -278,7 +290,7 @@ def anchored_distance(a: Text, b: Text, most: int) -> int:
 def near_copies(a: Text, b: Text) -> bool:
     """Whether the edit distance of the words is at most a share of 1 - SIMILARITY of the longer text's.
 
-    The banded alignment of the words decides, at any length. Beyond BRIEF words an alignment in pieces between common k-mers is tried first: what it finds near is near.
+    The banded alignment of the words decides, at any length; pairs that share too few runs of words for it are left out before. Beyond BRIEF words an alignment in pieces between common k-mers is tried first: what it finds near is near.
     """
     n, m = len(a.words), len(b.words)
     if not n or not m:
@@ -288,11 +300,25 @@ def near_copies(a: Text, b: Text) -> bool:
         return False
     if n == m and (a.words == b.words).all():
         return True
+    if not share_runs(a, b, most):
+        return False
     if max(n, m) > BRIEF and anchored_distance(a, b, most) <= most:
         return True
     return banded_distance(a.listed, b.listed, most) <= most
 
 
+def share_runs(a: Text, b: Text, most: int) -> bool:
+    """Whether the texts share as many runs of words as a pair of at most `most` edits does: an edit touches no more runs than a run has words."""
+    longest = max(len(a.words), len(b.words))
+    for (size, x, n), (_, y, m) in zip(a.runs, b.runs):
+        need = longest - size + 1 - size * most
+        if need > 0:
+            _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            if int(np.minimum(n[i], m[j]).sum()) < need:
+                return False
+    return True
+
+
 def bag(h: np.ndarray) -> np.ndarray:
     """How many words fall in each of BINS bins; full at 65,535, which makes a bound no more than weaker."""
     return np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65_535).astype(np.uint16)
