@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,14 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunespark.llm.common import WORDS, Cache, filter_rows, held_out, text_to_rows
+from tunespark.llm.common import WORDS, Cache, discard, filter_rows, held_out, materialize, text_to_rows
 from tunespark.llm.language_id import sample_rows
 
 #: Labelled rows of each class that a fit uses at most; voters and classifier features at most; lengths of word beginnings.
 ROWS_A_CLASS, VOTERS, FEATURES, STARTS = 2500, 300, 1000, (4, 5, 6)
 SPACE = 1 << 22
-#: Terms of a sampled text that a fit takes to the driver at most (those of least hash), so that its memory is bounded; scoring takes all.
-TERMS_A_ROW = 20_000
 #: Patterns of a text, each a voter. Each begins with the characters it is rarest to find, looking back from them, so that a search skips along.
 PATTERNS = {
     "spaced": re.compile(r"[ .*-][^\W\d_][ .*-][^\W\d_][ .*-][^\W\d_](?![^\W_])"),
@@ -54,10 +51,7 @@ def patterns(text: str) -> list[str]:
 
 def sampled_terms(text: str) -> np.ndarray:
     """Buckets of a text's terms for a fit: each term of each word once, and its patterns."""
-    found = np.array([bucket(f) for w in sorted(word_set(text)) for f in terms(w)] + [bucket(p) for p in patterns(text)], "<u4")
-    if len(found) > TERMS_A_ROW:
-        found = found[np.argsort(found * np.uint32(0x9E3779B1), kind="stable")[:TERMS_A_ROW]]
-    return found
+    return np.array([bucket(f) for w in sorted(word_set(text)) for f in terms(w)] + [bucket(p) for p in patterns(text)], "<u4")
 
 
 def word_set(text: str) -> set[str]:
@@ -114,59 +108,64 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple
     return p, {"prior": prior, "speaks_if_toxic": a, "speaks_if_clean": b, "label_says_toxic": truth, "share": share}
 
 
-def _strongest(ids: list[np.ndarray], p: np.ndarray, most: int, least: int, z: float) -> list[int]:
-    """Features that occur in at least `least` rows and lean to either side by z or more standard errors, strongest first."""
-    n1, n0 = p.sum() + 1.0, (1 - p).sum() + 1.0
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    chance = np.repeat(p, [len(x) for x in ids])
-    names, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    pos = np.bincount(at, chance, len(names))
-    neg = count - pos
-    odds = np.log((pos + 0.5) / n1) - np.log((neg + 0.5) / n0)
-    strength = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = np.flatnonzero((count >= least) & (strength >= z))
-    return names[good[np.argsort(-strength[good], kind="stable")[:most]]].tolist()
+def _strongest(occurs: DataFrame, p: np.ndarray, most: int, least: int, z: float) -> list[int]:
+    """Features that occur in at least `least` rows and lean to either side by z or more standard errors, strongest first, at most `most`.
+
+    occurs: (f, row), each feature of each row once; p: the rows' chances of toxic, a bounded sample's. Counting is Spark's; what passes the driver are the strongest.
+    """
+    chances = occurs.sparkSession.createDataFrame(list(enumerate(map(float, p))), "row long, p double")
+    n1, n0 = float(p.sum() + 1.0), float((1 - p).sum() + 1.0)
+    counts = occurs.join(F.broadcast(chances), "row").groupBy("f").agg(F.sum("p").alias("pos"), F.count("*").alias("n")).where(F.col("n") >= least)
+    pos, neg = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
+    strength = F.abs(F.log(pos / n1) - F.log(neg / n0)) / F.sqrt(1 / pos + 1 / neg)
+    strong = counts.withColumn("strength", F.round(strength, 9)).where(F.col("strength") >= z).orderBy(F.desc("strength"), "f").limit(most)
+    return [r["f"] for r in strong.select("f").collect()]
 
 
-def _matrix(ids: list[np.ndarray], chosen: list[int], binary: bool) -> np.ndarray:
+def _matrix(occurs: DataFrame, rows: int, chosen: list[int], binary: bool) -> np.ndarray:
+    """Rows by chosen features: how often each occurs (or whether)."""
     place = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(ids), len(chosen)), np.float32)
-    for r, row in enumerate(ids):
-        for f, c in Counter(row.tolist()).items():
-            if (i := place.get(f)) is not None:
-                x[r, i] = 1 if binary else c
-    return x
+    x = np.zeros((rows, len(chosen)), np.float32)
+    if chosen:
+        wanted = occurs.sparkSession.createDataFrame([(f,) for f in chosen], "f long")
+        got = occurs.join(F.broadcast(wanted), "f").select("row", "f", "times").toArrow()
+        x[got.column("row").to_numpy(), [place[f] for f in got.column("f").to_pylist()]] = got.column("times").to_numpy()
+    return np.minimum(x, 1) if binary else x
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> ToxicityModel | None:
     """Learn from labels outside the held-out fold: at most rows_a_class rows of each label (a bounded sample).
 
-    Words of these rows are hashed on the executors. A doc_id with several labels is toxic if one says so. None if no such row has both a text and a label.
+    Words of these rows are hashed and counted on the executors, all of them: what passes the driver are counts of chosen voters and features. A doc_id with several labels is toxic if one says so. None if no such row has both a text and a label.
     """
     own = labels.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).when(F.col("toxic") == 0, 0)).alias("toxic"))
     chosen = sample_rows(own.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic", rows_a_class)
     # the sample is bounded by rows_a_class, so that texts stay where they are
     rows = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    made = text_to_rows(rows, "x binary", lambda texts: {"x": [sampled_terms(t).tobytes() for t in texts]}, keep=("doc_id", "label"))
-    got = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    given = np.array(got.column("label").to_pylist(), np.float64)
+    made = materialize(text_to_rows(rows, "terms array<bigint>", lambda texts: {"terms": [sampled_terms(t).astype(np.int64).tolist() for t in texts]}, keep=("doc_id", "label")), "sampled")
+    # the sampled rows, bounded in number, are told by their place; rows that repeat a doc_id and its terms are one
+    numbered = made.select("doc_id", "label", "terms", F.xxhash64("terms").alias("same"))
+    texts = numbered.groupBy("doc_id", "same").agg(F.first("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "same").toArrow()
+    given = np.array(texts.column("label").to_pylist(), np.float64)
     if not given.size or given.min() == given.max():
         return None
     rows_of = {v: c for v, c in labels.where(~held_out()).groupBy(F.when(F.col("toxic") > 0, 1).otherwise(0).alias("v")).count().collect()}
-    ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in got.column("x").to_pylist()]
-    once = [np.unique(x) for x in ids]
+    places = docs.sparkSession.createDataFrame([(d, s, i) for i, (d, s) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("same").to_pylist()))], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, same long, row long")
+    numbered = numbered.join(F.broadcast(places), ["doc_id", "same"]).dropDuplicates(["row"])
+    occurs = materialize(numbered.select("row", F.explode("terms").alias("f")).groupBy("row", "f").agg(F.count("*").alias("times")), "occurs")
+    discard(made)
     least = 3
     named = [bucket(f"={w}") for w in LEXICON] + [bucket(f"~{name}") for name in PATTERNS]
-    mined = [f for f in _strongest(once, given, VOTERS, least, 2.5)]
-    seen = Counter(int(f) for x in once for f in x[np.isin(x, named)])
-    voters = list(dict.fromkeys([*(f for f in named if seen[f]), *mined]))[:VOTERS]
-    votes = _matrix(once, voters, True)
+    seen = {r["f"] for r in occurs.where(F.col("f").isin(named)).select("f").distinct().collect()}
+    voters = list(dict.fromkeys([*(f for f in named if f in seen), *_strongest(occurs, given, VOTERS, least, 2.5)]))[:VOTERS]
+    votes = _matrix(occurs, len(given), voters, True)
     if voters:
         p, report = label_model(votes, given)
     else:
         p, report = np.where(given > 0, 0.9, 0.1), {}
-    chosen_features = list(dict.fromkeys([*voters, *_strongest(once, p, FEATURES, least, 3.0)]))[:FEATURES]
-    x = _matrix(ids, chosen_features, False)
+    chosen_features = list(dict.fromkeys([*voters, *_strongest(occurs, p, FEATURES, least, 3.0)]))[:FEATURES]
+    x = _matrix(occurs, len(given), chosen_features, False)
+    discard(occurs)
     # rows of a class that was sampled more thinly weigh more, so that scores fit the whole
     taken = {v: max(1, int((given == v).sum())) for v in (0, 1)}
     weight = np.where(given > 0, rows_of.get(1, 1) / taken[1], rows_of.get(0, 1) / taken[0])
