@@ -7,20 +7,17 @@ flagged as ambiguous.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunespark.llm.common import filter_rows, held_out, text_to_rows
 
-#: Hashed n-gram buckets, longest n-gram, and labelled rows a language that a fit uses at most.
-BUCKETS, LONGEST, ROWS_A_LANGUAGE = 4096, 4, 600
-MOST_LANGUAGES = 128
+#: Hashed n-gram buckets, longest n-gram, labelled rows a language that a fit uses at most, and labelled rows in all (one of each language at least).
+BUCKETS, LONGEST, ROWS_A_LANGUAGE, ROWS = 4096, 4, 600, 20_000
 #: Parts that a label's rows are sampled in.
 SALTS = 64
 UNKNOWN = "und"
@@ -68,27 +65,46 @@ class LanguageModel:
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray
+    #: Least lead of the best codeword's loss over the second's: texts under it are ambiguous.
+    lead: float = 0.0
+
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """Weighted logistic loss of each codeword for rows of features."""
+        margin = x @ self.weights + self.bias
+        return np.stack([(np.logaddexp(0, -np.clip(margin, -30, 30) * word) * self.trust).sum(1) for word in self.code], axis=1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
         names, scores, doubtful = [], [], []
         for start in range(0, len(texts), 64):
             part = texts[start : start + 64]
-            margin = np.stack([features(t) for t in part]) @ self.weights + self.bias
-            # weighted logistic loss of each codeword
-            loss = np.stack([(np.logaddexp(0, -np.clip(margin, -30, 30) * word) * self.trust).sum(1) for word in self.code], axis=1)
+            loss = self.losses(np.stack([features(t) for t in part]))
             like = np.exp(-(loss - loss.min(1, keepdims=True)))
             like /= like.sum(1, keepdims=True)
-            for t, row in zip(part, like, strict=True):
+            leads = np.diff(np.sort(loss, axis=1)[:, :2], axis=1)[:, 0] if loss.shape[1] > 1 else np.full(len(part), np.inf)
+            for t, row, lead in zip(part, like, leads.tolist(), strict=True):
                 order = np.argsort(-row, kind="stable")
                 letters = any(map(str.isalpha, t))
                 names.append(self.languages[order[0]] if letters else UNKNOWN)
                 scores.append(float(row[order[0]]) if letters else 0.0)
-                doubtful.append(not letters or (len(row) > 1 and float(row[order[0]] - row[order[1]]) < AMBIGUOUS))
+                doubtful.append(not letters or lead < self.lead)
         return names, scores, doubtful
 
 
-#: Least lead of the best codeword's likelihood over the second.
-AMBIGUOUS = 0.05
+def least_lead(model: LanguageModel, x: np.ndarray, at: np.ndarray, rng: np.random.RandomState, pairs: int = 2000) -> float:
+    """The lead under which a text counts as ambiguous: set so that it takes in mixtures of two languages and none of the texts told rightly.
+
+    Mixtures are made of pairs of rows of different languages, as if one text held both halves.
+    """
+    if len(model.languages) < 2 or len(at) < 20:
+        return 0.0
+    leads = lambda rows: np.diff(np.sort(model.losses(rows), axis=1)[:, :2], axis=1)[:, 0]
+    right = model.losses(x).argmin(1) == at
+    a, b = rng.randint(0, len(at), (2, pairs))
+    mixed = at[a] != at[b]
+    if not mixed.any() or not right.any():
+        return 0.0
+    both = np.sqrt(x[a[mixed]] ** 2 + x[b[mixed]] ** 2) / np.sqrt(2)
+    return float(min(leads(x[right]).min(), np.quantile(leads(both), 0.9)))
 
 
 def sample_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
@@ -121,9 +137,11 @@ def fit_binary(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 1
 def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageModel | None:
     """Learn from text and non-null lang outside the held-out fold: at most rows_a_language rows of each language (a bounded sample).
 
-    The n-gram counts of these rows are made on the executors. None if there is no labelled row.
+    The n-gram counts of these rows are made on the executors. Of very many languages each gets fewer rows, so that all rows stay within ROWS, but one at least:
+    every language of the table is learned. None if there is no labelled row.
     """
-    chosen = sample_rows(docs, "lang", rows_a_language)
+    many = docs.where("lang is not null").select("lang").distinct().count()
+    chosen = sample_rows(docs, "lang", min(rows_a_language, max(1, ROWS // max(1, many))))
     # the sample is bounded by rows_a_language, so that texts stay where they are
     rows = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
     made = text_to_rows(rows, "x binary", lambda texts: {"x": [(features(t) * 255 + 0.5).astype(np.uint8).tobytes() if any(map(str.isalpha, t)) else b"" for t in texts]}, keep=("doc_id", "label"))
@@ -132,28 +150,24 @@ def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageMode
     if not labels:
         return None
     languages = sorted(set(labels))
-    if len(languages) > MOST_LANGUAGES:
-        # the most frequent of the sample are learned, ties by name: rarer ones are told as one of these
-        seen = Counter(labels)
-        languages = sorted(sorted(languages, key=lambda v: (-seen[v], v))[:MOST_LANGUAGES])
-        got = got.filter(pa.array([v in set(languages) for v in labels]))
-        labels = got.column("label").to_pylist()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(len(labels), BUCKETS).astype(np.float32)
     x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    at = np.array([languages.index(v) for v in labels])
+    place = {v: i for i, v in enumerate(languages)}
+    at = np.array([place[v] for v in labels])
     code = codewords(len(languages))
     weight = 1 / np.bincount(at)[at]
     # a fifth of the rows says how far each bit can be trusted; then all rows are learned from
     tell = np.arange(len(at)) % 5 == 0
     bits = (code[at] + 1) / 2
     if tell.all() or len(at) < 20:
-        trust = np.ones(code.shape[1])
+        trust, lead = np.ones(code.shape[1]), 0.0
     else:
         w, b = fit_binary(x[~tell], bits[~tell], weight[~tell])
         right = ((x[tell] @ w + b > 0) == (bits[tell] > 0.5)).mean(0)
         trust = np.clip(2 * right - 1, 0.05, 1)
+        lead = least_lead(LanguageModel(languages, code, w, b, (trust / trust.mean()).astype(np.float32)), x[tell], at[tell], np.random.RandomState(3))
     w, b = fit_binary(x, bits, weight)
-    return LanguageModel(languages, code, w, b, (trust / trust.mean()).astype(np.float32))
+    return LanguageModel(languages, code, w, b, (trust / trust.mean()).astype(np.float32), lead)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
