@@ -1,15 +1,4 @@
-"""Column layouts that jobs read and write."""
+"""Fields of a manifest's entries."""
 
-from __future__ import annotations
-
-TRACK = "track_id string, title string, artist string, audio_path string, source string, license string, provider_url string"
 REQUIRED_FIELDS = ("track_id", "title", "artist", "audio_path")
 OPTIONAL_FIELDS = ("source", "license", "provider_url")
-
-CATALOG = "track_id string, title string, artist string, source string, license string, provider_url string, vector array<float>, space_fingerprint string"
-
-REQUEST = "query_id string, query string, seed_id string, vocals string, genre string, mood string, energy string, tempo_min double, tempo_max double, k int, max_per_artist int"
-
-MEASUREMENTS = "track_id string, loudness_dbfs double, onset_rate double"
-
-FEEDBACK = "id string, user_id string, track_id string, query_id string, action string, created_at timestamp"
