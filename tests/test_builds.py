@@ -11,6 +11,7 @@ from tunespark import vocab as V
 from tunespark.jobs import files
 from tunespark.jobs import index as I
 from tunespark.jobs import staged
+from tunespark.operators import attributes as A
 from tunespark.operators import lookup as H
 from tunespark.operators.vectors import EmbeddingSpace, TunesparkError
 from tunespark.sources import dataset as D
@@ -80,7 +81,8 @@ def test_stages_reuse_and_a_restart_repeats_nothing(spark, dataset, tmp_path):
     assert reports[1]["embedded"] == 8 and reports[1]["reused"] == 6 and reports[2]["embedded"] == 0 and reports[2]["reused"] == 59 and reports[2]["first_failed"] == ["fma-000013"]
     assert reports[2]["analysed"] == 59 - left["analyses"]
     assert set(encoded(seen).values()) == {1} and set(between) <= set(encoded(seen)) and len(encoded(seen)) == 59
-    assert I.load_generation(spark, index).count() == 59
+    stored = I.load_generation(spark, index)
+    assert stored.count() == 59 and A.load_attributes(spark, f"{index}/attributes/{reports[2]['generation']}", stored).count() == 59
     again = build(Works(seen))
     assert all(r["done_before"] for r in again) and set(encoded(seen).values()) == {1} and len(I.generations(spark, index)) >= 2
     changed = digests.withColumn("digest", F.when(F.col("path").endswith("000007.mp3"), F.lit("other")).otherwise(F.col("digest")))

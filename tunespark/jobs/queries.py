@@ -67,15 +67,32 @@ def a5_missing_clips(spark, d):
     return D.missing_clips(X.dataset_tracks(spark, d), "small", 5)
 
 
-@query(sql(f"""SELECT printf('fma-%06d', track_id) AS track_id, coalesce(nullif(trim(title), ''), 'FMA track ' || track_id) AS title, coalesce(nullif(trim(artist), ''), 'Unknown artist') AS artist,
+_ENTRIES = sql(f"""SELECT printf('fma-%06d', track_id) AS track_id, coalesce(nullif(trim(title), ''), 'FMA track ' || track_id) AS title, coalesce(nullif(trim(artist), ''), 'Unknown artist') AS artist,
     substr(printf('%06d', track_id), 1, 3) || '/' || printf('%06d', track_id) || '.mp3' AS audio_path, '{D.SOURCE}; genre_top=' || genre_top AS source,
-    coalesce(nullif(trim(license), ''), 'unknown (see FMA)') AS license, CASE WHEN track_id % 4 = 1 THEN 'http://x.example/' || track_id END AS provider_url FROM v_sampled""", "v_sampled"))
+    coalesce(nullif(trim(license), ''), 'unknown (see FMA)') AS license, CASE WHEN track_id % 4 = 1 THEN 'http://x.example/' || track_id END AS provider_url FROM v_sampled""", "v_sampled")
+
+
+@query(_ENTRIES)
 def a6_manifest_entries(spark, d):
     tracks = X.dataset_tracks(spark, d)
     urls = tracks.where("track_id % 4 = 1").select("track_id", F.concat(F.lit("http://x.example/"), F.col("track_id").cast("string")).alias("track_url"))
     return D.manifest_entries(D.with_clip_path(D.sample_per_genre(tracks, "small", 5)), urls)
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder where the cluster shares tables."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_ENTRIES)
+def a8_manifest_round_trip(spark, d):
+    """The manifest written as JSON lines, read again and validated."""
+    path = _folder(spark, "manifest") + ".jsonl"
+    M.write_manifest(a6_manifest_entries(spark, d), path)
+    valid, _ = M.validate_manifest(M.entry_columns(M.read_manifest(spark, path)))
+    return valid.select("track_id", "title", "artist", "audio_path", "source", "license", "provider_url")
+
+
 @query(sql("SELECT genre_top AS genre, count(*) AS tracks FROM v_sampled GROUP BY 1", "v_sampled"))
 def a7_genre_summary(spark, d):
     return D.genre_summary(D.manifest_entries(D.with_clip_path(D.sample_per_genre(X.dataset_tracks(spark, d), "small", 5))))
@@ -247,6 +264,15 @@ def d7_energy_bands(spark, d):
     return A.with_energy(X.measurements(spark, d)).groupBy(A.energy_band("energy").alias("band")).agg(F.count("*").alias("tracks"))
 
 
+@query(sql("SELECT track_id, vocals, genre, list_aggregate(moods, 'string_agg', ',') AS moods, energy, bpm FROM v_attributes", "v_attributes"))
+def d9_stored_attributes(spark, d):
+    """Attributes written, and read again against the index that they were made for."""
+    raw, path = X.raw_analyses(spark, d), _folder(spark, "attributes")
+    index = raw.select("track_id", F.sha2("track_id", 256).alias("audio_sha256"))
+    A.save_attributes(A.label_tracks(raw.join(index, "track_id")), path)
+    return A.load_attributes(spark, path, index).select("track_id", "vocals", "genre", F.nullif(F.array_join("moods", ","), F.lit("")).alias("moods"), "energy", "bpm")
+
+
 @query(sql("SELECT track_id, vocals, genre, list_aggregate(moods, 'string_agg', ',') AS moods, energy, bpm, CAST(substr(track_id, 5) AS INTEGER) % 4 = 0 AS fresh FROM v_attributes", "v_attributes"))
 def d8_build_attributes(spark, d):
     raw = X.raw_analyses(spark, d)
@@ -309,6 +335,17 @@ def e5_filter_options(spark, d):
     return L.filter_options(_attributes(spark, d))
 
 
+@query(sql("SELECT track_id, 'second' AS title, sha256(audio_path) AS audio_sha256, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 3) AS square FROM (SELECT *, list_transform(vector, lambda x: CAST(x AS DOUBLE) / sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[])))) AS unit FROM v_catalog) t(track_id, title, artist, genre_top, license, audio_path, old, vec_id, vector)", "v_catalog"))
+def b9_load_generation(spark, d):
+    """Two generations published one after the other; the one loaded is the second, checked against its description."""
+    space, path = EmbeddingSpace("any", "1", X.DIM, 1, 1.0, 1), _folder(spark, "index")
+    rows = B.l2_normalize(X.catalog(spark, d)).select("track_id", "title", F.sha2("audio_path", 256).alias("audio_sha256"), "vector")
+    I.publish_generation(rows, path, space)
+    I.publish_generation(rows.withColumn("title", F.lit("second")), path, space)
+    square = F.aggregate("vector", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
+    return I.load_generation(spark, path).select("track_id", "title", "audio_sha256", F.round(square, 3).alias("square"))
+
+
 def _lengths_encoder():
     """Stands for a text encoder: three counts of characters; texts of some lengths fail."""
 
@@ -360,7 +397,7 @@ def a11_staged_build(spark, d):
         return rows.select("track_id", scores.alias("class_scores"), (-10 * F.col("vector")[0]).cast("double").alias("loudness_dbfs"), F.col("vector")[1].cast("double").alias("onset_rate"), F.lit(None).cast("double").alias("bpm"), F.lit(0.0).alias("pulse_clarity"))
 
     space = EmbeddingSpace("digits", "1", 10, 1, 1.0, 1)
-    reports = staged_build(spark, tracks, list(_STAGES), _path_encoder, analyse, space, f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}", digests)
+    reports = staged_build(spark, tracks, list(_STAGES), _path_encoder, analyse, space, _folder(spark, "staged"), digests)
     columns = ("per_genre", "tracks", "embedded", "reused", "failed", "analysed")
     return spark.createDataFrame([tuple(r[c] for c in columns) for r in reports], "per_genre int, tracks long, embedded long, reused long, failed long, analysed long")
 

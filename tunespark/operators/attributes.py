@@ -69,11 +69,12 @@ def energy_band(value: Column | str) -> Column:
 
 
 def label_tracks(raw: DataFrame) -> DataFrame:
-    """Raw analyses (track_id, class_scores, loudness_dbfs, onset_rate, bpm, pulse_clarity) -> flat attributes of each track."""
+    """Raw analyses (track_id, class_scores, loudness_dbfs, onset_rate, bpm, pulse_clarity) -> flat attributes of each track, with its audio_sha256 where the analyses carry one."""
     labelled = raw.withColumn("__v", vocals_label("class_scores")).withColumn("__g", genre_label("class_scores"))
     flat = labelled.select(
         "track_id", F.col("__v.label").alias("vocals"), F.col("__v.vocal_score").alias("vocal_score"), F.col("__v.top_class").alias("vocal_class"),
         F.col("__g.label").alias("genre"), F.col("__g.score").alias("genre_score"), mood_labels("class_scores").alias("moods"), "loudness_dbfs", "onset_rate", "bpm", "pulse_clarity",
+        *(["audio_sha256"] if "audio_sha256" in raw.columns else []),
     )
     return with_energy(flat)
 
@@ -104,12 +105,12 @@ def build_attributes(index: DataFrame, analyse: Callable[[DataFrame], DataFrame]
     """
     raw = ["track_id", "audio_sha256", "class_scores", "loudness_dbfs", "onset_rate", "bpm", "pulse_clarity"]
     if previous is None:
-        fresh = analyse(index)
+        fresh = analyse(index).drop("audio_sha256").join(index.select("track_id", "audio_sha256"), "track_id")
         return label_tracks(fresh), index.select("track_id")
     old = previous.where(F.col("config_digest") == config_digest(config)).select(*raw)
     kept = index.select("track_id", "audio_sha256").join(old, ["track_id", "audio_sha256"])
     todo = index.join(old.select("track_id", "audio_sha256"), ["track_id", "audio_sha256"], "left_anti")
-    fresh = analyse(todo).join(todo.select("track_id", "audio_sha256"), "track_id")
+    fresh = analyse(todo).drop("audio_sha256").join(todo.select("track_id", "audio_sha256"), "track_id")
     return label_tracks(kept.select(*raw).unionByName(fresh.select(*raw))), todo.select("track_id")
 
 
