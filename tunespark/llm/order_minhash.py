@@ -23,7 +23,7 @@ from tunespark.llm.components import connected_components
 
 WORDS_A_KMER, SIMILARITY = 5, 0.8
 #: Sketches a document and k-mers a sketch: a pair that shares the part j of its k-mers shares no sketch with a chance of about (1 - j ** TAKEN) ** SKETCHES.
-SKETCHES, TAKEN = 64, 2
+SKETCHES, TAKEN = 40, 2
 #: Texts of up to SHORT k-mers have all of them as keys instead of sketches, and those of up to KEYED, the most that a near copy of a short text has, have both.
 SHORT, KEYED = 32, 46
 #: While more pairs than FIRST_PAIRS a row of the buckets are left between components, each document is compared with one random member of its
@@ -349,9 +349,11 @@ def may_align(n: np.ndarray, pos: np.ndarray, component: np.ndarray, role: np.nd
         if not fits.any():
             continue
         own = bags[i].astype(np.float32)
-        np.maximum(others, own, out=buffer)
-        fits &= buffer @ ones - np.minimum(own.sum(), total) <= most
         at = np.flatnonzero(fits)
+        # the bags of those alone that places and lengths let through
+        part = np.take(others, at, axis=0, out=buffer[: at.size], mode="clip")
+        np.maximum(part, own, out=part)
+        at = at[part @ ones - np.minimum(own.sum(), total[at]) <= most[at]]
         if at.size:
             j, most = right[at], most[at]
             edits = _bag_edits(own, others[at])
