@@ -94,7 +94,8 @@ def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 def content_digest(spark: SparkSession, glob: str, algo: str = "sha256", chunk: int = CHUNK) -> DataFrame:
     """(path, digest) of files of any size: Spark lists them, tasks read them chunk by chunk into a running hash.
 
-    Files lie in a store that pyarrow opens by its address (local folders, HDFS, object stores). A file that can't be read has a null digest.
+    Files lie in a store that pyarrow opens by its address (local folders, HDFS, object stores). A file that can't be read has a null digest;
+    empty files, which Spark doesn't list, have no row.
     """
     files = spark.read.format("binaryFile").load(glob).select("path", "length")
 
