@@ -73,7 +73,8 @@ class LanguageModel:
         margin = x @ self.weights + self.bias
         return np.stack([(np.logaddexp(0, -np.clip(margin, -30, 30) * word) * self.trust).sum(1) for word in self.code], axis=1)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+    def predict(self, texts: list[str], share: float = 1.0) -> tuple[list[str], list[float], list[bool]]:
+        """Language, likelihood, and whether a text is ambiguous: its lead is under this share of the least lead, or it has no letter."""
         names, scores, doubtful = [], [], []
         for start in range(0, len(texts), 64):
             part = texts[start : start + 64]
@@ -86,7 +87,7 @@ class LanguageModel:
                 letters = any(map(str.isalpha, t))
                 names.append(self.languages[order[0]] if letters else UNKNOWN)
                 scores.append(float(row[order[0]]) if letters else 0.0)
-                doubtful.append(not letters or lead < self.lead)
+                doubtful.append(not letters or lead < share * self.lead)
         return names, scores, doubtful
 
 
@@ -188,7 +189,11 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return made.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+#: Texts go whose lead is under this share of the one that flags them, so that short texts of one language stay.
+REJECTED = 0.25
+
+
 def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """The rows of docs whose language is certain enough; null, empty and letterless texts go, as do ambiguous ones."""
+    """The rows of docs whose language can be told; null, empty and letterless texts go, as do those with next to no lead."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return filter_rows(docs, lambda texts: [shared.value is not None and not doubtful for doubtful in (shared.value.predict(texts)[2] if shared.value else texts)])
+    return filter_rows(docs, lambda texts: [shared.value is not None and not doubtful for doubtful in (shared.value.predict(texts, REJECTED)[2] if shared.value else texts)])
