@@ -31,7 +31,7 @@ def test_scan_reads_only_what_it_needs(spark):
     assert "l_extendedprice" not in plan and "o_totalprice" not in plan
 
 
-@pytest.mark.parametrize("name", ["f2_rank_top_k", "f3_exclusions", "f5_filtered_search", "f6_similar_to", "f8_blend", "h1_find_tracks"])
+@pytest.mark.parametrize("name", ["f2_rank_top_k", "f4_artist_cap", "f5_filtered_search", "f6_similar_to", "f8_blend", "h1_find_tracks"])
 def test_requests_meet_the_catalog_in_tiles_alone(spark, name):
     """No join of requests with tracks, no interpreted function over vectors' components but the check of each vector, and k rows a request and task in the ranking's exchange."""
     df = QUERIES[name](spark, SF)
