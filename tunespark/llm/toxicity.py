@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +110,14 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple
     return p, {"prior": prior, "speaks_if_toxic": a, "speaks_if_clean": b, "label_says_toxic": truth, "share": share}
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, f, times) of each feature of each row, a row at a time."""
+    for batch in batches:
+        for row, terms in zip(batch.column("row").to_pylist(), batch.column("terms")):
+            f, times = np.unique(np.frombuffer(terms.as_buffer(), "<u4"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), row)), pa.array(f.astype(np.int64)), pa.array(times)], names=["row", "f", "times"])
+
+
 def _strongest(occurs: DataFrame, p: np.ndarray, most: int, least: int, z: float) -> list[int]:
     """Features that occur in at least `least` rows and lean to either side by z or more standard errors, strongest first, at most `most`.
 
@@ -142,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) ->
     chosen = sample_rows(own.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic", rows_a_class)
     # the sample is bounded by rows_a_class, so that texts stay where they are
     rows = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    made = materialize(text_to_rows(rows, "terms array<bigint>", lambda texts: {"terms": [sampled_terms(t).astype(np.int64).tolist() for t in texts]}, keep=("doc_id", "label")), "sampled")
+    made = materialize(text_to_rows(rows, "terms binary", lambda texts: {"terms": [sampled_terms(t).tobytes() for t in texts]}, keep=("doc_id", "label")), "sampled")
     # the sampled rows, bounded in number, are told by their place; rows that repeat a doc_id and its terms are one
     numbered = made.select("doc_id", "label", "terms", F.xxhash64("terms").alias("same"))
     texts = numbered.groupBy("doc_id", "same").agg(F.first("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "same").toArrow()
@@ -152,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) ->
     rows_of = {v: c for v, c in labels.where(~held_out()).groupBy(F.when(F.col("toxic") > 0, 1).otherwise(0).alias("v")).count().collect()}
     places = docs.sparkSession.createDataFrame([(d, s, i) for i, (d, s) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("same").to_pylist()))], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, same long, row long")
     numbered = numbered.join(F.broadcast(places), ["doc_id", "same"]).dropDuplicates(["row"])
-    occurs = materialize(numbered.select("row", F.explode("terms").alias("f")).groupBy("row", "f").agg(F.count("*").alias("times")), "occurs")
+    occurs = materialize(numbered.select("row", "terms").mapInArrow(_occurrences, "row long, f long, times long"), "occurs")
     discard(made)
     least = 3
     named = [bucket(f"={w}") for w in LEXICON] + [bucket(f"~{name}") for name in PATTERNS]
