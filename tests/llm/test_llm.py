@@ -311,6 +311,49 @@ def test_short_near_copies_are_found(spark):
     assert [got[k + 1] == k for k in range(0, len(texts), 2)] == expected and all(expected)
 
 
+def test_texts_side_by_side_are_aligned_exactly():
+    rng = np.random.default_rng(11)
+    assert order_minhash.within([], np.zeros(0)).tolist() == []
+    for most_words in (6, 60, 300):
+        pairs = []
+        for _ in range(60):
+            a = rng.integers(0, rng.integers(2, 50), rng.integers(0, most_words + 1)).tolist()
+            b = list(a)
+            for _ in range(int(rng.integers(0, len(a) // 3 + 2))):
+                at = int(rng.integers(0, len(b) + 1))
+                b[at : at + int(rng.integers(0, 3))] = rng.integers(0, 50, rng.integers(0, 3)).tolist()
+            pairs.append((a, b) if rng.random() < 0.8 else (a, rng.integers(0, 50, rng.integers(0, most_words + 1)).tolist()))
+        exact = [edit_distance(a, b) for a, b in pairs]
+        for most in ([int(order_minhash.most_edits(max(len(a), len(b)))) for a, b in pairs], exact, [d - 1 for d in exact]):
+            got = order_minhash.within([(np.array(a, np.uint32), np.array(b, np.uint32)) for a, b in pairs], np.array(most))
+            assert got.tolist() == [d <= m for d, m in zip(exact, most)]
+
+
+def test_pairs_just_under_the_threshold_are_aligned_side_by_side(spark, monkeypatch):
+    """Texts of one passage and the same other words in different orders pass all bounds; each of their large buckets is a task's group of its own."""
+    monkeypatch.setattr(order_minhash, "OWN_GROUP", 32)
+    sent, sizes, side_by_side = [], [], order_minhash.within
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInArrow", lambda grouped, compare, schema: sent.append((grouped._df, compare)))
+    r = random.Random(4)
+    texts = [" ".join([f"p{w}" for w in range(150)] + r.sample([f"w{w}" for w in range(60)], 60)) for _ in range(64)]
+    placed = spark.createDataFrame([(key, i, 210, 10 * key, i) for key in range(2) for i in range(64)], "key long, doc_id long, n int, pos int, component long")
+    order_minhash._close_pairs(placed, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    (df, compare), = sent
+    assert df.where("large").select("group").distinct().count() == 2
+
+    def counted(pairs, most):
+        sizes.append(len(pairs))
+        return side_by_side(pairs, most)
+
+    monkeypatch.setattr(order_minhash, "within", counted)
+    found, keys = set(), df.select("group", "large", "low", "high").distinct().collect()
+    for k in keys:
+        got = compare(df.where((df.group == k["group"]) & (df.large == k["large"])).toArrow()).to_pylist()
+        found |= {tuple(sorted((x["u"], x["v"]))) for x in got if x["linked"]}
+    assert sum(sizes) >= 1000 and len(sizes) < sum(sizes) / 20
+    assert all(near(texts[u], texts[v]) for u, v in found)
+
+
 def test_bounds_leave_no_pair_out():
     texts = corpus(7)[:150]
     hashed = [order_minhash.words(t) for t in texts]

@@ -39,6 +39,10 @@ BRIEF, LONG, SKETCHED, SALTS = 2000, 20_000, 1 << 20, 64
 PLACES = 1 << 29
 #: Pairs that are aligned in one task by their texts; words of a text that travel with its bucket at most (16 KB).
 PAIRS_A_TASK, CARRIED = 2000, 4096
+#: Pairs that are aligned side by side: few where they link, as a link spares others, many where they don't. Members from which a bucket is a task's group of its own.
+FEW_ALIGNED, MANY_ALIGNED, OWN_GROUP = 8, 128, 256
+#: More edits than any pair of texts of up to CARRIED words has, with room in 16 bits for one more in each step.
+FAR = 16_384
 
 
 def words(text: str) -> np.ndarray:
@@ -224,6 +228,56 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
     return distance
 
 
+def within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """Whether each pair of texts of up to CARRIED words (hashes of 32 bits) has an edit distance of at most its `most`.
+
+    All matrices are filled side by side, an antidiagonal at a time, on those diagonals that an alignment of so few edits can visit. A pair is decided as soon as no cell of its
+    last two antidiagonals can be part of such an alignment.
+    """
+    pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    n, m = (np.array([len(p[i]) for p in pairs], np.int64) for i in (0, 1))
+    out, most = np.zeros(len(pairs), bool), np.asarray(most, np.int64)
+    rows = np.flatnonzero((n - m <= most) & (most >= 0))
+    if not len(rows):
+        return out
+    # diagonals j - i from low to high, both even: every second one is on an antidiagonal
+    low, high = -2 * int((most[rows] + n[rows] - m[rows]).max() // 4 + 1), 2 * int((most[rows] - n[rows] + m[rows]).max() // 4 + 1)
+    evens = (high - low) // 2 + 1
+    steps = int((n + m)[rows].max())
+    size = steps // 2 + high - low + 4
+    # a backwards, so that an antidiagonal is a slice of either; what lies outside of the texts reaches no cell that counts
+    a, b = np.zeros((len(rows), size), np.uint32), np.zeros((len(rows), size), np.uint32)
+    end, start = steps // 2 - low // 2 + 1, 1 - low // 2
+    for r, i in enumerate(rows.tolist()):
+        x, y = pairs[i]
+        a[r, end - len(x) : end], b[r, start : start + len(y)] = x[::-1], y
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    even, odd = np.full((evens, len(rows)), FAR, np.int16), np.full((evens + 1, len(rows)), FAR, np.int16)
+    even[-low // 2] = 0
+    last, goal = (n + m)[rows], (m - n)[rows]
+    gap = np.abs(np.arange(low, high + 1)[:, None] - goal).astype(np.int16)
+    out[rows[last == 0]] = True
+    for s in range(1, steps + 1):
+        d = low if s % 2 == 0 else low + 1
+        old, near = (even, odd) if s % 2 == 0 else (odd[1:-1], even)
+        x, y = end - (s - d) // 2, start + (s + d) // 2 - 1
+        cost = old + (a[x : x + len(old)] != b[y : y + len(old)])
+        step = np.minimum(near[:-1], near[1:])
+        step += 1
+        np.minimum(step, cost, out=old)
+        ended = np.flatnonzero(last == s)
+        if len(ended):
+            out[rows[ended]] = old[(goal[ended] - d) // 2, ended] <= most[rows[ended]]
+        if s % 64 == 0 or len(ended):
+            open_ = (last > s) & (np.minimum((even + gap[::2]).min(0), (odd[1:-1] + gap[1::2]).min(0)) <= most[rows])
+            if not open_.any():
+                break
+            if open_.sum() <= 0.75 * len(rows):
+                a, b, even, odd, gap = (np.ascontiguousarray(z[:, open_]) for z in (a, b, even, odd, gap))
+                rows, last, goal = rows[open_], last[open_], goal[open_]
+    return out
+
+
 def chain(x: np.ndarray, y: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of a longest increasing chain of common values (unique in x and in y) that lie within `most` of each other."""
     _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -452,8 +506,9 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = rest.groupBy("cell").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BUCKET_ROWS).cast("int"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")
     dealt = join_sized(rest, sizes, "cell").join(known, "doc_id").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(groups))).otherwise(F.col("cell"))
-    sent = dealt.select(group.alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("parts") > 1).alias("large"), "part", "cell", "role", "doc_id", "n", "pos", "component", "bag", "words", "own_cell", "own_pos", "next_cell", "next_pos")
+    alone = (F.col("size") > OWN_GROUP) | (F.col("parts") > 1)
+    group = F.when(alone, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(groups)))
+    sent = dealt.select(group.alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), alone.alias("large"), "part", "cell", "role", "doc_id", "n", "pos", "component", "bag", "words", "own_cell", "own_pos", "next_cell", "next_pos")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell")
@@ -461,28 +516,34 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
         n, pos, component, role = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "component", "role"))
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint16).reshape(-1, BINS)
-        raw = table.column("words")
+        raw = table.column("words").combine_chunks()
+        raw32 = [np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else None for x in raw]
         # the places of the k-mers by cell; of several in one cell the first
-        own_cells, next_cells = (lru_cache(maxsize=1024)(lambda i, c=table.column(f"{r}_cell"), p=table.column(f"{r}_pos"): dict(zip(reversed(c[i].as_py()), reversed(p[i].as_py()), strict=True))) for r in ("own", "next"))
+        own_cells, next_cells = (lru_cache(maxsize=2 * BUCKET_ROWS)(lambda i, c=table.column(f"{r}_cell"), p=table.column(f"{r}_pos"): dict(zip(reversed(c[i].as_py()), reversed(p[i].as_py()), strict=True))) for r in ("own", "next"))
         row_of = dict(zip(doc.tolist(), range(len(doc)), strict=True))
-        text = lru_cache(maxsize=512)(lambda d: Text.of(np.frombuffer(raw[row_of[d]].as_py(), np.uint32)) if raw[row_of[d]].is_valid else None)
+        first_row = [row_of[d] for d in doc.tolist()]  # one row stands for all of a document
+        text = lru_cache(maxsize=1024)(lambda d: Text.of(raw32[row_of[d]]))
         # the bag of the words before the common k-mer
-        ahead, whole = np.zeros_like(bags), np.array([x.is_valid for x in raw], bool)
-        for i, x in enumerate(raw):
-            if x.is_valid:
-                ahead[i] = bag(np.frombuffer(x.as_buffer(), np.uint32)[: pos[i]])
+        ahead, whole = np.zeros_like(bags), np.array([x is not None for x in raw32], bool)
+        for i, x in enumerate(raw32):
+            if x is not None:
+                ahead[i] = bag(x[: pos[i]])
         root: dict[int, int] = {}
-        front = lru_cache(maxsize=2048)(lambda d, place: bag(text(d).words[:place]))
+
+        counts = bags.astype(np.int32)
+        bins = [None if x is None else (x & np.uint32(BINS - 1)).astype(np.uint8) for x in raw32]
 
         def aligned_at(x: int, y: int, place_x: int, place_y: int, most: float) -> bool:
             """Whether the bounds let the pair align the k-mer that begins at these words."""
-            if abs(place_x - place_y) + abs(int(n[x] - n[y]) - place_x + place_y) > most:
+            apart = abs(place_x - place_y) + abs(int(n[x] - n[y]) - place_x + place_y)
+            if apart > most:
                 return False
             if not (whole[x] and whole[y]):
                 return True
-            a, b = front(int(doc[x]), place_x).astype(np.int64), front(int(doc[y]), place_y).astype(np.int64)
-            rest_a, rest_b = bags[x].astype(np.int64) - a, bags[y].astype(np.int64) - b
-            return sum(int(np.maximum(p, q).sum()) - min(int(p.sum()), int(q.sum())) for p, q in ((a, b), (rest_a, rest_b))) <= most
+            ahead_more = np.bincount(bins[x][:place_x], minlength=BINS) - np.bincount(bins[y][:place_y], minlength=BINS)
+            after_more = counts[x] - counts[y] - ahead_more
+            # of either half the greater surplus, which is half of all differences and of that in length
+            return int(np.abs(ahead_more).sum() + np.abs(after_more).sum()) + apart <= 2 * most
 
         def find(c: int) -> int:
             while (up := root.get(c, c)) != c:
@@ -490,6 +551,22 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
             return c
 
         out: list[tuple] = []
+        waiting: list[tuple[int, int]] = []
+        at_a_time = FEW_ALIGNED
+
+        def align() -> None:
+            """Aligns the pairs that wait, side by side, and keeps the links that connect something."""
+            nonlocal at_a_time
+            most = np.array([int(most_edits(max(int(n[x]), int(n[y])))) for x, y in waiting], np.int64)
+            linked = within([(raw32[x], raw32[y]) for x, y in waiting], most)
+            for (x, y), near in zip(waiting, linked.tolist(), strict=True):
+                a, b = find(int(component[x])), find(int(component[y]))
+                if near and a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(doc[x]), int(doc[y]), int(component[x]), int(component[y]), True))
+            at_a_time = FEW_ALIGNED if 4 * linked.sum() > len(linked) else min(2 * at_a_time, MANY_ALIGNED)
+            waiting.clear()
+
         for rows in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
             left, right = rows[part[rows] == low], rows[part[rows] == high]
             if not len(left) or not len(right):
@@ -500,26 +577,30 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
             order = np.argsort(edits[once], kind="stable")
             here = int(cell[rows[0]])
             for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                a, b = find(int(component[x])), find(int(component[y]))
-                if a == b:
+                if find(int(component[x])) == find(int(component[y])):
                     continue
                 # of the cells that both are in, the pair's own: the first that the bounds let pass, from one drawn by the two ids so that pairs spread over all cells
-                mine_x, mine_y = own_cells(x), own_cells(y)
-                common = sorted((mine_x.keys() & mine_y.keys()) | (mine_x.keys() & next_cells(y).keys()) | (next_cells(x).keys() & mine_y.keys()))
+                mine_x, mine_y, next_x, next_y = own_cells(first_row[x]), own_cells(first_row[y]), next_cells(first_row[x]), next_cells(first_row[y])
+                common = mine_x.keys() & mine_y.keys()
+                if next_x or next_y:
+                    common |= (mine_x.keys() & next_y.keys()) | (next_x.keys() & mine_y.keys())
+                common = sorted(common)
                 low_id, high_id = sorted((int(doc[x]), int(doc[y])))
                 first = (low_id * 31 + high_id * 17) % len(common)
                 most = most_edits(max(int(n[x]), int(n[y])))
                 for cell_ in common[first:] + common[:first]:
-                    if cell_ == here or aligned_at(x, y, mine_x.get(cell_, next_cells(x).get(cell_)), mine_y.get(cell_, next_cells(y).get(cell_)), most):
+                    if cell_ == here or aligned_at(x, y, mine_x.get(cell_, next_x.get(cell_)), mine_y.get(cell_, next_y.get(cell_)), most):
                         break
                 if cell_ != here:
                     continue
-                s, t = text(int(doc[x])), text(int(doc[y]))
-                linked = None if s is None or t is None else near_copies(s, t)
-                if linked:
-                    root[max(a, b)] = min(a, b)
-                if linked is not False:
-                    out.append((int(doc[x]), int(doc[y]), int(component[x]), int(component[y]), linked))
+                if not (whole[x] and whole[y]):
+                    out.append((int(doc[x]), int(doc[y]), int(component[x]), int(component[y]), None))
+                elif share_runs(text(int(doc[x])), text(int(doc[y])), int(most)):
+                    waiting.append((x, y))
+                    if len(waiting) >= at_a_time:
+                        align()
+        if waiting:
+            align()
         return pa.Table.from_pylist([dict(zip(LINK, r, strict=True)) for r in out], schema=LINK_SCHEMA)
 
     tasks = max(1, min(8192, n // BUCKET_ROWS))
