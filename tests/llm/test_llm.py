@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tunespark.llm import bm25_search, byte_bpe, components, cover_tree, language_id, order_minhash, packing, sharding, toxicity, url_filter
+from tunespark.llm import bm25_search, byte_bpe, common, components, cover_tree, language_id, order_minhash, packing, sharding, toxicity, url_filter
 from tunespark.llm.common import held_out
 from tunespark.llm.components import connected_components
 
@@ -354,6 +354,15 @@ def test_pairs_just_under_the_threshold_are_aligned_side_by_side(spark, monkeypa
     assert all(near(texts[u], texts[v]) for u, v in found)
 
 
+def test_a_worker_lets_go_of_other_operators_tables():
+    content = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    packing._word_ids(content)
+    common.let_go("tunespark.llm.packing")
+    assert packing._word_ids.cache_info().currsize == 1
+    common.let_go("tunespark.llm.order_minhash")
+    assert packing._word_ids.cache_info().currsize == 0
+
+
 def test_bounds_leave_no_pair_out():
     texts = corpus(7)[:150]
     hashed = [order_minhash.words(t) for t in texts]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows whose crc32 of the id leaves this remainder are held out of every fit.
 FOLDS, HELD_OUT = 5, 0
+#: Rows of an Arrow batch where a row holds a text or two.
+BATCH_ROWS = 1000
 #: Texts that a task turns into Python strings at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
@@ -40,6 +44,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, rows go to Python workers BATCH_ROWS at a time: a batch of texts lies in the executor and in the worker at once. A lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialize() wrote and that nothing reads any more."""
     for df in tables:
@@ -59,6 +76,25 @@ def join_sized(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
     return rows.join(common, key).unionByName(rows.join(common.select(key), key, "left_anti").join(keyed.where(F.col("size") <= border), key))
 
 
+_HELD: list[Callable] = []
+
+
+def held(made: Callable) -> Callable:
+    """Marks a cached function whose values a Python worker holds from task to task."""
+    _HELD.append(made)
+    return made
+
+
+def let_go(module: str) -> None:
+    """Gives back what a worker's earlier tasks hold for operators of other modules: workers outlive the stages of a pipeline."""
+    others = [f for f in _HELD if f.__module__ != module and f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
 
@@ -81,6 +117,7 @@ def text_to_rows(df: DataFrame, schema: str, rows: Callable[[list[str]], dict[st
     made = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(rows.__module__)
         for batch in batches:
             parts: dict[str, list] = {c: [] for c in made}
             for texts in slices(batch.column(text)):
@@ -102,6 +139,7 @@ def filter_rows(df: DataFrame, mask: Callable[[list[str]], list[bool]], text: st
     """The rows of df, all columns as they are, whose text mask() keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(mask.__module__)
         for batch in batches:
             keep: list[bool] = []
             for texts in slices(batch.column(text)):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunespark.llm.common import discard, join_sized, materialize, mix, text_to_rows
+from tunespark.llm.common import discard, join_sized, let_go, materialize, mix, small_batches, text_to_rows
 from tunespark.llm.components import connected_components
 
 WORDS_A_KMER, SIMILARITY = 5, 0.8
@@ -436,6 +436,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
     both = pairs.join(right, "v").repartition(parts, "u", "salt").join(left.repartition(parts, "u", "salt"), ["u", "salt"]).select("cu", "cv", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(__name__)
         own = lru_cache(maxsize=4)(Text)
         for batch in batches:
             keep = []
@@ -511,6 +512,7 @@ def _close_pairs(placed: DataFrame, docs: DataFrame) -> DataFrame:
     sent = dealt.select(group.alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), alone.alias("large"), "part", "cell", "role", "doc_id", "n", "pos", "component", "bag", "words", "own_cell", "own_pos", "next_cell", "next_pos")
 
     def compare(table: pa.Table) -> pa.Table:
+        let_go(__name__)
         table = table.sort_by("cell")
         cell, part, doc = (table.column(c).to_numpy() for c in ("cell", "part", "doc_id"))
         n, pos, component, role = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "component", "role"))
@@ -626,7 +628,8 @@ def _tried(pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame | None, int]:
     if not n:
         return None, 0
     ids = wanted.select(F.col("u").alias("doc_id")).union(wanted.select("v")).distinct()
-    links = materialize(_verified(wanted, n, pick(docs, ids, few=2 * n <= BROADCAST_IDS).dropDuplicates(["doc_id"])), "verified")
+    with small_batches(docs.sparkSession):
+        links = materialize(_verified(wanted, n, pick(docs, ids, few=2 * n <= BROADCAST_IDS).dropDuplicates(["doc_id"])), "verified")
     discard(wanted)
     return links, n
 
@@ -656,7 +659,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         n, keys, places = zip(*map(sketches, texts), strict=True)
         return {"n": list(n), "keys": list(keys), "places": list(places)}
 
-    made = materialize(text_to_rows(with_digest, "n int, keys array<bigint>, places array<int>", rows, keep=("doc_id", "digest")), "sketches")
+    with small_batches(docs.sparkSession):
+        made = materialize(text_to_rows(with_digest, "n int, keys array<bigint>, places array<int>", rows, keep=("doc_id", "digest")), "sketches")
     first = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     reps = made.where(F.size("keys") > 0).join(first.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own")), "doc_id").where("digest = own")
     keyed = reps.select("doc_id", "n", F.explode(F.arrays_zip("keys", "places")).alias("x")).select(F.col("x.keys").alias("key"), "doc_id", "n", F.col("x.places").alias("pos"))
@@ -675,7 +679,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         discard(before, links)
         if linked <= GAIN * tried or turn == MOST_TURNS:
             break
-    close = materialize(_close_pairs(placed, own), "close")
+    with small_batches(docs.sparkSession):
+        close = materialize(_close_pairs(placed, own), "close")
     links, tried = _tried(close.where("linked is null"), own)
     links = close.where("linked").select("cu", "cv") if links is None else close.where("linked").select("cu", "cv").unionByName(links)
     found = _joined(placed, links).select(F.col("doc_id").alias("rep"), "component").distinct()

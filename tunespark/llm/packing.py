@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tunespark.llm.byte_bpe import byte_letters
-from tunespark.llm.common import Cache, materialize, text_to_rows
+from tunespark.llm.common import Cache, held, materialize, text_to_rows
 
 SEQUENCE, END_ID = 4096, 1
 #: Pieces of one length are ranked in this many parts.
@@ -65,6 +65,7 @@ class WordIds:
         return [self.whole(t) if ODD_SPACE.search(t) else b"".join([get(w) for w in t.split()]) for t in texts]
 
 
+@held
 @lru_cache(maxsize=2)
 def _word_ids(content: str) -> WordIds:
     return WordIds(content)
