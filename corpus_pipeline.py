@@ -8,16 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tunespark.llm import language_id, order_minhash, packing, toxicity
-from tunespark.llm.common import materialize, read
+from tunespark.llm.common import bound_batches, materialize, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with some certainty; null, empty and letterless ones go."""
+    bound_batches(spark)  # for the session: the caller runs what is returned
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score under 0.5 for toxicity, learned from the labelled ones among them."""
+    bound_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 

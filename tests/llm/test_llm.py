@@ -1,11 +1,15 @@
 """The training-data operators against brute force, the public libraries, and awkward input."""
 
+import ctypes
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,6 +367,48 @@ def test_a_worker_lets_go_of_other_operators_tables():
     assert packing._word_ids.cache_info().currsize == 0
 
 
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="glibc alone gives memory back")
+def test_a_worker_gives_freed_memory_back():
+    own = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1])
+    parts = [np.ones(12_000) for _ in range(1_500)]
+    parts = parts[-1:]  # the last one pins what lies below it
+    full = own()
+    common.let_go("tunespark.llm.packing")
+    assert len(parts) == 1 and own() < full - 100_000
+
+
+def test_a_worker_keeps_a_bounded_number_of_words():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        ids = packing.WordIds(f.read())
+    words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(160_000)]
+    made = ids.encode([" ".join(words), "aaaa zzzz," * 3])
+    assert max(len(ids.words), len(ids.known)) <= 150_000
+    assert made[1] == ids.whole("aaaa zzzz," * 3) and made[0][-4000:] == ids.whole(" ".join(words[-3000:]))[-4000:]
+
+
+def test_pipeline_sends_texts_in_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(3000).selectExpr("id as doc_id", "'a text' as text", "'en' as lang").coalesce(1)
+    sizes = lambda df, *_: df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    monkeypatch.setattr(language_id, "keep_identified", sizes)
+    monkeypatch.setattr(toxicity, "keep_clean", sizes)
+    monkeypatch.setattr(toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(packing, "pieces", sizes)
+    monkeypatch.setattr(packing, "materialize", lambda df, name: taken.extend(df.collect()) or docs.selectExpr("doc_id", "0 as piece", "1L as length", "0L as start", "0L as ids_crc32"))
+    before = spark.conf.get(key)
+    try:
+        for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_toxic, corpus_pipeline.pack):
+            spark.conf.set(key, 10_000)
+            taken = []
+            made = stage(spark, docs, SF)
+            taken = taken or made.collect()
+            assert [r["n"] for r in taken] == [1000] * 3
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_bounds_leave_no_pair_out():
     texts = corpus(7)[:150]
     hashed = [order_minhash.words(t) for t in texts]

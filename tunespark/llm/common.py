@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -44,17 +45,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers BATCH_ROWS at a time: a batch of texts lies in the executor and in the worker at once. A lower setting of the session stays."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Inside, rows go to Python workers BATCH_ROWS at a time: a batch of texts lies in the executor and in the worker at once. A lower setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """bound_batches() for what is run inside; then the session's setting holds again."""
+    before = spark.conf.get(BATCH_KEY)
+    bound_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH_KEY, before)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -85,6 +93,13 @@ def held(made: Callable) -> Callable:
     return made
 
 
+def trim() -> None:
+    """Gives memory that is free inside this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        give_back(0)
+
+
 def let_go(module: str) -> None:
     """Gives back what a worker's earlier tasks hold for operators of other modules: workers outlive the stages of a pipeline."""
     others = [f for f in _HELD if f.__module__ != module and f.cache_info().currsize]
@@ -92,7 +107,7 @@ def let_go(module: str) -> None:
         f.cache_clear()
     if others:
         gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

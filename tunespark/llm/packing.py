@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tunespark.llm.byte_bpe import byte_letters
-from tunespark.llm.common import Cache, held, materialize, text_to_rows
+from tunespark.llm.common import Cache, held, materialize, small_batches, text_to_rows, trim
 
 SEQUENCE, END_ID = 4096, 1
 #: Pieces of one length are ranked in this many parts.
 PARTS = 64
+#: Words and chunks of text whose ids a worker keeps, each: about 200 bytes an entry.
+KEPT = 150_000
 #: White space for Python's split() that is none for the vocabulary's pattern.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -35,7 +37,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 class WordIds:
     """Ids of texts by a vocabulary that drops white space: the library encodes words once and they are kept (at most `most`)."""
 
-    def __init__(self, content: str, most: int = 500_000):
+    def __init__(self, content: str, most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(content)
         self.model = self.library.model
@@ -68,7 +70,9 @@ class WordIds:
 @held
 @lru_cache(maxsize=2)
 def _word_ids(content: str) -> WordIds:
-    return WordIds(content)
+    made = WordIds(content)
+    trim()  # what parsing the vocabulary took
+    return made
 
 
 def pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, end_id: int = END_ID, text: str = "text") -> DataFrame:
@@ -203,7 +207,8 @@ def pack(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, end_id: int = E
     Null and empty texts are one piece of the end id alone; repeated rows are packed as often as they occur; an empty table
     gives no rows; other columns are ignored. The histogram of lengths and the recipes made from it are bounded by `most`; they alone pass the driver.
     """
-    cut = materialize(pieces(docs, vocabulary, most, end_id, text), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, vocabulary, most, end_id, text), "pieces")
     salted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
     by_part = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
