@@ -686,6 +686,49 @@ def test_recipes_use_all_and_fit():
     assert packing.recipes({}, 8) == []
 
 
+@pytest.fixture(scope="module")
+def word_ids():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return packing.WordIds(f.read())
+
+
+def test_plain_texts_need_no_encoding_by_words(word_ids, monkeypatch):
+    r = random.Random(5)
+    parts = ["th", "an", "ing", "ère", "Ü", "ß", "œu", "x", "qu", "LL", "zyz"]
+    texts = [" ".join("".join(r.choices(parts, k=r.randint(1, 9))) + r.choice(["", ".", ",!!", "'s", "&&&", "12"]) for _ in range(2000)) for _ in range(5)]
+    want, asked = [word_ids.whole(t) for t in texts], []
+    for make in ("words", "known"):
+        one = getattr(word_ids, make)
+        monkeypatch.setattr(one, "make", lambda x, make=one.make: asked.append(x) or make(x))
+    monkeypatch.setattr(word_ids, "whole", lambda t, whole=word_ids.whole: asked.append(t) or whole(t))
+    assert word_ids.encode(texts) == want
+    assert not asked
+
+
+def test_ids_of_plain_and_odd_texts(word_ids):
+    r = random.Random(6)
+    points = [f"a{c}b {c} {c}{c} 1{c} .{c}. '{c} {c}'s {c}'ll" for c in map(chr, range(0x250))]
+    signs = [a + b + c for a in "!'.<|_-\" a1é\n" for b in "'!|>s1é\t" for c in "'?<|.s1 "]
+    endings = ["".join(r.choices(["'s", "'S", "'ll", "'t", "a", "' ", "''", "'re", "!", ".", "s", "1", "ve", "'v", "'d", "<|endoftext|>", "<|ENDOFTEXT|>"], k=r.randint(0, 8))) for _ in range(3000)]
+    words = ["".join(r.choices("aeinrstthlo", k=r.randint(1, 40))) for _ in range(3000)]
+    own = [x.removesuffix("</w>") for x in word_ids.library.get_vocab() if x.isascii()]
+    for texts in (points, signs, endings, words, own, ["a" * n for n in range(1, 700)], ["ab" * 3000, "." * 3000, "1" * 3000], ODD, random_texts(500)):
+        assert word_ids.encode(texts) == [word_ids.whole(t) for t in texts]
+
+
+def test_merges_that_make_one_token_twice_are_left_to_the_library():
+    import json
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        made = json.load(f)
+    first, again = ["i", "ng"], ["in", "g"]
+    assert again in made["model"]["merges"] or first in made["model"]["merges"]
+    made["model"]["merges"] += [x for x in (first, again) if x not in made["model"]["merges"]]
+    ids = packing.WordIds(json.dumps(made))
+    assert ids.merges is None
+    assert ids.encode(["Singing, it's a thing", "\u0130"]) == [ids.whole(t) for t in ("Singing, it's a thing", "\u0130")]
+
+
 def test_pack(spark, docs, awkward, empty):
     from tokenizers import Tokenizer
 
