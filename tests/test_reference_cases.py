@@ -395,3 +395,8 @@ def test_feedback_stream(spark, tmp_path):
     assert {r["row_id"] for r in accepted.collect()} == {1, 4} and accepted.select("track_id").distinct().count() == 1
     assert {(r["row_id"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()} == {(2, "unsupported action"), (3, "incomplete track")}
     assert spark.read.parquet(str(tmp_path / "out/tracks")).count() == 1
+
+
+def test_clip_paths_of_long_numbers_stay_whole(spark):
+    rows = D.with_clip_path(spark.createDataFrame([(7,), (999_999,), (1_000_000,), (1_234_567,), (None,)], "track_id int"), "clips/")
+    assert [r["clip_path"] for r in rows.collect()] == ["clips/000/000007.mp3", "clips/999/999999.mp3", "clips/100/1000000.mp3", "clips/123/1234567.mp3", None]

@@ -23,8 +23,8 @@ def read_track_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_clip_path(df: DataFrame, root: str = "") -> DataFrame:
-    """df with `clip_path`: <first three digits>/<six digits>.mp3 under root."""
-    stem = F.lpad(F.col("track_id").cast("string"), 6, "0")
+    """df with `clip_path`: <first three digits>/<six digits, all of a longer number>.mp3 under root."""
+    stem = F.when(F.col("track_id").isNotNull(), F.format_string("%06d", "track_id"))
     return df.withColumn("clip_path", F.concat(F.lit(root.rstrip("/") + "/" if root else ""), F.substring(stem, 1, 3), F.lit("/"), stem, F.lit(".mp3")))
 
 
