@@ -105,6 +105,26 @@ def test_slices_that_were_whole_are_kept_when_a_worker_dies(spark, dataset, tmp_
     assert report["tracks"] == 59 and report["embedded"] == 59 - left["vectors"] and report["reused"] == left["vectors"]
 
 
+def test_quick_slices_grow_and_slow_ones_do_not(spark, dataset, tmp_path, monkeypatch):
+    rows = dataset[0].select("track_id")
+    monkeypatch.setattr(staged, "QUICK_SECONDS", 1000)
+    n, slices = staged._slices(rows, 2, "rows")
+    quick = [[r["track_id"] for r in part.collect()] for part in slices]
+    monkeypatch.setattr(staged, "QUICK_SECONDS", 0)
+    slow = [[r["track_id"] for r in part.collect()] for part in staged._slices(rows, 2, "rows")[1]]
+    assert n == 60 and len(quick) == 5 and len(slow) == 30  # 30 parts: 1, 2, 4, 8 and the last 15
+    for slices in (quick, slow):
+        assert sorted(x for part in slices for x in part) == list(range(1, 61))
+    assert staged._slices(rows.where("false"), 2, "rows")[0] == 0
+
+
+def test_a_path_of_a_long_number_has_a_vector_of_the_same_dimension():
+    from tunespark.jobs.queries import _path_encoder
+
+    encode = _path_encoder()
+    assert [len(encode(path)[0]) for path in ("012/012345.mp3", "123/1234567.mp3")] == [10, 10]
+
+
 # ------------------------------------------------------------------------------------------------ publishing
 
 

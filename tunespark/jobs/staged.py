@@ -1,15 +1,16 @@
 """A build in stages (some tracks a genre, then more, then all), each on what the ones before have left, that can be stopped anywhere and started again.
 
 Vectors and raw analyses go into stores of batches that are renamed into place when they are whole, keyed by track, audio digest and space or configuration. A stage
-works out what the stores lack, a bounded slice at a time, so that a restart repeats no finished slice; a stage that is over stands in the ledger with the
-fingerprint of its input and isn't looked at again.
+works out what the stores lack, a slice at a time, so that a restart repeats no finished slice; slices grow as long as they take little time, so that what a stop
+loses is bounded by time and a large stage isn't thousands of small jobs. A stage that is over stands in the ledger with the fingerprint of its input and isn't looked at again.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ from tunespark.operators.attributes import AnalysisConfig, config_digest, label_
 from tunespark.operators.vectors import EmbeddingSpace, TunesparkError
 from tunespark.sources.dataset import manifest_entries, sample_per_genre
 
-#: Tracks that are embedded or analysed between two writes.
+#: Tracks that are embedded or analysed before a stage's first write; a slice that took less than so many seconds is followed by one twice as large.
 SLICE = 2000
+QUICK_SECONDS = 20
 VECTORS = "track_id string, audio_sha256 string, vector array<float>, excerpt_count int, space_fingerprint string"
 ANALYSES = "track_id string, audio_sha256 string, class_scores map<string,double>, loudness_dbfs double, onset_rate double, bpm double, pulse_clarity double, config_digest string"
 
@@ -40,10 +42,26 @@ def _add(rows: DataFrame, path: str) -> None:
     rename_new(rows.sparkSession, f"{path}/tmp-{name}", f"{path}/batch-{name}")
 
 
-def _slices(todo: DataFrame, size: int) -> list[DataFrame]:
+def _slices(todo: DataFrame, size: int, name: str) -> tuple[int, Iterator[DataFrame]]:
+    """The number of rows to do, and slices of them: the first of about `size` tracks, each next one twice as large after a quick one and half as large after a slow one, never smaller than the first.
+
+    Rows are written once in the order of their slices, so that a slice reads little but its own.
+    """
     n = todo.count()
     parts = -(-n // size)
-    return [todo.where(F.pmod(F.xxhash64("track_id"), F.lit(parts)) == i) for i in range(parts)]
+    if not n:
+        return 0, iter(())
+    rows = written(todo.withColumn("__slice", F.pmod(F.xxhash64("track_id"), F.lit(parts))).repartitionByRange("__slice"), name)
+
+    def slices() -> Iterator[DataFrame]:
+        at, width = 0, 1
+        while at < parts:
+            began = time.monotonic()
+            yield rows.where(F.col("__slice").between(at, at + width - 1)).drop("__slice")
+            at, took = at + width, time.monotonic() - began
+            width = 2 * width if took < QUICK_SECONDS else max(1, width // 2) if took > 2 * QUICK_SECONDS else width
+
+    return n, slices()
 
 
 def _fingerprint(manifest: DataFrame, space: EmbeddingSpace, config: AnalysisConfig) -> str:
@@ -79,9 +97,9 @@ def staged_build(
             continue
         key = ["track_id", "audio_sha256"]
         vectors = lambda: _store(spark, f"{index_dir}/vectors", VECTORS).where(F.col("space_fingerprint") == space.fingerprint()).dropDuplicates(key)
-        lacking = written(manifest.join(vectors().select(*key), key, "left_anti"), "lacking")
-        before, failed = lacking.count(), []
-        for part in _slices(lacking, slice_tracks):
+        before, slices = _slices(manifest.join(vectors().select(*key), key, "left_anti"), slice_tracks, "lacking")
+        failed: list[str] = []
+        for part in slices:
             made = written(embed_tracks(part.withColumn("status", F.lit("to_embed")), encoder_factory).join(part.select(*key), "track_id"), "embedded")
             good = made.where("error is null").select(*key, "vector", "excerpt_count", F.lit(space.fingerprint()).alias("space_fingerprint"))
             _add(good, f"{index_dir}/vectors")
@@ -92,9 +110,8 @@ def staged_build(
             raise TunesparkError("no track has a usable vector")
         analyses = lambda: _store(spark, f"{index_dir}/analyses", ANALYSES).where(F.col("config_digest") == config_digest(config)).dropDuplicates(key)
         raw = [c.split()[0] for c in ANALYSES.split(", ")][:-1]
-        todo = written(index.join(analyses().select(*key), key, "left_anti"), "to-analyse")
-        analysed = todo.count()
-        for part in _slices(todo, slice_tracks):
+        analysed, slices = _slices(index.join(analyses().select(*key), key, "left_anti"), slice_tracks, "to-analyse")
+        for part in slices:
             fresh = analyse(part).drop("audio_sha256").join(part.select(*key), "track_id")
             _add(fresh.select(*raw).withColumn("config_digest", F.lit(config_digest(config))), f"{index_dir}/analyses")
         generation = publish_generation(index, index_dir, space)
