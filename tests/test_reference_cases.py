@@ -400,3 +400,25 @@ def test_feedback_stream(spark, tmp_path):
 def test_clip_paths_of_long_numbers_stay_whole(spark):
     rows = D.with_clip_path(spark.createDataFrame([(7,), (999_999,), (1_000_000,), (1_234_567,), (None,)], "track_id int"), "clips/")
     assert [r["clip_path"] for r in rows.collect()] == ["clips/000/000007.mp3", "clips/999/999999.mp3", "clips/100/1000000.mp3", "clips/123/1234567.mp3", None]
+
+
+@pytest.mark.parametrize("kept,block", [(1 << 20, 2048), (60, 7), (15, 3)])
+def test_neighbours_of_any_strips_and_blocks(spark, monkeypatch, kept, block):
+    """Ties by id, equal vectors, rows of one id, vectors of large and small size, and some that can't be used."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    base = np.round(r.normal(size=(40, 5)), 1).astype(np.float32)
+    rows = [(f"t{i % 90:02d}", [float(x) for x in base[i % 40] * np.float32(10.0 ** (i % 7 - 3))]) for i in range(100)] + [("zero", [0.0] * 5), ("none", None), (None, [1.0] * 5)]
+    catalog = spark.createDataFrame(rows, "track_id string, vector array<float>").repartition(3)
+    monkeypatch.setattr(R, "STRIP_KEPT", kept)
+    blocks, sent = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name: blocks.append((name, df)) or sent(df, name))
+    got = sorted((x["seed_id"], x["rank"], x["track_id"], x["score"]) for x in R.all_neighbours(catalog, 3, block).collect())
+    usable = [(i, np.array(v, np.float32).astype(np.float64)) for i, v in rows[:100]]
+    want = []
+    for seed in sorted({i for i, _ in usable}):
+        scores = [(-np.float32(np.clip(x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)), -1, 1)), j) for i, x in usable if i == seed for j, y in usable if j != seed]
+        want += [(seed, n + 1, j, float(-s)) for n, (s, j) in enumerate(sorted(scores)[:3])]
+    assert got == want
+    assert spark.conf.get(R.BATCH_ROWS) == "10000" and [name for name, _ in blocks] == ["blocks", "neighbours"]
