@@ -49,3 +49,9 @@ def test_only_the_best_leave_a_task(spark):
     hits = tiles.top_k(queries, tracks, 4)
     n = queries.count()
     assert hits.where("track_id is not null").count() == 3 * 4 * n and hits.where("track_id is null").count() == 3 * n
+
+
+def test_genre_agreement_starts_from_written_neighbours(spark):
+    """The lists come from a table; no pairs of blocks go through an exchange of the query's own."""
+    plan = QUERIES["i4_genre_agreement"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Generate" not in plan
