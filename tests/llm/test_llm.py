@@ -921,3 +921,50 @@ def test_pipeline(spark):
     packed = stages[-1][1](spark, kept, SF)
     assert packed.select("doc_id").distinct().count() == kept.count()
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.3, 3.0])
+def test_heads_of_vectors_leave_no_link_out(spread):
+    """A product of heads is never under that of the vectors; blocks compared by them have the links of brute force; vectors by themselves are a class of their own."""
+    from tunespark.llm import cover_tree as C
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 64)) * np.linspace(3, 0.1, 64)
+    x = C.unit((centres[r.integers(0, 40, 700)] + spread * r.normal(size=(700, 64))).astype(np.float32))
+    axes = C.main_axes(x[:100])
+    assert axes.shape == (64, 24) and C.main_axes(x[:, :16]) is None
+    heads = C.head(x, axes)
+    assert (heads @ heads.T >= x @ x.T - C.margin(64)).all()
+    for shape, least in (((3, 5), 0.5), ((7, 64), -2.0), ((1, 8), 2.0), ((2, 4), 0.9)):
+        product = r.random(shape).astype(np.float32)
+        assert all((p == q).all() for p, q in zip(C.hits(product, least), np.nonzero(product >= np.float32(least)), strict=True))
+
+    def block(low, high, axes):
+        order, starts = C.tree(x[low:high].astype(np.float32))
+        return C.Tree(x[low:high][order], np.arange(low, high)[order], np.ones(high - low, np.int64), starts, axes)
+
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    for own in (None, axes):
+        a, b = block(0, 400, own), block(400, 700, own)
+        ids, count, _ = C.dual(a, b, 0.9).rows()
+        assert dict(zip(ids.tolist(), count.tolist(), strict=True)) == {i: n for i, n in enumerate(np.concatenate([near[:400, 400:].sum(1), near[400:, :400].sum(1)]).tolist()) if n}
+        ids, count, _ = C.dual(a, a, 0.9).rows()
+        assert dict(zip(ids.tolist(), count.tolist(), strict=True)) == {i: n for i, n in enumerate(near[:400, :400].sum(1).tolist()) if n}
+    sizes = a.end[3] - a.first[3]
+    assert set(np.flatnonzero(sizes == 1)) <= set(a.classes(3)[0])
+
+
+def test_vectors_without_structure_are_not_opened_node_by_node():
+    from tunespark.llm import cover_tree as C
+
+    def starts(x):
+        x, reach = C.unit(x.astype(np.float32)), 0.2**0.5
+        order, firsts = C.tree(x.astype(np.float32))
+        t = C.Tree(x[order], np.arange(len(x))[order], np.ones(len(x), np.int64), firsts)
+        level = C.first_level(t, t, lambda r: 1 - np.minimum(r + reach, 2.0) ** 2 / 2, lambda r: np.where(reach > r, 1 - (reach - r) ** 2 / 2, np.inf))
+        return len(t.first[level])
+
+    r = np.random.default_rng(4)
+    assert starts(r.normal(size=(3000, 24))) > 2900  # not at the 503 wide nodes of the first net
+    assert starts(np.repeat(np.eye(24), 200, 0) + 0.005 * r.normal(size=(4800, 24))) == 24

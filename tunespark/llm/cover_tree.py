@@ -29,6 +29,10 @@ BLOCK, BLOCK_BYTES, BLOCKS, SMALL = 32_768, 32 << 20, 8, 512
 MOST_CENTRES, CENTRE_BYTES = 4096, 16 << 20
 #: Rows of a tile of products; children compared one by one at most, more by a product of their own.
 TILE, FEW = 256, 1024
+#: Nodes of a level by which the work of starting there is judged; products that opening one pair of nodes costs.
+SOME, OPENING = 512, 40
+#: Whole vectors are compared at once where heads leave more than one pair of nodes in so many open; pairs that are compared one by one at a time.
+OPEN, MOST = 128, 1 << 16
 #: A table of block pairs counted at no more rows than this (24 MB) is broadcast.
 BROADCAST_PAIRS = 1_000_000
 
@@ -84,11 +88,35 @@ def tree(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(groups), starts
 
 
+def main_axes(x: np.ndarray) -> np.ndarray | None:
+    """The directions, three for eight dimensions, that hold most of these unit vectors; none where a product of all dimensions is cheap or the directions are dear."""
+    dims = x.shape[1]
+    if not 32 <= dims <= 2048:
+        return None
+    return np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, -(3 * dims // 8) :])
+
+
+def head(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors along the axes, with the length of what is left as one more component: no product of two vectors is above that of their heads."""
+    along = x @ axes
+    rest = np.sqrt(np.maximum(0, 1 - (along * along).sum(1, keepdims=True)) + 1e-12)
+    return np.hstack([along, rest]).astype(np.float32)
+
+
+def hits(product: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the products that reach least, in order; eight are looked at at once, as hardly any do."""
+    flat = (product >= np.float32(least)).ravel()
+    n = len(flat) // 8 * 8
+    some = (np.flatnonzero(flat[:n].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(np.concatenate([some[flat[some]], n + np.flatnonzero(flat[n:])]), product.shape[1])
+
+
 class Tree:
     """A block's vectors in the order of their tree, with the nodes' first rows and covering radii by level; rows are the last level."""
 
-    def __init__(self, x: np.ndarray, rep: np.ndarray, weight: np.ndarray, starts: list[np.ndarray]):
+    def __init__(self, x: np.ndarray, rep: np.ndarray, weight: np.ndarray, starts: list[np.ndarray], axes: np.ndarray | None = None):
         self.x, self.single, self.rep, self.weight = x, x.astype(np.float32), rep, weight
+        self.head = None if axes is None else head(x, axes)
         n = len(x)
         self.first = [s.astype(np.int64) for s in starts] + [np.arange(n)]
         self.end = [np.append(s[1:], n) for s in self.first]
@@ -103,16 +131,33 @@ class Tree:
         self.child = [(np.searchsorted(low, f), np.searchsorted(low, e)) for f, e, low in zip(self.first, self.end, self.first[1:], strict=False)]
         self.total = np.concatenate([[0], np.cumsum(weight)])
 
-        #: the deepest level that has hardly more nodes than the first: where the first net covers little, the levels between would open nearly all
-        self.top = max(k for k in range(len(RADII)) if len(self.first[k]) <= 1.25 * len(self.first[0]))
-
     def classes(self, level: int) -> list[np.ndarray]:
         """The nodes of a level by their radius: vectors by themselves first, then by halving radii."""
-        edges = [0.0, *reversed(RADII)]
+        edges = [1e-8, *reversed(RADII)]
         of = np.searchsorted(edges, self.radius[level])
         return [np.flatnonzero(of == k) for k in range(len(edges) + 1)]
 
 
+def first_level(a: Tree, b: Tree, least, most) -> int:
+    """The level to start from: where the products of all its pairs and what opening pairs from there on costs are least, judged by SOME nodes of either side.
+
+    Wide nodes of vectors without structure stay open in nearly all pairs, and opening those costs far more than comparing all vectors at once.
+    """
+    pairs, opened = [], []
+    for k in range(len(RADII) + 1):
+        i, j = (np.linspace(0, len(t.first[k]) - 1, min(SOME, len(t.first[k]))).astype(np.int64) for t in (a, b))
+        pairs.append(len(a.first[k]) * len(b.first[k]))
+        if k == len(RADII):
+            break
+        product, radii = a.single[a.first[k][i]] @ b.single[b.first[k][j]].T, a.radius[k][i][:, None] + b.radius[k][j]
+        open_ = (product >= least(radii)) & (product < most(radii))
+        if a is b:
+            np.fill_diagonal(open_, False)
+        (na, nb) = (t.child[k][1][x] - t.child[k][0][x] for t, x in ((a, i), (b, j)))
+        opened.append(pairs[k] * float(na @ open_ @ nb) / open_.size)
+    return int(np.argmin([pairs[k] + OPENING * sum(opened[k:]) for k in range(len(pairs))]))
+
+
 class Links:
     """Links of two blocks: how many each vector has, and the smallest id that it reaches by them."""
 
@@ -172,14 +217,17 @@ def dual(a: Tree, b: Tree, cosine: float) -> Links:
         """The least product that leaves open whether nodes of these radii together hold a link."""
         return 1 - np.minimum(radii + reach, 2.0) ** 2 / 2 - slack
 
+    def most(radii):
+        """The product from which all vectors of nodes of these radii together link."""
+        return np.where(reach > radii, 1 - (reach - radii) ** 2 / 2 + slack, np.inf)
+
     def settle(level: int, i: np.ndarray, j: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of nodes still open; those that link whole are counted."""
         if links.same:
             keep = i < j if level == last else i <= j
             i, j, product = i[keep], j[keep], product[keep]
         radii = a.radius[level][i] + b.radius[level][j]
-        inner = reach - radii
-        whole = (inner > 0) & (product >= 1 - inner * inner / 2 + slack)
+        whole = product >= most(radii)
         if whole.any():
             links.add(level, i[whole], j[whole])
         open_ = ~whole & (product >= least(radii))
@@ -202,7 +250,7 @@ def dual(a: Tree, b: Tree, cosine: float) -> Links:
             for start in range(int(la[k]), int(ha[k]), TILE):
                 rows = np.arange(start, min(start + TILE, int(ha[k])))
                 product = a.single[xa[rows]] @ right.T
-                x, y = np.nonzero(product >= least(a.radius[level + 1][rows].max() + widest))
+                x, y = hits(product, least(a.radius[level + 1][rows].max() + widest))
                 descend(level + 1, *settle(level + 1, rows[x], lb[k] + y, product[x, y]))
         few = np.flatnonzero(~many)
         sizes = np.cumsum((na * nb)[few])
@@ -215,20 +263,32 @@ def dual(a: Tree, b: Tree, cosine: float) -> Links:
                 product = np.einsum("ij,ij->i", a.single[xa[x]], b.single[xb[y]])
                 descend(level + 1, *settle(level + 1, x, y, product))
 
-    top = min(a.top, b.top)
+    top = first_level(a, b, least, most)
     of_a, of_b = a.classes(top), b.classes(top)
     for p, left in enumerate(of_a):
         for q, right in enumerate(of_b):
             if not left.size or not right.size or (links.same and q < p):
                 continue
             xb = b.single[b.first[top][right]]
+            hb = None if a.head is None or b.head is None else b.head[b.first[top][right]]
             widest = b.radius[top][right].max()
             for start in range(0, len(left), TILE):
                 rows = left[start : start + TILE]
                 skip = start if links.same and p == q else 0
-                product = a.single[a.first[top][rows]] @ xb[skip:].T
-                x, y = np.nonzero(product >= np.float32(least(a.radius[top][rows].max() + widest)))
-                i, j, got = rows[x], right[skip:][y], product[x, y]
+                xa, enough = a.single[a.first[top][rows]], least(a.radius[top][rows].max() + widest)
+                if hb is not None:
+                    x, y = hits(a.head[a.first[top][rows]] @ hb[skip:].T, enough)
+                    if OPEN * len(x) > len(rows) * (len(right) - skip):
+                        hb = None  # heads keep too few of these nodes apart: this tile and the next ones take whole vectors
+                    else:
+                        got = np.concatenate([np.einsum("ij,ij->i", xa[x[k : k + MOST]], xb[skip + y[k : k + MOST]]) for k in range(0, max(1, len(x)), MOST)])
+                        near = got >= np.float32(enough)
+                        x, y, got = x[near], y[near], got[near]
+                if hb is None:
+                    product = xa @ xb[skip:].T
+                    x, y = hits(product, enough)
+                    got = product[x, y]
+                i, j = rows[x], right[skip:][y]
                 if links.same and p != q:
                     i, j = np.minimum(i, j), np.maximum(i, j)
                 descend(top, *settle(top, i, j, got))
@@ -283,6 +343,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int | Non
         x = unit(drawn.column("embedding").combine_chunks())
         centres[dims] = x[tree(x.astype(np.float32))[0]]
     shared = spark.sparkContext.broadcast(centres)
+    axes = spark.sparkContext.broadcast({dims: main_axes(x) for dims, x in centres.items()})
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -347,7 +408,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int | Non
         sides = []
         for r in table.to_pylist():
             ids, weight = (np.frombuffer(r[c], np.int64) for c in ("rep", "weight"))
-            sides.append(Tree(unit(np.frombuffer(r["raw"], element).reshape(r["n"], -1)), ids, weight, [np.frombuffer(s, np.int32) for s in r["starts"]]))
+            x = unit(np.frombuffer(r["raw"], element).reshape(r["n"], -1))
+            sides.append(Tree(x, ids, weight, [np.frombuffer(s, np.int32) for s in r["starts"]], axes.value[x.shape[1]]))
         out = dual(sides[0], sides[-1], cosine).rows()
         return pa.table({"rep": pa.array(out[0]), "links": pa.array(out[1]), "least": pa.array(out[2])})
 
